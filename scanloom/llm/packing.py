@@ -58,6 +58,19 @@ def token_bytes(path: str, texts: list[str], cache_size: int) -> list[bytes]:
         t.no_padding()
         _state.update(path=path, tokenizer=t, cache=_Ids())
     t, cache = _state["tokenizer"], _state["cache"]
+    out: list[bytes] = []
+    at = 0
+    while at < len(texts):  # a few MB of text at a time bound what is held as chunks
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) < 4_000_000):
+            size += len(texts[to])
+            to += 1
+        out += _encode_slice(t, cache, texts[at:to], cache_size)
+        at = to
+    return out
+
+
+def _encode_slice(t, cache: _Ids, texts: list[str], cache_size: int) -> list[bytes]:
     split = [x.split(" ") for x in texts]
     need: set[str] = set()
     slow = []
@@ -81,7 +94,7 @@ def token_bytes(path: str, texts: list[str], cache_size: int) -> list[bytes]:
     return [whole[i] if i in rare else heads[i] + b"".join(map(cache.__getitem__, p[1:])) for i, p in enumerate(split)]
 
 
-def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, end_id: int = 0, with_ids: bool = False, cache_size: int = 400_000) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, end_id: int = 0, with_ids: bool = False, cache_size: int = 800_000) -> DataFrame:
     """Pieces of at most `tokens` ids: id_col, piece, start, length, ids_crc32 and, if asked for, ids (little-endian
     bytes). Only documents longer than that are cut; their first piece takes the remainder. A document's ids end
     with end_id, so null and empty texts have one piece of one id."""
@@ -172,8 +185,9 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", cap: Capacity = Capacity())
     """
     spark, uri = pieces.sparkSession, shared_dir(pieces.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = stored(pieces, f"{uri}/pieces")  # ranges are drawn from a sample, which would else encode every text once more
     dealt = pieces.repartitionByRange(n, "length", id_col, "piece").sortWithinPartitions("length", id_col, "piece").withColumn("_at", F.monotonically_increasing_id())
-    dealt = stored(dealt.withColumn("_part", F.shiftright("_at", 33)), f"{uri}/pieces")
+    dealt = stored(dealt.withColumn("_part", F.shiftright("_at", 33)), f"{uri}/dealt")
     runs = dealt.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
     # one row per length and partition that holds some: partitions are ranges, so at most lengths + partitions rows
     counted: dict[int, int] = {}
