@@ -9,7 +9,9 @@ Executors turn each piece's rank within its length into a bin by looking up its
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,14 +38,73 @@ class Capacity:
 
 
 class _Ids(dict):
-    """Chunk to its ids as little-endian bytes; a chunk that white space starts or that is empty is not safe to cut off."""
+    """Chunk to its ids as little-endian bytes, encoded with the space before it; `bare` has those without one."""
+
+    def __init__(self):
+        super().__init__()
+        self.bare: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        raise KeyError(chunk)
+        first, *rest = chunk.split("\n")  # lines that meet inside a chunk; too varied to keep
+        return self[first] + b"".join([self.bare["\n"] + self.bare[x] for x in rest])
 
 
 def _encode(t, texts: list[str]) -> list[bytes]:
-    return [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+    return [array("I", x.ids).tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: Fixed value: the split pattern of byte-level vocabularies.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks of printable ASCII and Latin letters, whose character classes no version of Unicode disputes.
+LATIN = re.compile(r" ?[!-~\u00c0-\u024f]+").fullmatch
+
+
+def _ranks(path: str):
+    """A rank encoder over the same vocabulary file, or None unless the file's merges are in the order of their ids,
+    its pre-tokenizer is the byte-level one and no normaliser precedes it: then both give the same ids."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) != ("ByteLevel", False, True) or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab, special = model["vocab"], [x["content"] for x in spec.get("added_tokens", [])]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made) or any(set(k) - letters.keys() for k in vocab if k not in special):
+        return None
+    ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if k not in special}
+    return tiktoken.Encoding("chunks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), special
+
+
+def _encode_chunks(t, chunks: list[str]) -> list[bytes]:
+    """Ids of chunks. Plain ones go in bulk, with line feeds between them, tokens of their own at which the ids part."""
+    ranks, special = _state["ranks"] or (None, [])
+    feed = t.encode("\n", add_special_tokens=False).ids
+    plain = [i for i, c in enumerate(chunks) if LATIN(c) and not any(s in c for s in special)] if ranks and len(feed) == 1 else []
+    out: list[bytes | None] = [None] * len(chunks)
+    for at in range(0, len(plain), 5000):
+        part = plain[at : at + 5000]
+        ids = np.array(ranks.encode_ordinary("\n".join([chunks[i] for i in part])), dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == feed[0]), len(ids)).tolist()
+        data, start = ids.tobytes(), 0
+        for i, end in zip(part, ends, strict=True):
+            out[i] = data[4 * start : 4 * end]
+            start = end + 1
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, x in zip(rest, _encode(t, [chunks[i] for i in rest]), strict=True):
+        out[i] = x
+    return out
+
+
+def _lines(chunk: str) -> list[str]:
+    """The parts of a chunk around single line feeds, each of which is a token of its own; none if white space adjoins."""
+    parts = chunk.split("\n")
+    return parts if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts) else []
 
 
 def token_bytes(path: str, texts: list[str], cache_size: int) -> list[bytes]:
@@ -56,7 +117,7 @@ def token_bytes(path: str, texts: list[str], cache_size: int) -> list[bytes]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _state.update(path=path, tokenizer=t, cache=_Ids())
+        _state.update(path=path, tokenizer=t, cache=_Ids(), ranks=_ranks(path))
     t, cache = _state["tokenizer"], _state["cache"]
     out: list[bytes] = []
     at = 0
@@ -72,26 +133,30 @@ def token_bytes(path: str, texts: list[str], cache_size: int) -> list[bytes]:
 
 def _encode_slice(t, cache: _Ids, texts: list[str], cache_size: int) -> list[bytes]:
     split = [x.split(" ") for x in texts]
-    need: set[str] = set()
-    slow = []
-    for i, p in enumerate(split):
-        if any(not c or c[0].isspace() for c in p[1:]):
-            slow.append(i)
-        else:
-            need.update(p[1:])
-    need -= cache.keys()
-    if len(cache) + len(need) > cache_size:
-        keep = set()
-        for i, p in enumerate(split):
-            keep.update(p[1:])
-        need = {c for c in keep if c and not c[0].isspace()}
+    used: set[str] = set()
+    for p in split:
+        used.update(p[1:])
+    heads = {p[0] for p in split}
+    if len(cache) + len(cache.bare) > cache_size:
         cache.clear()
+        cache.bare.clear()
+    need = used - cache.keys()
+    unsafe = {c for c in need if not c or c[0].isspace()}
+    need -= unsafe
+    bare = heads | {"\n", ""}
+    for c in [c for c in need if "\n" in c]:
+        if parts := _lines(c):
+            need.remove(c)
+            if parts[0] not in cache:
+                need.add(parts[0])
+            bare.update(parts[1:])
     new = list(need)
-    cache.update(zip(new, _encode(t, [" " + c for c in new]), strict=True))
-    rare = set(slow)
-    heads = _encode(t, [p[0] for p in split])
+    cache.update(zip(new, _encode_chunks(t, [" " + c for c in new]), strict=True))
+    new = list(bare - cache.bare.keys())
+    cache.bare.update(zip(new, _encode_chunks(t, new), strict=True))
+    slow = [i for i, p in enumerate(split) if not unsafe.isdisjoint(p[1:])] if unsafe else []
     whole = dict(zip(slow, _encode(t, [texts[i] for i in slow]), strict=True))
-    return [whole[i] if i in rare else heads[i] + b"".join(map(cache.__getitem__, p[1:])) for i, p in enumerate(split)]
+    return [whole[i] if i in whole else cache.bare[p[0]] + b"".join(map(cache.__getitem__, p[1:])) for i, p in enumerate(split)]
 
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, end_id: int = 0, with_ids: bool = False, cache_size: int = 800_000) -> DataFrame:
