@@ -51,6 +51,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_posterior(voted, fit(counted)).select("doc_id", *q, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_quality", 6).alias("quality"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import crc_mod, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    machine = train(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    return score(docs, machine).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import curriculum, mix, word_count
     from .shared import shared_dir, stored
