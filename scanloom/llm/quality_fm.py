@@ -145,6 +145,7 @@ def accepted(df: DataFrame, machine: Machine, text_col: str = "text", threshold:
         m, limit = told.value, np.log(threshold / (1 - threshold))
         for b in batches:
             texts = b.column(at).cast(pa.binary()).to_pylist()
-            yield b.filter(pa.array([margin(m, *features(t or b"")) >= limit for t in texts], pa.bool_()))
+            keep = pa.array([i for i, t in enumerate(texts) if margin(m, *features(t or b"")) >= limit], pa.int64())
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in b.columns], names=names)  # a filter of batches would use threads, which a forked worker lacks
 
     return df.mapInArrow(run, df.schema)

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import SPACE
+from .shared import SPACE, shared_dir, stored
 
 #: name, votes good (else bad), condition over the statistics. Bad rules look for one defect each; good rules for signs of prose.
 RULES: list[tuple[str, bool, str]] = [
@@ -107,7 +107,8 @@ def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Data
     Null, empty and very short texts fail the base rule. Repeated rows get equal verdicts. On an empty table
     nothing is judged. Extra columns pass; names that start with an underscore are this operator's own.
     """
-    voted = votes(text_statistics(df, text_col))
+    # written once: statistics are not computed again for the verdict, nor copied into pushed-down filters
+    voted = stored(votes(text_statistics(df, text_col)), f"{shared_dir(df.sparkSession)}/votes")
     counted = {r["_v"]: r["n"] for r in voted.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
     return with_posterior(voted, fit(counted), threshold)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,14 +36,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
-    pieces = token_pieces(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    pieces = token_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return pack(pieces)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
