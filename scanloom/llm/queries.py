@@ -61,8 +61,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import capture
 
     records, index = capture(table(spark, sf_dir, "pages"))
-    place = index.select(F.col("page").cast("long").alias("_page"), "url_key", F.col("ts").alias("captured"), F.col("part").alias("index_part"), F.col("place").alias("index_place"))
-    return records.join(place, F.col("page_id") == F.col("_page")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "index_part", "index_place")
+    place = index.select("file", "start", "url_key", F.col("ts").alias("captured"), F.col("part").alias("index_part"), F.col("place").alias("index_place"))
+    return records.join(place, ["file", "start"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "index_part", "index_place")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

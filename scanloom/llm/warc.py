@@ -53,9 +53,11 @@ def record(kind: str, page: str | None, url: str | None, date: str, digest: str,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of an archive's records; raises on a broken record or a payload unlike its digest."""
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """(headers, payload, place of the first byte) of an archive's records; raises on a broken record or a payload unlike its digest."""
+    size = len(data)
     while data:
+        start = size - len(data)
         z = zlib.decompressobj(31)
         raw = z.decompress(data)
         if not z.eof:
@@ -70,7 +72,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         payload = body[:n].partition(b"\r\n\r\n")[2]
         if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != "sha1:" + b32(payload):
             raise ValueError(f"page {headers.get('X-Page')}: the payload is not that of its digest")
-        yield headers, payload
+        yield headers, payload, start
 
 
 def b32(payload: bytes) -> str:
@@ -184,14 +186,14 @@ def read_archives(spark, uri: str, id_type: str = "long") -> DataFrame:
         for b in batches:
             out = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for h, _ in parse(data):
-                    out.append((h.get("X-Page"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], h.get("X-Refers-To-Page"), path.rsplit("/", 1)[-1]))
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "file"])
+                for h, _, start in parse(data):
+                    out.append((h.get("X-Page"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], h.get("X-Refers-To-Page"), path.rsplit("/", 1)[-1], start))
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "start"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri).select("path", "content")
-    got = files.mapInArrow(run, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, file string")
-    return got.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"), "file")
+    got = files.mapInArrow(run, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, file string, start long")
+    return got.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"), "file", "start")
 
 
 def capture(pages: DataFrame, id_col: str = "page_id", **options) -> tuple[DataFrame, DataFrame]:
@@ -200,5 +202,5 @@ def capture(pages: DataFrame, id_col: str = "page_id", **options) -> tuple[DataF
     spark, uri = pages.sparkSession, shared_dir(pages.sparkSession)
     runs = stored(write_archives(pages, uri, id_col, **options), f"{uri}/runs")
     if not runs.take(1):
-        return spark.createDataFrame([], f"page_id {type_of(pages, id_col)}, payload_bytes long, payload_digest string, record_type string, refers_to {type_of(pages, id_col)}, file string"), spark.createDataFrame([], RUN + ", part int, place long")
+        return spark.createDataFrame([], f"page_id {type_of(pages, id_col)}, payload_bytes long, payload_digest string, record_type string, refers_to {type_of(pages, id_col)}, file string, start long"), spark.createDataFrame([], RUN + ", part int, place long")
     return read_archives(spark, f"{uri}/warc", type_of(pages, id_col)), merge_runs(runs)
