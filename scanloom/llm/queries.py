@@ -57,6 +57,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_posterior(voted, fit(counted)).select("doc_id", *q, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_quality", 6).alias("quality"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths, so each gets one: ten to a directory, the first of which is its licence file; ten
+    directories to a group; sources at the top."""
+    from .licenses import scan_licenses
+
+    name = F.expr("CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE concat(doc_id, '.txt') END")
+    path = F.concat_ws("/", "source", F.expr("concat('g', doc_id div 100)"), F.expr("concat('d', doc_id div 10)"), name)
+    return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path), "doc_id", "path")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import capture
 
