@@ -58,12 +58,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents have no paths, so each gets one: ten to a directory, the first of which is its licence file; ten
-    directories to a group; sources at the top."""
+    """documents have no paths, so each gets one: ten to a directory, ten directories to a group, ten groups to a
+    repository; the first document of each of these is its licence file."""
     from .licenses import scan_licenses
 
-    name = F.expr("CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE concat(doc_id, '.txt') END")
-    path = F.concat_ws("/", "source", F.expr("concat('g', doc_id div 100)"), F.expr("concat('d', doc_id div 10)"), name)
+    path = F.expr("""concat('repo', doc_id div 1000, '/', CASE WHEN doc_id % 1000 = 0 THEN 'LICENSE' WHEN doc_id % 100 = 0 THEN concat('g', doc_id div 100, '/LICENSE')
+        WHEN doc_id % 10 = 0 THEN concat('g', doc_id div 100, '/d', doc_id div 10, '/LICENSE') ELSE concat('g', doc_id div 100, '/d', doc_id div 10, '/', doc_id, '.txt') END)""")
     return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path), "doc_id", "path")
 
 
