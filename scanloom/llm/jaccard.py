@@ -25,9 +25,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_and_text, map_array, put_array, shared_dir, stored, type_of
+from .shared import id_and_text, map_array, put_array, shared_dir, stored, type_of, worker_state
 
-_state: dict = {}
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -47,8 +46,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text: ASCII capitals lowered, words between ASCII white space. A text
     of fewer words has its whole sequence as the only one; one without words has none."""
-    known: WordHashes = _state.setdefault("words", WordHashes())
-    if len(known) > 1_000_000:
+    known: WordHashes = worker_state("jaccard").setdefault("words", WordHashes())
+    if len(known) > 600_000:
         known.clear()
     out = []
     for text in texts:
@@ -184,13 +183,14 @@ def candidate_keys(part: np.ndarray, df: np.ndarray, size: int, light: int) -> l
 
 def _look_up(uri: str, shards: int, bits: int, h: np.ndarray) -> np.ndarray:
     """Frequencies of n-gram hashes, 0 where they are not repeated."""
-    if _state.get("uri") != uri:
-        _state.update(uri=uri, maps=[(map_array(f"{uri}/grams-{k}.npy"), map_array(f"{uri}/df-{k}.npy")) for k in range(shards)])
+    state = worker_state("jaccard")
+    if state.get("uri") != uri:
+        state.update(uri=uri, maps=[(map_array(f"{uri}/grams-{k}.npy"), map_array(f"{uri}/df-{k}.npy")) for k in range(shards)])
     o = np.argsort(h)
     q = h[o] >> np.uint64(64 - bits)
     edges = [*np.searchsorted(q, _bounds(shards, bits)).tolist(), len(q)]
     out = np.zeros(len(h), np.uint32)
-    for (grams, df), (a, z) in zip(_state["maps"], itertools.pairwise(edges), strict=True):
+    for (grams, df), (a, z) in zip(state["maps"], itertools.pairwise(edges), strict=True):
         if z > a and len(grams):
             at = np.minimum(np.searchsorted(grams, q[a:z]), len(grams) - 1)
             out[o[a:z]] = np.where(grams[at] == q[a:z], df[at], 0)

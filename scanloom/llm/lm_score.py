@@ -20,17 +20,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .jaccard import WordHashes, _mixed, _pack, _slices, _texts, _unpack
 from .quality_fm import crc_mod
-from .shared import map_array, put_array, shared_dir, stored, type_of
+from .shared import map_array, put_array, shared_dir, stored, type_of, worker_state
 
 #: The end of a text, which also stands before its first word; white space cannot be a word.
 END = xxhash.xxh3_64_intdigest(b"\n")
-_state: dict = {}
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and its end, and the number of tokens of each text."""
-    known: WordHashes = _state.setdefault("words", WordHashes())
-    if len(known) > 1_000_000:
+    known: WordHashes = worker_state("lm_score").setdefault("words", WordHashes())
+    if len(known) > 600_000:
         known.clear()
     parts, sizes = [], []
     for t in texts:
@@ -158,9 +157,10 @@ class Shards:
 
 
 def _shards(uri: str, shards: int, bases: list[int], pairs: bool, stats: bool) -> Shards:
-    if _state.get("key") != (uri, pairs, stats):
-        _state.update(key=(uri, pairs, stats), shards=Shards(uri, shards, bases, pairs, stats))
-    return _state["shards"]
+    state = worker_state("lm_score")
+    if state.get("key") != (uri, pairs, stats):
+        state.update(key=(uri, pairs, stats), shards=Shards(uri, shards, bases, pairs, stats))
+    return state["shards"]
 
 
 def _token_ids(m: Shards, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

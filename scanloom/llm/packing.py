@@ -19,9 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_and_text, shared_dir, stored, type_of
-
-_state: dict = {}
+from .shared import id_and_text, shared_dir, stored, type_of, worker_state
 
 
 @dataclass(frozen=True)
@@ -83,7 +81,7 @@ def _ranks(path: str):
 
 def _encode_chunks(t, chunks: list[str]) -> list[bytes]:
     """Ids of chunks. Plain ones go in bulk, with line feeds between them, tokens of their own at which the ids part."""
-    ranks, special = _state["ranks"] or (None, [])
+    ranks, special = worker_state("packing")["ranks"] or (None, [])
     feed = t.encode("\n", add_special_tokens=False).ids
     plain = [i for i, c in enumerate(chunks) if LATIN(c) and not any(s in c for s in special)] if ranks and len(feed) == 1 else []
     out: list[bytes | None] = [None] * len(chunks)
@@ -112,13 +110,14 @@ def token_bytes(path: str, texts: list[str], cache_size: int) -> list[bytes]:
     before each single space that stands between other characters, so chunks cut there are encoded once and cached."""
     from tokenizers import Tokenizer
 
-    if _state.get("path") != path:
+    state = worker_state("packing")
+    if state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _state.update(path=path, tokenizer=t, cache=_Ids(), ranks=_ranks(path))
-    t, cache = _state["tokenizer"], _state["cache"]
+        state.update(path=path, tokenizer=t, cache=_Ids(), ranks=_ranks(path))
+    t, cache = state["tokenizer"], state["cache"]
     out: list[bytes] = []
     at = 0
     while at < len(texts):  # a few MB of text at a time bound what is held as chunks

@@ -17,12 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import id_and_text, type_of
+from .shared import id_and_text, type_of, worker_state
 
 BUCKETS = 1 << 16
 UPPER, LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 STATS = 17
-_state: dict = {}
 
 
 class _Buckets(dict):
@@ -40,8 +39,8 @@ class Machine:
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ascending indices (words' buckets, then statistics) and values; words have norm 1, statistics lie in [0, 1]."""
-    known: _Buckets = _state.setdefault("buckets", _Buckets())
-    if len(known) > 1_000_000:
+    known: _Buckets = worker_state("quality_fm").setdefault("buckets", _Buckets())
+    if len(known) > 600_000:
         known.clear()
     words = text.split()
     n, size = len(words), max(1, len(text))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import io
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -18,22 +17,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
-SPLIT = re.compile(r"[\x20\x09-\x0D]+").split
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text, cut at ASCII white space alone."""
-    if text.isascii():
-        # str.split() also cuts at the four ASCII separators 0x1C to 0x1F
-        if not re.search("[\x1c-\x1f]", text):
-            return text.split()
-    return [w for w in SPLIT(text) if w]
+_owner: dict = {}
 
 
-def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+def worker_state(owner: str) -> dict:
+    """What a worker process keeps between tasks, for one operator at a time: another one's caches are let go."""
+    if owner not in _owner:
+        _owner.clear()
+        _owner[owner] = {}
+    return _owner[owner]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,16 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_and_text, type_of
+from .shared import id_and_text, type_of, worker_state
 
 #: The separators at which str.split() cuts though a tokenizer may not.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-_state: dict = {}
-
 
 def _tokenizer(path: str):
-    if _state.get("path") != path:
+    state = worker_state("token_counts")
+    if state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".model"):
             import sentencepiece
@@ -36,18 +35,19 @@ def _tokenizer(path: str):
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
-        _state.clear()
-        _state.update(path=path, tokenizer=t)
-    return _state["tokenizer"]
+        state.clear()
+        state.update(path=path, tokenizer=t)
+    return state["tokenizer"]
 
 
 def _prepare(path: str, key: str, told: tuple[bytes, np.ndarray]) -> None:
     """The worker's table and cache; both outlive a task."""
     _tokenizer(path)
-    if _state.get("key") != key:
+    state = worker_state("token_counts")
+    if state.get("key") != key:
         blob, known = told
         first = dict(zip(blob.decode().split("\n") if blob else [], known.tolist(), strict=True))
-        _state.update(key=key, table=first, cache=Missing(first))
+        state.update(key=key, table=first, cache=Missing(first))
 
 
 def _lengths(path: str, texts: list[str]) -> list[int]:
@@ -132,7 +132,8 @@ class Missing(dict):
 def _count_batch(path: str, texts: list[str], whole: bool, cache_size: int) -> list[int]:
     if whole:
         return _lengths(path, texts)
-    cache, out, odd = _state["cache"], [], []
+    state = worker_state("token_counts")
+    cache, out, odd = state["cache"], [], []
     for i, text in enumerate(texts):
         if any(c in text for c in ODD):
             odd.append(i)
@@ -146,7 +147,7 @@ def _count_batch(path: str, texts: list[str], whole: bool, cache_size: int) -> l
         for i, c in cache.noted:
             out[i] += known[c]
         if len(cache) + len(known) > cache_size:
-            _state["cache"] = cache = Missing(_state["table"])
+            state["cache"] = cache = Missing(state["table"])
         cache.noted = []
         cache.update(known if len(known) <= cache_size else {})
     for i, n in zip(odd, _lengths(path, [texts[i] for i in odd]), strict=True):
