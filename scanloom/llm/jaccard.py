@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +48,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text: ASCII capitals lowered, words between ASCII white space. A text
     of fewer words has its whole sequence as the only one; one without words has none."""
     known: WordHashes = worker_state("jaccard").setdefault("words", WordHashes())
-    if len(known) > 600_000:
+    if len(known) > 300_000:
         known.clear()
     out = []
     for text in texts:
@@ -85,9 +86,9 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return b.column("text").cast(pa.binary()).to_pylist()
 
 
-def _slices(b: pa.RecordBatch, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text."""
-    ends = np.cumsum([len(t) for t in _texts(b)])
+def _slices(b: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, so that a worker never holds more of them taken apart."""
+    ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < b.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))

@@ -29,7 +29,7 @@ END = xxhash.xxh3_64_intdigest(b"\n")
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and its end, and the number of tokens of each text."""
     known: WordHashes = worker_state("lm_score").setdefault("words", WordHashes())
-    if len(known) > 600_000:
+    if len(known) > 300_000:
         known.clear()
     parts, sizes = [], []
     for t in texts:

@@ -40,7 +40,7 @@ class Machine:
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ascending indices (words' buckets, then statistics) and values; words have norm 1, statistics lie in [0, 1]."""
     known: _Buckets = worker_state("quality_fm").setdefault("buckets", _Buckets())
-    if len(known) > 600_000:
+    if len(known) > 300_000:
         known.clear()
     words = text.split()
     n, size = len(words), max(1, len(text))
@@ -142,7 +142,7 @@ def accepted(df: DataFrame, machine: Machine, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, limit = told.value, np.log(threshold / (1 - threshold))
-        for b in batches:
+        for b in (s for b in batches for s in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000))):
             texts = b.column(at).cast(pa.binary()).to_pylist()
             keep = pa.array([i for i, t in enumerate(texts) if margin(m, *features(t or b"")) >= limit], pa.int64())
             yield pa.RecordBatch.from_arrays([c.take(keep) for c in b.columns], names=names)  # a filter of batches would use threads, which a forked worker lacks
