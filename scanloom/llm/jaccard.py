@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_and_text, map_array, put_array, shared_dir, stored, type_of, worker_state
+from .shared import id_and_text, map_array, put_array, removed, shared_dir, stored, type_of, worker_state
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -329,6 +329,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     for k in set(range(shards)) - {r["shard"] for r in told}:  # ranges without any n-gram
         put_array(f"{uri}/grams/grams-{k}.npy", np.zeros(0, np.uint64))
         put_array(f"{uri}/grams/df-{k}.npy", np.zeros(0, np.uint32))
+    docs = stored(first.filter("shard IS NULL").select("id", "size", "key"), f"{uri}/docs")
+    removed(spark, f"{uri}/first")
     lists = sum(r["n"] for r in told)
     light = boundary(sum(r["total"] for r in told) / lists if lists else 1.0)
     found = stored(_second_pass(rows, n, f"{uri}/grams", shards, filter_bits, light), f"{uri}/sets")
@@ -342,9 +344,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     members = members.select(F.col("root").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "size", "part")
     members = members.repartition(shards, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     linked = stored(_scan_clusters(members), f"{uri}/links")
+    removed(spark, f"{uri}/grams", f"{uri}/sets", f"{uri}/near", f"{uri}/clusters")
     labels = components(linked.filter("b IS NOT NULL").select("a", "b"), f"{uri}/components")
     degrees = linked.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    docs = first.filter("shard IS NULL").select("id", "size", "key")
     classes = docs.filter("size > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     classes = classes.join(labels, F.col("key") == F.col("node"), "left").join(degrees, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component"))

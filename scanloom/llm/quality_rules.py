@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import SPACE, shared_dir, stored
+from .shared import SPACE
 
 #: name, votes good (else bad), condition over the statistics. Bad rules look for one defect each; good rules for signs of prose.
 RULES: list[tuple[str, bool, str]] = [
@@ -56,7 +56,9 @@ def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": F.size("_w"), "word_chars": _without(SPACE), "n_symbols": n - _without(r"[#*$%&|<>]+"), "n_lines": F.size("_l"), "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": covered,
         "n_kinds": F.size(F.array_distinct("_w")), "n_letters": n - _without(r"\p{L}+"), "n_capitals": n - _without(r"\p{Lu}+"), "n_exclaims": n - _without("!+"), "n_bars": n - _without(r"[|]+"), "n_stops": n - _without("[.?]+"),
     }
-    return step.withColumn("_q", F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])).drop("_text", "_w", "_l", "_h", "_s")
+    # a row number inside keeps filters on the counts from being pushed below, where they would compute them again
+    every = [*[c.cast("long").alias(k) for k, c in counts.items()], F.monotonically_increasing_id().alias("row")]
+    return step.withColumn("_q", F.struct(*every)).drop("_text", "_w", "_l", "_h", "_s")
 
 
 def votes(stats: DataFrame) -> DataFrame:
@@ -107,8 +109,7 @@ def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Data
     Null, empty and very short texts fail the base rule. Repeated rows get equal verdicts. On an empty table
     nothing is judged. Extra columns pass; names that start with an underscore are this operator's own.
     """
-    # written once: statistics are not computed again for the verdict, nor copied into pushed-down filters
-    voted = stored(votes(text_statistics(df, text_col)), f"{shared_dir(df.sparkSession)}/votes")
+    voted = votes(text_statistics(df, text_col))
     counted = {r["_v"]: r["n"] for r in voted.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
     return with_posterior(voted, fit(counted), threshold)
 

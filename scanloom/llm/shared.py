@@ -46,6 +46,13 @@ def stored(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def removed(spark: SparkSession, *uris: str) -> None:
+    """Delete tables of the shared folder that nothing needs any more."""
+    for uri in uris:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a URI that the file system itself can open, or None."""
     u = urlparse(uri)
