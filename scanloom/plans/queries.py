@@ -112,7 +112,7 @@ def _curation_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _resume(spark: SparkSession, sf: str) -> DataFrame:
     entries = V.view(spark, sf, V.CURATION)
-    return R.not_done(entries, entries.filter("value = 'AB/123/2024' AND ordinal < 1000")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"))
+    return R.not_done(entries, entries.filter("value = 'AB/123/2024' AND ordinal < 20")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +205,7 @@ ORACLES: dict[str, str] = {
     "assemble_documents": f"SELECT split_part(max(path), '/', 3) AS document_type, concat('doc', CAST(p.doc_id AS VARCHAR)) AS base, count(*) AS pages, any_value({_text(_EXTRACT['emails'])}) AS emails, arg_max(path, page_no) AS last_path, CAST(sum(length(text)) AS BIGINT) AS chars FROM {_PAGES} p JOIN {_INV} i ON p.doc_id = i.doc_id GROUP BY p.doc_id",
     "curation_split": f"SELECT doc_id, ordinal, value, CASE WHEN trim(value) = '' THEN NULL ELSE {_FIELD.replace('V,', 'value,')} END AS suggested_name, trim(value) <> '' AS valid, CASE WHEN trim(value) = '' THEN 'empty_value' END AS reason FROM {_CUR}",
     "curation_stats": f"SELECT count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE trim(value) <> '') AS valid_annotations, count(*) FILTER (WHERE trim(value) = '') AS empty_annotations FROM {_CUR}",
-    "curation_resume": f"WITH e AS {_CUR} SELECT doc_id, count(*) AS entries FROM e WHERE doc_id NOT IN (SELECT doc_id FROM e WHERE value = 'AB/123/2024' AND ordinal < 1000) GROUP BY doc_id",
+    "curation_resume": f"WITH e AS {_CUR} SELECT doc_id, count(*) AS entries FROM e WHERE doc_id NOT IN (SELECT doc_id FROM e WHERE value = 'AB/123/2024' AND ordinal < 20) GROUP BY doc_id",
     "upsert_annotations": f"WITH b AS {_BOXES}, n AS (SELECT * FROM b WHERE ord = 1 AND field = 'Unknown') SELECT image_id, ord, field, value FROM b WHERE image_id NOT IN (SELECT image_id FROM n) UNION ALL SELECT image_id, ord, field, 'corrected' FROM n",
     "review_apply": f"SELECT entry_id, doc_id, confidence, needs_review AND NOT confidence < 0.3 AS needs_review, CASE WHEN confidence < 0.3 THEN concat('fixed ', CAST(doc_id AS VARCHAR)) END AS user_correction, CASE WHEN confidence < 0.5 THEN 'high' WHEN confidence < 0.8 THEN 'medium' ELSE 'low' END AS attention FROM {_REV}",
     "incremental_convert": f"SELECT path, page_no FROM {_PAGES} WHERE page_no > 1 AND doc_id % 3 <> 0 OR doc_id % 2 = 1",
