@@ -86,11 +86,14 @@ def merge_rows(rows: list[tuple]) -> list[list]:
 
 
 def merge_overlaps(boxes: DataFrame) -> DataFrame:
-    """Each image's boxes after the greedy merge, which depends on order and so is a grouped map."""
+    """Each image's boxes after the greedy merge. It depends on order, so it is a fold over an image's sorted boxes; many
+    images go to Python in one batch."""
+    fields = ["x1", "y1", "x2", "y2", "field", "value", "confidence"]
+    per = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("boxes"))
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("ord", kind="stable")
-        out = merge_rows(list(f[["x1", "y1", "x2", "y2", "field", "value", "confidence"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([[f["image_id"].iloc[0], k, *r] for k, r in enumerate(out)], columns=["image_id", "ord", "x1", "y1", "x2", "y2", "field", "value", "confidence"])
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [[image, k, *r] for image, bs in zip(f["image_id"], f["boxes"], strict=True) for k, r in enumerate(merge_rows([tuple(b[c] for c in fields) for b in bs]))]
+            yield pd.DataFrame(out, columns=["image_id", "ord", *fields])
 
-    return boxes.groupBy("image_id").applyInPandas(one, "image_id long, ord long, x1 long, y1 long, x2 long, y2 long, field string, value string, confidence long")
+    return per.mapInPandas(merged, "image_id long, ord long, x1 long, y1 long, x2 long, y2 long, field string, value string, confidence long")

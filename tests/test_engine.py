@@ -71,3 +71,30 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(Q.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_merge_over_a_table_equals_the_fold_per_image(spark, sf):
+    from scanloom.sources import views
+
+    boxes = views.view(spark, sf, views.BOXES)
+    by = {}
+    for r in boxes.orderBy("image_id", "ord").collect():
+        by.setdefault(r["image_id"], []).append(tuple(r[c] for c in ("x1", "y1", "x2", "y2", "field", "value", "confidence")))
+    want = sorted((k, i, *r) for k, rows in by.items() for i, r in enumerate(layout.merge_rows(rows)))
+    assert sorted(tuple(r) for r in layout.merge_overlaps(boxes).collect()) == want
+
+
+def test_lines_equal_a_plain_fold(spark, sf):
+    words = Q.QUERIES["line_grouping"](spark, sf)
+    raw = layout.confident(layout.ocr_words(spark.read.parquet(f"{sf}/documents.parquet"))).collect()
+    by = {}
+    for r in raw:
+        by.setdefault(r["image_id"], []).append(r)
+    want = set()
+    for image, rows in by.items():
+        limit, anchor, n = min(0.7 * sum(r["h"] for r in rows) / len(rows), 15.0), None, -1
+        for r in sorted(rows, key=lambda r: (r["y"], r["word_idx"])):
+            if anchor is None or r["y"] - anchor > limit:
+                anchor, n = r["y"], n + 1
+            want.add((image, r["word_idx"], n))
+    assert {tuple(r) for r in words.collect()} == want and want
