@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def ocr_words(docs: DataFrame) -> DataFrame:
@@ -54,6 +54,17 @@ def blocks(lined: DataFrame) -> DataFrame:
     return g.withColumn("block", F.sum(F.when(cut, 1).otherwise(0)).over(order)).drop("_gap", "_mean", "_width", "_n")
 
 
+def annotations(blocked: DataFrame, classify: Callable[[Column], Column]) -> DataFrame:
+    """A field per block: its words from left to right, box padded by 5 % and cut at zero, mean confidence, class.
+    Texts of fewer than two characters go, and so do single words without a class; other texts without one are Unknown."""
+    parts = blocked.groupBy("image_id", "line", "block").agg(F.array_sort(F.collect_list(F.struct("x", "y", "word_idx", "text"))).alias("ws"), F.min("x").alias("a"), F.min("y").alias("b"), F.max(F.col("x") + F.col("w")).alias("c"), F.max(F.col("y") + F.col("h")).alias("d"), F.round(F.avg("conf"), 6).alias("confidence"))
+    parts = parts.withColumn("value", F.array_join(F.transform("ws", lambda w: w.text), " ")).withColumn("_class", classify(F.col("value"))).withColumn("_n", F.size("ws"))
+    pad = lambda lo, hi: ((F.col(hi) - F.col(lo)) * 0.05).cast("long")
+    kept = parts.filter((F.length(F.trim("value")) >= 2) & (F.col("_class").isNotNull() | (F.col("_n") >= 2)))
+    low = lambda lo, hi: F.greatest(F.lit(0), F.col(lo) - pad(lo, hi))
+    return kept.select("image_id", "line", "block", "value", F.coalesce("_class", F.lit("Unknown")).alias("field"), low("a", "c").alias("x1"), low("b", "d").alias("y1"), (F.col("c") + pad("a", "c")).alias("x2"), (F.col("d") + pad("b", "d")).alias("y2"), "confidence")
+
+
 def overlap_pairs(boxes: DataFrame) -> DataFrame:
     """Pairs of an image's boxes whose intersection exceeds half of the smaller one."""
     a, b = boxes.alias("a"), boxes.alias("b")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
+from ..functions import patterns as P, text as T
 from ..operators import layout as L, records as R
 from ..sources import views as V
+from . import duck as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,41 +26,9 @@ def _invoice(columns: dict[str, Callable[[Column], Column]]) -> Query:
     return lambda spark, sf: V.view(spark, sf, V.INVOICES).select("doc_id", *[f(F.col("text")).alias(k) for k, f in columns.items()])
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _every(patterns: list[str], t: str = "text") -> str:
-    lists = [f"regexp_extract_all({t}, {_q(p)})" for p in patterns]
-    out = lists[0]
-    for x in lists[1:]:
-        out = f"list_concat({out}, {x})"
-    return out
-
-
-def _first(x: str) -> str:
-    """Distinct elements in first order."""
-    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
-
-
-def _text(x: str) -> str:
-    return f"coalesce(array_to_string({x}, '|'), '')"
-
-
-_FORMATS = {"dd-MM-yyyy": "%d-%m-%Y", "dd/MM/yyyy": "%d/%m/%Y", "yyyy-MM-dd": "%Y-%m-%d", "d MMMM yyyy": "%d %B %Y"}
-
-
-def _dates() -> str:
-    out = ""
-    for p, f in T.DATES:
-        x = f"list_filter(regexp_extract_all(text, {_q(p)}), lambda v: try_strptime(v, '{_FORMATS[f]}') IS NOT NULL)"
-        out = f"list_concat({out}, {x})" if out else x
-    return _first(out)
-
-
-_EXTRACT = {"dates": _dates(), "document_numbers": _every(T.NUMBERS), "emails": _first(_every([T.EMAIL])), "phones": _first(_every(T.PHONES)), "amounts": _every(T.AMOUNTS)}
+_EXTRACT = {"dates": S.reader_dates(), "document_numbers": S.every(P.READER_NUMBERS), "emails": S.distinct(S.hits(P.READER_EMAIL)), "phones": S.distinct(S.every(P.READER_PHONES, False)), "amounts": S.every(P.REGEX_AMOUNTS)}
 _SPARK = {"dates": T.dates, "document_numbers": T.document_numbers, "emails": T.emails, "phones": T.phones, "amounts": T.amounts}
-_FIELD = rf"CASE WHEN regexp_matches(V, '\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}') THEN 'Date' WHEN regexp_matches(V, '[A-Z]{{2,}}/\d{{3,}}/\d{{2,}}|\d{{3,}}[/-]\d{{3,}}') THEN 'DocumentNumber' WHEN regexp_matches(V, '\d{{3}}[ -]\d{{3}}[ -]\d{{3}}') THEN 'Phone' WHEN regexp_matches(V, {_q(T.EMAIL)}) THEN 'Email' ELSE 'Unknown' END"
+_FIELD = S.classes("value", P.CURATION_CLASSES, "'Unknown'")
 _TYPE = "CASE WHEN contains(lower(text), 'steuernummer') THEN 'german_tax_id_assignment' WHEN contains(lower(text), 'rechnung') THEN 'invoice' ELSE 'other' END"
 _INV, _PAGES, _BOXES, _CUR, _REV = (V.duck(x) for x in (V.INVOICES, V.PAGES, V.BOXES, V.CURATION, V.REVIEWS))
 
@@ -153,10 +122,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    b = L.blocks(L.lines(_words(spark, sf)))
-    parts = b.groupBy("image_id", "line", "block").agg(F.array_sort(F.collect_list(F.struct("x", "y", "word_idx", "text"))).alias("ws"), F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.round(F.avg("conf"), 6).alias("confidence"))
-    text = F.array_join(F.transform("ws", lambda w: w.text), " ")
-    return parts.select("image_id", "line", "block", text.alias("value"), T.field_type(text).alias("field"), "x1", "y1", "x2", "y2", "confidence")
+    return L.annotations(L.blocks(L.lines(_words(spark, sf))), T.layout_class)
 
 
 QUERIES: dict[str, Query] = {
@@ -185,25 +151,21 @@ QUERIES: dict[str, Query] = {
     "merge_overlaps": lambda spark, sf: L.merge_overlaps(V.view(spark, sf, V.BOXES)),
 }
 
-_QUOTES = r"replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '‘', ''''), '’', '''')".replace('\\"', '"')
-_LIG = "replace(replace({}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-_UNI = f"regexp_replace(regexp_replace(replace(replace({_LIG.format(f'replace({_QUOTES}, chr(8211), chr(45))')}, chr(8212), '--'), 'ß', 'ss'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
-_PLAIN = f"trim(regexp_replace({_LIG.format(f'''replace(replace(replace({_QUOTES}, chr(160), ' '), '\\n', ' '), ' voop ', ' voor ')''')}, '\\s+', ' ', 'g'))"
 _NUM = "regexp_replace(n, '\\D', '', 'g')"
 
 ORACLES: dict[str, str] = {
-    "clean_text": f"SELECT doc_id, {_UNI} AS unicode_text, {_PLAIN} AS plain_text FROM documents",
+    "clean_text": f"SELECT doc_id, {S.UNICODE} AS unicode_text, {S.PLAIN} AS plain_text FROM documents",
     "ocr_text_stats": r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS BIGINT) AS words FROM documents",
-    **{f"invoice_{k}": f"SELECT doc_id, {_text(x)} AS {k} FROM {_INV}" for k, x in _EXTRACT.items()},
-    "doc_ids": f"SELECT doc_id, {_text(_first('ids') + '[1:3]')} AS document_ids FROM (SELECT doc_id, list_transform({_every(T.DOCUMENT_IDS)}, lambda v: replace(v, ',', '.')) AS ids FROM {_INV})",
+    **{f"invoice_{k}": f"SELECT doc_id, {S.joined(x)} AS {k} FROM {_INV}" for k, x in _EXTRACT.items()},
+    "doc_ids": f"SELECT doc_id, {S.joined(S.ids())} AS document_ids FROM {_INV}",
     "phone_forms": f"SELECT doc_id, CASE WHEN starts_with(d, '31') THEN concat('+', d) WHEN length(d) = 10 THEN concat(d[1:3], ' ', d[4:6], ' ', d[7:8], ' ', d[9:10]) ELSE n END AS phone FROM (SELECT doc_id, n, {_NUM} AS d FROM (SELECT doc_id, regexp_extract(text, 'Mob (\\+?\\d+)', 1) AS n FROM {_INV}))",
-    "extract_metadata": f"SELECT doc_id, {_TYPE} AS document_type, " + ", ".join(f"{_text(_EXTRACT[k])} AS {k}" for k in ("dates", "document_numbers", "emails", "phones")) + f" FROM {_INV}",
+    "extract_metadata": f"SELECT doc_id, {_TYPE} AS document_type, " + ", ".join(f"{S.joined(_EXTRACT[k])} AS {k}" for k in ("dates", "document_numbers", "emails", "phones")) + f" FROM {_INV}",
     "classify_doctype": f"SELECT doc_id, {_TYPE} AS document_type FROM {_INV}",
     "summary_by_type": f"SELECT {_TYPE} AS document_type, count(*) AS documents, " + ", ".join(f"CAST(sum(len({x})) AS BIGINT) AS num_{k}" for k, x in _EXTRACT.items()) + f" FROM {_INV} GROUP BY 1",
     "language_normalised": "SELECT CASE WHEN lang IN ('pl', 'nl', 'de') THEN lang ELSE 'en' END AS language, count(*) AS documents FROM documents GROUP BY 1",
     "page_key_parse": f"SELECT path, page_no, CASE WHEN doc_id % 3 = 0 THEN name ELSE regexp_extract(name, '^(.*)_page_?(\\d+)$', 1) END AS base, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE CAST(regexp_extract(name, '^(.*)_page_?(\\d+)$', 2) AS BIGINT) END AS page, split_part(name, '_page', 1) AS file_name, split_part(path, '/', 3) AS document_type FROM (SELECT *, replace(split_part(path, '/', 4), '.jpg', '') AS name FROM {_PAGES})",
-    "assemble_documents": f"SELECT split_part(max(path), '/', 3) AS document_type, concat('doc', CAST(p.doc_id AS VARCHAR)) AS base, count(*) AS pages, any_value({_text(_EXTRACT['emails'])}) AS emails, arg_max(path, page_no) AS last_path, CAST(sum(length(text)) AS BIGINT) AS chars FROM {_PAGES} p JOIN {_INV} i ON p.doc_id = i.doc_id GROUP BY p.doc_id",
-    "curation_split": f"SELECT doc_id, ordinal, value, CASE WHEN trim(value) = '' THEN NULL ELSE {_FIELD.replace('V,', 'value,')} END AS suggested_name, trim(value) <> '' AS valid, CASE WHEN trim(value) = '' THEN 'empty_value' END AS reason FROM {_CUR}",
+    "assemble_documents": f"SELECT split_part(max(path), '/', 3) AS document_type, concat('doc', CAST(p.doc_id AS VARCHAR)) AS base, count(*) AS pages, any_value({S.joined(_EXTRACT['emails'])}) AS emails, arg_max(path, page_no) AS last_path, CAST(sum(length(text)) AS BIGINT) AS chars FROM {_PAGES} p JOIN {_INV} i ON p.doc_id = i.doc_id GROUP BY p.doc_id",
+    "curation_split": f"SELECT doc_id, ordinal, value, CASE WHEN trim(value) = '' THEN NULL ELSE {_FIELD} END AS suggested_name, trim(value) <> '' AS valid, CASE WHEN trim(value) = '' THEN 'empty_value' END AS reason FROM {_CUR}",
     "curation_stats": f"SELECT count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE trim(value) <> '') AS valid_annotations, count(*) FILTER (WHERE trim(value) = '') AS empty_annotations FROM {_CUR}",
     "curation_resume": f"WITH e AS {_CUR} SELECT doc_id, count(*) AS entries FROM e WHERE doc_id NOT IN (SELECT doc_id FROM e WHERE value = 'AB/123/2024' AND ordinal < 20) GROUP BY doc_id",
     "upsert_annotations": f"WITH b AS {_BOXES}, n AS (SELECT * FROM b WHERE ord = 1 AND field = 'Unknown') SELECT image_id, ord, field, value FROM b WHERE image_id NOT IN (SELECT image_id FROM n) UNION ALL SELECT image_id, ord, field, 'corrected' FROM n",

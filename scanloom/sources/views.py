@@ -19,7 +19,9 @@ INVOICES = f"""SELECT k AS doc_id, concat_ws(chr(10), 'Finanzamt Musterstadt',
  CASE WHEN k % 3 <> 1 THEN concat('Tel +49 171 ', {_pad.format('k % 1000', 3)}, ' ', {_pad.format('3 * k % 1000', 3)}) END,
  CASE WHEN k % 4 = 0 THEN concat('Mob +316', {_pad.format('k', 8)}) WHEN k % 4 = 1 THEN concat('Mob 06', {_pad.format('k', 8)}) END,
  CASE WHEN k % 17 <> 0 THEN CASE WHEN k % 11 = 0 THEN 'info@example.com' ELSE concat('kontakt', CAST(k AS STRING), '@mail', CAST(k % 7 AS STRING), '.example.org') END END,
- CASE k % 7 WHEN 0 THEN concat('Rechnungsbetrag: ', {_amount}) WHEN 3 THEN concat('Nr ', {_pad.format('k % 1000', 3)}, '/', {_pad.format('7 * k % 1000', 3)}) WHEN 4 THEN concat('IdNr 92 047 135 ', {_pad.format('k % 1000', 3)}) WHEN 5 THEN concat('ABC/DE/24/', {_pad.format('k % 1000', 3)}, 'R') END) AS text
+ CASE k % 7 WHEN 0 THEN concat('Rechnungsbetrag: ', {_amount}) WHEN 1 THEN concat('Belegnummer: B', CAST(k AS STRING)) WHEN 2 THEN concat('Factuurnr. F', CAST(k AS STRING)) WHEN 6 THEN concat('Kenmerk: REF-', CAST(k AS STRING), '-2024') WHEN 3 THEN concat('Nr ', {_pad.format('k % 1000', 3)}, '/', {_pad.format('7 * k % 1000', 3)}) WHEN 4 THEN concat('IdNr 92 047 135 ', {_pad.format('k % 1000', 3)}) WHEN 5 THEN concat('ABC/DE/24/', {_pad.format('k % 1000', 3)}, 'R') END,
+ CASE k % 5 WHEN 0 THEN concat('Absender: Firma ', CAST(k AS STRING)) WHEN 1 THEN concat('An: Kunde ', CAST(k AS STRING)) END, CASE WHEN k % 2 = 0 THEN 'Hauptstr 12, 10115 Berlin' END,
+ CASE WHEN k % 13 = 0 THEN concat_ws(chr(10), 'Belastingdienst', 'Postbus 2536', '6401 DA HEERLEN') END, CASE WHEN k % 3 = 0 THEN concat_ws(chr(10), 'Jan Jansen', 'Kerkstraat 12', '1234 AB Amsterdam') END) AS text
 FROM (SELECT o_orderkey AS k, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)"""
 
 PAGES = """SELECT doc_id, page_no, concat('/in/', kind, '/doc', CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('_page', CAST(page_no AS STRING)) END, '.jpg') AS path, mt
