@@ -165,7 +165,7 @@ def emails(text: Column) -> Column:
 
 
 def emails_regex(text: Column) -> Column:
-    return hits(text, P.REGEX_EMAIL)
+    return hits(text, P.REGEX_EMAIL, "")  # the pattern names both cases itself
 
 
 def emails_rules(text: Column, most: int = 2) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # What the variants of an OCR comparison combine.
 INPUTS, FILTERS = ["raw", "processed"], ["none", "basic", "advanced"]
@@ -25,7 +25,7 @@ def hits(boxes: DataFrame, points: DataFrame, scale: float = 1.0) -> DataFrame:
     return boxes.join(p, "image_id").filter(F.expr("_x BETWEEN x1 AND x2 AND _y BETWEEN y1 AND y2")).drop("_x", "_y")
 
 
-def display_scale(width: str = "width", height: str = "height", most: int = 1200) -> F.Column:
+def display_scale(width: str = "width", height: str = "height", most: int = 1200) -> Column:
     return F.least(most / F.col(width), most / F.col(height))
 
 

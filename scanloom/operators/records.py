@@ -51,3 +51,15 @@ def to_convert(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """Sources whose output is missing or older."""
     o = outputs.select(F.col("path").alias("_p"), F.col("mt").alias("_mt"))
     return sources.join(o, sources["path"] == F.col("_p"), "left").filter(F.col("_mt").isNull() | (F.col("mt") > F.col("_mt"))).drop("_p", "_mt")
+
+
+def unmatched_corrections(entries: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Corrections of entries that do not exist."""
+    return corrections.join(entries.select("entry_id"), "entry_id", "left_anti")
+
+
+def search(entries: DataFrame, words: str, columns: list[str], only_open: bool = False) -> DataFrame:
+    """Entries whose shown columns contain the words in any case; on request only those that still need review."""
+    shown = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
+    found = entries.filter(F.contains(shown, F.lit(words.lower())))
+    return found.filter("needs_review") if only_open else found

@@ -13,7 +13,9 @@ _KEY = ["folder", "base"]
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
-    return page_key(pages).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    """Pages with their document's key, brought together by it before extraction: the one exchange carries texts and not
+    what is found in them, and the aggregate that follows keeps its partitioning."""
+    return page_key(pages).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).repartition(*_KEY)
 
 
 def _union(field: str) -> Column:
@@ -46,9 +48,9 @@ def regex_documents(pages: DataFrame, literal: bool = False) -> DataFrame:
 
 
 def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1) -> DataFrame:
-    """Rule profile per page that did not fail: entities with their limits, and the content block."""
+    """Rule profile per page: entities with their limits, and the content block; a failed page keeps a null text."""
     t = F.col("t")
-    ok = _keyed(pages).filter(F.col("text").isNotNull()).withColumn("t", T.clean_spaces(F.col("text")))
+    ok = _keyed(pages).withColumn("t", T.clean_spaces(F.col("text")))
     orgs = ok.withColumn("dates", T.dates_rules(t)).withColumn("document_ids", T.document_ids(t)).withColumn("phones", T.phones_rules(t)).withColumn("emails", T.emails_rules(t)).withColumn("orgs", T.tax_organisations(t))
     header = F.struct(T.first(F.col("orgs")).alias("tax_office"), T.first(F.col("dates")).alias("date"))
     recipient = F.struct(T.recipient_name(t).alias("name"), T.recipient_address(t).alias("address"))
@@ -61,9 +63,9 @@ def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1) ->
 def rule_documents(pages: DataFrame) -> DataFrame:
     """Rule profile, one record per document with a page that did not fail: latest five dates, longest three ids, first
     phones, e-mails and organisations; content and language of the first page. pages counts all of its pages."""
-    counts = _keyed(pages).groupBy(*_KEY).agg(F.count(F.lit(1)).cast("int").alias("pages"))
-    parts = ["page", "text", "dates", "document_ids", "phones", "emails", "organizations", "lang", "content", "has_boxes"]
-    docs = rule_pages(pages).groupBy(*_KEY).agg(F.min("file_name").alias("file_name"), F.min("document_type").alias("document_type"), F.array_sort(F.collect_list(F.struct(*parts))).alias("ps")).join(counts, _KEY)
+    parts = F.struct("page", "text", "dates", "document_ids", "phones", "emails", "organizations", "lang", "content", "has_boxes")
+    listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), parts))).alias("ps")
+    docs = rule_pages(pages).groupBy(*_KEY).agg(F.min("file_name").alias("file_name"), F.min("document_type").alias("document_type"), F.count(F.lit(1)).cast("int").alias("pages"), listed).filter(F.size("ps") > 0)
     one = F.get("ps", F.lit(0))
     entities = F.struct(T.latest(_union("dates")).alias("dates"), T.longest(_union("document_ids")).alias("document_ids"), F.slice(_union("phones"), 1, 3).alias("phones"), F.slice(_union("emails"), 1, 2).alias("emails"), F.slice(_union("organizations"), 1, 3).alias("organizations"), F.coalesce(one["lang"], F.lit("nl")).alias("language"))
     meta = F.struct("document_type", F.lit(None).cast("string").alias("processing_time"), F.exists("ps", lambda p: F.coalesce(p["has_boxes"], F.lit(False))).alias("bboxes_available"))

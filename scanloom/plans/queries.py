@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import patterns as P, text as T
 from ..operators import layout as L, records as R
 from ..sources import views as V
-from . import duck as S
+from ..sources.files import workspace
+from ..streaming.curation import curate_stream
+from . import duck as S, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +127,12 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return L.annotations(L.blocks(L.lines(_words(spark, sf))), T.layout_class)
 
 
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    at = workspace(spark)
+    return curate_stream(V.over(spark, events, V.CURATION, "events"), f"{at}/curated", f"{at}/state")
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": _clean,
     "ocr_text_stats": _ocr_text_stats,
@@ -149,11 +157,14 @@ QUERIES: dict[str, Query] = {
     "field_annotations": _blocks,
     "overlap_pairs": lambda spark, sf: L.overlap_pairs(V.view(spark, sf, V.BOXES)),
     "merge_overlaps": lambda spark, sf: L.merge_overlaps(V.view(spark, sf, V.BOXES)),
+    "stream_curation": _stream,
+    **profiles.QUERIES,
 }
 
 _NUM = "regexp_replace(n, '\\D', '', 'g')"
 
 ORACLES: dict[str, str] = {
+    **profiles.ORACLES,
     "clean_text": f"SELECT doc_id, {S.UNICODE} AS unicode_text, {S.PLAIN} AS plain_text FROM documents",
     "ocr_text_stats": r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS BIGINT) AS words FROM documents",
     **{f"invoice_{k}": f"SELECT doc_id, {S.joined(x)} AS {k} FROM {_INV}" for k, x in _EXTRACT.items()},
@@ -175,3 +186,4 @@ ORACLES: dict[str, str] = {
     "word_filter": r"SELECT image_id, count(*) AS words, CAST(sum(8 * least(length(l[p + 1]), 10)) AS BIGINT) AS width FROM (SELECT doc_id AS image_id, l, unnest(range(len(l))) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda v: v <> '') AS l FROM documents)) WHERE 40 + (7 * p) % 60 > 50 GROUP BY image_id",
     "overlap_pairs": f"WITH b AS {_BOXES}, p AS (SELECT a.image_id, a.ord AS ord_a, b.ord AS ord_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS intersection, least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) AS smaller FROM b a JOIN b ON a.image_id = b.image_id AND a.ord < b.ord) SELECT image_id, ord_a, ord_b, intersection FROM p WHERE 2 * intersection > smaller",
 }
+ORACLES["stream_curation"] = ORACLES["curation_split"]

@@ -43,9 +43,14 @@ def duck(sql: str) -> str:
     return f"({sql.replace('@month', 'monthname(o_orderdate)')})"
 
 
+def over(spark: SparkSession, table: DataFrame, sql: str, name: str) -> DataFrame:
+    """A derived input over a given table, which may be a stream."""
+    return spark.sql(sql.replace("@month", "date_format(o_orderdate, 'MMMM')").replace(f"FROM {name}", "FROM {t}"), t=table)
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derived input as a DataFrame, its table read from Parquet."""
     for name in ("orders", "lineitem", "events", "labels"):
         if f"FROM {name}" in sql:
-            return spark.sql(sql.replace("@month", "date_format(o_orderdate, 'MMMM')").replace(f"FROM {name}", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return over(spark, spark.read.parquet(f"{sf_dir}/{name}.parquet"), sql, name)
     raise ValueError("the view names no table")
