@@ -2,8 +2,7 @@
 directory that has a licence file, by joins on paths. Native: DataFrame expressions and joins alone.
 
 A passage is a line that names a licence, copyright or the like (an anchor), or the whole text of a licence file. Terms
-are weighed by their document frequency over the whole table; terms that no template has weigh as if one document had
-them. Only the templates' own terms are counted, so the statistics have at most as many rows as the templates have terms.
+are weighed by their document frequency over the whole table: all terms are counted, in one table that is joined by term.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import shared_dir, stored
+from .shared import removed, shared_dir, stored
 
 #: Short statements by which texts name public licences.
 TEMPLATES = [
@@ -47,18 +46,23 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def document_frequencies(df: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
+def document_frequencies(df: DataFrame, text_col: str) -> DataFrame:
+    """term and n, the rows whose text has it, for every term of the table; the empty term's n counts all rows."""
+    marks = F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.select(F.explode(F.concat(F.array(F.lit("")), marks)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def template_frequencies(counts: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows, and for each template term the rows whose text has it."""
     known = sorted({t for _, text in TEMPLATES for t in terms(text)})
-    # one pass over the words, keeping only the templates' terms; the vocabulary is a literal of fixed size
-    marks = F.array_intersect(_terms(F.coalesce(F.col(text_col), F.lit(""))), F.array(*map(F.lit, known)))
-    counted = df.select(F.explode(F.concat(F.array(F.lit("")), marks)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
-    found = {r["term"]: r["n"] for r in counted}
+    # the templates' own terms alone come to the driver
+    asked = F.broadcast(counts.sparkSession.createDataFrame([(t,) for t in ["", *known]], "term string"))
+    found = {r["term"]: r["n"] for r in counts.join(asked, "term").collect()}
     return found.get("", 0), {t: found.get(t, 0) for t in known}
 
 
-def template_weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], list[tuple[int, str, float]]]:
-    """Inverse document frequencies, and (template, term, weight) of unit-length templates."""
+def template_weights(n: int, df: dict[str, int]) -> list[tuple[int, str, float]]:
+    """(template, term, weight) of unit-length templates."""
     idf = {t: math.log((n + 1) / (k + 1)) + 1 for t, k in df.items()}
     rows = []
     for k, (_, text) in enumerate(TEMPLATES):
@@ -67,7 +71,7 @@ def template_weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], list
             tf[t] = tf.get(t, 0) + 1
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
         rows += [(k, t, c * idf[t] / norm) for t, c in tf.items()]
-    return idf, rows
+    return rows
 
 
 def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "text", threshold: float = 0.6) -> DataFrame:
@@ -79,9 +83,9 @@ def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "te
     equal paths count each for themselves; an empty table gives an empty result; other columns are ignored.
     """
     spark, at = df.sparkSession, shared_dir(df.sparkSession)
-    n, counts = document_frequencies(df, text_col)
-    idf, weights = template_weights(n, counts)
-    other = math.log((n + 1) / 2) + 1
+    counts = stored(document_frequencies(df, text_col), f"{at}/terms")
+    n, own_terms = template_frequencies(counts)
+    weights = template_weights(n, own_terms)
     name = F.element_at(F.split(F.coalesce(F.col(path_col), F.lit("")), "/"), -1)
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), name.rlike(LICENCE_FILE).alias("is_file"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHOR))
@@ -89,10 +93,11 @@ def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "te
     rows = stored(rows, f"{at}/rows")
     passages = rows.select("_row", F.posexplode("passages").alias("passage", "_text")).withColumn("_t", _terms(F.col("_text"))).select("_row", "passage", F.explode("_t").alias("term"))
     tf = passages.groupBy("_row", "passage", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # both tables are sized by the templates alone
-    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    # every term of a passage is one of its text and so has a count
+    known = counts.select("term", (F.log((n + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+    # sized by the templates alone
     shapes = F.broadcast(spark.createDataFrame(weights, "template int, term string, w double"))
-    weighed = tf.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    weighed = tf.join(known, "term").withColumn("x", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("_row", "passage").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.join(shapes, "term").groupBy("_row", "passage", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     likeness = dots.join(norms, ["_row", "passage"]).select("_row", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
@@ -101,6 +106,7 @@ def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "te
     own = best.select("_row", F.col("b.score").alias("score"), F.get(names, -F.col("b.t")).alias("own"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     placed = stored(rows.drop("passages").join(own, "_row", "left").withColumn("dir", folder), f"{at}/own")
+    removed(spark, f"{at}/terms", f"{at}/rows")
     given = placed.filter("is_file AND own IS NOT NULL").groupBy("dir").agg(F.min_by(F.struct("own", "score"), "id").alias("g")).select(F.col("dir").alias("from_dir"), F.col("g.own").alias("inherited"), F.col("g.score").alias("its_score"))
     # each directory once, with its ancestors; then each file takes its directory's nearest
     dirs = placed.filter("path IS NOT NULL").select("dir").distinct()

@@ -230,6 +230,22 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "own"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "own"), 4: ("MIT", "inherited"), 5: (None, None), 6: (None, None), 7: ("CC-BY-NC-4.0", "own")}
 
 
+def _licence_score(texts, passage, template):
+    """Plain TF-IDF cosine with the document frequencies of all terms."""
+    docs = [set(licenses.terms(t or "")) for t in texts]
+    idf = lambda t: math.log((len(docs) + 1) / (sum(t in d for d in docs) + 1)) + 1
+    a, b = ({t: n * idf(t) for t, n in Counter(licenses.terms(x)).items()} for x in (passage, template))
+    return sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_licence_terms_weigh_by_their_true_frequencies(spark):
+    line = "Released as it is of use under the MIT License."
+    rows = [(k, "r/x", "as it is of use to all" if k else line) for k in range(300)]
+    want = _licence_score([t for _, _, t in rows], line, "Released under the MIT License.")
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path").filter("doc_id = 0").first()
+    assert want > 0.9 and got["license"] == "MIT" and math.isclose(got["score"], want, abs_tol=1e-8)
+
+
 def test_warc(spark):
     rows = [(3, "http://b.org/x", "same"), (1, "http://a.b.org:80/y?q#f", "same"), (2, None, None), (4, "http://b.org/x\n", ""), (5, "http://b.org/z", "été" * 1000)]
     records, index = warc.capture(spark.createDataFrame(rows, "page_id long, url string, html string"))
