@@ -1,7 +1,8 @@
 """Licence scans: sparse TF-IDF cosine of licence passages to templates, then inheritance from the nearest ancestor
 directory that has a licence file, by joins on paths. Native: DataFrame expressions and joins alone.
 
-A passage is a line that names a licence, copyright or the like (an anchor), or the whole text of a licence file. Terms
+A passage is a line that names a licence, copyright or the like (an anchor), or the whole text of a licence file. Lines
+are compared with statements and headers, whole files also with the whole texts of the licences (`license_texts`). Terms
 are weighed by their document frequency over the whole table: all terms are counted, in one table that is joined by term.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,6 +36,28 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its license terms."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: Whole texts by licence, and the standard headers that source files carry, cut from the texts that recommend them.
+TEXTS = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def _cut(name: str, start: str, end: str) -> str:
+    at = TEXTS[name].index(start)
+    return TEXTS[name][at : TEXTS[name].index(end, at) + len(end)]
+
+
+_GPL3 = _cut("GPL-3.0", "This program is free software", "gnu.org/licenses/>.")
+HEADERS = [
+    ("AGPL-3.0", _GPL3.replace("GNU General", "GNU Affero General")),
+    ("Apache-2.0", _cut("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', "limitations under the License.")),
+    ("GPL-2.0", _cut("GPL-2.0", "This program is free software", "FITNESS FOR A PARTICULAR PURPOSE.  See the") + " GNU General Public License for more details."),
+    ("GPL-3.0", _GPL3),
+    ("LGPL-2.1", _cut("LGPL-2.1", "This library is free software", "License for more details.")),
+    ("LGPL-3.0", _GPL3.replace("GNU General", "GNU Lesser General")),
+    ("MPL-2.0", _cut("MPL-2.0", "This Source Code Form is subject to the terms", "mozilla.org/MPL/2.0/.")),
+]
+#: Statements and headers, then whole texts, with which whole files alone are compared.
+ALL = [*TEMPLATES, *HEADERS, *TEXTS.items()]
+SHORT = len(TEMPLATES) + len(HEADERS)
 ANCHOR = r"(?i)licen[cs]|copyright|spdx|public domain"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 
@@ -54,7 +78,7 @@ def document_frequencies(df: DataFrame, text_col: str) -> DataFrame:
 
 def template_frequencies(counts: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows, and for each template term the rows whose text has it."""
-    known = sorted({t for _, text in TEMPLATES for t in terms(text)})
+    known = sorted({t for _, text in ALL for t in terms(text)})
     # the templates' own terms alone come to the driver
     asked = F.broadcast(counts.sparkSession.createDataFrame([(t,) for t in ["", *known]], "term string"))
     found = {r["term"]: r["n"] for r in counts.join(asked, "term").collect()}
@@ -65,7 +89,7 @@ def template_weights(n: int, df: dict[str, int]) -> list[tuple[int, str, float]]
     """(template, term, weight) of unit-length templates."""
     idf = {t: math.log((n + 1) / (k + 1)) + 1 for t, k in df.items()}
     rows = []
-    for k, (_, text) in enumerate(TEMPLATES):
+    for k, (_, text) in enumerate(ALL):
         tf: dict[str, int] = {}
         for t in terms(text):
             tf[t] = tf.get(t, 0) + 1
@@ -89,20 +113,21 @@ def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "te
     name = F.element_at(F.split(F.coalesce(F.col(path_col), F.lit("")), "/"), -1)
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), name.rlike(LICENCE_FILE).alias("is_file"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHOR))
-    rows = rows.select("_row", "id", "path", "is_file", F.when(F.col("is_file") & F.col("text").rlike(ANCHOR), F.array_union(lines, F.array("text"))).otherwise(lines).alias("passages"))
+    rows = rows.select("_row", "id", "path", "is_file", F.transform(lines, lambda x: F.struct(x.alias("_text"), F.lit(False).alias("whole"))).alias("lines"), F.when(F.col("is_file") & F.col("text").rlike(ANCHOR), F.array(F.struct(F.col("text").alias("_text"), F.lit(True).alias("whole")))).alias("whole"))
+    rows = rows.select("_row", "id", "path", "is_file", F.concat("lines", F.coalesce("whole", F.array())).alias("passages"))
     rows = stored(rows, f"{at}/rows")
-    passages = rows.select("_row", F.posexplode("passages").alias("passage", "_text")).withColumn("_t", _terms(F.col("_text"))).select("_row", "passage", F.explode("_t").alias("term"))
-    tf = passages.groupBy("_row", "passage", "term").agg(F.count(F.lit(1)).alias("tf"))
+    passages = rows.select("_row", F.posexplode("passages").alias("passage", "p")).select("_row", "passage", "p.whole", F.explode(_terms(F.col("p._text"))).alias("term"))
+    tf = passages.groupBy("_row", "passage", "whole", "term").agg(F.count(F.lit(1)).alias("tf"))
     # every term of a passage is one of its text and so has a count
     known = counts.select("term", (F.log((n + 1) / (F.col("n") + 1)) + 1).alias("idf"))
     # sized by the templates alone
     shapes = F.broadcast(spark.createDataFrame(weights, "template int, term string, w double"))
     weighed = tf.join(known, "term").withColumn("x", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("_row", "passage").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(shapes, "term").groupBy("_row", "passage", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighed.join(shapes, "term").filter(F.col("whole") | (F.col("template") < SHORT)).groupBy("_row", "passage", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     likeness = dots.join(norms, ["_row", "passage"]).select("_row", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
     best = likeness.groupBy("_row").agg(F.max(F.struct(F.col("score"), (-F.col("template")).alias("t"))).alias("b"))
-    names = F.array(*[F.lit(k) for k, _ in TEMPLATES])
+    names = F.array(*[F.lit(k) for k, _ in ALL])
     own = best.select("_row", F.col("b.score").alias("score"), F.get(names, -F.col("b.t")).alias("own"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     placed = stored(rows.drop("passages").join(own, "_row", "left").withColumn("dir", folder), f"{at}/own")

@@ -246,6 +246,27 @@ def test_licence_terms_weigh_by_their_true_frequencies(spark):
     assert want > 0.9 and got["license"] == "MIT" and math.isclose(got["score"], want, abs_tol=1e-8)
 
 
+def _body(text):
+    return text.split("\n", 2)[2]
+
+
+MIT, ISC = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "Permission to use, copy, modify, and/or distribute this software"
+
+
+def test_licence_files_with_whole_texts(spark):
+    t = licenses.TEXTS
+    mit, isc = _body(t["MIT"]), _body(t["ISC"])
+    assert mit.startswith(MIT[:40]) and isc.startswith(ISC)
+    regents = t["BSD-3-Clause"].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("copyright holder nor", "University nor")
+    owner = "Copyright (c) 2019 A. N. Other\nAll rights reserved.\n\n"
+    files = [("MIT", owner + mit), ("ISC", owner + isc), ("BSD-3-Clause", owner + regents), *((k, owner + t[k]) for k in t)]
+    rows = [(k, f"r{k}/LICENSE", text) for k, (_, text) in enumerate(files)] + [(100 + k, f"r{k}/a/x.c", "words") for k in range(len(files))] + [(k, None, f"some prose the of {k}") for k in range(200, 400)]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path").collect()}
+    for k, (name, _) in enumerate(files):
+        assert got[k] == (name, "own") and got[100 + k] == (name, "inherited")
+    assert all(got[k] == (None, None) for k in range(200, 400))
+
+
 def test_warc(spark):
     rows = [(3, "http://b.org/x", "same"), (1, "http://a.b.org:80/y?q#f", "same"), (2, None, None), (4, "http://b.org/x\n", ""), (5, "http://b.org/z", "été" * 1000)]
     records, index = warc.capture(spark.createDataFrame(rows, "page_id long, url string, html string"))
