@@ -1,8 +1,10 @@
 """Licence scans: sparse TF-IDF cosine of licence passages to templates, then inheritance from the nearest ancestor
 directory that has a licence file, by joins on paths. Native: DataFrame expressions and joins alone.
 
-A passage is a line that names a licence, copyright or the like (an anchor), or the whole text of a licence file. Lines
-are compared with statements and headers, whole files also with the whole texts of the licences (`license_texts`). Terms
+A passage is a line that names a licence, copyright or the like (an anchor), the whole text of a licence file, or a window
+of a statement's or header's length laid over the text's words, whatever its line breaks, so that a mark ("license",
+"permission") falls on its place in that template. Windows are compared with their template, lines with statements and
+headers, whole files also with the whole texts of the licences (`license_texts`). Terms
 are weighed by their document frequency over the whole table: all terms are counted, in one table that is joined by term.
 """
 
@@ -58,7 +60,11 @@ HEADERS = [
 #: Statements and headers, then whole texts, with which whole files alone are compared.
 ALL = [*TEMPLATES, *HEADERS, *TEXTS.items()]
 SHORT = len(TEMPLATES) + len(HEADERS)
-ANCHOR = r"(?i)licen[cs]|copyright|spdx|public domain"
+ANCHOR = r"(?i)licen[cs]|copyright|spdx|public domain|permission|redistribution"
+#: Terms at which windows are laid; both spellings are one.
+MARKS = ["copyright", "domain", "license", "licensed", "licenses", "permission", "redistribution", "redistributions", "spdx"]
+#: Whole texts up to so many terms stand in source files as headers, too.
+HEADER_TERMS = 300
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 
 
@@ -70,6 +76,35 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
+def laid() -> list[tuple[int, str, int, int]]:
+    """(template, mark, its first place, length): where a window of the template's length lies around a mark of a text."""
+    out = []
+    for k, (_, text) in enumerate(ALL):
+        t = terms(text)
+        if k < SHORT or len(t) <= HEADER_TERMS:
+            out += [(k, m, t.index(m), len(t)) for m in MARKS if m in t]
+    return out
+
+
+def windows(rows: DataFrame, weights: list[tuple[int, str, float]], threshold: float) -> DataFrame:
+    """_row, passage, only (the template to compare with) and terms of the windows at a row's spots that can reach the threshold.
+
+    Of unit vectors, the template's part that a window shares is at least as long as their cosine; shorter ones are left out."""
+    spark = rows.sparkSession
+    of: dict[int, list[tuple[str, float]]] = {}
+    for k, t, w in weights:
+        of.setdefault(k, []).append((t, w * w))
+    shapes = [(n, k, mark, at, size, [t for t, _ in of[k]], [w for _, w in of[k]]) for n, (k, mark, at, size) in enumerate(laid())]
+    # sized by the templates alone
+    lay = F.broadcast(spark.createDataFrame(shapes, "lay int, only int, mark string, place int, size int, own array<string>, squares array<double>"))
+    spots = rows.select("_row", F.posexplode("spots").alias("spot", "s")).select("_row", "spot", "s.*").join(lay, "mark")
+    start = F.greatest(F.lit(1), F.col("at") - F.col("place"))
+    cut = F.slice("around", start, F.col("size") - (start - (F.col("at") - F.col("place"))))
+    shared = F.aggregate(F.arrays_zip("own", "squares"), F.lit(0.0), lambda a, x: a + F.when(F.array_contains("shared", x["own"]), x["squares"]).otherwise(0.0))
+    spots = spots.withColumn("terms", cut).withColumn("shared", F.array_intersect("terms", "own")).filter(shared >= threshold * abs(threshold) - 1e-9)
+    return spots.select("_row", (-1 - F.col("lay") - F.col("spot").cast("long") * len(shapes)).alias("passage"), "only", "terms")
+
+
 def document_frequencies(df: DataFrame, text_col: str) -> DataFrame:
     """term and n, the rows whose text has it, for every term of the table; the empty term's n counts all rows."""
     marks = F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))
@@ -112,25 +147,33 @@ def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "te
     weights = template_weights(n, own_terms)
     name = F.element_at(F.split(F.coalesce(F.col(path_col), F.lit("")), "/"), -1)
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), name.rlike(LICENCE_FILE).alias("is_file"))
+    named = F.col("text").rlike(ANCHOR)
+    rows = rows.withColumn("terms", F.when(named, _terms(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    before, after = max(at for _, _, at, _ in laid()), max(size - at for _, _, at, size in laid())
+    marks = ", ".join(f"'{m}'" for x in MARKS for m in sorted({x, x.replace("licens", "licenc")}))
+    spots = F.expr(f"""transform(filter(transform(terms, (t, i) -> if(t IN ({marks}), i + 1, 0)), p -> p > 0), p -> struct(replace(element_at(terms, p), 'licenc', 'licens') AS mark,
+        slice(terms, greatest(1, p - {before}), least(p - 1, {before}) + {after}) AS around, least(p, {before + 1}) AS at))""")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHOR))
-    rows = rows.select("_row", "id", "path", "is_file", F.transform(lines, lambda x: F.struct(x.alias("_text"), F.lit(False).alias("whole"))).alias("lines"), F.when(F.col("is_file") & F.col("text").rlike(ANCHOR), F.array(F.struct(F.col("text").alias("_text"), F.lit(True).alias("whole")))).alias("whole"))
-    rows = rows.select("_row", "id", "path", "is_file", F.concat("lines", F.coalesce("whole", F.array())).alias("passages"))
+    rows = rows.select("_row", "id", "path", "is_file", F.transform(lines, lambda x: F.struct(x.alias("_text"), F.lit(False).alias("whole"))).alias("lines"), F.when(F.col("is_file") & named, F.array(F.struct(F.col("text").alias("_text"), F.lit(True).alias("whole")))).alias("whole"), spots.alias("spots"))
+    rows = rows.select("_row", "id", "path", "is_file", "spots", F.concat("lines", F.coalesce("whole", F.array())).alias("passages"))
     rows = stored(rows, f"{at}/rows")
-    passages = rows.select("_row", F.posexplode("passages").alias("passage", "p")).select("_row", "passage", "p.whole", F.explode(_terms(F.col("p._text"))).alias("term"))
-    tf = passages.groupBy("_row", "passage", "whole", "term").agg(F.count(F.lit(1)).alias("tf"))
+    passages = rows.select("_row", F.posexplode("passages").alias("passage", "p")).select("_row", "passage", F.when(~F.col("p.whole"), -1).alias("only"), _terms(F.col("p._text")).alias("terms"))
+    passages = passages.withColumn("passage", F.col("passage").cast("long")).unionByName(windows(rows, weights, threshold))
+    # compared with: a window its template, a line (-1) the short ones, a whole file (null) all
+    tf = passages.select("_row", "passage", "only", F.explode("terms").alias("term")).groupBy("_row", "passage", "only", "term").agg(F.count(F.lit(1)).alias("tf"))
     # every term of a passage is one of its text and so has a count
     known = counts.select("term", (F.log((n + 1) / (F.col("n") + 1)) + 1).alias("idf"))
     # sized by the templates alone
     shapes = F.broadcast(spark.createDataFrame(weights, "template int, term string, w double"))
     weighed = tf.join(known, "term").withColumn("x", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("_row", "passage").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(shapes, "term").filter(F.col("whole") | (F.col("template") < SHORT)).groupBy("_row", "passage", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighed.join(shapes, "term").filter(F.col("only").isNull() | (F.col("only") == F.col("template")) | ((F.col("only") == -1) & (F.col("template") < SHORT))).groupBy("_row", "passage", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     likeness = dots.join(norms, ["_row", "passage"]).select("_row", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
     best = likeness.groupBy("_row").agg(F.max(F.struct(F.col("score"), (-F.col("template")).alias("t"))).alias("b"))
     names = F.array(*[F.lit(k) for k, _ in ALL])
     own = best.select("_row", F.col("b.score").alias("score"), F.get(names, -F.col("b.t")).alias("own"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    placed = stored(rows.drop("passages").join(own, "_row", "left").withColumn("dir", folder), f"{at}/own")
+    placed = stored(rows.drop("passages", "spots").join(own, "_row", "left").withColumn("dir", folder), f"{at}/own")
     removed(spark, f"{at}/terms", f"{at}/rows")
     given = placed.filter("is_file AND own IS NOT NULL").groupBy("dir").agg(F.min_by(F.struct("own", "score"), "id").alias("g")).select(F.col("dir").alias("from_dir"), F.col("g.own").alias("inherited"), F.col("g.score").alias("its_score"))
     # each directory once, with its ancestors; then each file takes its directory's nearest

@@ -267,6 +267,20 @@ def test_licence_files_with_whole_texts(spark):
     assert all(got[k] == (None, None) for k in range(200, 400))
 
 
+def test_licence_passages_do_not_follow_lines(spark):
+    prose = "river stone early market people carried wooden boxes along quiet northern roads"
+    said = [("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.")]
+    wrap = lambda text, n: "\n".join(f"# {' '.join(w)}" for w in itertools.batched(text.split(), n))
+    heads = [*((k, x) for k, x in licenses.HEADERS), ("MIT", _body(licenses.TEXTS["MIT"])), ("ISC", _body(licenses.TEXTS["ISC"])), ("BSD-2-Clause", licenses.TEXTS["BSD-2-Clause"]), ("BSD-3-Clause", licenses.TEXTS["BSD-3-Clause"])]
+    rows = [(k, f"{prose} {x} {prose}\nend") for k, x in said] + [(k, f"{prose}\n{x.replace(' ', chr(10), 3)} {prose}") for k, x in said]
+    rows += [(k, f"#!/bin/sh\n# Copyright 2020 Some One\n{wrap(x, n)}\n{prose} {prose}") for k, x in heads for n in (4, 9)]
+    rows += [(None, f"{prose} {x}\n{prose}") for x in ("with permission of the owner", "a license to drive", "redistribution of wealth in source", "the domain of the license")]
+    rows += [(None, f"{prose} {k} the of and") for k in range(100)]
+    df = spark.createDataFrame([(k, None, text) for k, (_, text) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, "doc_id", "path").collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+
+
 def test_warc(spark):
     rows = [(3, "http://b.org/x", "same"), (1, "http://a.b.org:80/y?q#f", "same"), (2, None, None), (4, "http://b.org/x\n", ""), (5, "http://b.org/z", "été" * 1000)]
     records, index = warc.capture(spark.createDataFrame(rows, "page_id long, url string, html string"))
