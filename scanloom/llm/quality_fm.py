@@ -1,5 +1,8 @@
 """A quality classifier: a factorisation machine over hashed words, structure statistics and document metadata.
 
+Metadata are columns that the caller names: each is a field whose value is hashed like a word, numbers by their magnitude
+in half powers of two. A machine keeps the names, so that rows are scored with the columns it was fitted with.
+
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise interactions
 of low rank, in time linear in a document's distinct words by the sum-of-squares identity.
 
@@ -9,15 +12,16 @@ as compact features; scoring is one pass over the texts with the weights broadca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
-from .shared import id_and_text, type_of, worker_state
+from .shared import type_of, worker_state
 
 BUCKETS = 1 << 16
 UPPER, LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -35,10 +39,22 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    meta: tuple[str, ...] = ()
+
+
+def fields(df: DataFrame, meta: Sequence[str]) -> Column:
+    """A row's metadata as name=value texts; null ones are left out."""
+
+    def value(c: str) -> Column:
+        if not isinstance(df.schema[c].dataType, NumericType):
+            return F.col(c).cast("string")
+        return F.concat(F.when(F.col(c) < 0, "-").otherwise(""), F.floor(2 * F.log2(1 + F.abs(F.col(c).cast("double")))).cast("string"))
 
+    return F.array_compact(F.array(*[F.concat(F.lit(f"{c}="), value(c)) for c in meta]).cast("array<string>"))
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending indices (words' buckets, then statistics) and values; words have norm 1, statistics lie in [0, 1]."""
+
+def features(text: bytes, meta: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (words' buckets, statistics, buckets of metadata) and values; words have norm 1, statistics lie in [0, 1]."""
     known: _Buckets = worker_state("quality_fm").setdefault("buckets", _Buckets())
     if len(known) > 300_000:
         known.clear()
@@ -56,7 +72,8 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         1.0, min(1.0, np.log1p(n) / 12), min(1.0, np.log1p(len(text)) / 16), share(size / max(1, n), 20), share(letters, size), share(capitals, letters), share(symbols, n), share(text.count(b"|"), n), share(text.count(b"!"), n),
         share(text.count(b"."), n), share(text.count(b","), n), share(len(text) - len(text.translate(None, b"0123456789")), size), share(len(idx), n), share(int(count.max()) if n else 0, n), share(len(lines) - len(set(lines)), len(lines)), share(len(lines), n), float(n < 50),
     ]
-    return np.append(idx, np.arange(BUCKETS, BUCKETS + STATS, dtype=np.int32)), np.append(x, stats).astype(np.float32)
+    of = [known[b" " + m.encode()] for m in meta]  # no word has a space
+    return np.concatenate([idx, np.arange(BUCKETS, BUCKETS + STATS, dtype=np.int32), np.array(of, np.int32)]), np.concatenate([x, stats, np.ones(len(of))]).astype(np.float32)
 
 
 def margin(m: Machine, idx: np.ndarray, x: np.ndarray) -> float:
@@ -105,34 +122,40 @@ def crc_mod(id_col: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % by
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000) -> Machine:
-    """A machine from at most `sample` labelled rows of docs. Rows without a label, and labels that are null, teach nothing."""
+def _with_fields(df: DataFrame, id_col: str, text_col: str, meta: Sequence[str]) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fields(df, meta).alias("fields"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, meta: Sequence[str] = ()) -> Machine:
+    """A machine from at most `sample` labelled rows of docs, with the columns `meta` as metadata. Rows without a label, and labels that are null, teach nothing."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     marks = marks.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
-    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(marks), F.col("id") == F.col("_id")).select("text", "_label")  # at most `sample` rows
+    rows = _with_fields(docs, id_col, text_col, meta)
+    texts = rows.join(F.broadcast(marks), F.col("id") == F.col("_id")).select("text", "_label", "fields")  # at most `sample` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            got = [features(t, m) for t, m in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary()), b.column(1)], names=["i", "x", "y"])
 
     rows = texts.mapInArrow(run, "i binary, x binary, y int").collect()
     rows.sort(key=lambda r: (bytes(r["i"]), bytes(r["x"]), r["y"]))  # the same machine whatever the order of arrival
-    return fit([(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in rows], np.array([r["y"] for r in rows], dtype=np.float32))
+    machine = fit([(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in rows], np.array([r["y"] for r in rows], dtype=np.float32))
+    return replace(machine, meta=tuple(meta))
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and score (0 to 1) of every row. Null and empty texts are scored by their statistics alone; null ids and
-    repeated rows stay; an empty table gives an empty result; other columns are ignored."""
+    """id_col and score (0 to 1) of every row. Null and empty texts are scored by their statistics and metadata alone;
+    null ids and repeated rows stay; an empty table gives an empty result; columns that are not the machine's metadata are ignored."""
     told = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
         for b in batches:
-            z = np.array([margin(m, *features(t)) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.float64)
+            z = np.array([margin(m, *features(t, f)) for t, f in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[id_col, "score"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, score double")
+    return _with_fields(df, id_col, text_col, machine.meta).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, score double")
 
 
 def accepted(df: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -144,7 +167,8 @@ def accepted(df: DataFrame, machine: Machine, text_col: str = "text", threshold:
         m, limit = told.value, np.log(threshold / (1 - threshold))
         for b in (s for b in batches for s in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000))):
             texts = b.column(at).cast(pa.binary()).to_pylist()
-            keep = pa.array([i for i, t in enumerate(texts) if margin(m, *features(t or b"")) >= limit], pa.int64())
-            yield pa.RecordBatch.from_arrays([c.take(keep) for c in b.columns], names=names)  # a filter of batches would use threads, which a forked worker lacks
+            found = b.column(len(names)).to_pylist()
+            keep = pa.array([i for i, t in enumerate(texts) if margin(m, *features(t or b"", found[i])) >= limit], pa.int64())
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in b.columns[: len(names)]], names=names)  # a filter of batches would use threads, which a forked worker lacks
 
-    return df.mapInArrow(run, df.schema)
+    return df.select("*", fields(df, machine.meta)).mapInArrow(run, df.schema)

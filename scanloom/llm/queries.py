@@ -79,7 +79,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_fm import crc_mod, score, train
 
     docs = table(spark, sf_dir, "documents")
-    machine = train(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    machine = train(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1), meta=["n_chars"])
     return score(docs, machine).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

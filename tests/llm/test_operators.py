@@ -208,6 +208,18 @@ def test_classifier(spark):
     assert quality_fm.score(odd, idle).count() == 2
 
 
+def test_classifier_learns_from_metadata(spark):
+    # equal texts: only a column tells the classes apart, a name or a number
+    rows = [(k, "some words.", ["forum", "book"][k % 2], [3, 900][k % 2], k % 2) for k in range(300)] + [(k, "some words.", None, None, 0) for k in (300, 301)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, size long, quality int")
+    for col in ("kind", "size"):
+        m = quality_fm.train(df.filter("doc_id < 200"), df, meta=[col])
+        got = {r["doc_id"]: r["score"] for r in quality_fm.score(df, m).collect()}
+        assert len(got) == 302 and all((got[k] >= 0.5) == bool(k % 2) for k in range(200, 300))
+        kept = quality_fm.accepted(df.filter("doc_id < 300"), m)
+        assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(1, 300, 2))
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and sum(r["_size"] for r in got) == sum(len(_split(t)) for _, t in ROWS)
