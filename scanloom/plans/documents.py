@@ -48,16 +48,18 @@ def regex_documents(pages: DataFrame, literal: bool = False) -> DataFrame:
 
 
 def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1) -> DataFrame:
-    """Rule profile per page: entities with their limits, and the content block; a failed page keeps a null text."""
+    """Rule profile per page: entities with their limits, and the content block; a failed page keeps a null text. Organisations
+    are filtered from the pages' `organizations`, which an entity model gives (ARRAY<STRING>); without that column there are none."""
     t = F.col("t")
+    found = F.coalesce(F.col("organizations"), F.array().cast("array<string>")) if "organizations" in pages.columns else F.array().cast("array<string>")
     ok = _keyed(pages).withColumn("t", T.clean_spaces(F.col("text")))
-    orgs = ok.withColumn("dates", T.dates_rules(t)).withColumn("document_ids", T.document_ids(t)).withColumn("phones", T.phones_rules(t)).withColumn("emails", T.emails_rules(t)).withColumn("orgs", T.tax_organisations(t))
-    header = F.struct(T.first(F.col("orgs")).alias("tax_office"), T.first(F.col("dates")).alias("date"))
+    orgs = ok.withColumn("dates", T.dates_rules(t)).withColumn("document_ids", T.document_ids(t)).withColumn("phones", T.phones_rules(t)).withColumn("emails", T.emails_rules(t)).withColumn("offices", T.tax_organisations(t)).withColumn("found", found)
+    header = F.struct(T.first(F.col("offices")).alias("tax_office"), T.first(F.col("dates")).alias("date"))
     recipient = F.struct(T.recipient_name(t).alias("name"), T.recipient_address(t).alias("address"))
     some = lambda s: F.when(F.col("has_boxes"), s)
     contact = F.struct(F.slice("phones", 1, most_phones).alias("phones"), F.slice("emails", 1, most_emails).alias("emails"))
     content = F.struct(some(header).alias("header"), some(recipient).alias("recipient"), some(T.tax_numbers(F.col("document_ids"))).alias("tax_info"), contact.alias("contact"))
-    return orgs.select(*_KEY, "page", "file_name", "document_type", F.col("t").alias("text"), "dates", "document_ids", "phones", "emails", T.organisations(F.col("orgs")).alias("organizations"), T.language_or_guess(F.col("lang"), t).alias("lang"), content.alias("content"), "has_boxes")
+    return orgs.select(*_KEY, "page", "file_name", "document_type", F.col("t").alias("text"), "dates", "document_ids", "phones", "emails", T.organisations(F.col("found")).alias("organizations"), T.language_or_guess(F.col("lang"), t).alias("lang"), content.alias("content"), "has_boxes")
 
 
 def rule_documents(pages: DataFrame) -> DataFrame:

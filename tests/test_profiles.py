@@ -102,6 +102,13 @@ def test_document_records(spark):
     assert D.regex_documents(df.limit(0)).count() == 0 and D.rule_documents(df.limit(0)).count() == 0
 
 
+def test_organisations_come_from_the_pages(spark):
+    pages = [("/in/brief/a_page1.jpg", "Finanzamt Berlin", ["Finanzamt Berlin", "Beispiel GmbH", "Haus 12"]), ("/in/brief/a_page2.jpg", "x", ["Beispiel GmbH", "Müller & Co", None]), ("/in/brief/a_page3.jpg", None, ["Fehlt AG"]), ("/in/brief/a_page4.jpg", "y", None)]
+    df = spark.createDataFrame(pages, "path string, text string, organizations array<string>").selectExpr("*", "'de' AS lang", "true AS has_boxes")
+    named = lambda d: D.rule_documents(d).first()["ground_truth"]["gt_parse"]["entities"]["organizations"]
+    assert named(df) == ["Beispiel GmbH", "Müller  Co"] and named(df.drop("organizations")) == []
+
+
 def test_json_round_trips(spark, tmp_path):
     pages = spark.createDataFrame([("/in/brief/ä.jpg", "An: Ä\n5 €", "de", True)], "path string, text string, lang string, has_boxes boolean")
     for f, ddl in ((D.regex_documents, schemas.REGEX_DOCUMENT), (D.rule_documents, schemas.RULE_DOCUMENT)):
