@@ -8,9 +8,11 @@ expressions and windows alone.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import SPACE
+from .shared import SPACE, free_name, shared_dir, stored
 
 #: A target never exceeds so many passes over its source.
 MOST = 3
@@ -21,28 +23,46 @@ def word_count(col: str = "text") -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(F.col(col), F.lit("")), SPACE), "")).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank, a source's place from 0 by code point, null last. Ranges of sources are ranked each for itself
+    and moved by the sizes of those before, so that no task holds all of them. An empty table stays empty."""
+    spark = sources.sparkSession
+    order = F.col("source").asc_nulls_last()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    placed = stored(sources.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("rank", at), f"{shared_dir(spark)}/ranked")
+    part = F.shiftright("rank", 33)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per range
+    starts = [(p, z - n) for (p, n), z in zip(sizes, accumulate(n for _, n in sizes), strict=True)]
+    moved = F.broadcast(spark.createDataFrame(starts, "part long, ahead long"))  # one row per range
+    return placed.join(moved, part == F.col("part")).withColumn("rank", F.col("ahead") + F.col("rank").bitwiseAND((1 << 33) - 1)).drop("part", "ahead")
+
+
 def default_schedule(sources: DataFrame) -> DataFrame:
     """Sources by code point, null last, weigh 1, 2, 3, repeating; odd ranks fade out, even ranks fade in."""
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    tilt = F.when(rank % 2 == 0, 0.5).otherwise(-0.5)
-    ranked = sources.withColumn("_weight", (rank % 3 + 1).cast("double")).withColumn("_tilt", tilt)
-    return ranked.withColumn("start", F.col("_weight") * (1 - F.col("_tilt"))).withColumn("end", F.col("_weight") * (1 + F.col("_tilt"))).drop("_weight", "_tilt")
+    weight, tilt = (F.col("rank") % 3 + 1).cast("double"), F.when(F.col("rank") % 2 == 0, 0.5).otherwise(-0.5)
+    return ranked(sources).withColumn("start", weight * (1 - tilt)).withColumn("end", weight * (1 + tilt)).drop("rank")
 
 
 def targets(sources: DataFrame) -> DataFrame:
     """sources (source, source_size, start, end), a row each, with weight (the schedule's integral) and target.
 
     target = min(MOST * source_size, level * weight), where the level makes the targets add up to all words: what
-    capped sources cannot take is shared again by weight until none is above its cap.
+    capped sources cannot take is shared again by weight until none is above its cap. Each round is one aggregate,
+    the level only rises, and it stops when no further source reaches its cap. An empty table stays empty.
     """
-    s = sources.withColumn("weight", (F.col("start") + F.col("end")) / 2).withColumn("_cap", MOST * F.col("source_size").cast("double"))
-    everything = W.partitionBy()
-    before = W.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("_all", F.sum("source_size").over(everything).cast("double")).withColumn("_weights", F.sum("weight").over(everything))
-    s = s.withColumn("_level", (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.col("_weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    free = F.when(F.col("_cap") >= F.col("_level") * F.col("weight"), F.col("_level"))
-    s = s.withColumn("_level", F.coalesce(F.max(free).over(everything), F.lit(0.0)))
-    return s.withColumn("target", F.least("_cap", F.col("_level") * F.col("weight"))).drop("_cap", "_all", "_weights", "_level")
+    s = sources.withColumn("weight", (F.col("start") + F.col("end")) / 2)
+    cap = MOST * F.col("source_size").cast("double")
+    total, weights = s.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = total / weights if weights else 0.0
+    while weights:
+        full = cap < level * F.col("weight")
+        capped, free = s.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
+        higher = (total - (capped or 0.0)) / free if free else level
+        if higher <= level * (1 + 1e-12):
+            break
+        level = higher
+    return s.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
 def position(u: Column, start: Column, end: Column) -> Column:
@@ -51,50 +71,98 @@ def position(u: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(end - start) < 1e-12, u).otherwise((root - start) / (end - start))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, schedule=default_schedule, rows_per_bucket: int = 20_000) -> DataFrame:
-    """df with _size, _source_size, _target, _passes (times the mix takes the document), _taken (words) and
-    _before (words of its source before it).
-
-    A source's documents stand in the order of a hash of their ids. The target's whole passes take every document,
-    and the rest takes the documents in that order whose middle lies below it, so the words taken miss a target by
-    half a document at most. Prefix sums go over (source, hash range) buckets: sums of buckets first, then inside
-    each bucket, so that no source meets in one task however large it is. Null texts have size 0, null sources are
-    a source of their own, rows with equal ids are ordered by size; an empty table gives an empty result. Names
-    that start with an underscore are this operator's own.
+def positions(name: str = "mix") -> Column:
+    """The training positions of a row of mix(), one for each pass."""
+    m = F.col(name)
+    taken = F.sequence(F.lit(0).cast("long"), m["passes"] - 1)
+    return F.when(m["passes"] > 0, F.transform(taken, lambda k: _at(m, k))).otherwise(F.array().cast("array<double>"))
+
+
+def _at(m: Column, k: Column) -> Column:
+    share = F.when(m["target"] > 0, F.least(F.lit(1.0), (k * m["source_size"] + m["before"]) / m["target"])).otherwise(F.lit(0.0))
+    return position(share, m["start"], m["end"])
+
+
+def _fills(placed: DataFrame, fill: int) -> DataFrame:
+    """(source, bucket, ranks): documents beyond a source's cut that fill what the cut left open. Of each size class (by
+    powers of two) at most `fill` documents stand by, one from a bucket; the largest that still fits is taken first."""
+    group = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("class")
+    some = placed.groupBy("source", "bucket", group).agg(F.max(F.when(F.col("fits"), F.col("upto"))).alias("reach"), F.max("rest").alias("rest"), F.min(F.when(~F.col("fits") & (F.col("size") > 0) & (F.col("rest") > 0), F.struct("rank", "size"))).alias("spare"))
+    # a row per bucket and class: as many buckets as the cluster has tasks, whatever the source's size
+    turn = F.row_number().over(W.partitionBy("source", "class", F.col("spare").isNull()).orderBy("bucket"))
+    by = some.withColumn("turn", turn)
+    item = F.when(F.col("spare").isNotNull() & (F.col("turn") <= fill), F.struct(F.col("spare.size").alias("size"), (-F.col("bucket")).alias("b"), F.col("spare.rank").alias("rank")))
+    per = by.groupBy("source").agg((F.max("rest") - F.coalesce(F.max("reach"), F.lit(0))).alias("gap"), F.reverse(F.array_sort(F.collect_list(item))).alias("spares"))
+    picked = F.expr("""aggregate(spares, named_struct('gap', gap, 'got', cast(array() AS array<struct<bucket: bigint, rank: int>>)),
+        (s, x) -> if(x.size <= s.gap, named_struct('gap', s.gap - x.size, 'got', concat(s.got, array(named_struct('bucket', -x.b, 'rank', x.rank)))), s), s -> s.got)""")
+    return per.select("source", F.explode(picked).alias("p")).groupBy("source", F.col("p.bucket").alias("bucket")).agg(F.collect_set("p.rank").alias("ranks"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, schedule=default_schedule, name: str | None = None, spread: list[str] | None = None, fill: int = 8) -> DataFrame:
+    """df with one more column, the struct `name` ("mix", or the first free name with underscores after it): size,
+    source_size, target, passes (times the mix takes the document), taken (words), before (words of its source before
+    it), start and end (its source's schedule).
+
+    A source's documents stand in the order of a hash of `spread` (the id and, if there is one, the text). The target's
+    whole passes take every document. The rest takes documents in that order while they fit; then smaller ones from
+    beyond the cut fill what stayed open, so the words taken miss a target by less than a small document wherever the
+    source has small ones to spare. Prefix sums go over (source, hash range) buckets, of which a source has some four
+    for each task of the cluster: sums of buckets first, then inside each bucket, so no source meets in one task.
+    Null texts have size 0, null sources are a source of their own, null ids are ids; rows with equal ids are told apart
+    by text, then size, and equal rows take the places of one another; an empty table gives an empty result.
     """
+    spark, uri = df.sparkSession, shared_dir(df.sparkSession)
+    name = name or free_name(df, "mix")
     size = F.col(size_col).cast("long") if size_col else word_count(text_col)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(2, (4 * n - 1).bit_length())
     # null apart from any text, without null-safe joins, so that windows and joins share one partitioning
     named = F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n"))
-    rows = df.withColumn("_size", size).withColumn("_source", named).withColumn("_hash", F.xxhash64(F.col(id_col)))
-    sized = df.select(named.alias("_source"), size.alias("_size"), F.xxhash64(F.col(id_col)).alias("_hash"))
-    n = sized.count() if not size_col else df.count()
-    bits = max(2, (max(1, n // rows_per_bucket)).bit_length() + 1)
-    bucket = F.shiftrightunsigned("_hash", 64 - bits)
-    sums = sized.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("_size").alias("_words"))
-    # a row per source and bucket: 2 ** bits rows a source at most, a small part of its documents
-    sums = sums.withColumn("_ahead", F.coalesce(F.sum("_words").over(W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    source = F.when(F.col("_source") != "n", F.substring("_source", 2, 2**31 - 1))
-    per_source = targets(schedule(sums.groupBy("_source").agg(F.sum("_words").cast("long").alias("source_size")).withColumn("source", source)))
-    plan = sums.select("_source", "_bucket", "_ahead").join(per_source.drop("source", "weight"), "_source")
-    rows = rows.withColumn("_bucket", bucket)
-    inside = W.partitionBy("_source", "_bucket").orderBy("_hash", F.col(id_col), "_size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(plan, ["_source", "_bucket"])
-    before = (F.col("_ahead") + F.col("_inside")).cast("long")
+    marks = spread or [id_col, *[text_col] * (text_col in df.columns)]
+    hashed = F.xxhash64(*marks)
+    key = [named.alias("source"), F.shiftrightunsigned(hashed, 64 - bits).alias("bucket"), hashed.alias("hash"), F.coalesce(size, F.lit(0).cast("long")).alias("size")]
+    in_order = lambda s, b, *o: W.partitionBy(s, b).orderBy(*o)
+    narrow = stored(df.select(*key), f"{uri}/sizes")
+    w = in_order("source", "bucket", "hash", "size")
+    before = lambda size, w: F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("ahead", before("words", W.partitionBy("source").orderBy("bucket"))).drop("words")
+    source = F.when(F.col("key") != "n", F.substring("key", 2, 2**31 - 1))
+    sizes = narrow.groupBy(F.col("source").alias("key")).agg(F.sum("size").cast("long").alias("source_size")).withColumn("source", source)
+    per_source = targets(stored(schedule(sizes), f"{uri}/schedule")).drop("source", "weight").withColumnRenamed("key", "source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - whole * F.col("source_size")
-    # a source of empty documents only has nothing to take; an empty document rides along with its neighbours
-    extra = F.when((rest > 0) & (before + F.col("_size") / 2 < rest), 1).otherwise(0)
-    out = rows.withColumn("_before", before).withColumn("_passes", (whole + extra).cast("long"))
-    return out.select(*df.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_passes", (F.col("_passes") * F.col("_size")).alias("_taken"), "_before", F.col("start").alias("_start"), F.col("end").alias("_end"))
-
-
-def curriculum(mixed: DataFrame) -> DataFrame:
-    """mix()'s rows, one for each pass, with _position, range-sorted by it."""
-    dealt = mixed.filter("_passes > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)))
-    u = F.when(F.col("_target") > 0, F.least(F.lit(1.0), (F.col("_pass") * F.col("_source_size") + F.col("_before")) / F.col("_target"))).otherwise(F.lit(0.0))
+    plan = sums.join(per_source, "source").withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = stored(plan, f"{uri}/plan")
+    placed = narrow.withColumn("rank", F.row_number().over(w)).withColumn("upto", before("size", w) + F.col("size")).join(plan, ["source", "bucket"])
+    placed = placed.withColumn("upto", F.col("upto") + F.col("ahead")).withColumn("fits", (F.col("rest") > 0) & (F.col("upto") <= F.col("rest")))
+    fills = stored(_fills(placed, fill), f"{uri}/fills")
+    plan = plan.join(fills, ["source", "bucket"], "left").select(F.struct("source", "bucket").alias(f"{name}_of"), F.struct("ahead", "whole", "rest", "ranks", "source_size", "target", "start", "end").alias(f"{name}_plan"))
+    m = lambda c: F.col(f"{name}.{c}")
+    rows = df.withColumn(name, F.struct(*key))
+    w = in_order(m("source"), m("bucket"), m("hash"), m("size"))
+    rows = rows.withColumn(name, F.struct(*[m(c).alias(c) for c in ("source", "bucket", "hash", "size")], F.row_number().over(w).alias("rank"), before(m("size"), w).alias("inside")))
+    rows = rows.join(plan, (m("source") == F.col(f"{name}_of.source")) & (m("bucket") == F.col(f"{name}_of.bucket")))
+    p = lambda c: F.col(f"{name}_plan.{c}")
+    at = (p("ahead") + m("inside")).cast("long")
+    # an empty document rides along with its neighbours
+    extra = F.when((p("rest") > 0) & ((at + m("size") <= p("rest")) | F.coalesce(F.array_contains(p("ranks"), m("rank")), F.lit(False))), 1).otherwise(0)
+    passes = (p("whole") + extra).cast("long")
+    told = F.struct(m("size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), passes.alias("passes"), (passes * m("size")).alias("taken"), at.alias("before"), p("start").alias("start"), p("end").alias("end"), m("hash").alias("hash"))
+    return rows.select(*df.columns, told.alias(name))
+
+
+def curriculum(mixed: DataFrame, name: str = "mix", untaken: bool = False) -> DataFrame:
+    """mix()'s rows, one for each pass, range-sorted by training position: the struct `name` gains pass (from 0) and
+    position. With `untaken`, documents that no pass takes stay, too, one row each with null pass and position, spread
+    over all ranges after the others. Ties stand in the order of their hash; an empty table stays empty."""
+    k = free_name(mixed, f"{name}_pass")
+    passes = F.col(f"{name}.passes")
+    taken = F.when(passes > 0, F.sequence(F.lit(0).cast("long"), passes - 1))
+    dealt = mixed.select("*", (F.explode_outer if untaken else F.explode)(taken).alias(k))
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = dealt.withColumn("_position", position(u, F.col("_start"), F.col("_end")))
+    m = F.col(name)
+    at = F.when(F.col(k).isNotNull(), _at(m, F.col(k)))
+    placed = dealt.withColumn(name, m.withField("pass", F.col(k)).withField("position", at)).drop(k)
     # positions fill [0, 1] by design, so equal ranges of it need no sample, which would compute everything once more
-    part = F.least(F.lit(n - 1), F.floor(F.col("_position") * n)).cast("int")
-    return placed.repartitionById(n, part).sortWithinPartitions("_position")
+    part = F.coalesce(F.least(F.lit(n - 1), F.floor(m["position"] * n)), F.pmod(m["hash"], F.lit(n))).cast("int")
+    return placed.repartitionById(n, part).sortWithinPartitions(m["position"].asc_nulls_last(), m["hash"], m["pass"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of anything but ASCII white space.
@@ -34,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below spark.checkpoint.dir, which all executors see; where that is unset (tests), a temporary folder becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors see")
         base = tempfile.mkdtemp(prefix="scanloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
@@ -41,11 +46,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, uri: str) -> DataFrame:
-    """df cut off from its lineage as a Parquet table in the shared folder."""
-    df.write.parquet(uri)
+    """df cut off from its lineage as a Parquet table in the shared folder; its shuffles' files go at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(uri)
+    finally:
+        conf.set(key, was)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or base with as many underscores after it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number that stays the same however often df is computed. A scan of files gives it as it is; what has
+    joins, shuffles or the like in it might give its rows in another order the next time and is stored first."""
+    steps = re.findall(r"^[\s:+\-*]*(?:\(\d+\) )?(\w+)", df._jdf.queryExecution().sparkPlan().toString(), re.M)
+    if not set(steps) <= {"Project", "Filter", "ColumnarToRow", "FileScan", "Scan", "LocalTableScan"}:
+        df = stored(df, f"{shared_dir(df.sparkSession)}/rows")
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """df with a number that grows in the order of its rows: by the number of the Parquet file that a row lies in, then its
+    place there; of a table that is no scan of such files, in the order that Spark gives them out."""
+    try:
+        at = df.metadataColumn("_metadata")
+        file = lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(at["file_name"], p, 1), F.lit("")), F.lit("9999999999")), F.lit(0)).cast("long")
+        return df.select("*", (F.shiftleft(file(r"^part-(\d+)"), 44) + F.shiftleft(file(r"-c(\d+)"), 34) + at["row_index"]).alias(name))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def removed(spark: SparkSession, *uris: str) -> None:
     """Delete tables of the shared folder that nothing needs any more."""
     for uri in uris:
@@ -114,6 +153,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns alone, so that clashing names of others cannot matter; null texts are empty."""
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def id_and_text(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """The two columns as id and text, then those of `keep` by number, so that clashing names cannot matter; null texts are empty."""
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])])
+
+
+def texts_of(b: pa.RecordBatch) -> list[bytes]:
+    return b.column("text").cast(pa.binary()).to_pylist()
+
+
+def slices(b: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, so that a worker never holds more of them taken apart."""
+    ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield b.slice(at, to - at)
+        at = to
