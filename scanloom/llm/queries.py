@@ -47,14 +47,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import fit, text_statistics, votes, with_posterior
-    from .shared import shared_dir, stored
+    from .quality_rules import judge
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    voted = stored(votes(text_statistics(docs)).drop("text"), f"{shared_dir(spark)}/votes")
-    counted = {r["_v"]: r["n"] for r in voted.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    q = [F.col(f"_q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return with_posterior(voted, fit(counted)).select("doc_id", *q, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_quality", 6).alias("quality"))
+    q = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), name="q", carry=["doc_id"])
+    counts = [F.col(f"q.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return q.select("doc_id", *counts, "q.base_failed", "q.kept", F.round("q.posterior", 6).alias("quality"), "q.votes")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +81,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import curriculum, mix, word_count
+    """A row per document, range-sorted by the training position of its first pass; documents that no pass takes have none."""
+    from .mixing import curriculum, mix, positions, word_count
     from .shared import shared_dir, stored
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
-    mixed = mix(stored(docs, f"{shared_dir(spark)}/sizes"), size_col="size")
-    first = curriculum(mixed).filter("_pass = 0").select(F.col("doc_id").alias("_id"), F.col("_position").alias("first_position"))
-    out = mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
-    return out.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("mark"))
+    mixed = mix(stored(docs, f"{shared_dir(spark)}/documents"), size_col="size", spread=["doc_id", "mark"], name="mix")
+    first = curriculum(mixed, untaken=True).filter("mix.pass IS NULL OR mix.pass = 0")
+    return first.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.passes", F.col("mix.position").alias("first_position"), positions().alias("positions"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
