@@ -6,8 +6,10 @@
 2. A second pass gives the remaining sets their candidate keys. Light (small) sets enumerate the fixed-size subsets
    that a linked pair must share; heavy (large) sets stand in the inverted lists of their rarest n-grams, as many as
    a linked pair cannot miss. The boundary is the largest size up to which enumeration costs no more than scanning.
-3. Sets that share keys form clusters (stars to a key's smallest set, never pairs). Inverted lists scanned inside each
-   cluster give exact overlaps; only the links of a spanning forest leave a task, with each set's number of links.
+3. Sets that share keys form clusters (stars to a key's smallest set, never pairs). Each set goes once to its cluster, in
+   which scanned inverted lists give exact overlaps. A cluster too large for a task is scanned block against block, or
+   apart by the sets of each shared key, whichever ships fewer sets: near copies of one text share all their keys, long
+   chains of them hardly any. Only the links of a spanning forest leave a task, with each set's number of links.
 4. Connected components of those links are the result.
 
 Equal sets are one set from the start, so copies are never paired.
@@ -17,16 +19,15 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_and_text, map_array, put_array, removed, shared_dir, stored, type_of, worker_state
+from .shared import free_name, id_and_text, map_array, numbered, put_array, removed, shared_dir, slices, stored, texts_of, type_of, worker_state
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -82,18 +83,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32 if data[0] == 4 else np.uint64).ravel(), dtype=np.uint64)
 
 
-def _texts(b: pa.RecordBatch) -> list[bytes]:
-    return b.column("text").cast(pa.binary()).to_pylist()
+def _small(v: np.ndarray) -> bytes:
+    """Compressed counts in the narrowest type that holds them all."""
+    v = v.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if v.max(initial=0) <= np.iinfo(t).max))
+    return bytes([v.itemsize]) + zstandard.compress(v.tobytes(), 1)
 
 
-def _slices(b: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text, so that a worker never holds more of them taken apart."""
-    ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < b.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
-        yield b.slice(at, to - at)
-        at = to
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 def _first_pass(rows: DataFrame, n: int, shards: int, bits: int) -> DataFrame:
@@ -101,13 +98,13 @@ def _first_pass(rows: DataFrame, n: int, shards: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in (s for b in batches for s in _slices(b)):
-            sets = shingle_sets(_texts(b), n)
+        for b in (s for b in batches for s in slices(b)):
+            sets = shingle_sets(texts_of(b), n)
             keys = [set_key(s) for s in sets]
             new = [s for s, k in zip(sets, keys, strict=True) if not (k in seen or seen.add(k))]
             grams, counts = np.unique(np.concatenate(new) >> np.uint64(64 - bits), return_counts=True) if new else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             edges = np.searchsorted(grams, _bounds(shards, bits)).tolist()
-            parts = [(k, _pack(grams[a:z]), zstandard.compress(np.minimum(counts[a:z], 255).astype(np.uint8).tobytes(), 1)) for k, (a, z) in enumerate(itertools.pairwise([*edges, len(grams)])) if z > a]
+            parts = [(k, _pack(grams[a:z]), _small(counts[a:z])) for k, (a, z) in enumerate(itertools.pairwise([*edges, len(grams)])) if z > a]
             m = len(parts)
             cols = [pa.concat_arrays([b.column(0), pa.nulls(m, b.column(0).type)]), pa.array([len(s) for s in sets] + [0] * m, pa.int64()), pa.array(keys + [0] * m, pa.int64())]
             cols += [pa.array([None] * len(sets) + [p[i] for p in parts], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
@@ -132,9 +129,9 @@ def _repeated(blobs: DataFrame, uri: str) -> list:
         while held:
             k, parts = held.popitem()
             grams = np.concatenate([_unpack(g) for g, _ in parts])
-            counts = np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint8) for _, c in parts])
+            counts = np.concatenate([_large(c) for _, c in parts])
             o = np.argsort(grams, kind="stable")
-            grams, counts = grams[o], counts[o].astype(np.int64)
+            grams, counts = grams[o], counts[o]
             first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
             total = np.add.reduceat(counts, first)
             keep = total > 1
@@ -161,9 +158,10 @@ def subset_cost(s: int) -> int:
 
 
 def boundary(mean_list: float) -> int:
-    """The largest size up to which enumerating subsets costs no more than scanning the lists of a prefix."""
+    """The largest size up to which enumerating subsets costs no more than scanning the lists of a prefix. Their number
+    grows exponentially with the size, the prefix in proportion, so it ends."""
     s = 0
-    while s < 30 and subset_cost(s + 1) <= _prefix(s + 1) * mean_list:
+    while subset_cost(s + 1) <= _prefix(s + 1) * mean_list:
         s += 1
     return s
 
@@ -203,8 +201,8 @@ def _second_pass(rows: DataFrame, n: int, uri: str, shards: int, bits: int, ligh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in (s for b in batches for s in _slices(b)):
-            sets = shingle_sets(_texts(b), n)
+        for b in (s for b in batches for s in slices(b)):
+            sets = shingle_sets(texts_of(b), n)
             df = _look_up(uri, shards, bits, np.concatenate(sets)) if sets else np.zeros(0, np.uint32)
             out, at = [], 0
             for s in sets:
@@ -230,22 +228,25 @@ def components(edges: DataFrame, uri: str) -> DataFrame:
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{uri}/0")
     was, k = state(e), 0
     while was[0]:
+        k += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        # the smallest neighbours are tables of their own, so that a join reads them apart from their aggregate and the
+        # edges of one node, however many, may be split over tasks
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{uri}/least-{k}")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{uri}/large-{k}")
+        small = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{uri}/small-{k}")
         hung = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        k += 1
         e = stored(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), f"{uri}/{k}")
+        removed(edges.sparkSession, *[f"{uri}/{x}" for x in (k - 1, f"least-{k}", f"large-{k}", f"small-{k}")])
         if (now := state(e)) == was:
             break
         was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def scan(keys: list[int], sizes: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def scan(keys: list[int], sizes: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: np.ndarray, first: Callable[[int, int], bool] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links of a spanning forest and the number of links of each set, between sets of left and sets of right, from the
-    overlaps that scanning inverted lists gives."""
+    overlaps that scanning inverted lists gives. first: whether a link counts here, where others may find it, too."""
     lens = np.array([len(p) for p in parts])
     tokens, ids = np.unique(np.concatenate(parts), return_inverse=True)
     owner = np.repeat(np.arange(len(parts)), lens)
@@ -270,6 +271,8 @@ def scan(keys: list[int], sizes: np.ndarray, parts: list[np.ndarray], left: np.n
         y = np.flatnonzero(right & (7 * overlap >= 3 * (sizes + sizes[x])))
         y = y[(y > x) | ~left[y]]
         y = y[y != x]
+        if first:
+            y = y[[first(int(x), z) for z in y.tolist()]] if len(y) else y
         degree[x] += len(y)
         degree[y] += 1
         for z in y.tolist():
@@ -281,12 +284,15 @@ def scan(keys: list[int], sizes: np.ndarray, parts: list[np.ndarray], left: np.n
 
 
 def _scan_clusters(members: DataFrame) -> DataFrame:
-    """Rows sorted by (cluster, i, j) to links (a, b, null) and degrees (key, null, n)."""
+    """Rows sorted by (cluster, i, j) to links (a, b, null) and degrees (key, null, n). Rows with keys are those of the one
+    key `cluster`; a link counts under the smallest key that its sets share."""
 
     def one(rows: list[tuple]) -> list[tuple]:
-        i, j = rows[0][1], rows[0][2]
+        at, i, j = rows[0][:3]
         block = np.array([r[3] for r in rows])
-        links, degree = scan([r[4] for r in rows], np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows], block == i, block == j)
+        own = [set(r[7]) for r in rows] if rows[0][7] is not None else None
+        first = (lambda x, y: min(own[x] & own[y]) == at) if own else None
+        links, degree = scan([r[4] for r in rows], np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows], block == i, block == j, first)
         return [(a, b, None) for a, b in links] + [(r[4], None, int(d)) for r, d in zip(rows, degree, strict=True) if d]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +315,22 @@ def _scan_clusters(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long, n long")
 
 
+def _units(postings: DataFrame, hubs: DataFrame, clusters: DataFrame, block: int, uri: str) -> DataFrame:
+    """(unit, listed, blocks, node): which sets are scanned together, in so many blocks. A unit is a cluster, or a key
+    (listed) where the keys of a cluster of several blocks ship its sets fewer times."""
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") > block)
+    lists = hubs.join(clusters, F.col("hub") == F.col("node")).select("at", "root", "n").join(large.select("root"), "root", "left_semi")
+    cost = F.col("n") * blocks
+    apart = lists.groupBy("root").agg(F.sum(cost).alias("cost")).join(large, "root").filter(F.col("cost") < cost).select("root")
+    apart = stored(apart, f"{uri}/units/apart")
+    whole = clusters.join(sizes, "root").join(apart, "root", "left_anti").select(F.col("root").alias("unit"), F.lit(False).alias("listed"), blocks, "node")
+    chosen = lists.join(apart, "root", "left_semi").select("at", "n")
+    listed = postings.join(stored(chosen, f"{uri}/units/lists"), "at").select(F.col("at").alias("unit"), F.lit(True).alias("listed"), blocks, F.col("key").alias("node"))
+    return stored(whole.unionByName(listed), f"{uri}/units/all")
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, block: int = 1024, filter_bits: int = 40) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links), n_copies (rows with
     an equal set) and n_links (different sets that it links to).
@@ -334,17 +356,18 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     lists = sum(r["n"] for r in told)
     light = boundary(sum(r["total"] for r in told) / lists if lists else 1.0)
     found = stored(_second_pass(rows, n, f"{uri}/grams", shards, filter_bits, light), f"{uri}/sets")
-    postings = found.select("key", F.explode("keys").alias("at")).distinct()
-    hubs = postings.groupBy("at").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub < last").select("at", "hub")
+    postings = stored(found.select("key", F.explode("keys").alias("at")).distinct(), f"{uri}/postings")
+    hubs = postings.groupBy("at").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hubs = stored(hubs, f"{uri}/hubs")
     clusters = stored(components(postings.join(hubs, "at").select(F.col("key").alias("a"), F.col("hub").alias("b")), f"{uri}/near"), f"{uri}/clusters")
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    sets = found.select("key", "size", "part").dropDuplicates(["key"])
-    members = sets.join(placed, sets["key"] == placed["node"]).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select(F.col("root").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "size", "part")
-    members = members.repartition(shards, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    units = _units(postings, hubs, clusters, block, uri)
+    sets = found.select("key", "size", "part", "keys").dropDuplicates(["key"])
+    members = sets.join(units, sets["key"] == units["node"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("keys", F.when(F.col("listed"), F.col("keys")))
+    members = members.select(F.col("unit").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "size", "part", "keys", "listed")
+    members = members.repartition(shards, "cluster", "listed", "i", "j").sortWithinPartitions("listed", "cluster", "i", "j").drop("listed")
     linked = stored(_scan_clusters(members), f"{uri}/links")
-    removed(spark, f"{uri}/grams", f"{uri}/sets", f"{uri}/near", f"{uri}/clusters")
+    removed(spark, *[f"{uri}/{x}" for x in ("grams", "sets", "near", "clusters", "postings", "hubs", "units")])
     labels = components(linked.filter("b IS NOT NULL").select("a", "b"), f"{uri}/components")
     degrees = linked.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classes = docs.filter("size > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
@@ -358,7 +381,12 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df of whose component they have the smallest id, with df's columns."""
-    found = similar(df, id_col, text_col, **options)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component, with df's columns: that of the smallest id (null after all others), among rows of one
+    id the first. Rows are told apart by number and not by id, so repeated rows, equal ids and null ids leave one row of a
+    component like any others. Null and empty texts link with nothing and stay; an empty table stays empty; other
+    columns pass, whatever their names."""
+    df = numbered(df, row := free_name(df, "row"))
+    own = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = similar(df.select(own.alias("own"), F.col(text_col).alias("text")), "own", "text", **options)
+    kept = found.filter(F.col("own") == F.col("component_id")).select(F.col("own.row").alias(row))
+    return df.join(kept, row, "left_semi").drop(row)

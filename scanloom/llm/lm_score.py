@@ -18,9 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .jaccard import WordHashes, _mixed, _pack, _slices, _texts, _unpack
+from .jaccard import WordHashes, _large, _mixed, _pack, _small, _unpack
 from .quality_fm import crc_mod
-from .shared import map_array, put_array, shared_dir, stored, type_of, worker_state
+from .shared import map_array, put_array, shared_dir, slices, stored, texts_of, type_of, worker_state
 
 #: The end of a text, which also stands before its first word; white space cannot be a word.
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -47,19 +47,6 @@ def _blob_rows(shard: np.ndarray, shards: int, keys: np.ndarray, *values: np.nda
     return [(k, _pack(keys[o[a:z]]), *[_small(v[o[a:z]]) for v in values]) for k, (a, z) in enumerate(pairwise(edges.tolist())) if z > a]
 
 
-def _small(v: np.ndarray) -> bytes:
-    import zstandard
-
-    v = v.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if v.max(initial=0) <= np.iinfo(t).max))
-    return bytes([v.itemsize]) + zstandard.compress(v.tobytes(), 1)
-
-
-def _large(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
-
-
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Sorted keys with the sums of their values."""
     keys = np.concatenate([p[0] for p in parts])
@@ -230,8 +217,8 @@ def build(train: DataFrame) -> Model:
     uri, shards = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for b in batches for s in _slices(b)):
-            h, n = np.unique(token_hashes(_texts(b))[0], return_counts=True)
+        for b in (s for b in batches for s in slices(b)):
+            h, n = np.unique(token_hashes(texts_of(b))[0], return_counts=True)
             yield _record(_blob_rows(_top(h, shards), shards, h, n), *BLOBS)
 
     def keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +243,8 @@ def build(train: DataFrame) -> Model:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _shards(uri, shards, bases, False, False)
-        for b in (s for b in batches for s in _slices(b)):
-            ids, sizes = _token_ids(m, _texts(b))
+        for b in (s for b in batches for s in slices(b)):
+            ids, sizes = _token_ids(m, texts_of(b))
             keys, n = np.unique(_contexts(ids, sizes, end).astype(np.uint64) * np.uint64(v) + ids.astype(np.uint64), return_counts=True)
             yield _record(_blob_rows(_top(_mixed(keys), shards), shards, keys, n), *BLOBS)
 
@@ -312,8 +299,8 @@ def perplexity(df: DataFrame, model: Model, id_col: str = "id", text_col: str =
     and repeated rows stay; an empty table gives an empty result; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for b in batches for s in _slices(b)):
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in model.score(_texts(b))]], names=[id_col, "n_tokens", "n_known", "base_score", "score"])
+        for b in (s for b in batches for s in slices(b)):
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in model.score(texts_of(b))]], names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, n_tokens long, n_known long, base_score double, score double")
