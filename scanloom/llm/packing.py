@@ -4,6 +4,9 @@ Every bin has three capacities: tokens, documents and attention cost (the sum of
 piece's demand follows from its length alone, so pieces of one length are interchangeable: the driver packs
 a histogram of lengths (at most `capacity` rows, however large the corpus) and answers with ranges of ranks.
 Executors turn each piece's rank within its length into a bin by looking up its range.
+
+Where the order of the pieces matters (a curriculum), windows of that order are packed one after the other, each with a
+histogram of its own, so that a sequence holds pieces of one window and later sequences those of later ones.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_and_text, shared_dir, stored, type_of, worker_state
+from .shared import free_name, id_and_text, removed, shared_dir, slices, stored, type_of, worker_state
 
 
 @dataclass(frozen=True)
@@ -158,33 +161,50 @@ def _encode_slice(t, cache: _Ids, texts: list[str], cache_size: int) -> list[byt
     return [whole[i] if i in whole else cache.bare[p[0]] + b"".join(map(cache.__getitem__, p[1:])) for i, p in enumerate(split)]
 
 
-def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, end_id: int = 0, with_ids: bool = False, cache_size: int = 800_000) -> DataFrame:
-    """Pieces of at most `tokens` ids: id_col, piece, start, length, ids_crc32 and, if asked for, ids (little-endian
-    bytes). Only documents longer than that are cut; their first piece takes the remainder. A document's ids end
-    with end_id, so null and empty texts have one piece of one id."""
-    rows = id_and_text(df, id_col, text_col)
-    schema = f"`{id_col}` {type_of(df, id_col)}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, end_id: int = 0, with_ids: bool = False, cache_size: int = 800_000, keep: list[str] | None = None) -> DataFrame:
+    """Pieces of at most `tokens` ids: id_col, piece, start, length, ids_crc32, the columns of `keep` and, if asked for, ids
+    (array<int>). Only documents longer than that are cut; their first piece takes the remainder. A document's ids end
+    with end_id, so null and empty texts have one piece of one id. Null ids and repeated rows have their pieces like
+    others, so a document that comes twice can only be told apart by a column that is kept; an empty table gives none;
+    other columns are ignored, whatever their names. A batch is encoded in slices of a few MB, and the pieces of a very
+    long text leave it in several batches."""
+    keep = keep or []
+    rows = id_and_text(df, id_col, text_col, keep)
+    own = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    if clash := {c.lower() for c in keep} & {c.lower() for c in own}:
+        raise ValueError(f"kept columns need other names than the pieces' own: {sorted(clash)}")
+    kept = "".join(f", `{c}` {type_of(df, c)}" for c in keep)
+    schema = f"`{id_col}` {type_of(df, id_col)}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + kept
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    def rows_of(b: pa.RecordBatch, cut: list[tuple], parts: list[bytes]) -> pa.RecordBatch:
+        take = pa.array([c[0] for c in cut], pa.int64())
+        cols = [b.column(0).take(take), *[pa.array([c[i] for c in cut], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()))]]
+        if with_ids:
+            ends = np.cumsum([0, *[len(x) // 4 for x in parts]]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+        return pa.RecordBatch.from_arrays(cols + [b.column(2 + i).take(take) for i in range(len(keep))], names=[*own, *keep])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            take, piece, start, length, crc, ids = [], [], [], [], [], []
+        for b in (s for b in batches for s in slices(b)):
+            out: list[tuple] = []
+            parts: list[bytes] = []
+            held = 0
             for i, data in enumerate(token_bytes(tokenizer, b.column(1).to_pylist(), cache_size)):
                 n, data = len(data) // 4 + 1, data + end
                 at, k = 0, 0
                 while at < n:
                     to = at + (n % tokens or tokens) if k == 0 else at + tokens
                     part = data[4 * at : 4 * to]
-                    take.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(part))
+                    out.append((i, k, at, to - at, zlib.crc32(part)))
                     if with_ids:
-                        ids.append(part)
+                        parts.append(part)
+                        held += len(part)
                     at, k = to, k + 1
-            cols = [b.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                    if held > 16_000_000:
+                        yield rows_of(b, out, parts)
+                        out, parts, held = [], [], 0
+            yield rows_of(b, out, parts)
 
     return rows.mapInArrow(cut, schema)
 
@@ -240,39 +260,57 @@ def pack_lengths(histogram: dict[int, int], cap: Capacity) -> list[tuple[int, in
     return out
 
 
-def pack(pieces: DataFrame, id_col: str = "doc_id", cap: Capacity = Capacity()) -> DataFrame:
+def pack(pieces: DataFrame, id_col: str = "doc_id", cap: Capacity = Capacity(), order_col: str | None = None, windows: int = 8) -> DataFrame:
     """The pieces with sequence_id and offset: sequences under every capacity, gapless from 0.
 
-    pieces needs id_col, piece and length; other columns pass. Ranks within a length come from one range shuffle by
-    (length, id, piece), so a length that a third of all pieces share is spread over tasks. Null ids and repeated
-    rows are pieces like others (their order among themselves does not matter); an empty table gives none.
+    pieces needs id_col, piece and length; other columns pass, whatever their names but those two. With order_col
+    (a number), as many windows of its order as asked for, of about as many pieces each, are packed for themselves, and
+    sequence_id grows with the window. Ranks within a length come from one range shuffle by (window, length, id, piece),
+    so a length that a third of all pieces share is spread over tasks. Null ids, ties and repeated rows are pieces like
+    others (their order among themselves does not matter), a null order counts as the first; an empty table gives none.
     """
     spark, uri = pieces.sparkSession, shared_dir(pieces.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = stored(pieces, f"{uri}/pieces")  # ranges are drawn from a sample, which would else encode every text once more
-    dealt = pieces.repartitionByRange(n, "length", id_col, "piece").sortWithinPartitions("length", id_col, "piece").withColumn("_at", F.monotonically_increasing_id())
-    dealt = stored(dealt.withColumn("_part", F.shiftright("_at", 33)), f"{uri}/dealt")
-    runs = dealt.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
-    # one row per length and partition that holds some: partitions are ranges, so at most lengths + partitions rows
-    counted: dict[int, int] = {}
+    cuts = pieces.agg(F.percentile_approx(order_col, [k / windows for k in range(1, windows)], 100_000).alias("c")).first()["c"] if order_col and windows > 1 else None
+    own = {c: free_name(pieces, f"_{c}") for c in ("window", "at", "part", "place")}
+    window = sum((F.when(F.col(order_col) > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
+    keys = [own["window"], "length", id_col, "piece", *[order_col] * bool(order_col)]
+    dealt = pieces.withColumn(own["window"], window).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(own["at"], F.monotonically_increasing_id())
+    dealt = stored(dealt.withColumn(own["part"], F.shiftright(own["at"], 33)), f"{uri}/dealt")
+    removed(spark, f"{uri}/pieces")
+    runs = dealt.groupBy(F.col(own["part"]).alias("part"), F.col(own["window"]).alias("window"), "length").agg(F.count(F.lit(1)).alias("n"), F.min(own["at"]).alias("first"))
+    # one row per window, length and partition that holds some: partitions are ranges, so at most windows * lengths + partitions rows
+    counted: dict[int, dict[int, int]] = {}
     base = []
-    for r in sorted(runs.collect(), key=lambda r: (r["length"], r["_part"])):
-        base.append((r["_part"], r["length"], r["first"] - counted.get(r["length"], 0)))
-        counted[r["length"]] = counted.get(r["length"], 0) + r["n"]
-    ranges = pack_lengths(counted, cap)
-    start = spark.createDataFrame(base, "_part long, length long, _zero long")
-    by_length: dict[int, list] = {}
-    for length, rank, take, first, offset in ranges:
-        by_length.setdefault(length, []).append((rank, take, first, offset))
-    # one row per length with its ranges in order of rank: sized by the lengths, not by the corpus
-    where = spark.createDataFrame(list(by_length.items()), "length long, _ranges array<struct<rank:long,take:long,first:long,used:long>>")
-    found = F.expr("filter(_ranges, r -> r.rank <= _rank and _rank < r.rank + r.take)[0]")
-    out = dealt.join(F.broadcast(start), ["_part", "length"]).join(F.broadcast(where), "length").withColumn("_rank", F.col("_at") - F.col("_zero")).withColumn("_bin", found)
-    return out.select(*pieces.columns, F.expr("_bin.first + _rank - _bin.rank").alias("sequence_id"), F.expr("_bin.used").alias("offset"))
-
-
-def sequences(packed: DataFrame, tokens: int = 2048) -> DataFrame:
-    """The sequences themselves, from packed pieces that carry `ids`: sequence_id, length, ids (little-endian bytes).
-    A group has `tokens` ids at most, so nothing unbounded meets in a task."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("_p")).select("sequence_id", "length", F.expr("aggregate(_p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
+    for r in sorted(runs.collect(), key=lambda r: (r["window"], r["length"], r["part"])):
+        of = counted.setdefault(r["window"], {})
+        base.append((r["part"], r["window"], r["length"], r["first"] - of.get(r["length"], 0)))
+        of[r["length"]] = of.get(r["length"], 0) + r["n"]
+    by_length: dict[tuple[int, int], list] = {}
+    bins = 0
+    for w, histogram in sorted(counted.items()):
+        ranges = pack_lengths(histogram, cap)
+        for length, rank, take, first, offset in ranges:
+            by_length.setdefault((w, length), []).append((rank, take, bins + first, offset))
+        bins += max(first + take for _, _, take, first, _ in ranges)
+    # one row per window and length with its ranges in order of rank: sized by the lengths, not by the corpus
+    ranges = "array<struct<rank:long,take:long,first:long,used:long>>"
+    start = spark.createDataFrame([((p, w, length), zero) for p, w, length, zero in base], "_from struct<part:long,window:int,length:long>, _zero long")
+    where = spark.createDataFrame([(k, v) for k, v in by_length.items()], f"_of struct<window:int,length:long>, _ranges {ranges}")
+    key = lambda *c: F.struct(*[F.col(own.get(x, x)).alias(x) for x in c])
+    told = dealt.select(F.struct(*[F.col(c) for c in pieces.columns]).alias("row"), key("part", "window", "length").alias("from"), key("window", "length").alias("of"), F.col(own["at"]).alias("at"))
+    out = told.join(F.broadcast(start), F.col("from") == F.col("_from")).join(F.broadcast(where), F.col("of") == F.col("_of")).withColumn("rank", F.col("at") - F.col("_zero"))
+    out = out.withColumn("bin", F.expr("filter(_ranges, r -> r.rank <= rank and rank < r.rank + r.take)[0]"))
+    return out.select("row.*", F.expr("bin.first + rank - bin.rank").alias("sequence_id"), F.expr("bin.used").alias("offset"))
+
+
+def sequences(packed: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The sequences themselves, a row each, from packed pieces that carry `ids`: sequence_id, length, ids (array<int>),
+    doc_ids and pieces (structs of id_col, the columns of `keep`, piece, start, length, ids_crc32 and offset), both in
+    order. A sequence is bounded by its capacity, so nothing unbounded meets in a task; an empty table gives none."""
+    told = ["offset", id_col, *(keep or []), "piece", "start", "length", "ids_crc32"]
+    parts = F.array_sort(F.collect_list(F.struct(*told, "ids"))).alias("parts")
+    out = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts)
+    shown = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in [*told[1:], "offset"]]))
+    return out.select("sequence_id", "length", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.transform("parts", lambda p: p[id_col]).alias("doc_ids"), shown.alias("pieces"))

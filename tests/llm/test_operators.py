@@ -82,7 +82,9 @@ def test_packing(docs, cap):
         assert len(b) <= cap.documents and sum(n * n for _, n in b) <= cap.attention
     if cap == packing.Capacity():
         whole = packing.sequences(packing.pack(pieces)).collect()
-        assert all(len(r["ids"]) == 4 * r["length"] for r in whole) and len(whole) == len(bins)
+        assert len(whole) == len(bins) and Counter(r["length"] for r in whole) == Counter(sum(n for _, n in b) for b in bins.values())
+        for r in whole:
+            assert r["ids"] == [x for p in r["pieces"] for x in ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]] and r["doc_ids"] == [p["doc_id"] for p in r["pieces"]]
     assert packing.pack(packing.token_pieces(docs.limit(0), path)).count() == 0
 
 
@@ -123,6 +125,65 @@ def test_jaccard(docs, block):
     assert jaccard.similar(docs.limit(0)).count() == 0
 
 
+def _plain_components(rows):
+    """(n_links, root) by number of row, comparing all pairs."""
+    sets, links, root = [], Counter(), list(range(len(rows)))
+    for t in rows:
+        w = _split(_lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            if sets[i] != sets[j]:
+                links[i] += 1
+                links[j] += 1
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    return links, root
+
+
+def test_long_chains_and_large_groups_of_near_copies(spark):
+    words = [f"w{k}" for k in range(1400)]
+    chain = [" ".join(words[k : k + 60]) for k in range(0, 1200, 7)]  # neighbours are similar, others share rare words at most
+    loose = [" ".join(words[k : k + 60]) + f" end{k}" for k in range(0, 1200, 20)]  # share keys, not linked
+    group = [" ".join(w if i != k else f"own{k}" for i, w in enumerate(f"g{j}" for j in range(150))) for k in range(40)]
+    texts = chain + loose + group
+    links, root = _plain_components(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4, 16, 1024):
+        got = {r["doc_id"]: r for r in jaccard.similar(df, block=block).collect()}
+        assert [got[k]["component_id"] for k in range(len(texts))] == root
+        assert [got[k]["n_links"] for k in range(len(texts))] == [links[k] for k in range(len(texts))]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = _text(21, 40), _text(22, 40)
+    rows = [(1, a), (1, a), (None, a), (2, b), (None, b), (None, b), (None, _text(23, 40)), (None, None), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(7), "own": F.lit("clash"), "key": F.lit(None).cast("int")})
+    for some in (df, df.repartition(3)):
+        kept = jaccard.one_of_each(some)
+        assert kept.columns == df.columns and {r["row"] for r in kept.collect()} == {7}
+        assert _count(kept.select("doc_id", "text").collect()) == _count([(1, a), (2, b), rows[6], (None, None), (None, None), (3, "")])
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_windows_of_the_order_are_packed_apart(spark):
+    r = random.Random(9)
+    rows = [(k, 0, r.choice([5, 700, 1500, 2048, r.randrange(1, 2048)]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, place long").withColumns({"_window": F.lit("clash"), "row": F.lit(1), "of": F.lit(2)})
+    got = packing.pack(df.repartition(3), order_col="place", windows=5).collect()
+    bins = defaultdict(list)
+    for x in got:
+        bins[x["sequence_id"]].append((x["offset"], x["length"], x["place"]))
+    assert len(got) == 3000 and sorted(bins) == list(range(len(bins))) and {x["_window"] for x in got} == {"clash"}
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _, _ in b] == [0, *itertools.accumulate(n for _, n, _ in b)][:-1] and sum(n for _, n, _ in b) <= 2048
+    spans = [(min(p for _, _, p in bins[k]), max(p for _, _, p in bins[k])) for k in sorted(bins)]
+    cuts = [k for k in range(1, len(spans)) if min(a for a, _ in spans[k:]) > max(z for _, z in spans[:k])]
+    assert len(cuts) >= 4  # five windows, one after the other
+    assert packing.pack(df.limit(0), order_col="place").count() == 0
+
+
 def test_subsets_and_prefixes_miss_no_link():
     grams = np.sort(np.random.default_rng(1).integers(0, 2**63, 12).astype(np.uint64))
     for light in (0, 4, 8):
@@ -177,22 +238,41 @@ def test_edited_text_is_the_next_documents(spark):
 
 
 def test_quality_rules(docs):
-    got = quality_rules.judge(docs).collect()
+    # the operator's own and former inner names as columns of the input
+    odd = docs.withColumns({c: F.lit(f"{c} stays") for c in ("quality", "quality_", "_text", "_words", "_w", "_l", "_q", "n_words", "votes")})
+    got = quality_rules.judge(odd, name="told").collect()
     assert len(got) == len(ROWS)
     for r in got:
         w = _split(r["text"])
         g = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         cover = {i + j for i in range(len(w) - 2) for j in range(3) if g[tuple(w[i : i + 3])] > 1}
-        q = r["_q"]
+        q = r["told"]
         assert (q["n_words"], q["word_chars"], q["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover))
-        assert r["_base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
-    assert quality_rules.accepted(docs).columns == docs.columns and quality_rules.judge(docs.limit(0)).count() == 0
+        assert q["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and r["quality"] == "quality stays" and r["_w"] == "_w stays"
+    kept = quality_rules.accepted(odd)
+    assert kept.columns == odd.columns and {r["_text"] for r in kept.collect()} == {"_text stays"}
+    assert quality_rules.judge(docs.limit(0)).count() == 0 == quality_rules.accepted(odd.limit(0)).count()
 
 
 def test_votes_split_good_from_bad():
     good, bad = "000000000011111", "011000000000100"
-    p = quality_rules.fit({good: 900, bad: 100})
-    assert p[good] > 0.9 and p[bad] < 0.1 and quality_rules.fit({}) == {}
+    p = quality_rules.fit({good: 900, bad: 100}).posterior
+    assert p[good] > 0.9 and p[bad] < 0.1 and quality_rules.fit({}).posterior == {}
+
+
+def test_accuracies_are_estimated_and_the_likelihood_rises():
+    r, rules = random.Random(5), quality_rules.RULES
+    on_good = [0.7 + 0.02 * i if x[1] else 0.01 + 0.004 * i for i, x in enumerate(rules)]
+    on_bad = [0.1 + 0.02 * i if x[1] else 0.2 + 0.05 * i for i, x in enumerate(rules)]
+    truth = [r.random() < 0.8 for _ in range(20_000)]
+    patterns = Counter("".join("1" if r.random() < x else "0" for x in (on_good if y else on_bad)) for y in truth)
+    fit = quality_rules.fit(patterns, smoothing=0.0)
+    assert abs(fit.prior - 0.8) < 0.02 and len(fit.objective) > 3
+    assert all(b >= a - 1e-9 * abs(a) for a, b in itertools.pairwise(fit.objective))
+    for i, (_, is_good, _) in enumerate(rules):
+        assert abs(fit.on_good[i] - on_good[i]) < 0.03 and abs(fit.on_bad[i] - on_bad[i]) < 0.06
+        right, wrong = (0.8 * on_good[i], 0.2 * on_bad[i]) if is_good else (0.2 * on_bad[i], 0.8 * on_good[i])
+        assert abs(fit.accuracy[i] - right / (right + wrong)) < 0.05
 
 
 def test_classifier(spark):
@@ -221,19 +301,39 @@ def test_classifier_learns_from_metadata(spark):
 
 
 def test_mixing(docs):
-    got = mixing.mix(docs).collect()
-    assert len(got) == len(ROWS) and sum(r["_size"] for r in got) == sum(len(_split(t)) for _, t in ROWS)
-    total = sum({r["source"]: r["_target"] for r in got}.values())
-    assert math.isclose(total, sum(r["_size"] for r in got)) and all(r["_taken"] <= 3 * r["_size"] for r in got)
-    places = [r["_position"] for r in mixing.curriculum(mixing.mix(docs)).collect()]
-    assert places == sorted(places) and all(0 <= p <= 1 for p in places)
-    assert mixing.mix(docs.limit(0)).count() == 0
+    odd = docs.withColumns({c: F.lit(f"{c} stays") for c in ("mix", "mix_pass", "_source", "_bucket", "_size", "bucket")})
+    got = mixing.mix(odd).collect()
+    assert len(got) == len(ROWS) and sum(r["mix_"]["size"] for r in got) == sum(len(_split(t)) for _, t in ROWS)
+    total = sum({r["source"]: r["mix_"]["target"] for r in got}.values())
+    assert math.isclose(total, sum(r["mix_"]["size"] for r in got)) and all(r["mix_"]["taken"] <= 3 * r["mix_"]["size"] and r["_source"] == "_source stays" for r in got)
+    mixed = mixing.mix(odd, name="m")
+    places = [r["m"]["position"] for r in mixing.curriculum(mixed, "m").collect()]
+    assert places == sorted(places) and all(0 <= p <= 1 for p in places) and len(places) == sum(r["mix_"]["passes"] for r in got)
+    every = mixing.curriculum(mixed, "m", untaken=True).select("doc_id", "m.*", mixing.positions("m").alias("all")).collect()
+    first = [r for r in every if not r["pass"]]
+    assert _count((r["doc_id"],) for r in first) == _count((i,) for i, _ in ROWS) and all(len(r["all"]) == r["passes"] for r in first)
+    assert all(r["position"] == r["all"][r["pass"]] if r["passes"] else r["position"] is None for r in every)
+    assert mixing.mix(docs.limit(0)).count() == 0 == mixing.curriculum(mixing.mix(docs.limit(0))).count()
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b", "x"), (1, "c d e", "x"), (None, "f", "x"), (None, "g h", None), (2, "i", None), (2, "i", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.curriculum(mixing.mix(df), untaken=True).filter("mix.pass IS NULL OR mix.pass = 0").select("doc_id", "text", "source").collect()
+    assert _count(out) == _count(rows)
+
+
+def test_ranks_by_code_point(spark):
+    names = [f"s{k}" for k in range(50)] + ["Z", "ä", "", "\U0001f600", "\uffff", None]
+    got = {r["source"]: r["rank"] for r in mixing.ranked(spark.createDataFrame([(x,) for x in names], "source string").repartition(3)).collect()}
+    assert sorted(got, key=got.get) == sorted(names, key=lambda x: (x is None, x or "")) and sorted(got.values()) == list(range(len(names)))
 
 
 def test_targets_are_capped_and_reshared(spark):
     s = spark.createDataFrame([("a", 10, 3.0, 3.0), ("b", 1000, 1.0, 1.0), ("c", 90, 2.0, 2.0)], "source string, source_size long, start double, end double")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
     assert got["a"] == 30 and got["c"] == 270 and math.isclose(got["b"], 800)
+    assert mixing.targets(s.limit(0)).count() == 0
 
 
 def test_licenses(spark):
@@ -307,11 +407,3 @@ def test_loser_tree():
     for k in range(9):
         runs = [sorted(r.randrange(50) for _ in range(r.randrange(20))) for _ in range(k)]
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(itertools.chain(*runs))
-
-
-def test_pipeline(spark, sf):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = pipeline.table(spark, sf, "documents")
-    rows = pipeline.run(spark, sf).collect()
-    bad = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").collect()}
-    assert rows and not bad & {r["doc_id"] for r in rows} and len({r["doc_id"] for r in rows}) > 0.5 * docs.count()

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.llm import fingerprints, lm_score, mixing, quality_fm, quality_rules
+from scanloom.llm.shared import with_place
 
 from .test_operators import ROWS, _lower, _split
 
@@ -41,26 +42,30 @@ def _margin(m, idx, x):
 
 
 def _first_of_groups(rows):
-    sets = {}
-    for i, t in rows:
+    """Numbers of the rows (id, text) that are the first of their group, by id with null last."""
+    sets = []
+    for _, t in rows:
         w = _split(_lower(t))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    having, root = defaultdict(list), {i: i for i in sets}
-    for i, s in sets.items():
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    having, root = defaultdict(list), list(range(len(rows)))
+    for i, s in enumerate(sets):
         for g in s:
             having[g].append(i)
-    pairs = Counter(p for ids in having.values() for p in itertools.combinations(sorted(ids), 2))
+    pairs = Counter(p for ids in having.values() for p in itertools.combinations(ids, 2))
     for (i, j), n in pairs.items():
         if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n) and root[i] != root[j]:
             a, b = sorted((root[i], root[j]))
-            root = {k: a if r == b else r for k, r in root.items()}
-    return {i for i, r in root.items() if i == r}
+            root = [a if r == b else r for r in root]
+    groups = defaultdict(list)
+    for i, r in enumerate(root):
+        groups[r].append(i)
+    return [min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for g in groups.values()]
 
 
-def _taken(rows):
-    """Passes of each (id, source, size, hash), and each source's target, by filling up to the caps."""
+def _taken(rows, partitions=4, fill=8):
+    """Passes of each (source, size, hash) by number of row, and each source's target, by filling up to the caps."""
     size = Counter()
-    for _, s, n, _ in rows:
+    for s, n, _ in rows:
         size[s] += n
     order = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: k % 3 + 1 for k, s in enumerate(order)}
@@ -70,64 +75,139 @@ def _taken(rows):
         full = {s for s in free if 3 * size[s] < level * weight[s]}
         target |= {s: 3.0 * size[s] for s in full} if full else {s: level * weight[s] for s in free}
         free = free - full if full else set()
-    passes, before = {}, Counter()
-    for i, s, n, _ in sorted(rows, key=lambda r: r[3] % 2**64):
+    bits = max(2, (4 * partitions - 1).bit_length())
+    passes = {}
+    for s in order:
         whole = math.floor(target[s] / size[s]) if size[s] else 0
-        passes[i] = whole + (before[s] + n / 2 < target[s] - whole * size[s])
-        before[s] += n
+        rest, upto, reach, spare, rank = target[s] - whole * size[s], 0, 0, {}, Counter()
+        # signed inside a bucket, buckets by the upper bits
+        for i in sorted((i for i, r in enumerate(rows) if r[0] == s), key=lambda i: ((rows[i][2] % 2**64) >> (64 - bits), rows[i][2], rows[i][1])):
+            n, bucket = rows[i][1], (rows[i][2] % 2**64) >> (64 - bits)
+            upto += n
+            rank[bucket] += 1
+            passes[i] = whole + (rest > 0 and upto <= rest)
+            if rest > 0 and upto <= rest:
+                reach = upto
+            elif rest > 0 and n:
+                spare.setdefault((n.bit_length(), bucket), (n, -bucket, rank[bucket], i))
+        by_class = defaultdict(list)
+        for (c, _), x in sorted(spare.items()):
+            by_class[c].append(x)
+        gap = rest - reach
+        for n, _, _, i in sorted((x for xs in by_class.values() for x in xs[:fill]), reverse=True):
+            if n <= gap:
+                passes[i] += 1
+                gap -= n
     return passes, target
 
 
-def test_pipeline_stages(spark, sf):
+@pytest.fixture(scope="module")
+def tables(spark, sf, tmp_path_factory):
+    """documents with repeated rows, null and repeated ids, empty texts and columns of clashing names; labels."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    again = docs.filter("doc_id % 17 = 3").limit(8)
+    null = F.lit(None).cast("long").alias("doc_id")
+    rest = [F.col(c) for c in docs.columns[1:]]
+    nameless = docs.filter("doc_id % 13 = 5").limit(9).select(null, *rest)
+    fresh = docs.filter("doc_id % 19 = 4").limit(6).select(null, F.reverse(F.col("text")).alias("text"), *rest[1:])
+    same_id = docs.filter("doc_id % 11 = 2").limit(9).select("doc_id", F.concat(F.reverse("text"), F.lit(" one more word.")).alias("text"), *rest[1:])
+    no_text = docs.limit(2).select("doc_id", F.lit(None).cast("string").alias("text"), *rest[1:])
+    odd = docs
+    for part in (again, nameless, fresh, same_id, no_text):
+        odd = odd.unionByName(part)
+    clash = {c: F.lit(f"{c} stays") for c in ("mix", "quality", "row", "place", "_text", "id", "_taken")}
+    odd.withColumns(clash).write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def test_pipeline_stages(spark, tables):
     from tokenizers import Tokenizer
 
     import corpus_pipeline as pipeline
 
-    tables = [pipeline.table(spark, sf, "documents")]
-    for _, stage in pipeline.STAGES:
-        tables.append(stage(spark, tables[-1], sf).cache())
-    rows = [[(r["doc_id"], r["text"]) for r in t.select("doc_id", "text").collect()] for t in tables[:-1]]
+    results = [pipeline.table(spark, tables, "documents")]
+    columns = results[0].columns
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, results[-1], tables)
+        assert k == 4 or out.columns == columns
+        out.write.parquet(f"{tables}/stage-{k}")
+        results.append(spark.read.parquet(f"{tables}/stage-{k}"))
+    for t in results[:-1]:
+        assert {(r["mix"], r["row"], r["_taken"]) for r in t.select("mix", "row", "_taken").distinct().collect()} <= {("mix stays", "row stays", "_taken stays")}
+    rows = [[(r["doc_id"], r["text"]) for r in t.select("doc_id", "text").collect()] for t in results[:-1]]
     # quality rules
     judged = [(i, t, *_pattern(t)) for i, t in rows[0]]
-    posterior = quality_rules.fit(Counter(v for _, _, v, _ in judged))
+    posterior = quality_rules.fit(Counter(v for _, _, v, _ in judged)).posterior
     assert Counter(rows[1]) == Counter((i, t) for i, t, v, failed in judged if not failed and posterior[v] >= 0.5)
     # classifier
-    m = quality_fm.train(tables[0], pipeline.table(spark, sf, "labels").filter(quality_fm.crc_mod("doc_id", 3) != 1))
+    m = quality_fm.train(results[0], pipeline.table(spark, tables, "labels").filter(quality_fm.crc_mod("doc_id", 3) != 1))
     assert Counter(rows[2]) == Counter((i, t) for i, t in rows[1] if _margin(m, *quality_fm.features(t.encode())) >= 0)
     # near duplicates
-    first = _first_of_groups(rows[2])
-    assert Counter(rows[3]) == Counter((i, t) for i, t in rows[2] if i in first) and len(rows[3]) < len(rows[2])
+    assert Counter(rows[3]) == Counter(rows[2][k] for k in _first_of_groups(rows[2])) and len(rows[3]) < len(rows[2])
+    assert any(i is None for i, _ in rows[3]) and len({i for i, _ in rows[3]}) < len(rows[3])
     # mixing
-    hashed = {r["doc_id"]: (r["source"], r["h"]) for r in tables[3].select("doc_id", "source", F.xxhash64("doc_id").alias("h")).collect()}
-    passes, _ = _taken([(i, hashed[i][0], len(_split(t)), hashed[i][1]) for i, t in rows[3]])
-    assert Counter(rows[4]) == Counter({(i, t): passes[i] for i, t in rows[3] if passes[i]})
-    # packing: every pass of every document from its first id to the end that follows its last
+    told = [tuple(r) for r in results[3].select("doc_id", "text", "source", F.xxhash64("doc_id", "text")).collect()]
+    passes, _ = _taken([(s, len(_split(t)), h) for _, t, s, h in told])
+    assert Counter(rows[4]) == Counter({(i, t): passes[k] for k, (i, t, _, _) in enumerate(told) if passes[k]})
+    # packing: every row of the mix from its first id to the end that follows its last, in the order of the mix
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = defaultdict(list)
-    for r in tables[5].select("doc_id", "start", "length").collect():
-        pieces[r["doc_id"]].append((r["start"], r["length"]))
-    assert set(pieces) == {i for i, _ in rows[4]}
-    for i, text in set(rows[4]):
-        one = sorted(Counter(pieces[i]).items())
-        assert {n for _, n in one} == {passes[i]}
-        assert [a for (a, _), _ in one] == [0, *itertools.accumulate(n for (_, n), _ in one)][:-1]
-        assert sum(n for (_, n), _ in one) == len(t.encode(text, add_special_tokens=False).ids) + 1
-    for x in tables[1:]:
-        x.unpersist()
+    ids = {text: [*t.encode(text, add_special_tokens=False).ids, 0] for _, text in rows[4]}
+    documents, place = defaultdict(list), defaultdict(list)
+    for r in results[5].collect():
+        assert r["length"] == len(r["ids"]) <= 2048 and r["doc_ids"] == [p["doc_id"] for p in r["pieces"]]
+        at = 0
+        for p in r["pieces"]:
+            assert p["offset"] == at
+            documents[p["place"]].append((p["piece"], p["doc_id"], r["ids"][at : at + p["length"]]))
+            place[r["sequence_id"]].append(p["place"])
+            at += p["length"]
+        assert at == r["length"]
+    whole = []
+    for _, pieces in sorted(documents.items()):
+        pieces.sort(key=lambda p: p[0])
+        assert [p[0] for p in pieces] == list(range(len(pieces)))
+        whole.append((pieces[0][1], [x for p in pieces for x in p[2]]))
+    assert Counter((i, tuple(x)) for i, x in whole) == Counter((i, tuple(ids[text])) for i, text in rows[4])
+    by_file = [(r["doc_id"], r["text"]) for r in with_place(results[4], "at").orderBy("at").collect()]
+    assert [i for i, _ in whole] == [i for i, _ in by_file]
+    last = [max(place[k]) for k in sorted(place)]
+    assert sorted(place) == list(range(len(place))) and max(last[: len(last) // 4]) < max(last)
+    assert Counter((tuple(r["doc_ids"]), tuple(r["ids"])) for r in pipeline.run(spark, tables).collect()) == Counter((tuple(r["doc_ids"]), tuple(r["ids"])) for r in results[5].collect())
+
+
+def test_pipeline_of_an_empty_table(spark, tables, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for name in ("documents", "labels"):
+        pipeline.table(spark, tables, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_taken_words_meet_the_targets(spark):
-    rows = [(k, f"s{k * k % 4}" if k % 11 else None, 20 + k * 7 % 50) for k in range(400)]
+    rows = [(k, f"s{k * k % 4}" if k % 11 else None, 20 + k * 7 % 50 if k % 40 else 900) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
     hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    passes, target = _taken([(i, s, n, hashes[i]) for i, s, n in rows])
+    passes, target = _taken([(s, n, hashes[i]) for i, s, n in rows])
     got = mixing.mix(df, size_col="size").collect()
-    assert {r["doc_id"]: r["_passes"] for r in got} == passes and len(got) == len(rows)
-    taken = Counter()
+    assert {r["doc_id"]: r["mix"]["passes"] for r in got} == passes and len(got) == len(rows)
+    taken, left = Counter(), defaultdict(list)
     for r in got:
-        assert math.isclose(r["_target"], target[r["source"]]) and r["_taken"] == r["_passes"] * r["size"]
-        taken[r["source"]] += r["_taken"]
-    assert all(abs(taken[s] - target[s]) <= 69 / 2 for s in target)
+        assert math.isclose(r["mix"]["target"], target[r["source"]]) and r["mix"]["taken"] == r["mix"]["passes"] * r["size"]
+        taken[r["source"]] += r["mix"]["taken"]
+        left[r["source"]].append((r["mix"]["passes"], r["size"]))
+    for s in target:
+        # what is open fits no document that the mix left out
+        assert 0 <= target[s] - taken[s] < min([n for p, n in left[s] if p == min(left[s])[0]], default=0) + 1
+    # training positions: the inverse of the cumulative demand, by numeric integration of the schedule
+    one = next(r["mix"] for r in got if r["mix"]["passes"] > 1)
+    grid = np.linspace(0, 1, 200_001)
+    demand = np.cumsum(one["start"] + (one["end"] - one["start"]) * grid)
+    at = [r for r in mixing.curriculum(mixing.mix(df, size_col="size")).collect() if r["mix"]["before"] == one["before"] and r["mix"]["source_size"] == one["source_size"]]
+    for r in at:
+        share = min(1, (r["mix"]["pass"] * one["source_size"] + one["before"]) / one["target"])
+        assert abs(r["mix"]["position"] - grid[np.searchsorted(demand, share * demand[-1])]) < 1e-4
 
 
 def test_kneser_ney_probabilities(spark):
