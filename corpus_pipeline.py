@@ -8,34 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm import jaccard, mixing, packing, quality_fm, quality_rules
 from scanloom.llm.queries import vocabulary
-from scanloom.llm.shared import shared_dir, stored, table
+from scanloom.llm.shared import free_name, removed, shared_dir, stored, table, with_place
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the posterior of the votes accept."""
+    """Documents that the base rules and the posterior of the votes accept. Null, empty and short texts go; repeated rows
+    have equal verdicts; an empty table stays empty; further columns pass, whatever their names."""
     return quality_rules.accepted(docs)
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled rows of the raw documents, since the rows that
-    the rules left have hardly any of the low class."""
+    the rules left have hardly any of the low class. Null and empty texts are scored by their statistics, ties at the
+    threshold and repeated rows stay, an empty table stays empty; further columns pass, whatever their names."""
     machine = quality_fm.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(quality_fm.crc_mod("doc_id", 3) != 1))
     return quality_fm.accepted(docs, machine)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked ones."""
+    """One row, that of the smallest id, of each group of linked documents; of rows with equal ids and texts the first.
+    Null and empty texts link with nothing; null ids come after others; an empty table stays empty; further columns
+    pass, whatever their names."""
     return jaccard.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
-    return mixing.curriculum(mixing.mix(docs)).select(*docs.columns)
+    """Documents as often as the mix takes them, sorted by training position over the files and inside each: what is
+    stored keeps the order, for the documents' columns alone may leave this stage. Null sources are a source, null texts
+    weigh nothing, rows of equal ids are mixed each for itself, an empty table stays empty; further columns pass."""
+    name = free_name(docs, "mix")
+    return mixing.curriculum(mixing.mix(docs, name=name), name).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of at most 2048 tokens."""
-    return packing.pack(packing.token_pieces(docs, vocabulary("byte_bpe_50k.json")))
+    """The training sequences: sequence_id, length (2048 tokens at most), ids, doc_ids, and pieces, which say for each
+    piece its document, the document's place in the training order (unique for every time that it is taken), number,
+    start, length and offset. Windows of the order are packed one after the other, so sequence_id follows the curriculum.
+    Null and empty texts are their end alone; rows of equal or null ids have places of their own; no row is left out; an
+    empty table gives none; further columns are ignored."""
+    rows = with_place(docs.select("doc_id", "text"), "place")
+    pieces = packing.token_pieces(rows, vocabulary("byte_bpe_50k.json"), with_ids=True, keep=["place"])
+    return packing.sequences(packing.pack(pieces, order_col="place"), keep=["place"])
 
 
 STAGES = [
@@ -46,7 +59,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL expresses neither the classifier nor the packing; tests compare run() with a plain version.
+#: SQL expresses neither the classifier nor the packing; tests/llm/test_plain_versions.py compares every stage with a
+#: plain version, and run() with their sequence.
 ORACLE_SQL = None
 
 
@@ -54,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, at = table(spark, sf_dir, "documents"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"{at}/stage-{k}")
+        if k:
+            removed(spark, f"{at}/stage-{k - 1}")
     return docs
