@@ -1,16 +1,22 @@
-"""Perplexity under an interpolated modified Kneser-Ney bigram model of the corpus itself.
+"""Perplexity under an interpolated modified Kneser-Ney n-gram model of the corpus itself.
 
-Three rounds of counting, each from sorted compressed blobs that tasks send to shards: word hashes with their counts,
-then word pairs with theirs, then each word's kinds of successors and predecessors. The model is sorted arrays in the
-shared folder: word hashes (a word's id is its place), word pairs as 64-bit keys, counts in one byte each with a side
-table for larger ones. Workers map them into memory and score by sorted searches, so a model may exceed memory.
+Counting goes order by order. Tasks sum what their texts hold up to a memory bound and send sorted compressed blobs of
+keys to shards; what one order's exchange wrote is gone before the next begins. The model is sorted arrays in the shared
+folder, which workers map into memory and search, so a model may exceed memory:
 
-Every n-gram is kept. The order is two: pairs of the whole corpus fit the disk of the budget, triples do not (README).
+- words: 64-bit hashes; a word's id is its place.
+- pairs: 64-bit hashes (a bijection of word id and word id), so that the pairs of a frequent word spread over all shards.
+- n-grams of order three and more: place of the first n-1 words in the order below, then the last word's id. A shard has
+  all that follows the contexts of the shard below, so the contexts' sums are made where their n-grams are.
+- counts in a byte each, with a side table for larger ones.
+
+Orders below the highest count how many words stand before an n-gram (how often it occurs, at the start of a text, where
+nothing does). Every n-gram of every training text is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -18,63 +24,93 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .jaccard import WordHashes, _large, _mixed, _pack, _small, _unpack
+from .jaccard import M2, _large, _mixed, _pack, _small, _unpack
 from .quality_fm import crc_mod
 from .shared import map_array, put_array, shared_dir, slices, stored, texts_of, type_of, worker_state
 
 #: The end of a text, which also stands before its first word; white space cannot be a word.
 END = xxhash.xxh3_64_intdigest(b"\n")
+#: So many counts a task sums before it sends them.
+HELD = 2_000_000
+INVERSE = np.uint64(pow(int(M2), -1, 1 << 64))
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's words and its end, and the number of tokens of each text."""
-    known: WordHashes = worker_state("lm_score").setdefault("words", WordHashes())
-    if len(known) > 300_000:
-        known.clear()
-    parts, sizes = [], []
-    for t in texts:
-        words = t.lower().split()
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        parts.append(np.array([END], np.uint64))
-        sizes.append(len(words) + 1)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(sizes, np.int64)
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * INVERSE
+    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
 
 
-def _blob_rows(shard: np.ndarray, shards: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """(shard, packed keys, values...) of sorted keys."""
-    o = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[o], np.arange(shards + 1))
-    return [(k, _pack(keys[o[a:z]]), *[_small(v[o[a:z]]) for v in values]) for k, (a, z) in enumerate(pairwise(edges.tolist())) if z > a]
+def words_of(texts: list[bytes]) -> list[list[bytes]]:
+    return [t.lower().split() for t in texts]
 
 
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Sorted keys with the sums of their values."""
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with the sums of their counts."""
     keys = np.concatenate([p[0] for p in parts])
-    o = np.argsort(keys, kind="stable")
+    o = np.argsort(keys)
     keys = keys[o]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], *[np.add.reduceat(np.concatenate([p[i] for p in parts])[o], first) for i in range(1, len(parts[0]))]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    n = np.concatenate([p[1] for p in parts])[o]
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    held: dict[int, list] = {}
-    for b in batches:
-        for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.setdefault(k, []).append(row)
-    while held:
-        k, rows = held.popitem()
-        yield k, [(_unpack(r[0]), *[_large(v) for v in r[1:]]) for r in rows]
+SENT = "shard int, kind int, keys binary, n binary"
 
 
 def _record(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-BLOBS = ([pa.int32(), pa.binary(), pa.binary()], ["shard", "keys", "n"])
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    return _record(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["shard", "kind", "keys", "n"])
+
+
+def _dealt(kind: int, keys: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[tuple]:
+    """A blob for each shard of sorted keys; cuts are the shards' first keys."""
+    edges = [*np.searchsorted(keys, cuts).tolist(), len(keys)]
+    return [(k, kind, _pack(keys[a:z]), _small(n[a:z])) for k, (a, z) in enumerate(pairwise(edges)) if z > a]
 
 
-def _top(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+def _counting(rows: DataFrame, keys_of: Callable[[list[bytes]], list[np.ndarray]], cuts: np.ndarray) -> DataFrame:
+    """Blobs of the keys that keys_of finds in texts, one array for each kind, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        for b in (s for b in batches for s in slices(b)):
+            found = [np.unique(k, return_counts=True) for k in keys_of(texts_of(b))]
+            held = held or [[] for _ in found]
+            for kind, x in enumerate(found):
+                held[kind].append(x)
+            if sum(len(k) for x in held for k, _ in x) > HELD:
+                yield _blobs([r for kind, x in enumerate(held) for r in _dealt(kind, *_summed(x), cuts)])
+                held = []
+        if held:
+            yield _blobs([r for kind, x in enumerate(held) for r in _dealt(kind, *_summed(x), cuts)])
+
+    return rows.mapInArrow(run, SENT)
+
+
+def _per_shard(sent: DataFrame, shards: int, keep: Callable[[int, dict], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
+    """keep(shard, {kind: (keys, counts)}) where a shard's blobs are; every shard, those without any too, has a task of its own."""
+    every = sent.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(-1).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, list]] = {}
+        for b in batches:
+            for shard, kind, keys, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of = held.setdefault(shard, {})
+                if kind >= 0:
+                    of.setdefault(kind, []).append((keys, n))
+        while held:
+            shard, kinds = held.popitem()
+            yield keep(shard, {kind: _summed([(_unpack(k), _large(n)) for k, n in kinds.pop(kind)]) for kind in list(kinds)})
+
+    return sent.unionByName(every).repartitionById(shards, "shard").mapInArrow(run, schema)
+
+
+def hash_cuts(shards: int) -> np.ndarray:
+    """The smallest hash of each shard."""
+    return np.array([-(-(k << 32) // shards) << 32 for k in range(shards)], np.uint64)
 
 
 def _put_counts(uri: str, c: np.ndarray) -> None:
@@ -84,6 +120,9 @@ def _put_counts(uri: str, c: np.ndarray) -> None:
     put_array(f"{uri}-large.npy", c[large].astype(np.uint64))
 
 
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 class Counts:
     """Counts of a byte each, 255 meaning: see the side table."""
 
@@ -97,70 +136,119 @@ class Counts:
         return c
 
 
-class Shards:
-    """The model's files, mapped."""
-
-    def __init__(self, uri: str, shards: int, bases: list[int], pairs: bool, stats: bool):
-        self.shards, self.bases, self.v = shards, bases, bases[-1]
-        self.words = [map_array(f"{uri}/words-{k}.npy") if bases[k + 1] > bases[k] else np.zeros(0, np.uint64) for k in range(shards)]
-        self.counts = [Counts(f"{uri}/counts-{k}") if bases[k + 1] > bases[k] else None for k in range(shards)]
-        self.pairs = [map_array(f"{uri}/pairs-{k}.npy") for k in range(shards)] if pairs else []
-        self.pair_counts = [Counts(f"{uri}/paired-{k}") for k in range(shards)] if pairs else []
-        self.stats = [map_array(f"{uri}/stats-{k}.npy") if bases[k + 1] > bases[k] else np.zeros((0, 4), np.uint32) for k in range(shards)] if stats else []
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of sorted distinct hashes, -1 for unknown ones."""
-        out = np.full(len(hashes), -1, np.int64)
-        edges = np.searchsorted(_top(hashes, self.shards), np.arange(self.shards + 1)).tolist()
-        for k, (a, z) in enumerate(pairwise(edges)):
-            if z > a and len(w := self.words[k]):
-                at = np.minimum(np.searchsorted(w, hashes[a:z]), len(w) - 1)
-                out[a:z] = np.where(w[at] == hashes[a:z], at + self.bases[k], -1)
-        return out
-
-    def of_ids(self, ids: np.ndarray, what: list, width: int) -> np.ndarray:
-        """A row of `width` values for each of ascending ids."""
+#: What a context has: the sum of the counts of what follows it, and of how many the count is 1, 2, or more.
+CONTEXT = ("total", "once", "twice", "more")
+
+
+def _context_sums(parents: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
+    """CONTEXT of `size` contexts from the contexts and counts of n-grams."""
+    of = lambda some: np.bincount(parents[some], minlength=size)
+    total = np.bincount(parents, weights=n, minlength=size).astype(np.int64)
+    return [total, of(n == 1), of(n == 2), of(n > 2)]
+
+
+def _seen(n: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
+
+
+class Tables:
+    """The model's files, mapped. sizes[k - 1]: the numbers of n-grams of order k in the shards."""
+
+    def __init__(self, uri: str, shards: int, sizes: list[list[int]]):
+        self.uri, self.shards = uri, shards
+        self.bases = [np.cumsum([0, *s]).astype(np.int64) for s in sizes]
+        self.v = int(self.bases[0][-1])
+        self.keys = [[map_array(f"{uri}/{k + 1}-{i}.npy") if n else np.zeros(0, np.uint64) for i, n in enumerate(s)] for k, s in enumerate(sizes)]
+        self.files: dict[str, list] = {}
+        self.ids: dict[bytes, int] = {}
+
+    def counts(self, order: int, name: str) -> list[Counts]:
+        key = f"{order}-{name}"
+        if key not in self.files:
+            self.files[key] = [Counts(f"{self.uri}/{key}-{i}") if len(k) else None for i, k in enumerate(self.keys[order - 1])]
+        return self.files[key]
+
+    def word_table(self, name: str) -> list[np.ndarray]:
+        if name not in self.files:
+            self.files[name] = [map_array(f"{self.uri}/{name}-{i}.npy") if len(k) else np.zeros((0, 1), np.uint64) for i, k in enumerate(self.keys[0])]
+        return self.files[name]
+
+    def cuts(self, order: int) -> np.ndarray:
+        """The first key of each shard of an order."""
+        return hash_cuts(self.shards) if order < 3 else self.bases[order - 2][:-1].astype(np.uint64) * np.uint64(self.v)
+
+    def find(self, order: int, keys: np.ndarray, names: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys in an order, -1 for unknown ones, and the counts of those names."""
+        h = _mixed(keys) if order == 2 else keys
+        o = np.argsort(h)
+        q, cuts = h[o], self.cuts(order)
+        at, told = np.full(len(q), -1, np.int64), np.zeros((len(q), len(names)), np.int64)
+        for i, (a, z) in enumerate(pairwise([*np.searchsorted(q, cuts).tolist(), len(q)])):
+            if z > a and len(own := self.keys[order - 1][i]):
+                part = q[a:z] - cuts[i] if order > 2 else q[a:z]
+                p = np.minimum(np.searchsorted(own, part), len(own) - 1)
+                hit = np.flatnonzero(own[p] == part)
+                at[a + hit] = p[hit] + self.bases[order - 1][i]
+                for c, name in enumerate(names):
+                    told[a + hit, c] = self.counts(order, name)[i][p[hit]]
+        out, out_told = np.empty_like(at), np.empty_like(told)
+        out[o], out_told[o] = at, told
+        return out, out_told
+
+    def words(self, ids: np.ndarray, name: str, width: int) -> np.ndarray:
+        """A row of `width` values for each of ascending word ids."""
         out = np.zeros((len(ids), width), np.int64)
-        edges = np.searchsorted(ids, self.bases).tolist()
-        for k, (a, z) in enumerate(pairwise(edges)):
+        for i, (a, z) in enumerate(pairwise(np.searchsorted(ids, self.bases[0]).tolist())):
             if z > a:
-                got = what[k][ids[a:z] - self.bases[k]]
-                out[a:z] = got.reshape(z - a, width)
+                out[a:z] = self.word_table(name)[i][ids[a:z] - self.bases[0][i]].reshape(z - a, width)
         return out
 
-    def pair_count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pair keys."""
-        out = np.zeros(len(keys), np.int64)
-        shard = _top(_mixed(keys), self.shards)
-        o = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[o], np.arange(self.shards + 1)).tolist()
-        for k, (a, z) in enumerate(pairwise(edges)):
-            if z > a and len(p := self.pairs[k]):
-                q = keys[o[a:z]]
-                at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-                hit = np.flatnonzero(p[at] == q)
-                out[o[a:z][hit]] = self.pair_counts[k][at[hit]]
-        return out
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) of all tokens, each text's words and its end; each text's first token; each token's place in its text."""
+        if len(self.ids) > 300_000:
+            self.ids.clear()
+        split = words_of(texts)
+        new = list(set().union(*split) - self.ids.keys()) if split else []
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        self.ids.update(zip(new, self.find(1, hashes)[0].tolist(), strict=True))
+        end = self.find(1, np.array([END], np.uint64))[0]
+        ids = np.concatenate([x for w in split for x in (np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)), end)]) if split else end[:0]
+        sizes = np.array([len(w) + 1 for w in split], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        return ids, starts, np.arange(len(ids)) - np.repeat(starts, sizes)
 
+    def end(self) -> int:
+        return int(self.find(1, np.array([END], np.uint64))[0][0])
+
+    def key(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return context.astype(np.uint64) * np.uint64(self.v) + ids.astype(np.uint64)
 
-def _shards(uri: str, shards: int, bases: list[int], pairs: bool, stats: bool) -> Shards:
-    state = worker_state("lm_score")
-    if state.get("key") != (uri, pairs, stats):
-        state.update(key=(uri, pairs, stats), shards=Shards(uri, shards, bases, pairs, stats))
-    return state["shards"]
 
+def _shifted(x: np.ndarray, by: int, within: np.ndarray, least: int, fill: int) -> np.ndarray:
+    """x by tokens further on; fill where a token has not at least so many tokens of its text before it."""
+    out = np.full_like(x, fill)
+    out[by:] = x[: len(x) - by] if by < len(x) else x[:0]
+    return np.where(within >= least, out, fill)
 
-def _token_ids(m: Shards, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    hashes, sizes = token_hashes(texts)
-    distinct, back = np.unique(hashes, return_inverse=True)
-    return m.ids(distinct)[back], sizes
+
+def _mapped(uri: str, shards: int, sizes: list[list[int]]) -> Tables:
+    state = worker_state("lm_score")
+    if state.get("key") != (uri, len(sizes)):
+        state.clear()
+        state.update(key=(uri, len(sizes)), tables=Tables(uri, shards, sizes))
+    return state["tables"]
 
 
-def _contexts(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = end
-    return before
+def _places(m: Tables, ids: np.ndarray, within: np.ndarray, order: int) -> np.ndarray:
+    """The place in `order` of the n-gram that ends at each token, -1 where there is none."""
+    at = _shifted(ids, 1, within, 1, m.end())
+    for k in range(2, order + 1):
+        known = np.flatnonzero((at >= 0) & (ids >= 0))
+        found = np.full(len(ids), -1, np.int64)
+        found[known] = m.find(k, m.key(at[known], ids[known]))[0]
+        at = _shifted(found, 1, within, 1, -1) if k < order else found
+    return at if order > 1 else ids
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -171,132 +259,195 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """Discounts and totals beside the mapped arrays."""
+    """Discounts and totals beside the mapped arrays. seen: for each order, how many n-grams have counts of 1 to 4.
+    kinds: words by the number of different words before them (1, 2, 3 or more). links: all different pairs."""
 
-    def __init__(self, uri: str, shards: int, bases: list[int], end: int, tokens: int, pair_n: list[int], word_n: list[int], kinds: list[int], links: int):
-        self.uri, self.shards, self.bases, self.end, self.tokens = uri, shards, bases, end, tokens
-        self.d2, self.d1 = discounts(pair_n), discounts(word_n)
-        # words by number of predecessor kinds (1, 2, 3 or more), and all kinds of pairs
+    def __init__(self, uri: str, shards: int, sizes: list[list[int]], tokens: int, seen: list[list[int]], kinds: list[int], links: int):
+        self.uri, self.shards, self.sizes, self.tokens = uri, shards, sizes, tokens
+        self.order = len(sizes)
+        self.d = [discounts(n) for n in seen]
         self.links = max(1, links)
-        self.spare = float(self.d1[1:] @ np.array(kinds)) / self.links if links else 1.0
+        self.spare = float(self.d[0][1:] @ np.array(kinds)) / self.links if links else 1.0
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, unigram score and Kneser-Ney score (log10) of each text."""
-        m = _shards(self.uri, self.shards, self.bases, True, True)
-        ids, sizes = _token_ids(m, texts)
-        starts = np.cumsum(sizes) - sizes
-        before = _contexts(ids, sizes, self.end)
+        m = _mapped(self.uri, self.shards, self.sizes)
+        ids, starts, within = m.tokens(texts)
         distinct, back = np.unique(ids, return_inverse=True)
-        seen = distinct >= 0
-        table = np.zeros((len(distinct), 5), np.int64)  # count, predecessor kinds, successors seen once, twice, more often
-        if seen.any():
-            table[seen, :1] = m.of_ids(distinct[seen], m.counts, 1)
-            table[seen, 1:] = m.of_ids(distinct[seen], m.stats, 4)
-        count, kinds = table[:, 0], table[:, 1]
-        single = np.maximum(kinds - self.d1[np.minimum(kinds, 3)], 0) / self.links + self.spare / (m.v + 1)
-        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (m.v + 1)))
-        end_row = np.searchsorted(distinct, self.end) if self.end >= 0 else 0
-        context = np.empty_like(back)
-        context[1:] = back[:-1]
-        context[starts] = end_row
-        free = np.ones(len(distinct))
-        some = count > 0
-        free[some] = (table[some, 2:] @ self.d2[1:]) / count[some]
-        p = single[back] * free[context]
-        both = np.flatnonzero((ids >= 0) & (before >= 0))
-        keys, at = np.unique(before[both].astype(np.uint64) * np.uint64(m.v) + ids[both].astype(np.uint64), return_inverse=True)
-        c = m.pair_count(keys)[at]
-        p[both] += (c - self.d2[np.minimum(c, 3)]) / np.maximum(1, count[context[both]])
+        known = distinct >= 0
+        count, of_word = np.zeros(len(distinct), np.int64), np.zeros((len(distinct), 1 + len(CONTEXT)), np.int64)
+        if known.any():  # else no word of the texts is known
+            count[known] = m.words(distinct[known], "counts", 1)[:, 0]
+            of_word[known] = m.words(distinct[known], "stats", 1 + len(CONTEXT))
+        kinds = of_word[:, 0]
+        p = (np.maximum(kinds - self.d[0][np.minimum(kinds, 3)], 0) / self.links + self.spare / (m.v + 1))[back]
+        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (m.v + 1)))[back]
+        context = _shifted(ids, 1, within, 1, m.end())
+        at = np.searchsorted(distinct, context)
+        has = (context >= 0) & (distinct[np.minimum(at, len(distinct) - 1)] == context) if len(distinct) else context >= 0
+        sums = np.where(has[:, None], of_word[np.minimum(at, len(distinct) - 1), 1:], 0) if len(distinct) else np.zeros((0, len(CONTEXT)), np.int64)
+        for k in range(2, self.order + 1):
+            d, some = self.d[k - 1], np.flatnonzero(sums[:, 0] > 0)
+            p[some] *= (sums[some, 1:] @ d[1:]) / sums[some, 0]
+            asked = some[ids[some] >= 0]
+            names = ("count",) if k == self.order else ("count", *CONTEXT)
+            found, told = m.find(k, m.key(context[asked], ids[asked]), names)
+            hit = found >= 0
+            c = told[hit, 0]
+            p[asked[hit]] += (c - d[np.minimum(c, 3)]) / sums[asked[hit], 0]
+            if k < self.order:
+                places, after = np.full(len(ids), -1, np.int64), np.zeros((len(ids), len(CONTEXT)), np.int64)
+                places[asked], after[asked] = found, told[:, 1:]
+                context = _shifted(places, 1, within, 1, -1)
+                sums = np.zeros_like(after)
+                sums[1:] = after[:-1]
+                sums[context < 0] = 0
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-        return sizes, add((ids >= 0).astype(np.int64)), add(base[back]), add(np.log10(p))
+        return np.diff(np.append(starts, len(ids))), add((ids >= 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
-def build(train: DataFrame) -> Model:
-    """The model of a column of texts (id, text). An empty table gives a model that knows nothing."""
+def build(train: DataFrame, order: int = 3) -> Model:
+    """The model of a column of texts (id, text), of order two or more. An empty table gives a model that knows nothing.
+    A shard's n-grams of one order are held by one task, so spark.sql.shuffle.partitions grows with the input."""
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = train.sparkSession
     uri, shards = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for b in batches for s in slices(b)):
-            h, n = np.unique(token_hashes(texts_of(b))[0], return_counts=True)
-            yield _record(_blob_rows(_top(h, shards), shards, h, n), *BLOBS)
-
-    def keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cuts = hash_cuts(shards)
+    told_types = [pa.int32(), pa.int64(), pa.int64()]
+
+    def word_keys(texts: list[bytes]) -> list[np.ndarray]:
+        split = words_of(texts)
+        known = worker_state("lm_score").setdefault("hashes", {})
+        if len(known) > 300_000:
+            known.clear()
+        new = set().union(*split) - known.keys()
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
+        parts = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in split]
+        return [np.concatenate([*parts, np.full(len(split), END, np.uint64)])]
+
+    def keep_words(k: int, kinds: dict) -> pa.RecordBatch:
+        h, n = kinds.get(0, NONE)
+        put_array(f"{uri}/1-{k}.npy", h)
+        put_array(f"{uri}/counts-{k}.npy", n[:, None])
+        return _record([(k, len(h), int(n.sum()))], told_types, ["shard", "size", "tokens"])
+
+    words = {r["shard"]: r for r in _per_shard(_counting(train, word_keys, cuts), shards, keep_words, "shard int, size long, tokens long").collect()}
+    sizes = [[words[k]["size"] if k in words else 0 for k in range(shards)]]
+    v = sum(sizes[0])
+    tokens = sum(r["tokens"] for r in words.values())
+    bases = np.cumsum([0, *sizes[0]])
+    seen: list[list[int]] = [[0] * 4 for _ in range(order)]
+
+    def to_words(ids: np.ndarray, columns: list[np.ndarray], first: int) -> list[tuple]:
+        """Blobs of sums for words, of kind `first` and up, to the words' shards."""
         out = []
-        for k, parts in _by_shard(batches):
-            h, n = _summed(parts)
-            put_array(f"{uri}/words-{k}.npy", h)
-            _put_counts(f"{uri}/counts-{k}", n)
-            at = int(np.searchsorted(h, np.uint64(END)))
-            out.append((k, len(h), int(n.sum()), at if at < len(h) and h[at] == END else -1))
-        yield _record(out, [pa.int32(), pa.int64(), pa.int64(), pa.int64()], ["shard", "v", "tokens", "end"])
-
-    sent = "shard int, keys binary, n binary"
-    told = {r["shard"]: r for r in train.mapInArrow(words, sent).repartition(shards, "shard").mapInArrow(keep_words, "shard int, v long, tokens long, end long").collect()}
-    bases = [0]
-    for k in range(shards):
-        bases.append(bases[-1] + (told[k]["v"] if k in told else 0))
-    if bases[-1] >= 1 << 32:
-        raise ValueError("pair keys hold vocabularies below 2 ** 32")
-    end = next((bases[k] + r["end"] for k, r in told.items() if r["end"] >= 0), -1)
-    v = bases[-1]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _shards(uri, shards, bases, False, False)
-        for b in (s for b in batches for s in slices(b)):
-            ids, sizes = _token_ids(m, texts_of(b))
-            keys, n = np.unique(_contexts(ids, sizes, end).astype(np.uint64) * np.uint64(v) + ids.astype(np.uint64), return_counts=True)
-            yield _record(_blob_rows(_top(_mixed(keys), shards), shards, keys, n), *BLOBS)
-
-    def keep_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(bases)
-        for k, parts in _by_shard(batches):
-            keys, n = _summed(parts)
-            put_array(f"{uri}/pairs-{k}.npy", keys)
-            _put_counts(f"{uri}/paired-{k}", n)
-            # the partial sums of each word: kinds before it, and kinds after it seen once, twice, more often
-            after, kinds = np.unique(keys % np.uint64(v), return_counts=True)
-            marks = [(after, 0, kinds)]
-            for c in (1, 2, 3):
-                ctx, many = np.unique(keys[(n == c) if c < 3 else (n >= 3)] // np.uint64(v), return_counts=True)
-                marks.append((ctx, c, many))
-            out = []
-            for ids, c, many in marks:
-                shard = (np.searchsorted(edges, ids.astype(np.int64), side="right") - 1).astype(np.int32)
-                out += [(s, c, a, b) for s, a, b in _blob_rows(shard, shards, ids, many)]
-            seen = np.bincount(np.minimum(n, 5), minlength=6)
-            out.append((-1, k, seen[1:5].astype("<i8").tobytes(), np.array([len(keys)], "<i8").tobytes()))
-            yield _record(out, [pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["shard", "kind", "keys", "n"])
-
-    cut = stored(train.mapInArrow(pairs, sent).repartition(shards, "shard").mapInArrow(keep_pairs, "shard int, kind int, keys binary, n binary"), f"{uri}/partial")
-    totals = cut.filter("shard = -1").collect()
-    for k in set(range(shards)) - {r["kind"] for r in totals}:
-        put_array(f"{uri}/pairs-{k}.npy", np.zeros(0, np.uint64))
-        _put_counts(f"{uri}/paired-{k}", np.zeros(0, np.int64))
-    pair_n = sum((np.frombuffer(r["keys"], "<i8") for r in totals), np.zeros(4, np.int64)).tolist()
-    links = sum(int(np.frombuffer(r["n"], "<i8")[0]) for r in totals)
-
-    def keep_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, c, keys, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                t = tables.setdefault(k, np.zeros((bases[k + 1] - bases[k], 4), np.uint32))
-                t[_unpack(keys).astype(np.int64) - bases[k], c] += _large(n).astype(np.uint32)
-        out = []
-        for k, t in tables.items():
-            put_array(f"{uri}/stats-{k}.npy", t)
-            seen = np.bincount(np.minimum(t[:, 0], 5), minlength=6)
-            out.append((k, *seen[1:5].tolist(), int(seen[3:].sum())))
-        yield _record(out, [pa.int32()] + [pa.int64()] * 5, ["shard", "a", "b", "c", "d", "more"])
+        for c, n in enumerate(columns):
+            some = np.flatnonzero(n)
+            out += _dealt(first + c, ids[some].astype(np.uint64), n[some], bases[:-1].astype(np.uint64))
+        return out
 
-    words_n = cut.filter("shard >= 0").repartition(shards, "shard").mapInArrow(keep_stats, "shard int, a long, b long, c long, d long, more long").collect()
-    word_n = [sum(r[i] for r in words_n) for i in range(1, 5)]
-    return Model(uri, shards, bases, end, sum(r["tokens"] for r in told.values()), pair_n, word_n, [word_n[0], word_n[1], sum(r["more"] for r in words_n)], links)
+    def word_sums(parents: np.ndarray, n: np.ndarray) -> list[tuple]:
+        """The contexts' sums of some pairs by their first word."""
+        ids, back = np.unique(parents, return_inverse=True)
+        return to_words(ids, _context_sums(back, n, len(ids)), 1)
+
+    def pair_keys(texts: list[bytes]) -> list[np.ndarray]:
+        m = _mapped(uri, shards, sizes)
+        ids, _, within = m.tokens(texts)
+        return [_mixed(m.key(_shifted(ids, 1, within, 1, m.end()), ids))]
+
+    def keep_pairs(k: int, kinds: dict) -> pa.RecordBatch:
+        h, n = kinds.get(0, NONE)
+        put_array(f"{uri}/2-{k}.npy", h)
+        _put_counts(f"{uri}/2-{'count' if order == 2 else 'raw'}-{k}", n)
+        keys = _unmixed(h)
+        after, kinds_before = np.unique(keys % np.uint64(max(1, v)), return_counts=True)
+        out = to_words(after, [kinds_before], 0)
+        if order == 2:
+            out += word_sums((keys // np.uint64(max(1, v))).astype(np.int64), n)
+        return _blobs([*out, (-1, k, np.array([len(h)], "<i8").tobytes(), np.array(_seen(n), "<i8").tobytes())])
+
+    if v >= 1 << 32:
+        raise ValueError("keys of pairs hold vocabularies below 2 ** 32")
+    partial = [stored(_per_shard(_counting(train, pair_keys, cuts), shards, keep_pairs, SENT), f"{uri}/partial-2")]
+
+    def told(df: DataFrame, mark: int) -> tuple[list[int], list[int]]:
+        """Sizes of an order's shards and how often its counts are 1 to 4: a row for each shard."""
+        rows = sorted((r["kind"], *[np.frombuffer(r[c], "<i8") for c in ("keys", "n")]) for r in df.filter(f"shard = {mark}").collect())
+        return [int(x[0]) for _, x, _ in rows], np.sum([x for _, _, x in rows], axis=0).tolist()
+
+    size, seen[1] = told(partial[0], -1)
+    sizes.append(size)
+    links = sum(sizes[1])
+    for k in range(3, order + 1):
+        if sum(sizes[-1]) * max(1, v) >= 1 << 64:
+            raise ValueError("keys hold contexts times words below 2 ** 64")
+        partial.append(stored(_higher(train, uri, shards, [list(s) for s in sizes], k, k == order, word_sums if k == 3 else None), f"{uri}/partial-{k}"))
+        size, seen[k - 1] = told(partial[-1], -1)
+        seen[k - 2] = told(partial[-1], -2)[1]
+        sizes.append(size)
+
+    def keep_stats(k: int, kinds: dict) -> pa.RecordBatch:
+        t = np.zeros((sizes[0][k], 1 + len(CONTEXT)), np.uint64)
+        for c, (ids, n) in kinds.items():
+            t[ids.astype(np.int64) - bases[k], c] = n
+        put_array(f"{uri}/stats-{k}.npy", t)
+        n = t[:, 0].astype(np.int64)
+        return _record([(k, *_seen(n), int((n > 2).sum()))], [pa.int32()] + [pa.int64()] * 5, ["shard", "a", "b", "c", "d", "more"])
+
+    sums = partial[0] if order == 2 else partial[0].unionByName(partial[1])
+    rows = _per_shard(sums.filter("shard >= 0"), shards, keep_stats, "shard int, a long, b long, c long, d long, more long").collect()
+    seen[0] = [sum(r[i] for r in rows) for i in range(1, 5)]
+    return Model(uri, shards, sizes, tokens, seen, [seen[0][0], seen[0][1], sum(r["more"] for r in rows)], links)
+
+
+def _higher(train: DataFrame, uri: str, shards: int, sizes: list[list[int]], k: int, last: bool, word_sums: Callable | None) -> DataFrame:
+    """Count order k: its n-grams go to their context's shard and, for the words before each n-gram of the order below, to
+    that n-gram's. Rows: (-1, shard, size, seen) and (-2, shard, -, seen below), and the sums for words if word_sums is given."""
+    v = max(1, sum(sizes[0]))
+    cuts = np.cumsum([0, *sizes[k - 2]])[:-1].astype(np.uint64) * np.uint64(v)
+
+    def keys_of(texts: list[bytes]) -> list[np.ndarray]:
+        m = _mapped(uri, shards, sizes)
+        ids, _, within = m.tokens(texts)
+        below = _places(m, ids, within, k - 1)
+        some = np.flatnonzero(within >= k - 2)
+        context = _shifted(below, 1, within, 1, -1)[some]
+        first = _shifted(ids, k - 1, within, k - 1, m.end())[some]
+        return [m.key(context, ids[some]), m.key(below[some], first)]
+
+    def keep(i: int, kinds: dict) -> pa.RecordBatch:
+        m = _mapped(uri, shards, sizes)
+        size, cut = sizes[k - 2][i], cuts[i]
+        keys, n = kinds.pop(0, NONE)
+        keys -= cut
+        put_array(f"{uri}/{k}-{i}.npy", keys)
+        _put_counts(f"{uri}/{k}-{'count' if last else 'raw'}-{i}", n)
+        if last:
+            for name, x in zip(CONTEXT, _context_sums((keys // np.uint64(v)).astype(np.int64), n, size), strict=True):
+                _put_counts(f"{uri}/{k - 1}-{name}-{i}", x)
+        out = [(-1, i, np.array([len(keys)], "<i8").tobytes(), np.array(_seen(n), "<i8").tobytes())]
+        before = np.bincount(((kinds.pop(1, NONE)[0] - cut) // np.uint64(v)).astype(np.int64), minlength=size)
+        # nothing stands before n-grams at the start of a text: they count as often as they occur
+        adjusted = np.where(before > 0, before, m.counts(k - 1, "raw")[i][np.arange(size)]) if size else before
+        _put_counts(f"{uri}/{k - 1}-count-{i}", adjusted)
+        out.append((-2, i, np.array([size], "<i8").tobytes(), np.array(_seen(adjusted), "<i8").tobytes()))
+        own = m.keys[k - 2][i]
+        if word_sums:
+            out += word_sums((_unmixed(own) // np.uint64(v)).astype(np.int64), adjusted)
+        else:
+            for name, x in zip(CONTEXT, _context_sums((np.asarray(own) // np.uint64(v)).astype(np.int64), adjusted, sizes[k - 3][i]), strict=True):
+                _put_counts(f"{uri}/{k - 2}-{name}-{i}", x)
+        return _blobs(out)
+
+    return _per_shard(_counting(train, keys_of, cuts), shards, keep, SENT)
 
 
 def perplexity(df: DataFrame, model: Model, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, base_score, score of every row. Null and empty texts have one token, their end; null ids
-    and repeated rows stay; an empty table gives an empty result; other columns are ignored."""
+    """id_col, n_tokens, n_known, base_score, score of every row. Null and empty texts have one token, their end; null ids,
+    ties and repeated rows stay, a row each; an empty table gives an empty result; other columns are ignored. A batch is
+    scored in slices of a few MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for b in batches for s in slices(b)):
@@ -306,9 +457,10 @@ def perplexity(df: DataFrame, model: Model, id_col: str = "id", text_col: str =
     return rows.mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, n_tokens long, n_known long, base_score double, score double")
 
 
-def held_out_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: int = 10) -> DataFrame:
-    """Every text's scores under the model of the texts whose crc32 of the id modulo `by` is not 0."""
+def held_out_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: int = 10, order: int = 3) -> DataFrame:
+    """Every text's scores under the model of the texts whose crc32 of the id modulo `by` is not 0; a null id counts as an
+    empty text. Nulls, empty texts, repeated rows and empty tables as in perplexity()."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = build(rows.filter(crc_mod("id", by) != 0))
+    model = build(rows.filter(crc_mod("id", by) != 0), order)
     out = perplexity(rows, model)
     return out.select(F.col("id").alias(id_col), (crc_mod("id", by) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.expr("pow(10D, -score / n_tokens)").alias("perplexity"))

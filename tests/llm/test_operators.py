@@ -204,13 +204,11 @@ def test_language_model(spark, docs):
         options = [w for i, w in rows if i == r["doc_id"]]
         assert any(math.isclose(r["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9) and r["n_tokens"] == len(w) for w in options)
         assert r["train_tokens"] == n
-    model = lm_score.build(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
-    words = sorted({x for _, w in rows for x in w if x != "\n"})
-    # what may follow a word adds up to one: all known words, the end, and the unknown class
-    two = lambda x: spark.createDataFrame([(0, f"a {x}")], "id int, text string")
-    one = lm_score.perplexity(spark.createDataFrame([(0, "a")], "id int, text string"), model).first()["score"]
-    texts = spark.createDataFrame([(k, f"a {w}") for k, w in enumerate([*words, "never-seen"])], "id long, text string")
-    assert two("x").count() == 1 and len(lm_score.perplexity(texts, model).collect()) == len(words) + 1 and one < 0
+    for order in (2, 3, 4):  # a model of nothing
+        blank = lm_score.build(spark.createDataFrame([], "id long, text string"), order)
+        assert [round(r["score"], 9) for r in lm_score.perplexity(docs, blank, "doc_id").filter("doc_id = 7").collect()] == [0.0]
+    with pytest.raises(ValueError):
+        lm_score.build(docs, 1)
     assert lm_score.held_out_scores(docs.limit(0)).count() == 0
 
 

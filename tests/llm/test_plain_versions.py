@@ -210,33 +210,47 @@ def test_taken_words_meet_the_targets(spark):
         assert abs(r["mix"]["position"] - grid[np.searchsorted(demand, share * demand[-1])]) < 1e-4
 
 
-def test_kneser_ney_probabilities(spark):
-    texts = [(i, _split(_lower(t)) + ["\n"]) for i, t in enumerate(t for _, t in ROWS)]
-    train = [w for i, w in texts if i % 3]
-    pairs = Counter((a, b) for w in train for a, b in itertools.pairwise(["\n", *w]))
-    count, before, after = Counter(), Counter(), defaultdict(Counter)
-    for (a, b), n in pairs.items():
-        count[a] += n
-        before[b] += 1
-        after[a][min(n, 3)] += 1
-    of = lambda c: lm_score.discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)])
-    d2, d1 = of(pairs), of(before)
-    spare = sum(d1[min(n, 3)] for n in before.values()) / len(pairs)
-
-    def p(a, b):
-        low = (before[b] - d1[min(before[b], 3)] if before[b] else 0) / len(pairs) + spare / (len(before) + 1)
-        if not count[a]:
+def _plain_model(train, order):
+    """p(word, the words before it) of modified Kneser-Ney over Counters; a text is its words, then the end, after one end."""
+    counts = [Counter(tuple(["\n", *w][i - k : i]) for w in train for i in range(k, len(w) + 2) if k > 1 or i > 1) for k in range(1, order + 1)]
+    for k in range(order - 1, 0, -1):
+        left = Counter(g[1:] for g in counts[k])
+        counts[k - 1] = Counter({g: left[g] or n for g, n in counts[k - 1].items()})
+    d = [lm_score.discounts([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for c in counts]
+    after = [defaultdict(Counter) for _ in counts]
+    for k, c in enumerate(counts):
+        for g, n in c.items():
+            after[k][g[:-1]][min(n, 3)] += 1
+            after[k][g[:-1]]["all"] += n
+
+    def p(word, before):
+        if not before:
+            n, all_of = counts[0][word,], after[0][()]
+            return (max(n - d[0][min(n, 3)], 0) + sum(d[0][i] * all_of[i] for i in (1, 2, 3)) / (len(counts[0]) + 1)) / all_of["all"]
+        low, all_of = p(word, before[1:]), after[len(before)].get(before)
+        if not all_of:
             return low
-        c = pairs[a, b]
-        return (c - d2[min(c, 3)] if c else 0) / count[a] + sum(d2[k] * n for k, n in after[a].items()) / count[a] * low
+        n = counts[len(before)][*before, word]
+        return (max(n - d[len(before)][min(n, 3)], 0) + sum(d[len(before)][i] * all_of[i] for i in (1, 2, 3)) * low) / all_of["all"]
+
+    return p, [g[0] for g in counts[0]]
+
 
-    for a in ["\n", "a", "x", "never-seen"]:
-        assert math.isclose(sum(p(a, b) for b in [*before, "never-seen"]), 1)
-    df = spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(ROWS)], "id long, text string").repartition(3)
-    got = {r["id"]: r["score"] for r in lm_score.perplexity(df, lm_score.build(df.filter("id % 3 > 0"))).collect()}
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_probabilities(spark, order):
+    more = ["a b c d", "b c d e a", "a b c", "b c", "c d e f a b", "a b c d e", "", "x y", "a b x y a b c"]
+    texts = [(i, _split(_lower(t)) + ["\n"]) for i, t in enumerate([t for _, t in ROWS] + more)]
+    p, words = _plain_model([w for i, w in texts if i % 3], order)
+    for before in [(), ("\n",), ("a",), ("never-seen",), ("a", "b"), ("\n", "a"), ("never-seen", "b"), ("a", "b", "c")]:
+        if len(before) < order:
+            assert math.isclose(sum(p(w, before) for w in [*words, "never-seen"]), 1)
+    df = spark.createDataFrame([(i, t or "") for i, t in enumerate([t for _, t in ROWS] + more)], "id long, text string").repartition(3)
+    got = {r["id"]: r for r in lm_score.perplexity(df, lm_score.build(df.filter("id % 3 > 0"), order)).collect()}
     assert len(got) == len(texts)
     for i, w in texts:
-        assert math.isclose(got[i], sum(math.log10(p(a, b)) for a, b in itertools.pairwise(["\n", *w])), rel_tol=1e-9)
+        whole = ["\n", *w]
+        assert math.isclose(got[i]["score"], sum(math.log10(p(whole[k], tuple(whole[max(0, k - order + 1) : k]))) for k in range(1, len(whole))), rel_tol=1e-9)
+        assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(x in words for x in w)
 
 
 def test_edited_and_next_likeness(spark):
