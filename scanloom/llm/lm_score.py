@@ -5,10 +5,11 @@ keys to shards; what one order's exchange wrote is gone before the next begins.
 folder, which workers map into memory and search, so a model may exceed memory:
 
 - words: 64-bit hashes; a word's id is its place.
-- pairs: 64-bit hashes (a bijection of word id and word id), so that the pairs of a frequent word spread over all shards.
+- pairs: hashes that are a bijection of (word id, word id), so that the pairs of a frequent word spread over all shards.
 - n-grams of order three and more: place of the first n-1 words in the order below, then the last word's id. A shard has
   all that follows the contexts of the shard below, so the contexts' sums are made where their n-grams are.
-- counts in a byte each, with a side table for larger ones.
+- of the last two, the lower 32 bits in order and where each value of the upper ones begins; counts in a byte each, with
+  a side table for larger ones.
 
 Orders below the highest count how many words stand before an n-gram (how often it occurs, at the start of a text, where
 nothing does). Every n-gram of every training text is kept.
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .jaccard import M2, _large, _mixed, _pack, _small, _unpack
+from .jaccard import M2, _large, _pack, _small, _unpack
 from .quality_fm import crc_mod
 from .shared import map_array, put_array, shared_dir, slices, stored, texts_of, type_of, worker_state
 
@@ -35,9 +36,20 @@ HELD = 2_000_000
 INVERSE = np.uint64(pow(int(M2), -1, 1 << 64))
 
 
-def _unmixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * INVERSE
-    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+def _mixed(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of the numbers of so many bits that spreads neighbours apart."""
+    mask, by = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for _ in range(2):
+        x = (x * M2) & mask
+        x = x ^ (x >> by)
+    return x
+
+
+def _unmixed(x: np.ndarray, bits: int) -> np.ndarray:
+    mask, by = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for _ in range(2):
+        x = ((x ^ (x >> by)) * INVERSE) & mask
+    return x
 
 
 def words_of(texts: list[bytes]) -> list[list[bytes]]:
@@ -108,9 +120,61 @@ def _per_shard(sent: DataFrame, shards: int, keep: Callable[[int, dict], Iterato
     return sent.unionByName(every).repartitionById(shards, "shard").mapInArrow(run, schema)
 
 
-def hash_cuts(shards: int) -> np.ndarray:
+def hash_cuts(shards: int, bits: int = 64) -> np.ndarray:
     """The smallest hash of each shard."""
-    return np.array([-(-(k << 32) // shards) << 32 for k in range(shards)], np.uint64)
+    return np.array([-(-(k << bits) // shards) for k in range(shards)], np.uint64)
+
+
+def pair_bits(v: int) -> int:
+    """Bits of a pair of word ids."""
+    return max(2, (v * v).bit_length())
+
+
+def _put_keys(uri: str, keys: np.ndarray) -> None:
+    upper = keys >> np.uint64(32)
+    put_array(f"{uri}-starts.npy", np.searchsorted(upper, np.arange(int(upper[-1]) + 2 if len(upper) else 1, dtype=np.uint64)).astype(np.uint64))
+    put_array(f"{uri}.npy", keys.astype(np.uint32))
+
+
+class Keys:
+    """Sorted keys: the lower 32 bits in order, and where each value of the upper ones begins."""
+
+    def __init__(self, uri: str):
+        self.low, self.starts = map_array(f"{uri}.npy"), map_array(f"{uri}-starts.npy")
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Places of sorted keys, -1 for unknown ones."""
+        out, upper = np.full(len(q), -1, np.int64), (q >> np.uint64(32)).astype(np.int64)
+        low = q.astype(np.uint32)
+        edges = [0, *(np.flatnonzero(upper[1:] != upper[:-1]) + 1).tolist(), len(q)]
+        for a, z in pairwise(edges):
+            if z > a and upper[a] < len(self.starts) - 1:
+                first = int(self.starts[upper[a]])
+                if len(own := self.low[first : int(self.starts[upper[a] + 1])]):
+                    p = np.minimum(np.searchsorted(own, low[a:z]), len(own) - 1)
+                    out[a:z] = np.where(own[p] == low[a:z], p + first, -1)
+        return out
+
+    def all(self) -> np.ndarray:
+        upper = np.repeat(np.arange(len(self.starts) - 1, dtype=np.uint64), np.diff(self.starts.astype(np.int64)))
+        return (upper << np.uint64(32)) + self.low
+
+
+class Hashes:
+    """Sorted hashes, whole."""
+
+    def __init__(self, uri: str):
+        self.own = map_array(f"{uri}.npy")
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        p = np.minimum(np.searchsorted(self.own, q), len(self.own) - 1)
+        return np.where(self.own[p] == q, p, -1)
 
 
 def _put_counts(uri: str, c: np.ndarray) -> None:
@@ -159,7 +223,8 @@ class Tables:
         self.uri, self.shards = uri, shards
         self.bases = [np.cumsum([0, *s]).astype(np.int64) for s in sizes]
         self.v = int(self.bases[0][-1])
-        self.keys = [[map_array(f"{uri}/{k + 1}-{i}.npy") if n else np.zeros(0, np.uint64) for i, n in enumerate(s)] for k, s in enumerate(sizes)]
+        self.bits = pair_bits(self.v)
+        self.keys = [[(Keys if k else Hashes)(f"{uri}/{k + 1}-{i}") if n else () for i, n in enumerate(s)] for k, s in enumerate(sizes)]
         self.files: dict[str, list] = {}
         self.ids: dict[bytes, int] = {}
 
@@ -169,26 +234,22 @@ class Tables:
             self.files[key] = [Counts(f"{self.uri}/{key}-{i}") if len(k) else None for i, k in enumerate(self.keys[order - 1])]
         return self.files[key]
 
-    def word_table(self, name: str) -> list[np.ndarray]:
-        if name not in self.files:
-            self.files[name] = [map_array(f"{self.uri}/{name}-{i}.npy") if len(k) else np.zeros((0, 1), np.uint64) for i, k in enumerate(self.keys[0])]
-        return self.files[name]
-
     def cuts(self, order: int) -> np.ndarray:
         """The first key of each shard of an order."""
-        return hash_cuts(self.shards) if order < 3 else self.bases[order - 2][:-1].astype(np.uint64) * np.uint64(self.v)
+        if order < 3:
+            return hash_cuts(self.shards, self.bits if order == 2 else 64)
+        return self.bases[order - 2][:-1].astype(np.uint64) * np.uint64(self.v)
 
     def find(self, order: int, keys: np.ndarray, names: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys in an order, -1 for unknown ones, and the counts of those names."""
-        h = _mixed(keys) if order == 2 else keys
+        h = _mixed(keys, self.bits) if order == 2 else keys
         o = np.argsort(h)
         q, cuts = h[o], self.cuts(order)
         at, told = np.full(len(q), -1, np.int64), np.zeros((len(q), len(names)), np.int64)
         for i, (a, z) in enumerate(pairwise([*np.searchsorted(q, cuts).tolist(), len(q)])):
             if z > a and len(own := self.keys[order - 1][i]):
-                part = q[a:z] - cuts[i] if order > 2 else q[a:z]
-                p = np.minimum(np.searchsorted(own, part), len(own) - 1)
-                hit = np.flatnonzero(own[p] == part)
+                p = own.find(q[a:z] - cuts[i] if order > 1 else q[a:z])
+                hit = np.flatnonzero(p >= 0)
                 at[a + hit] = p[hit] + self.bases[order - 1][i]
                 for c, name in enumerate(names):
                     told[a + hit, c] = self.counts(order, name)[i][p[hit]]
@@ -196,12 +257,13 @@ class Tables:
         out[o], out_told[o] = at, told
         return out, out_told
 
-    def words(self, ids: np.ndarray, name: str, width: int) -> np.ndarray:
-        """A row of `width` values for each of ascending word ids."""
-        out = np.zeros((len(ids), width), np.int64)
+    def words(self, ids: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+        """Those counts of each of ascending word ids."""
+        out = np.zeros((len(ids), len(names)), np.int64)
         for i, (a, z) in enumerate(pairwise(np.searchsorted(ids, self.bases[0]).tolist())):
             if z > a:
-                out[a:z] = self.word_table(name)[i][ids[a:z] - self.bases[0][i]].reshape(z - a, width)
+                for c, name in enumerate(names):
+                    out[a:z, c] = self.counts(1, name)[i][ids[a:z] - self.bases[0][i]]
         return out
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,17 +337,15 @@ class Model:
         ids, starts, within = m.tokens(texts)
         distinct, back = np.unique(ids, return_inverse=True)
         known = distinct >= 0
-        count, of_word = np.zeros(len(distinct), np.int64), np.zeros((len(distinct), 1 + len(CONTEXT)), np.int64)
-        if known.any():  # else no word of the texts is known
-            count[known] = m.words(distinct[known], "counts", 1)[:, 0]
-            of_word[known] = m.words(distinct[known], "stats", 1 + len(CONTEXT))
-        kinds = of_word[:, 0]
+        of_word = np.zeros((len(distinct), 2 + len(CONTEXT)), np.int64)
+        of_word[known] = m.words(distinct[known], ("raw", "count", *CONTEXT))
+        count, kinds = of_word[:, 0], of_word[:, 1]
         p = (np.maximum(kinds - self.d[0][np.minimum(kinds, 3)], 0) / self.links + self.spare / (m.v + 1))[back]
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (m.v + 1)))[back]
         context = _shifted(ids, 1, within, 1, m.end())
         at = np.searchsorted(distinct, context)
         has = (context >= 0) & (distinct[np.minimum(at, len(distinct) - 1)] == context) if len(distinct) else context >= 0
-        sums = np.where(has[:, None], of_word[np.minimum(at, len(distinct) - 1), 1:], 0) if len(distinct) else np.zeros((0, len(CONTEXT)), np.int64)
+        sums = np.where(has[:, None], of_word[np.minimum(at, len(distinct) - 1), 2:], 0) if len(distinct) else np.zeros((0, len(CONTEXT)), np.int64)
         for k in range(2, self.order + 1):
             d, some = self.d[k - 1], np.flatnonzero(sums[:, 0] > 0)
             p[some] *= (sums[some, 1:] @ d[1:]) / sums[some, 0]
@@ -314,7 +374,6 @@ def build(train: DataFrame, order: int = 3) -> Model:
     spark = train.sparkSession
     uri, shards = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = hash_cuts(shards)
-    told_types = [pa.int32(), pa.int64(), pa.int64()]
 
     def word_keys(texts: list[bytes]) -> list[np.ndarray]:
         split = words_of(texts)
@@ -329,14 +388,15 @@ def build(train: DataFrame, order: int = 3) -> Model:
     def keep_words(k: int, kinds: dict) -> pa.RecordBatch:
         h, n = kinds.get(0, NONE)
         put_array(f"{uri}/1-{k}.npy", h)
-        put_array(f"{uri}/counts-{k}.npy", n[:, None])
-        return _record([(k, len(h), int(n.sum()))], told_types, ["shard", "size", "tokens"])
+        _put_counts(f"{uri}/1-raw-{k}", n)
+        return _record([(k, len(h), int(n.sum()))], [pa.int32(), pa.int64(), pa.int64()], ["shard", "size", "tokens"])
 
     words = {r["shard"]: r for r in _per_shard(_counting(train, word_keys, cuts), shards, keep_words, "shard int, size long, tokens long").collect()}
     sizes = [[words[k]["size"] if k in words else 0 for k in range(shards)]]
     v = sum(sizes[0])
     tokens = sum(r["tokens"] for r in words.values())
-    bases = np.cumsum([0, *sizes[0]])
+    bases, bits = np.cumsum([0, *sizes[0]]), pair_bits(v)
+    pair_cuts = hash_cuts(shards, bits)
     seen: list[list[int]] = [[0] * 4 for _ in range(order)]
 
     def to_words(ids: np.ndarray, columns: list[np.ndarray], first: int) -> list[tuple]:
@@ -355,13 +415,13 @@ def build(train: DataFrame, order: int = 3) -> Model:
     def pair_keys(texts: list[bytes]) -> list[np.ndarray]:
         m = _mapped(uri, shards, sizes)
         ids, _, within = m.tokens(texts)
-        return [_mixed(m.key(_shifted(ids, 1, within, 1, m.end()), ids))]
+        return [_mixed(m.key(_shifted(ids, 1, within, 1, m.end()), ids), bits)]
 
     def keep_pairs(k: int, kinds: dict) -> pa.RecordBatch:
         h, n = kinds.get(0, NONE)
-        put_array(f"{uri}/2-{k}.npy", h)
+        _put_keys(f"{uri}/2-{k}", h - pair_cuts[k])
         _put_counts(f"{uri}/2-{'count' if order == 2 else 'raw'}-{k}", n)
-        keys = _unmixed(h)
+        keys = _unmixed(h, bits)
         after, kinds_before = np.unique(keys % np.uint64(max(1, v)), return_counts=True)
         out = to_words(after, [kinds_before], 0)
         if order == 2:
@@ -370,7 +430,7 @@ def build(train: DataFrame, order: int = 3) -> Model:
 
     if v >= 1 << 32:
         raise ValueError("keys of pairs hold vocabularies below 2 ** 32")
-    partial = [stored(_per_shard(_counting(train, pair_keys, cuts), shards, keep_pairs, SENT), f"{uri}/partial-2")]
+    partial = [stored(_per_shard(_counting(train, pair_keys, pair_cuts), shards, keep_pairs, SENT), f"{uri}/partial-2")]
 
     def told(df: DataFrame, mark: int) -> tuple[list[int], list[int]]:
         """Sizes of an order's shards and how often its counts are 1 to 4: a row for each shard."""
@@ -389,12 +449,14 @@ def build(train: DataFrame, order: int = 3) -> Model:
         sizes.append(size)
 
     def keep_stats(k: int, kinds: dict) -> pa.RecordBatch:
-        t = np.zeros((sizes[0][k], 1 + len(CONTEXT)), np.uint64)
-        for c, (ids, n) in kinds.items():
-            t[ids.astype(np.int64) - bases[k], c] = n
-        put_array(f"{uri}/stats-{k}.npy", t)
-        n = t[:, 0].astype(np.int64)
-        return _record([(k, *_seen(n), int((n > 2).sum()))], [pa.int32()] + [pa.int64()] * 5, ["shard", "a", "b", "c", "d", "more"])
+        for c, name in enumerate(("count", *CONTEXT)):
+            x = np.zeros(sizes[0][k], np.int64)
+            ids, n = kinds.get(c, NONE)
+            x[ids.astype(np.int64) - bases[k]] = n
+            _put_counts(f"{uri}/1-{name}-{k}", x)
+            if name == "count":
+                before = x
+        return _record([(k, *_seen(before), int((before > 2).sum()))], [pa.int32()] + [pa.int64()] * 5, ["shard", "a", "b", "c", "d", "more"])
 
     sums = partial[0] if order == 2 else partial[0].unionByName(partial[1])
     rows = _per_shard(sums.filter("shard >= 0"), shards, keep_stats, "shard int, a long, b long, c long, d long, more long").collect()
@@ -422,7 +484,7 @@ def _higher(train: DataFrame, uri: str, shards: int, sizes: list[list[int]], k:
         size, cut = sizes[k - 2][i], cuts[i]
         keys, n = kinds.pop(0, NONE)
         keys -= cut
-        put_array(f"{uri}/{k}-{i}.npy", keys)
+        _put_keys(f"{uri}/{k}-{i}", keys)
         _put_counts(f"{uri}/{k}-{'count' if last else 'raw'}-{i}", n)
         if last:
             for name, x in zip(CONTEXT, _context_sums((keys // np.uint64(v)).astype(np.int64), n, size), strict=True):
@@ -433,11 +495,11 @@ def _higher(train: DataFrame, uri: str, shards: int, sizes: list[list[int]], k:
         adjusted = np.where(before > 0, before, m.counts(k - 1, "raw")[i][np.arange(size)]) if size else before
         _put_counts(f"{uri}/{k - 1}-count-{i}", adjusted)
         out.append((-2, i, np.array([size], "<i8").tobytes(), np.array(_seen(adjusted), "<i8").tobytes()))
-        own = m.keys[k - 2][i]
+        own = m.keys[k - 2][i].all() if size else NONE[0]
         if word_sums:
-            out += word_sums((_unmixed(own) // np.uint64(v)).astype(np.int64), adjusted)
+            out += word_sums((_unmixed(own + m.cuts(2)[i], m.bits) // np.uint64(v)).astype(np.int64), adjusted)
         else:
-            for name, x in zip(CONTEXT, _context_sums((np.asarray(own) // np.uint64(v)).astype(np.int64), adjusted, sizes[k - 3][i]), strict=True):
+            for name, x in zip(CONTEXT, _context_sums((own // np.uint64(v)).astype(np.int64), adjusted, sizes[k - 3][i]), strict=True):
                 _put_counts(f"{uri}/{k - 2}-{name}-{i}", x)
         return _blobs(out)
 
