@@ -90,7 +90,7 @@ def _small(v: np.ndarray) -> bytes:
 
 
 def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}")
 
 
 def _first_pass(rows: DataFrame, n: int, shards: int, bits: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _repeated(blobs: DataFrame, uri: str) -> list:
             grams = np.concatenate([_unpack(g) for g, _ in parts])
             counts = np.concatenate([_large(c) for _, c in parts])
             o = np.argsort(grams, kind="stable")
-            grams, counts = grams[o], counts[o]
+            grams, counts = grams[o], counts[o].astype(np.int64)
             first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
             total = np.add.reduceat(counts, first)
             keep = total > 1
@@ -355,19 +355,20 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     removed(spark, f"{uri}/first")
     lists = sum(r["n"] for r in told)
     light = boundary(sum(r["total"] for r in told) / lists if lists else 1.0)
-    found = stored(_second_pass(rows, n, f"{uri}/grams", shards, filter_bits, light), f"{uri}/sets")
-    postings = stored(found.select("key", F.explode("keys").alias("at")).distinct(), f"{uri}/postings")
+    # each set once, whichever tasks have met it
+    sets = stored(_second_pass(rows, n, f"{uri}/grams", shards, filter_bits, light).dropDuplicates(["key"]), f"{uri}/sets")
+    removed(spark, f"{uri}/grams")
+    postings = sets.select("key", F.explode(F.array_distinct("keys")).alias("at"))
     hubs = postings.groupBy("at").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     hubs = stored(hubs, f"{uri}/hubs")
     clusters = stored(components(postings.join(hubs, "at").select(F.col("key").alias("a"), F.col("hub").alias("b")), f"{uri}/near"), f"{uri}/clusters")
     units = _units(postings, hubs, clusters, block, uri)
-    sets = found.select("key", "size", "part", "keys").dropDuplicates(["key"])
     members = sets.join(units, sets["key"] == units["node"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("keys", F.when(F.col("listed"), F.col("keys")))
     members = members.select(F.col("unit").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "size", "part", "keys", "listed")
     members = members.repartition(shards, "cluster", "listed", "i", "j").sortWithinPartitions("listed", "cluster", "i", "j").drop("listed")
     linked = stored(_scan_clusters(members), f"{uri}/links")
-    removed(spark, *[f"{uri}/{x}" for x in ("grams", "sets", "near", "clusters", "postings", "hubs", "units")])
+    removed(spark, *[f"{uri}/{x}" for x in ("sets", "near", "clusters", "hubs", "units")])
     labels = components(linked.filter("b IS NOT NULL").select("a", "b"), f"{uri}/components")
     degrees = linked.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classes = docs.filter("size > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"))

@@ -62,7 +62,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     o = np.argsort(keys)
     keys = keys[o]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    n = np.concatenate([p[1] for p in parts])[o]
+    n = np.concatenate([p[1] for p in parts])[o].astype(np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 

@@ -201,7 +201,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                         parts.append(part)
                         held += len(part)
                     at, k = to, k + 1
-                    if held > 16_000_000:
+                    if held > 4_000_000:
                         yield rows_of(b, out, parts)
                         out, parts, held = [], [], 0
             yield rows_of(b, out, parts)

@@ -33,6 +33,10 @@ def worker_state(owner: str) -> dict:
     return _owner[owner]
 
 
+#: The folders that shared_dir gave out, in order.
+made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below spark.checkpoint.dir, which all executors see; where that is unset (tests), a temporary folder becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -42,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="scanloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    made.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def stored(df: DataFrame, uri: str) -> DataFrame:
