@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def ocr_words(docs: DataFrame) -> DataFrame:
@@ -21,26 +25,44 @@ def confident(words: DataFrame, least: int = 50) -> DataFrame:
     return words.filter((F.col("conf").cast("int") > least) & (F.trim("text") != ""))
 
 
+def _numbered(t: pa.Table) -> pa.RecordBatch:
+    """Whole images' words in order of image, y and word, with line."""
+    t = t.combine_chunks()
+    y, h = (t[c].to_numpy().astype(np.int64) for c in ("y", "h"))
+    image = t["image_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    edges = [0, *(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), len(y)]
+    line = np.zeros(len(y), np.int64)
+    for a, z in pairwise(edges):
+        # boxes are whole numbers, so the threshold may be cut down to one
+        limit, at, n = int(min(0.7 * h[a:z].mean(), 15.0)) if z > a else 0, a, 0
+        while at < z:
+            to = a + int(np.searchsorted(y[a:z], y[at] + limit, side="right"))
+            line[at:to] = n
+            at, n = to, n + 1
+    return pa.RecordBatch.from_arrays([*[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns], pa.array(line)], names=[*t.column_names, "line"])
+
+
 def lines(words: DataFrame) -> DataFrame:
     """words with line (from 0): in order of y, a word joins the line whose first word is at most min(0.7 mean height, 15)
-    above it. The anchor is the line's first word, so this is a fold over an image's words, not a window of gaps."""
-    per = words.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "word_idx"))).alias("ws"), F.least(0.7 * F.avg("h"), F.lit(15.0)).alias("thr"))
+    above it. The anchor is the line's first word, so this is a fold over an image's words, not a window of gaps: one
+    exchange by image, and whole rows stream through Arrow an image at a time."""
 
-    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ids, idx, line = [], [], []
-            for image, ws, thr in zip(f["image_id"], f["ws"], f["thr"], strict=True):
-                anchor, n = None, -1
-                for w in ws:
-                    if anchor is None or w["y"] - anchor > thr:
-                        anchor, n = w["y"], n + 1
-                    ids.append(image)
-                    idx.append(w["word_idx"])
-                    line.append(n)
-            yield pd.DataFrame({"image_id": ids, "word_idx": idx, "line": line})
-
-    # an array accumulator in SQL copies at every word; this fold is linear
-    return words.join(per.mapInPandas(numbered, "image_id long, word_idx long, line long"), ["image_id", "word_idx"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the words so far of the image that the last batch ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            image = t["image_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cut = int(np.flatnonzero(image != image[-1])[-1]) + 1 if (image != image[-1]).any() else 0
+            held = t.slice(cut).to_batches()
+            if cut:
+                yield _numbered(t.slice(0, cut))
+        if held:
+            yield _numbered(pa.Table.from_batches(held))
+
+    dealt = words.repartition("image_id").sortWithinPartitions("image_id", "y", "word_idx")
+    return dealt.mapInArrow(run, StructType([*words.schema.fields, StructField("line", LongType())]))
 
 
 def blocks(lined: DataFrame) -> DataFrame:

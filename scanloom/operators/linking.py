@@ -10,13 +10,22 @@ INPUTS, FILTERS = ["raw", "processed"], ["none", "basic", "advanced"]
 
 def link(entities: DataFrame, words: DataFrame, how: str = "left") -> DataFrame:
     """entities (image_id, kind, pos, value) with the box of the image's first word that contains the value: x, y, w, h
-    and word_idx, null (left) or the row left out (inner) without such a word. Null values match nothing. Both sides are
-    shuffled by image once; the aggregate keeps that partitioning."""
-    w = words.select("image_id", F.struct("word_idx", "x", "y", "w", "h").alias("_w"), F.col("text").alias("_t"))
-    hit = entities.join(w, "image_id").filter(F.contains("_t", "value")).groupBy("image_id", "kind", "pos", "value").agg(F.min("_w").alias("_w"))
-    if how == "inner":
-        return hit.select("image_id", "kind", "pos", "value", "_w.*")
-    return entities.join(hit, ["image_id", "kind", "pos", "value"], "left").select("image_id", "kind", "pos", "value", "_w.*")
+    and word_idx, null (left) or the row left out (inner) without such a word. Null values match nothing.
+
+    An image's different words meet its different values by the value's first three characters (all of a shorter one),
+    which a word that contains it has somewhere, so a page of many words and many values is no product of both."""
+    first = words.groupBy("image_id", F.col("text").alias("_t")).agg(F.min(F.struct("word_idx", "x", "y", "w", "h")).alias("_w"))
+    places = F.sequence(F.lit(1), F.length("_t"))
+    grams = [_grams(places, n) for n in (1, 2, 3)]
+    parts = F.when(F.length("_t") > 0, F.array_distinct(F.concat(F.array(F.lit("")), *grams))).otherwise(F.array(F.lit("")))
+    keyed = first.select("image_id", "_t", "_w", F.explode(parts).alias("_g"))
+    values = entities.filter("value IS NOT NULL").select("image_id", "value").distinct().withColumn("_g", F.substring("value", 1, 3))
+    hit = values.join(keyed, ["image_id", "_g"]).filter(F.contains("_t", "value")).groupBy("image_id", "value").agg(F.min("_w").alias("_w"))
+    return entities.join(hit, ["image_id", "value"], how).select("image_id", "kind", "pos", "value", "_w.*")
+
+
+def _grams(places: Column, n: int) -> Column:
+    return F.transform(places, lambda i: F.substring(F.col("_t"), i, F.lit(n)))
 
 
 def hits(boxes: DataFrame, points: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -30,11 +39,17 @@ def display_scale(width: str = "width", height: str = "height", most: int = 1200
 
 
 def variants(spark: SparkSession) -> DataFrame:
-    """The six methods: ord, input, filter, method. Two literal lists unfolded, so no join."""
+    """The six methods: ord, input, filter, method."""
     lists = spark.range(1).select(F.posexplode(F.array(*map(F.lit, INPUTS))).alias("i", "input")).select("i", "input", F.posexplode(F.array(*map(F.lit, FILTERS))).alias("j", "filter"))
     return lists.select((F.col("i") * len(FILTERS) + F.col("j")).cast("long").alias("ord"), "input", "filter", F.concat_ws("/", "input", "filter").alias("method"))
 
 
+def in_variants(rows: DataFrame) -> DataFrame:
+    """rows once for each of the six methods, with its ord, input, filter and method: lists unfolded, so no join."""
+    methods = [F.struct(F.lit(k * len(FILTERS) + j).cast("long").alias("ord"), F.lit(i).alias("input"), F.lit(f).alias("filter"), F.lit(f"{i}/{f}").alias("method")) for k, i in enumerate(INPUTS) for j, f in enumerate(FILTERS)]
+    return rows.select("*", F.inline(F.array(*methods)))
+
+
 def best_variant(scored: DataFrame, key: str) -> DataFrame:
     """Per key the method of the highest similarity, the first in ord among equals."""
     best = F.max(F.struct("similarity", (-F.col("ord")).alias("_o"), "method")).alias("_b")

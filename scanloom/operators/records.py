@@ -22,9 +22,9 @@ def assemble(pages: DataFrame) -> DataFrame:
 
 
 def curate(entries: DataFrame, kind: Column) -> DataFrame:
-    """Adds suggested_name, valid and reason: blank values are invalid."""
-    empty = F.coalesce(F.trim("value"), F.lit("")) == ""
-    return entries.select("*", F.when(empty, F.lit(None)).otherwise(kind).alias("suggested_name"), (~empty).alias("valid"), F.when(empty, "empty_value").alias("reason"))
+    """Adds suggested_name, valid and reason: blank values are empty, and what is no text (null) cannot be processed."""
+    reason = F.when(F.col("value").isNull(), "processing_error").when(F.trim("value") == "", "empty_value")
+    return entries.select("*", F.when(reason.isNull(), kind).alias("suggested_name"), reason.isNull().alias("valid"), reason.alias("reason"))
 
 
 def not_done(entries: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -63,3 +63,18 @@ def search(entries: DataFrame, words: str, columns: list[str], only_open: bool =
     shown = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
     found = entries.filter(F.contains(shown, F.lit(words.lower())))
     return found.filter("needs_review") if only_open else found
+
+
+def first_successes(rows: DataFrame, most: int, *order: str, ok: str = "ok") -> DataFrame:
+    """The first rows in an order that succeeded; failures do not count."""
+    return rows.filter(F.col(ok)).orderBy(*order).limit(most)
+
+
+def first_rows(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """The first rows in an order, all without a limit."""
+    return rows if most is None else rows.orderBy(*order).limit(most)
+
+
+def outcomes(rows: DataFrame, ok: str = "ok") -> DataFrame:
+    """One row: succeeded and failed."""
+    return rows.agg(F.count_if(ok).alias("succeeded"), F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("failed"))

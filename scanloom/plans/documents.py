@@ -14,8 +14,10 @@ _KEY = ["folder", "base"]
 
 def _keyed(pages: DataFrame) -> DataFrame:
     """Pages with their document's key, brought together by it before extraction: the one exchange carries texts and not
-    what is found in them, and the aggregate that follows keeps its partitioning."""
-    return page_key(pages).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).repartition(*_KEY)
+    what is found in them, and the aggregate that follows keeps its partitioning. Extraction is the work, so the number of
+    partitions is fixed: by their bytes alone, small tables would leave most tasks empty."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return page_key(pages).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).repartition(n, *_KEY)
 
 
 def _union(field: str) -> Column:

@@ -114,3 +114,6 @@ QUOTES = r"replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '
 LIGATURES = "replace(replace({}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
 UNICODE = f"regexp_replace(regexp_replace(replace(replace({LIGATURES.format(f'replace({QUOTES}, chr(8211), chr(45))')}, chr(8212), '--'), 'ß', 'ss'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 PLAIN = f"trim(regexp_replace({LIGATURES.format(f'''replace(replace(replace({QUOTES}, chr(160), ' '), '\\n', ' '), ' voop ', ' voor ')''')}, '\\s+', ' ', 'g'))"
+
+#: words of layout.ocr_words over documents, the confident ones
+WORDS = r"SELECT doc_id AS image_id, p AS word_idx, l[p + 1] AS text, (p % n) * 85 + CASE WHEN p % n >= 2 AND (p // n) % 2 = 0 THEN 600 ELSE 0 END AS x, (p // n) * 40 + (p % n) * 3 AS y, 8 * least(length(l[p + 1]), 10) AS w, 12 + p % 4 AS h, 40 + (7 * p) % 60 AS conf FROM (SELECT doc_id, 2 + doc_id % 11 AS n, l, unnest(range(len(l))) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda v: v <> '') AS l FROM documents)) WHERE 40 + (7 * p) % 60 > 50"

@@ -124,28 +124,29 @@ def _links(how: str):
     return query
 
 
-_WORDS = r"SELECT doc_id AS image_id, p AS word_idx, l[p + 1] AS text, (p % n) * 85 + CASE WHEN p % n >= 2 AND (p // n) % 2 = 0 THEN 600 ELSE 0 END AS x, (p // n) * 40 + (p % n) * 3 AS y, 8 * least(length(l[p + 1]), 10) AS w, 12 + p % 4 AS h FROM (SELECT doc_id, 2 + doc_id % 11 AS n, l, unnest(range(len(l))) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda v: v <> '') AS l FROM documents)) WHERE 40 + (7 * p) % 60 > 50"
 _ENTITIES = f"SELECT image_id, unnest(range(len(vs))) AS pos, unnest(vs) AS value FROM (SELECT doc_id AS image_id, list_append({S.distinct(S.hits(chr(92) + 'b[A-Z][a-z]{5,}', False))}, 'no such word') AS vs FROM documents)"
-_LINK = f"WITH e AS ({_ENTITIES}), w AS ({_WORDS}), h AS (SELECT image_id, pos, min(word_idx) AS word_idx FROM e JOIN w USING (image_id) WHERE contains(w.text, e.value) GROUP BY ALL) SELECT image_id, 'name' AS kind, pos, value, word_idx, x, y, w.w AS w, h.h AS h FROM e"
-_LINK = _LINK.replace("h.h AS h", "w.h AS h") + " {0} JOIN h USING (image_id, pos) {0} JOIN w USING (image_id, word_idx)"
+_LINK = f"WITH e AS ({_ENTITIES}), w AS ({S.WORDS}), d AS (SELECT image_id, text, min(word_idx) AS word_idx FROM w GROUP BY ALL), v AS (SELECT DISTINCT image_id, value FROM e), h AS (SELECT image_id, value, min(word_idx) AS word_idx FROM v JOIN d USING (image_id) WHERE contains(d.text, v.value) GROUP BY ALL) SELECT image_id, 'name' AS kind, pos, value, word_idx, x, y, w.w AS w, w.h AS h FROM e"
+_LINK += " {0} JOIN h USING (image_id, value) {0} JOIN w USING (image_id, word_idx)"
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns against the next turn as its reading, in six variants. Other than ASCII becomes a question mark, since DuckDB
-    measures edits in bytes."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    """Turns against the next turn as its reading, in six variants."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
     read = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     pairs = c.select("conv_id", "turn", F.col("text").alias("ref")).join(read, ["conv_id", "turn"])
-    rows = pairs.join(F.broadcast(K.variants(spark)), how="cross")  # six rows
+    rows = K.in_variants(pairs)
     text = F.when(F.col("input") == "processed", F.replace("hyp", F.lit("e"), F.lit("c"))).otherwise(F.col("hyp"))
     text = F.when(F.col("filter") == "basic", F.lower(text)).when(F.col("filter") == "advanced", F.translate(text, ".,", "")).otherwise(text)
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("pair"), "ord", "method", F.length(text).cast("long").alias("text_length"), F.round(T.similarity(F.col("ref"), text), 6).alias("similarity"))
 
 
+#: edits are counted in bytes there, so each letter of the languages at hand that is not ASCII gets a byte of its own
+_LETTERS = "äöüßéèêçñóíáúàâîôûëÄÖÜÉÈÊÇÑÓÍ"
+_BYTES = ", ".join(f"chr({k})" for k in [*range(1, 9), 11, 12, *range(14, 32), 127])
 _VARIANTS = (
-    r"WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM conversations) "
-    "SELECT concat(conv_id, '-', turn) AS pair, ord, method, length(t) AS text_length, CASE WHEN greatest(length(ref), length(t)) = 0 THEN 1 ELSE round(1 - levenshtein(ref, t) / greatest(length(ref), length(t)), 6) END AS similarity FROM (SELECT *, CASE f WHEN 'basic' THEN lower(x) WHEN 'advanced' THEN replace(replace(x, '.', ''), ',', '') ELSE x END AS t FROM (SELECT a.conv_id, a.turn, a.text AS ref, ord, concat(i, '/', f) AS method, f, CASE i WHEN 'processed' THEN replace(b.text, 'e', 'c') ELSE b.text END AS x "
-    "FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1 CROSS JOIN (VALUES (0, 'raw', 'none'), (1, 'raw', 'basic'), (2, 'raw', 'advanced'), (3, 'processed', 'none'), (4, 'processed', 'basic'), (5, 'processed', 'advanced')) v(ord, i, f)))"
+    f"WITH c AS (SELECT conv_id, turn, text FROM conversations), v AS (SELECT a.conv_id, a.turn, a.text AS ref, ord, concat(i, '/', f) AS method, f, CASE i WHEN 'processed' THEN replace(b.text, 'e', 'c') ELSE b.text END AS x FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1 CROSS JOIN (VALUES (0, 'raw', 'none'), (1, 'raw', 'basic'), (2, 'raw', 'advanced'), (3, 'processed', 'none'), (4, 'processed', 'basic'), (5, 'processed', 'advanced')) m(ord, i, f)), "
+    f"t AS (SELECT *, CASE f WHEN 'basic' THEN lower(x) WHEN 'advanced' THEN replace(replace(x, '.', ''), ',', '') ELSE x END AS t FROM v), b AS (SELECT *, translate(ref, '{_LETTERS}', concat({_BYTES})) AS rb, translate(t, '{_LETTERS}', concat({_BYTES})) AS tb FROM t) "
+    "SELECT concat(conv_id, '-', turn) AS pair, ord, method, length(t) AS text_length, CASE WHEN greatest(length(ref), length(t)) = 0 THEN 1 ELSE round(1 - levenshtein(rb, tb) / greatest(length(ref), length(t)), 6) END AS similarity FROM b"
 )
 
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import layout as L, records as R
+from ..operators import layout as L, linking as K, records as R
 from ..sources import views as V
 from ..sources.files import workspace
 from ..streaming.curation import curate_stream
-from . import duck as S, profiles
+from . import duck as S, files, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,11 +108,15 @@ def _convert(spark: SparkSession, sf: str) -> DataFrame:
     return R.to_convert(pages, done).select("path", "page_no")
 
 
+_POINTS = [(100, 50), (150, 90), (220, 60)]
+
+
 def _hover(spark: SparkSession, sf: str) -> DataFrame:
+    """Three points on every seventh image, shown at half its size."""
     boxes = V.view(spark, sf, V.BOXES)
-    points = spark.createDataFrame([(100, 50), (150, 90), (220, 60)], "px long, py long")  # three points
-    hits = boxes.join(F.broadcast(points), F.expr("px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2"))
-    return hits.groupBy("px", "py", "field").agg(F.count(F.lit(1)).alias("boxes"))
+    three = F.array(*[F.struct(F.lit(x / 2).alias("px"), F.lit(y / 2).alias("py")) for x, y in _POINTS])
+    points = boxes.filter("image_id % 7 = 0").select("image_id").distinct().select("image_id", F.inline(three))
+    return K.hits(boxes, points, 0.5).select("image_id", (2 * F.col("px")).cast("long").alias("px"), (2 * F.col("py")).cast("long").alias("py"), "ord", "field")
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,12 +163,14 @@ QUERIES: dict[str, Query] = {
     "merge_overlaps": lambda spark, sf: L.merge_overlaps(V.view(spark, sf, V.BOXES)),
     "stream_curation": _stream,
     **profiles.QUERIES,
+    **files.QUERIES,
 }
 
 _NUM = "regexp_replace(n, '\\D', '', 'g')"
 
 ORACLES: dict[str, str] = {
     **profiles.ORACLES,
+    **files.ORACLES,
     "clean_text": f"SELECT doc_id, {S.UNICODE} AS unicode_text, {S.PLAIN} AS plain_text FROM documents",
     "ocr_text_stats": r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS BIGINT) AS words FROM documents",
     **{f"invoice_{k}": f"SELECT doc_id, {S.joined(x)} AS {k} FROM {_INV}" for k, x in _EXTRACT.items()},
@@ -182,8 +188,28 @@ ORACLES: dict[str, str] = {
     "upsert_annotations": f"WITH b AS {_BOXES}, n AS (SELECT * FROM b WHERE ord = 1 AND field = 'Unknown') SELECT image_id, ord, field, value FROM b WHERE image_id NOT IN (SELECT image_id FROM n) UNION ALL SELECT image_id, ord, field, 'corrected' FROM n",
     "review_apply": f"SELECT entry_id, doc_id, confidence, needs_review AND NOT confidence < 0.3 AS needs_review, CASE WHEN confidence < 0.3 THEN concat('fixed ', CAST(doc_id AS VARCHAR)) END AS user_correction, CASE WHEN confidence < 0.5 THEN 'high' WHEN confidence < 0.8 THEN 'medium' ELSE 'low' END AS attention FROM {_REV}",
     "incremental_convert": f"SELECT path, page_no FROM {_PAGES} WHERE page_no > 1 AND doc_id % 3 <> 0 OR doc_id % 2 = 1",
-    "hover_hits": f"SELECT px, py, field, count(*) AS boxes FROM {_BOXES} b JOIN (VALUES (100, 50), (150, 90), (220, 60)) t(px, py) ON px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 GROUP BY ALL",
+    "hover_hits": f"SELECT image_id, px, py, ord, field FROM {_BOXES} b JOIN (VALUES (100, 50), (150, 90), (220, 60)) t(px, py) ON image_id % 7 = 0 AND px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2",
     "word_filter": r"SELECT image_id, count(*) AS words, CAST(sum(8 * least(length(l[p + 1]), 10)) AS BIGINT) AS width FROM (SELECT doc_id AS image_id, l, unnest(range(len(l))) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda v: v <> '') AS l FROM documents)) WHERE 40 + (7 * p) % 60 > 50 GROUP BY image_id",
     "overlap_pairs": f"WITH b AS {_BOXES}, p AS (SELECT a.image_id, a.ord AS ord_a, b.ord AS ord_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS intersection, least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) AS smaller FROM b a JOIN b ON a.image_id = b.image_id AND a.ord < b.ord) SELECT image_id, ord_a, ord_b, intersection FROM p WHERE 2 * intersection > smaller",
 }
+_LINED = rf"""w AS ({S.WORDS}), f AS (SELECT image_id, list(struct_pack(y := y, i := word_idx) ORDER BY y, word_idx) AS ws, least(0.7 * avg(h), 15) AS thr FROM w GROUP BY image_id),
+ n AS (SELECT image_id, ws, list_reduce(ws, lambda a, v: CASE WHEN a.n < 0 OR v.y - a.y > thr THEN {{'y': v.y, 'n': a.n + 1, 'l': list_append(a.l, a.n + 1)}} ELSE {{'y': a.y, 'n': a.n, 'l': list_append(a.l, a.n)}} END, {{'y': 0::BIGINT, 'n': -1::BIGINT, 'l': []::BIGINT[]}}).l AS ls FROM f),
+ l AS (SELECT image_id, unnest(ws).i AS word_idx, unnest(ls) AS line FROM n)"""
+ORACLES["line_grouping"] = f"WITH {_LINED} SELECT image_id, word_idx, line FROM l"
+_PAD = "CAST(trunc(({hi} - {lo}) * 0.05::DOUBLE) AS BIGINT)"
+ORACLES["field_annotations"] = f"""WITH {_LINED}, g AS (SELECT *, x - lag(x + w.w) OVER (PARTITION BY image_id, line ORDER BY x, y, word_idx) AS gap FROM w JOIN l USING (image_id, word_idx)),
+ m AS (SELECT *, avg(gap) OVER (PARTITION BY image_id, line) AS mean, avg(w) OVER (PARTITION BY image_id, line) AS width, count(*) OVER (PARTITION BY image_id, line) AS n FROM g),
+ b AS (SELECT *, CAST(sum(CASE WHEN n >= 2 AND (mean > 2 * width OR n <= 3) AND gap > greatest(2 * mean, 3 * width) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, line ORDER BY x, y, word_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM m),
+ a AS (SELECT image_id, line, block, string_agg(text, ' ' ORDER BY x, y, word_idx) AS value, count(*) AS words, min(x) AS a, min(y) AS b, max(x + w) AS c, max(y + h) AS d, round(avg(conf), 6) AS confidence FROM b GROUP BY ALL),
+ k AS (SELECT *, {S.classes("value", P.LAYOUT_CLASSES, "NULL")} AS class FROM a)
+ SELECT image_id, line, block, value, coalesce(class, 'Unknown') AS field, greatest(0, a - {_PAD.format(lo="a", hi="c")}) AS x1, greatest(0, b - {_PAD.format(lo="b", hi="d")}) AS y1, c + {_PAD.format(lo="a", hi="c")} AS x2, d + {_PAD.format(lo="b", hi="d")} AS y2, confidence
+ FROM k WHERE length(trim(value)) >= 2 AND (class IS NOT NULL OR words >= 2)"""
+_FIELDS = ("x1", "y1", "x2", "y2", "field", "value", "confidence")
+_INTER = "greatest(0, least(a.x2, bs[j].x2) - greatest(a.x1, bs[j].x1)) * greatest(0, least(a.y2, bs[j].y2) - greatest(a.y1, bs[j].y1))"
+_SMALLER = "least((a.x2 - a.x1) * (a.y2 - a.y1), (bs[j].x2 - bs[j].x1) * (bs[j].y2 - bs[j].y1))"
+_GROWN = "{'x1': least(a.x1, bs[j].x1), 'y1': least(a.y1, bs[j].y1), 'x2': greatest(a.x2, bs[j].x2), 'y2': greatest(a.y2, bs[j].y2), 'field': CASE WHEN a.field = 'Unknown' THEN bs[j].field ELSE a.field END, 'value': concat(a.value, ' ', bs[j].value), 'confidence': greatest(a.confidence, bs[j].confidence), 'taken': list_append(a.taken, j)}"
+_ONE = f"list_reduce(range(i + 1, len(bs) + 1), lambda a, j: CASE WHEN list_contains(a.taken, j) OR 2 * {_INTER} <= {_SMALLER} THEN a ELSE {_GROWN} END, {{{', '.join(f"'{c}': bs[i].{c}" for c in _FIELDS)}, 'taken': s.taken}})"
+ORACLES["merge_overlaps"] = f"""WITH p AS (SELECT image_id, list(struct_pack({', '.join(f'{c} := {c}' for c in _FIELDS)}) ORDER BY y1, ord) AS bs FROM {_BOXES} GROUP BY image_id),
+ o AS (SELECT image_id, list_reduce(range(1, len(bs) + 1), lambda s, i: CASE WHEN list_contains(s.taken, i) THEN s ELSE {{'taken': {_ONE}.taken, 'got': list_append(s.got, {_ONE})}} END, {{'taken': []::BIGINT[], 'got': []::STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, field VARCHAR, value VARCHAR, confidence BIGINT, taken BIGINT[])[]}}).got AS got FROM p)
+ SELECT image_id, k AS ord, {', '.join(f'got[k + 1].{c} AS {c}' for c in _FIELDS)} FROM (SELECT image_id, got, unnest(range(len(got))) AS k FROM o)"""
 ORACLES["stream_curation"] = ORACLES["curation_split"]

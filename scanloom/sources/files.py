@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,6 +25,8 @@ def workspace(spark: SparkSession) -> str:
     """A new folder's URI below spark.checkpoint.dir, which all executors see; below a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors see")
         base = tempfile.mkdtemp(prefix="scanloom-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
@@ -101,6 +106,19 @@ def texts(words_of: DataFrame) -> DataFrame:
     return words_of.groupBy("path").agg(joined.alias("text"))
 
 
+def ocr_text(files: DataFrame, provider: Words, least: int | None = None) -> DataFrame:
+    """path and text of each file: its words, with `least` only those of more confidence, joined by spaces."""
+    found = words(files, provider)
+    return texts(found if least is None else found.filter((F.col("conf").cast("int") > least) | F.col("error").isNotNull()))
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """page_images() with name: the file's, with _page and the number where it has several pages."""
+    base = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    count = pages.groupBy("path").agg(F.count("page").alias("pages"))
+    return pages.join(count, "path").withColumn("name", F.concat(page_name(base, F.col("page"), F.col("pages")), F.lit(".jpg")))
+
+
 # JSON readers
 
 
@@ -127,8 +145,8 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str, ddl: str = schemas.CURATED) -> DataFrame:
-    """Results of runs before this one, none if there was no run."""
-    return spark.read.schema(ddl).json(path) if exists(spark, path) else spark.createDataFrame([], ddl)
+    """Results of runs before this one, none if there was no run; corrupt lines give none."""
+    return spark.read.schema(ddl).option("mode", "DROPMALFORMED").json(path) if exists(spark, path) else spark.createDataFrame([], ddl)
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
@@ -144,16 +162,112 @@ def write_documents(documents: DataFrame, path: str, ordered: bool = False) -> N
     (documents.orderBy("file_name") if ordered else documents).write.mode("overwrite").json(path)
 
 
+def append_documents(documents: DataFrame, path: str) -> None:
+    """Further lines behind those that are there."""
+    documents.write.mode("append").json(path)
+
+
 def write_page_metadata(pages: DataFrame, path: str) -> None:
-    """Metadata and raw text in a folder per source each."""
+    """Metadata, and raw text, a line per page with its source, so equal names in different folders stay apart."""
     named = pages.withColumn("name", F.regexp_extract("source", r"([^/]*)$", 1))
-    named.select("name", "source", "language", "metadata").write.mode("overwrite").partitionBy("name").json(f"{path}/metadata")
-    named.select("name", F.col("raw_text").alias("value")).write.mode("overwrite").partitionBy("name").text(f"{path}/text")
+    named.select("source", "name", "language", "metadata").write.mode("overwrite").json(f"{path}/metadata")
+    named.select("source", "name", "raw_text").write.mode("overwrite").json(f"{path}/text")
+
+
+def write_summaries(summaries: DataFrame, path: str, stamp: str) -> None:
+    """source and text; a line per summary with its file name, which carries the time (yyyyMMdd_HHmmss), and its banner.
+    Empty summaries have no file."""
+    base = F.regexp_replace(F.regexp_extract("source", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    name = F.concat(base, F.lit(f"_{stamp}.txt"))
+    summaries.filter("text IS NOT NULL").select("source", name.alias("file"), F.concat(F.lit(SUMMARY_BANNER), "text").alias("text")).write.mode("overwrite").json(path)
+
+
+def write_reviews(entries: DataFrame, path: str) -> None:
+    """Review entries, a line each in the order of entry_id, in place of those that are there."""
+    save_atomically(entries.orderBy("entry_id"), path)
+
+
+def read_review_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The entries that write_reviews wrote; a missing folder has none."""
+    ddl = f"entry_id BIGINT, {schemas.REVIEW_ENTRY}"
+    return spark.read.schema(ddl).json(path) if exists(spark, path) else spark.createDataFrame([], ddl)
+
+
+def _local(uri: str) -> str | None:
+    u = urlparse(uri)
+    return unquote(u.path) if u.scheme in ("", "file") else None
+
+
+def _put(uri: str, data: bytes) -> None:
+    """A file of a shared folder, whole or not at all, so that a repeated task does no harm."""
+    part = f"{uri}.{uuid.uuid4().hex}.tmp"
+    if path := _local(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(_local(part), "wb") as f:
+            f.write(data)
+        os.replace(_local(part), path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(f"{path}.tmp") as f:
+        f.write(data)
+    store.move(f"{path}.tmp", path)
+
+
+def write_files(files: DataFrame, root: str, encoders: list[Callable[[bytes], bytes]] | None = None) -> DataFrame:
+    """path, ok, error of files (path relative to root, content), written when the result is computed. The first encoder
+    that does not fail gives a file's bytes; if all do, the row has the last error and no file is written."""
+
+    def one(path: str, content: bytes | None) -> tuple[bool, str | None]:
+        error = "no content"
+        for encode in (encoders or [bytes]) if content is not None else []:
+            try:
+                _put(f"{root.rstrip('/')}/{path}", encode(bytes(content)))
+                return True, None
+            except Exception as e:  # one bad file must not end the job
+                error = f"{type(e).__name__}: {e}"
+        return False, error
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, *one(p, c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=["path", "ok", "error"]).astype({"error": object})
+
+    return files.select("path", "content").mapInPandas(run, "path string, ok boolean, error string")
+
+
+def save_atomically(df: DataFrame, path: str) -> None:
+    """df as JSON lines in place of what path has, which may be what df is computed from: written beside it, then swapped
+    by renaming. A run that dies leaves either the old or the new records, the old ones under .old at worst."""
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp", f"{path.rstrip('/')}.old"
+    df.write.json(new)
+    store = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(fs_path(old), True)
+    if store.exists(fs_path(path)) and not store.rename(fs_path(path), fs_path(old)):
+        raise OSError(f"{path} cannot be moved away")
+    if not store.rename(fs_path(new), fs_path(path)):
+        store.rename(fs_path(old), fs_path(path))
+        raise OSError(f"{new} cannot be moved to {path}")
+    store.delete(fs_path(old), True)
+
+
+def save_batches(records: DataFrame, path: str, state: str) -> None:
+    """Save a stream's records batch by batch; one that runs again after a failure overwrites its own folder."""
+
+    def save(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").json(f"{path}/batch={n}")
+
+    records.writeStream.foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    """name and text; a text file with its banner in a folder per name."""
-    summaries.select("name", F.concat(F.lit(SUMMARY_BANNER), "text").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+def read_batches(spark: SparkSession, path: str, ddl: str, key: str) -> DataFrame:
+    """What save_batches saved, each key's record of the last batch that has one."""
+    rows = spark.read.schema(f"{ddl}, batch BIGINT").json(path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), "batch").alias("r"))
+    return last.select(key, "r.*")
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -163,7 +277,7 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def upsert_file(new: DataFrame, old: DataFrame, key: str, path: str) -> None:
-    """old with the rows of new's keys replaced, written to a path other than old's."""
+    """old with the rows of new's keys replaced, in path, which may be old's own."""
     from ..operators.records import upsert
 
-    upsert(old, new, key).write.mode("overwrite").json(path)
+    save_atomically(upsert(old, new, key), path)

@@ -36,7 +36,7 @@ BOXES = """SELECT image_id, ord, x1, y1, x2, y2, field, concat(field, ' ', CAST(
 CURATION = f"""SELECT user_id AS doc_id, event_id AS ordinal, CASE event_type WHEN 'error' THEN ' ' WHEN 'click' THEN concat({_y}, '-', {_m}, '-', {_d}) WHEN 'view' THEN 'AB/123/2024'
  WHEN 'signup' THEN concat('user', CAST(user_id AS STRING), '@mail.example.org') ELSE concat('text ', CAST(event_id AS STRING)) END AS value FROM events""".replace("o_orderdate", "ts")
 
-REVIEWS = """SELECT CAST(row_number() OVER (ORDER BY doc_id, quality, toxic) - 1 AS BIGINT) AS entry_id, doc_id, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, quality = 0 OR toxic = 1 AS needs_review FROM labels"""
+REVIEWS = """SELECT doc_id AS entry_id, doc_id, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, quality = 0 OR toxic = 1 AS needs_review FROM labels"""
 
 
 def duck(sql: str) -> str:

@@ -13,20 +13,19 @@ KEY = ["doc_id", "ordinal"]
 
 def curate_stream(entries: DataFrame, out: str, state: str, kind=T.field_type) -> DataFrame:
     """Curate all entries (doc_id, ordinal, value) that wait in a stream and return the results so far. Each entry is
-    curated once: a batch leaves out the keys that earlier batches wrote, and one that runs again after a failure
-    overwrites its own folder, out/batch=N. The checkpoint in state resumes where the last run stopped."""
+    curated once: the stream's state keeps the keys that came before, so a batch costs no more than its own entries, and
+    one that runs again after a failure overwrites its own folder, out/batch=N. The checkpoint in `state` resumes where the
+    last run stopped."""
     spark = entries.sparkSession
     schema = curate(entries, kind(F.col("value"))).schema
-    results = lambda: spark.read.schema(f"{_ddl(schema)}, batch BIGINT").parquet(out)
 
     def batch(df: DataFrame, n: int) -> None:
-        rows = curate(df.dropDuplicates(KEY), kind(F.col("value")))
-        if n > 0:
-            rows = rows.join(results().filter(F.col("batch") < n).select(KEY), KEY, "left_anti").select(*schema.fieldNames())
-        rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        curate(df, kind(F.col("value"))).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    entries.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return results().drop("batch") if exists(spark, out) else spark.createDataFrame([], schema)
+    entries.dropDuplicates(KEY).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    if not exists(spark, out):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{_ddl(schema)}, batch BIGINT").parquet(out).drop("batch")
 
 
 def _ddl(schema) -> str:

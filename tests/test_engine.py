@@ -14,7 +14,7 @@ def _rows(columns, rows):
 def test_query_equals_sql(spark, sf, name):
     df = Q.QUERIES[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "orders", "lineitem", "events", "labels", "conversations"):
+    for t in ("documents", "orders", "lineitem", "events", "labels", "conversations", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.sql(Q.ORACLES[name])
     expected = _rows(list(rel.columns), rel.fetchall())
@@ -98,3 +98,61 @@ def test_lines_equal_a_plain_fold(spark, sf):
                 anchor, n = r["y"], n + 1
             want.add((image, r["word_idx"], n))
     assert {tuple(r) for r in words.collect()} == want and want
+
+
+def test_words_may_contain_values_of_any_length(spark):
+    from scanloom.operators import linking
+
+    texts = ["abcde", "bcd", "xbcdx", "a", "", "äöü€", "aaaa", "abcde"]
+    words = spark.createDataFrame([(1, k, t, k, 0, 1, 1) for k, t in enumerate(texts)] + [(2, 0, "other", 0, 0, 1, 1)], "image_id long, word_idx long, text string, x long, y long, w long, h long")
+    values = ["bcd", "a", "", "öü", "€", "aaa", "bcdx", "abcdef", None, "bcd"]
+    entities = spark.createDataFrame([(i, "k", p, v) for i in (1, 2, 3) for p, v in enumerate(values)], "image_id long, kind string, pos long, value string")
+    want = {}
+    for i, own in ((1, texts), (2, ["other"]), (3, [])):
+        for p, v in enumerate(values):
+            want[i, p] = next((k for k, t in enumerate(own) if v is not None and v in t), None)
+    assert {(r["image_id"], r["pos"]): r["word_idx"] for r in linking.link(entities, words).collect()} == want
+    inner = {(r["image_id"], r["pos"]): r["word_idx"] for r in linking.link(entities, words, "inner").collect()}
+    assert inner == {k: x for k, x in want.items() if x is not None}
+
+
+def test_images_of_words_may_span_batches(spark):
+    rows = [(i if i < 6 else None, k, "w", k, 7 * k % 400, 8, 12 + k % 4, 90.0) for i in range(7) for k in range(300 if i == 3 else 20)]
+    words = spark.createDataFrame(rows, "image_id long, word_idx long, text string, x long, y long, w long, h long, conf double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r["image_id"], r["word_idx"]): r["line"] for r in layout.lines(words).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for image in {r[0] for r in rows}:
+        own = sorted((r[4], r[1], r[6]) for r in rows if r[0] == image)
+        limit, anchor, n = min(0.7 * sum(h for _, _, h in own) / len(own), 15.0), None, -1
+        for y, k, _ in own:
+            if anchor is None or y - anchor > limit:
+                anchor, n = y, n + 1
+            assert got[image, k] == n
+    assert layout.lines(words.limit(0)).count() == 0
+
+
+def test_saving_over_what_is_read(spark, tmp_path):
+    from scanloom.sources import files
+
+    at = f"{tmp_path}/records"
+    files.save_atomically(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), at)
+    for _ in range(2):
+        old = spark.read.schema("id BIGINT, v STRING").json(at)
+        files.upsert_file(spark.createDataFrame([(2, "new"), (3, "c")], "id long, v string"), old, "id", at)
+    assert sorted(tuple(r) for r in spark.read.schema("id BIGINT, v STRING").json(at).collect()) == [(1, "a"), (2, "new"), (3, "c")]
+    assert [p.name for p in tmp_path.iterdir()] == ["records"]
+
+
+def test_a_stream_curates_each_entry_once(spark, tmp_path):
+    from scanloom.streaming.curation import curate_stream
+
+    ddl = "doc_id long, ordinal long, value string"
+    for k, rows in enumerate([[(1, 1, "a"), (1, 2, "b")], [(1, 2, "b"), (2, 1, None)], [(1, 1, "a"), (3, 1, " ")]]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+        got = curate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r["doc_id"], r["ordinal"], r["valid"], r["reason"]) for r in got.collect()) == [(1, 1, True, None), (1, 2, True, None), (2, 1, False, "processing_error"), (3, 1, False, "empty_value")]
