@@ -62,6 +62,34 @@ def test_token_counts(docs):
     assert len(got) == len(ROWS) and all(r["n_tokens"] > 0 for r in got if r["n_bytes"] > 3)
 
 
+def test_chunks_are_the_sum_of_their_pre_tokens(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, split = Tokenizer.from_file(path), token_counts.pre_tokens(path)
+    r = random.Random(11)
+    letters = "aZé中'sd7,.-_<|>ẞİÄ\u0301\u1e9b\u0323ﬁ٣"
+    chunks = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(3000)] + ["<|endoftext|>x", "don't", "x<|startoftext|>"]
+    for c in chunks:
+        assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in split(c)) == len(t.encode(c, add_special_tokens=False).ids), c
+    texts = [" ".join(r.choices(chunks, k=r.randrange(30))) + r.choice(["", "\u00a0", "\t", "\x1d"]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)  # a tree of two levels
+    got = {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(df, path, table_size=50, cache_size=60).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    counts = Counter(p for x in texts for c in x.replace("\x1d", " ").split() for p in split(c))
+    table = token_counts.frequent(df.select("text"), path, 4000)
+    assert set(table) >= {p for p, n in counts.most_common(20)}
+    assert token_counts.splits_at_space(path) and not token_counts.splits_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+    # a vocabulary that cuts at commas alone does not end a token at white space
+    spec = json.loads(open(path).read())
+    spec["pre_tokenizer"]["pretokenizers"][0] |= {"pattern": {"Regex": "[^,]+"}}
+    other = tmp_path / "commas.json"
+    other.write_text(json.dumps(spec))
+    assert not token_counts.splits_at_space(str(other))
+
+
 @pytest.mark.parametrize("cap", [packing.Capacity(), packing.Capacity(tokens=2048, documents=3, rule="dot"), packing.Capacity(attention=2048 * 2048, documents=2)])
 def test_packing(docs, cap):
     from tokenizers import Tokenizer
