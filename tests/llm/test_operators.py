@@ -253,6 +253,30 @@ def test_fingerprints(spark, docs):
     assert told["own_fingerprint"] == "h-" + "a" * 64
 
 
+def test_fingerprints_of_odd_ids(spark):
+    texts = ["ab", "AB", " ab", "cd", None, "", "x" * 50]
+    for kind, ids in (("string", ["z", "a", None, "a", None, "ü", "10"]), ("double", [1.5, None, -2.0, 1.5, None, 0.0, 3.0]), ("date", None)):
+        if ids is None:
+            df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select(F.expr("date'2024-01-01' + k").alias("doc_id"), "text")
+        else:
+            df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+        df = df.withColumns({c: F.lit(1) for c in ("id", "row", "hash", "_range")}).repartition(3)
+        assert fingerprints.edit_likeness(df).count() == len(texts) == fingerprints.fingerprints(df).count()
+        got = Counter(r["n_equal"] for r in fingerprints.fingerprints(df).collect())
+        assert got == {3: 3, 1: 2, 2: 2}
+
+
+def test_next_of_many_equal_and_null_ids(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, None, 7, 7, k]), f"t{r.randrange(60)}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    hashes = {x["text"]: x["h"] for x in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, (hashes[x[1]] % 2**64) >> 11, x[1]))
+    got = fingerprints.with_next(df, ["id", "text"]).collect()
+    want = [(*a, *b) for a, b in zip(order, [*order[1:], order[0]], strict=True)]
+    assert _count(got) == _count(want)
+
+
 def test_edited_text_is_the_next_documents(spark):
     import hashlib
 
@@ -428,6 +452,45 @@ def test_warc(spark):
     assert keys == sorted(keys) and len(keys) == 5
 
 
+def test_warc_of_odd_rows(spark):
+    # text ids with odd characters, null and repeated ids, repeated rows, clashing columns
+    rows = [("b\r\n%41 é\u2028", "http://x/1", "p"), ("a: b", "http://x/1", "p"), (None, "http://x/2", "p"), (None, None, "q"), (None, "http://x/3", "q"), ("a: b", "http://x/1", "p"), ("", "http://x/4", "z" * 300_000), ("c", "http://x/5", None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").withColumns({c: F.lit(c) for c in ("digest", "first", "same", "size", "ts", "id")}).repartition(3)
+    records, index = warc.capture(df)
+    want = []
+    for i, _, p in rows:
+        least = min((j for j, _, q in rows if j is not None and (q or "") == (p or "")), default=None)
+        other = least if least is not None and i != least else None
+        want.append((i, len((p or "").encode()), warc.b32((p or "").encode()), "revisit" if other is not None else "response", other))
+    assert _count(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == _count(want)
+    assert index.count() == len(rows)
+    large = warc.write_archives(df, warc.shared_dir(spark), least=2).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in large} == {"response": len(rows)}  # smaller payloads are all responses
+    none, empty = warc.capture(df.limit(0))
+    assert none.count() == 0 == empty.count()
+
+
+def test_revisits_refer_to_their_response(spark):
+    rows = [(1, "http://x/1", "p"), (2, "http://x/2", "p")]
+    uri = warc.shared_dir(spark)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), uri).collect()
+    files = spark.read.format("binaryFile").load(f"{uri}/warc").collect()
+    heads = {h["X-Page"]: h for f in files for h, _, _ in warc.parse(bytes(f["content"]))}
+    assert heads["2"]["WARC-Refers-To"] == heads["1"]["WARC-Record-ID"] and heads["2"]["WARC-Refers-To-Target-URI"] == "http://x/1" and heads["2"]["WARC-Refers-To-Date"] == heads["1"]["WARC-Date"]
+
+
+def test_runs_are_merged_over_many_batches(spark):
+    r = random.Random(8)
+    rows = [(k, f"http://h{r.randrange(5)}.org/{r.randrange(40)}", f"p{k}", r.choice([None, "2020-01-01 00:00:00", f"2021-01-{1 + r.randrange(28):02} 00:00:00"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, ts string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = [(x["url_key"], x["ts"], int(x["page"])) for x in warc.capture(df, ts_col="ts")[1].orderBy("part", "place").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3000 and got == sorted(got, key=lambda x: (x[0], x[1] is not None, x[1], str(x[2])))
+
+
 def test_loser_tree():
     r = random.Random(3)
     for k in range(9):
