@@ -319,7 +319,8 @@ def _units(postings: DataFrame, hubs: DataFrame, clusters: DataFrame, block: int
     """(unit, listed, blocks, node): which sets are scanned together, in so many blocks. A unit is a cluster, or a key
     (listed) where the keys of a cluster of several blocks ship its sets fewer times."""
     blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    # tables of their own, apart from the joins that read them, so that a large cluster's rows may be split over tasks
+    sizes = stored(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), f"{uri}/units/sizes")
     large = sizes.filter(F.col("n") > block)
     lists = hubs.join(clusters, F.col("hub") == F.col("node")).select("at", "root", "n").join(large.select("root"), "root", "left_semi")
     cost = F.col("n") * blocks
@@ -373,7 +374,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     degrees = linked.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classes = docs.filter("size > 0").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     classes = classes.join(labels, F.col("key") == F.col("node"), "left").join(degrees, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
+    classes = stored(classes, f"{uri}/classes")
+    smallest = stored(classes.groupBy("root").agg(F.min("least").alias("component")), f"{uri}/smallest")
     classes = classes.join(smallest, "root").select(F.col("key").alias("_k"), "component", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     some, none = docs.filter("size > 0"), docs.filter("size = 0")
     out = some.join(classes, F.col("key") == F.col("_k")).select("id", "size", "component", "n_copies", "n_links")
