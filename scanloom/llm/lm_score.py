@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .jaccard import M2, _large, _pack, _small, _unpack
+from .jaccard import M2, WordHashes, _large, _pack, _small, _unpack
 from .quality_fm import crc_mod
 from .shared import map_array, put_array, shared_dir, slices, stored, texts_of, type_of, worker_state
 
@@ -216,6 +216,20 @@ def _seen(n: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
 
 
+class Ids(dict):
+    """Word to its id, -1 for words that the model does not know; words that are asked for first get -2, -3 and so on until
+    their ids have been looked up together."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        at = self[word] = -1 - len(self.new)
+        return at
+
+
 class Tables:
     """The model's files, mapped. sizes[k - 1]: the numbers of n-grams of order k in the shards."""
 
@@ -226,7 +240,7 @@ class Tables:
         self.bits = pair_bits(self.v)
         self.keys = [[(Keys if k else Hashes)(f"{uri}/{k + 1}-{i}") if n else () for i, n in enumerate(s)] for k, s in enumerate(sizes)]
         self.files: dict[str, list] = {}
-        self.ids: dict[bytes, int] = {}
+        self.ids = Ids()
 
     def counts(self, order: int, name: str) -> list[Counts]:
         key = f"{order}-{name}"
@@ -268,14 +282,18 @@ class Tables:
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (-1: unknown) of all tokens, each text's words and its end; each text's first token; each token's place in its text."""
-        if len(self.ids) > 300_000:
-            self.ids.clear()
+        known = self.ids
+        if len(known) > 300_000:
+            known.clear()
         split = words_of(texts)
-        new = list(set().union(*split) - self.ids.keys()) if split else []
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-        self.ids.update(zip(new, self.find(1, hashes)[0].tolist(), strict=True))
-        end = self.find(1, np.array([END], np.uint64))[0]
-        ids = np.concatenate([x for w in split for x in (np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)), end)]) if split else end[:0]
+        end = np.array([self.end()])
+        ids = np.concatenate([x for w in split for x in (np.fromiter(map(known.__getitem__, w), np.int64, len(w)), end)])
+        if new := known.new:
+            found = self.find(1, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))[0]
+            known.update(zip(new, found.tolist(), strict=True))
+            late = np.flatnonzero(ids < -1)
+            ids[late] = found[-2 - ids[late]]
+            known.new = []
         sizes = np.array([len(w) + 1 for w in split], np.int64)
         starts = np.cumsum(sizes) - sizes
         return ids, starts, np.arange(len(ids)) - np.repeat(starts, sizes)
@@ -377,11 +395,9 @@ def build(train: DataFrame, order: int = 3) -> Model:
 
     def word_keys(texts: list[bytes]) -> list[np.ndarray]:
         split = words_of(texts)
-        known = worker_state("lm_score").setdefault("hashes", {})
+        known = worker_state("lm_score").setdefault("hashes", WordHashes())
         if len(known) > 300_000:
             known.clear()
-        new = set().union(*split) - known.keys()
-        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         parts = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in split]
         return [np.concatenate([*parts, np.full(len(split), END, np.uint64)])]
 
