@@ -3,10 +3,14 @@ the tables that it came from."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import models as M, records as R
+from ..operators import images as I, models as M, records as R
 from ..sources import files as S, views as V
 from . import duck as D
 
@@ -256,7 +260,34 @@ def _limits(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(R.first_rows(rows, 40, "doc_id", "page_no").withColumn("kind", F.lit("files"))).select("kind", "doc_id", "page_no", "ok")
 
 
+def _picture(key: int) -> bytes:
+    """A dark picture with a bright page whose place and size follow from a number, and lines on it; some are in colour."""
+    y, x = np.mgrid[0:90, 0:120]
+    page = (y >= 12 + key % 9) & (y < 80 - key % 7) & (x >= 15 + key % 11) & (x < 108 - key % 5)
+    out = np.where(page & (y % 9 == 4) & (x % 3 > 0), 30, np.where(page, 210, 35 + key % 20)).astype(np.uint8)
+    return I.encode(np.stack([out, out, out], axis=2) if key % 4 == 0 else out)
+
+
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every enhancement of every supplier's picture: its size and mean brightness. Every eleventh file is no picture."""
+    steps = {"cropped": I.cropped, "deskewed": I.deskew, "gray": I.gray, "binary": lambda x: I.binarize(I.gray(x)), "equalised": lambda x: I.equalize(I.gray(x)), "denoised": lambda x: I.denoise(I.gray(x), 5.0), "sharpened": lambda x: I.sharpen(I.gray(x), amount=0.8, threshold=5), "basic": I.basic, "rgb": I.rgb, "enhanced": I.enhanced}
+
+    def draw(frames):
+        for f in frames:
+            yield pd.DataFrame([(f"s{k}.pgm", _picture(int(k)) if k % 11 else b"none") for k in f["s_suppkey"]], columns=["path", "content"])
+
+    files = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").mapInPandas(draw, "path string, content binary")
+
+    def told(image: np.ndarray) -> bytes:
+        return f"{image.shape[1]} {image.shape[0]} {image.mean():.3f}".encode()
+
+    parts = [I.apply(files, step, write=told).select("path", F.lit(name).alias("step"), "ok", "error", F.split(F.col("content").cast("string"), " ").alias("c")) for name, step in steps.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select("path", "step", "ok", "error", F.get("c", F.lit(0)).cast("long").alias("width"), F.get("c", F.lit(1)).cast("long").alias("height"), F.get("c", F.lit(2)).cast("double").alias("mean"))
+
+
 QUERIES = {
+    "image_steps": _steps,
     "files_written": _written, "file_outcomes": _outcomes, "pictures_listed": _pictures, "convertible_listed": _convertible, "ocr_words": _ocr, "ocr_texts": _ocr_text, "pdf_pages": _pdf, "documents_saved": _documents, "annotations_keyed": _keyed,
     "annotations_upserted": _upserted, "reviews_saved": _reviews, "results_read": _results, "training_lists": _training, "summaries_saved": _summaries, "metadata_saved": _metadata_files, "tables_saved": _tables, "batches_saved": _batches,
     "field_model": _field_model, "translations": _translated, "text_samples": _samples, "first_limits": _limits,

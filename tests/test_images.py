@@ -66,3 +66,37 @@ def test_files_one_bad(spark):
     rows = {r["path"]: r for r in I.apply(df).collect()}
     assert rows["a"]["ok"] and I.decode(bytes(rows["a"]["content"])).shape == (60, 90)
     assert not rows["b"]["ok"] and "ValueError" in rows["b"]["error"] and not rows["c"]["ok"] and I.apply(df.limit(0)).count() == 0
+
+
+def test_crop_to_the_largest_outline():
+    page = np.full((120, 160), 40, np.uint8)
+    page[30:100, 50:140] = 220
+    page[5:9, 5:9] = 220
+    out = I.cropped(page)
+    # the outline lies within a pixel or two of the bright area's border
+    assert abs(out.shape[0] - 90) <= 4 and abs(out.shape[1] - 110) <= 4 and (out == 220).sum() >= 70 * 90
+    assert I.cropped(page[:, :45]).shape == (120, 45) and I.cropped(np.zeros((20, 30), np.uint8)).shape == (20, 30)
+    colour = np.repeat(page[:, :, None], 3, axis=2)
+    assert I.cropped(colour).shape == (*out.shape, 3) and I.rgb(page).shape == (120, 160, 3)
+
+
+def test_edges_are_thin_and_closed():
+    page = np.zeros((60, 60), np.uint8)
+    page[20:40, 20:40] = 200
+    edges = I.canny(page)
+    groups = I._groups(edges)
+    assert len(groups) == 1 and edges.sum() <= 4 * 22 and I._enclosed(edges) >= 18 * 18
+
+
+def test_steps_over_files(spark, sf):
+    from scanloom.plans import files
+
+    got = files.QUERIES["image_steps"](spark, sf).collect()
+    keys = [r["s_suppkey"] for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()]
+    assert len(got) == 10 * len(keys) and {r["path"] for r in got if not r["ok"]} == {f"s{k}.pgm" for k in keys if k % 11 == 0}
+    by = {(r["path"], r["step"]): r for r in got}
+    for k in keys:
+        if k % 11:
+            gray, out = by[f"s{k}.pgm", "gray"], by[f"s{k}.pgm", "cropped"]
+            assert (gray["width"], gray["height"]) == (120, 90) and (out["width"], out["height"]) <= (120, 90) and out["mean"] >= gray["mean"] - 1e-6
+            assert by[f"s{k}.pgm", "enhanced"]["width"] == int(out["width"] * 1.5)
