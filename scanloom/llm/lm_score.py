@@ -25,12 +25,72 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .jaccard import M2, WordHashes, _large, _pack, _small, _unpack
+from .jaccard import M2, _large, _pack, _small, _unpack
 from .quality_fm import crc_mod
 from .shared import map_array, put_array, shared_dir, slices, stored, texts_of, type_of, worker_state
 
-#: The end of a text, which also stands before its first word; white space cannot be a word.
+M1 = 0x9E3779B97F4A7C15
+#: A number for each byte, one for both cases of a letter, and whether it is white space.
+BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
+IS_SPACE = np.array([bytes([b]).isspace() for b in range(256)])
+#: The end of a text, which also stands before its first word.
 END = xxhash.xxh3_64_intdigest(b"\n")
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, as many as were asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(cls.up):
+            for name, x in (("up", M1), ("down", pow(M1, -1, 1 << 64))):
+                powers = np.full(n, x, np.uint64)
+                powers[0] = 1
+                setattr(cls, name, np.cumprod(powers))
+        return cls.up, cls.down
+
+
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of the words in bytes that end with white space: sums of each byte's number times a power
+    of its place, all words at once."""
+    space = IS_SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = np.append(0, edge) if len(data) and not space[0] else edge
+    start, end = edges[0::2], edges[1::2]
+    up, down = Powers.of(len(data) + 1)
+    sums = np.cumsum(BYTES[data] * up[: len(data)])
+    h = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
+    h = h * down[start] + (end - start).astype(np.uint64) * M2
+    h = (h ^ (h >> np.uint64(31))) * M2
+    return h ^ (h >> np.uint64(29)), start
+
+
+def token_hashes(texts: list[bytes], size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's words and its end, and the number of tokens of each text. Words are runs of
+    anything but ASCII white space, ASCII capitals lowered."""
+    data = b"\n".join([*texts, b""])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    whole = np.frombuffer(data, np.uint8)
+    parts, at = [], 0
+    while at < len(data):  # a piece ends at white space; one without any is taken whole
+        to = min(at + size, len(data))
+        while to < len(data) and not IS_SPACE[whole[at:to]].any():
+            to = min(to + size, len(data))
+        if to < len(data):
+            to = at + int(np.flatnonzero(IS_SPACE[whole[at:to]])[-1]) + 1
+        h, start = _hashes(whole[at:to])
+        parts.append((h, start + at))
+        at = to
+    h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+    start = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    words = np.diff(np.searchsorted(start, ends), prepend=0)
+    out = np.full(len(h) + len(texts), END, np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), words)] = h
+    return out, words + 1
+
+
 #: So many counts a task sums before it sends them.
 HELD = 2_000_000
 INVERSE = np.uint64(pow(int(M2), -1, 1 << 64))
@@ -52,10 +112,6 @@ def _unmixed(x: np.ndarray, bits: int) -> np.ndarray:
     return x
 
 
-def words_of(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.lower().split() for t in texts]
-
-
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys with the sums of their counts."""
     keys = np.concatenate([p[0] for p in parts])
@@ -177,18 +233,19 @@ class Hashes:
         return np.where(self.own[p] == q, p, -1)
 
 
-def _put_counts(uri: str, c: np.ndarray) -> None:
+def _put_counts(uri: str, *columns: np.ndarray) -> None:
+    c = np.stack(columns, axis=1)
     large = np.flatnonzero(c > 254)
-    put_array(f"{uri}.npy", np.where(c > 254, 255, c).astype(np.uint8))
+    put_array(f"{uri}.npy", np.minimum(c, 255).astype(np.uint8))
     put_array(f"{uri}-at.npy", large.astype(np.uint64))
-    put_array(f"{uri}-large.npy", c[large].astype(np.uint64))
+    put_array(f"{uri}-large.npy", c.ravel()[large].astype(np.uint64))
 
 
 NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 class Counts:
-    """Counts of a byte each, 255 meaning: see the side table."""
+    """Rows of counts of a byte each, 255 meaning: see the side table."""
 
     def __init__(self, uri: str):
         self.low, self.at, self.large = (map_array(f"{uri}{x}.npy") for x in ("", "-at", "-large"))
@@ -196,7 +253,8 @@ class Counts:
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         c = self.low[at].astype(np.int64)
         if len(more := np.flatnonzero(c == 255)):
-            c[more] = self.large[np.searchsorted(self.at, at[more])]
+            width = c.shape[1]
+            c.ravel()[more] = self.large[np.searchsorted(self.at, (at[more // width] * width + more % width).astype(np.uint64))]
         return c
 
 
@@ -216,20 +274,6 @@ def _seen(n: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
 
 
-class Ids(dict):
-    """Word to its id, -1 for words that the model does not know; words that are asked for first get -2, -3 and so on until
-    their ids have been looked up together."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        at = self[word] = -1 - len(self.new)
-        return at
-
-
 class Tables:
     """The model's files, mapped. sizes[k - 1]: the numbers of n-grams of order k in the shards."""
 
@@ -240,7 +284,6 @@ class Tables:
         self.bits = pair_bits(self.v)
         self.keys = [[(Keys if k else Hashes)(f"{uri}/{k + 1}-{i}") if n else () for i, n in enumerate(s)] for k, s in enumerate(sizes)]
         self.files: dict[str, list] = {}
-        self.ids = Ids()
 
     def counts(self, order: int, name: str) -> list[Counts]:
         key = f"{order}-{name}"
@@ -254,47 +297,38 @@ class Tables:
             return hash_cuts(self.shards, self.bits if order == 2 else 64)
         return self.bases[order - 2][:-1].astype(np.uint64) * np.uint64(self.v)
 
-    def find(self, order: int, keys: np.ndarray, names: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """Places of keys in an order, -1 for unknown ones, and the counts of those names."""
+    def find(self, order: int, keys: np.ndarray, name: str = "", width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys in an order, -1 for unknown ones, and their rows of the counts of that name."""
         h = _mixed(keys, self.bits) if order == 2 else keys
         o = np.argsort(h)
         q, cuts = h[o], self.cuts(order)
-        at, told = np.full(len(q), -1, np.int64), np.zeros((len(q), len(names)), np.int64)
+        at, told = np.full(len(q), -1, np.int64), np.zeros((len(q), width), np.int64)
         for i, (a, z) in enumerate(pairwise([*np.searchsorted(q, cuts).tolist(), len(q)])):
             if z > a and len(own := self.keys[order - 1][i]):
                 p = own.find(q[a:z] - cuts[i] if order > 1 else q[a:z])
                 hit = np.flatnonzero(p >= 0)
                 at[a + hit] = p[hit] + self.bases[order - 1][i]
-                for c, name in enumerate(names):
-                    told[a + hit, c] = self.counts(order, name)[i][p[hit]]
+                if name:
+                    told[a + hit] = self.counts(order, name)[i][p[hit]]
         out, out_told = np.empty_like(at), np.empty_like(told)
         out[o], out_told[o] = at, told
         return out, out_told
 
-    def words(self, ids: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
-        """Those counts of each of ascending word ids."""
-        out = np.zeros((len(ids), len(names)), np.int64)
+    def words(self, ids: np.ndarray) -> np.ndarray:
+        """Rows (raw count, count, CONTEXT) of ascending word ids."""
+        out = np.zeros((len(ids), 2 + len(CONTEXT)), np.int64)
         for i, (a, z) in enumerate(pairwise(np.searchsorted(ids, self.bases[0]).tolist())):
             if z > a:
-                for c, name in enumerate(names):
-                    out[a:z, c] = self.counts(1, name)[i][ids[a:z] - self.bases[0][i]]
+                local = ids[a:z] - self.bases[0][i]
+                out[a:z, :1] = self.counts(1, "raw")[i][local]
+                out[a:z, 1:] = self.counts(1, "stats")[i][local]
         return out
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (-1: unknown) of all tokens, each text's words and its end; each text's first token; each token's place in its text."""
-        known = self.ids
-        if len(known) > 300_000:
-            known.clear()
-        split = words_of(texts)
-        end = np.array([self.end()])
-        ids = np.concatenate([x for w in split for x in (np.fromiter(map(known.__getitem__, w), np.int64, len(w)), end)])
-        if new := known.new:
-            found = self.find(1, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))[0]
-            known.update(zip(new, found.tolist(), strict=True))
-            late = np.flatnonzero(ids < -1)
-            ids[late] = found[-2 - ids[late]]
-            known.new = []
-        sizes = np.array([len(w) + 1 for w in split], np.int64)
+        hashes, sizes = token_hashes(texts)
+        distinct, back = np.unique(hashes, return_inverse=True)
+        ids = self.find(1, distinct)[0][back]
         starts = np.cumsum(sizes) - sizes
         return ids, starts, np.arange(len(ids)) - np.repeat(starts, sizes)
 
@@ -356,7 +390,7 @@ class Model:
         distinct, back = np.unique(ids, return_inverse=True)
         known = distinct >= 0
         of_word = np.zeros((len(distinct), 2 + len(CONTEXT)), np.int64)
-        of_word[known] = m.words(distinct[known], ("raw", "count", *CONTEXT))
+        of_word[known] = m.words(distinct[known])
         count, kinds = of_word[:, 0], of_word[:, 1]
         p = (np.maximum(kinds - self.d[0][np.minimum(kinds, 3)], 0) / self.links + self.spare / (m.v + 1))[back]
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (m.v + 1)))[back]
@@ -368,8 +402,7 @@ class Model:
             d, some = self.d[k - 1], np.flatnonzero(sums[:, 0] > 0)
             p[some] *= (sums[some, 1:] @ d[1:]) / sums[some, 0]
             asked = some[ids[some] >= 0]
-            names = ("count",) if k == self.order else ("count", *CONTEXT)
-            found, told = m.find(k, m.key(context[asked], ids[asked]), names)
+            found, told = m.find(k, m.key(context[asked], ids[asked]), *(("count", 1) if k == self.order else ("stats", 1 + len(CONTEXT))))
             hit = found >= 0
             c = told[hit, 0]
             p[asked[hit]] += (c - d[np.minimum(c, 3)]) / sums[asked[hit], 0]
@@ -394,12 +427,7 @@ def build(train: DataFrame, order: int = 3) -> Model:
     cuts = hash_cuts(shards)
 
     def word_keys(texts: list[bytes]) -> list[np.ndarray]:
-        split = words_of(texts)
-        known = worker_state("lm_score").setdefault("hashes", WordHashes())
-        if len(known) > 300_000:
-            known.clear()
-        parts = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in split]
-        return [np.concatenate([*parts, np.full(len(split), END, np.uint64)])]
+        return [token_hashes(texts)[0]]
 
     def keep_words(k: int, kinds: dict) -> pa.RecordBatch:
         h, n = kinds.get(0, NONE)
@@ -465,13 +493,11 @@ def build(train: DataFrame, order: int = 3) -> Model:
         sizes.append(size)
 
     def keep_stats(k: int, kinds: dict) -> pa.RecordBatch:
-        for c, name in enumerate(("count", *CONTEXT)):
-            x = np.zeros(sizes[0][k], np.int64)
-            ids, n = kinds.get(c, NONE)
-            x[ids.astype(np.int64) - bases[k]] = n
-            _put_counts(f"{uri}/1-{name}-{k}", x)
-            if name == "count":
-                before = x
+        columns = [np.zeros(sizes[0][k], np.int64) for _ in range(1 + len(CONTEXT))]
+        for c, (ids, n) in kinds.items():
+            columns[c][ids.astype(np.int64) - bases[k]] = n
+        _put_counts(f"{uri}/1-stats-{k}", *columns)
+        before = columns[0]
         return _record([(k, *_seen(before), int((before > 2).sum()))], [pa.int32()] + [pa.int64()] * 5, ["shard", "a", "b", "c", "d", "more"])
 
     sums = partial[0] if order == 2 else partial[0].unionByName(partial[1])
@@ -502,21 +528,22 @@ def _higher(train: DataFrame, uri: str, shards: int, sizes: list[list[int]], k:
         keys -= cut
         _put_keys(f"{uri}/{k}-{i}", keys)
         _put_counts(f"{uri}/{k}-{'count' if last else 'raw'}-{i}", n)
-        if last:
-            for name, x in zip(CONTEXT, _context_sums((keys // np.uint64(v)).astype(np.int64), n, size), strict=True):
-                _put_counts(f"{uri}/{k - 1}-{name}-{i}", x)
         out = [(-1, i, np.array([len(keys)], "<i8").tobytes(), np.array(_seen(n), "<i8").tobytes())]
         before = np.bincount(((kinds.pop(1, NONE)[0] - cut) // np.uint64(v)).astype(np.int64), minlength=size)
         # nothing stands before n-grams at the start of a text: they count as often as they occur
-        adjusted = np.where(before > 0, before, m.counts(k - 1, "raw")[i][np.arange(size)]) if size else before
-        _put_counts(f"{uri}/{k - 1}-count-{i}", adjusted)
+        adjusted = np.where(before > 0, before, m.counts(k - 1, "raw")[i][np.arange(size)][:, 0]) if size else before
+        if last:
+            _put_counts(f"{uri}/{k - 1}-stats-{i}", adjusted, *_context_sums((keys // np.uint64(v)).astype(np.int64), n, size))
+        else:
+            _put_counts(f"{uri}/{k - 1}-count-{i}", adjusted)
         out.append((-2, i, np.array([size], "<i8").tobytes(), np.array(_seen(adjusted), "<i8").tobytes()))
         own = m.keys[k - 2][i].all() if size else NONE[0]
         if word_sums:
             out += word_sums((_unmixed(own + m.cuts(2)[i], m.bits) // np.uint64(v)).astype(np.int64), adjusted)
         else:
-            for name, x in zip(CONTEXT, _context_sums((own // np.uint64(v)).astype(np.int64), adjusted, sizes[k - 3][i]), strict=True):
-                _put_counts(f"{uri}/{k - 2}-{name}-{i}", x)
+            lower = sizes[k - 3][i]
+            counted = m.counts(k - 2, "count")[i][np.arange(lower)][:, 0] if lower else NONE[1]
+            _put_counts(f"{uri}/{k - 2}-stats-{i}", counted, *_context_sums((own // np.uint64(v)).astype(np.int64), adjusted, lower))
         return _blobs(out)
 
     return _per_shard(_counting(train, keys_of, cuts), shards, keep, SENT)
