@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import removed, shared_dir, stored
 
-#: Short statements by which texts name public licences.
+#: Short statements by which texts name public licences, and the titles of the licences' own texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -37,6 +37,16 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its license terms."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 #: Whole texts by licence, and the standard headers that source files carry, cut from the texts that recommend them.
 TEXTS = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
@@ -60,12 +70,12 @@ HEADERS = [
 #: Statements and headers, then whole texts, with which whole files alone are compared.
 ALL = [*TEMPLATES, *HEADERS, *TEXTS.items()]
 SHORT = len(TEMPLATES) + len(HEADERS)
-ANCHOR = r"(?i)licen[cs]|copyright|spdx|public domain|permission|redistribution"
+ANCHOR = r"(?i)licen[cs]|copyright|spdx|public domain|permission|redistribution|cc0"
 #: Terms at which windows are laid; both spellings are one.
-MARKS = ["copyright", "domain", "license", "licensed", "licenses", "permission", "redistribution", "redistributions", "spdx"]
+MARKS = ["cc0", "copyright", "domain", "license", "licensed", "licenses", "permission", "redistribution", "redistributions", "spdx"]
 #: Whole texts up to so many terms stand in source files as headers, too.
 HEADER_TERMS = 300
-LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
+LICENCE_FILE = r"(?i)^((un)?licen[cs]e|copying)([-._][a-z0-9.-]+)?$"
 
 
 def terms(text: str) -> list[str]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from .shared import type_of, worker_state
+from .shared import slices, type_of, worker_state
 
 BUCKETS = 1 << 16
 UPPER, LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -127,7 +127,10 @@ def _with_fields(df: DataFrame, id_col: str, text_col: str, meta: Sequence[str])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, meta: Sequence[str] = ()) -> Machine:
-    """A machine from at most `sample` labelled rows of docs, with the columns `meta` as metadata. Rows without a label, and labels that are null, teach nothing."""
+    """A machine from at most `sample` labelled rows of docs, with the columns `meta` as metadata. Rows without a label,
+    null ids and labels that are null teach nothing; null texts are empty; an id that docs or labels have several times
+    teaches each pair of its rows; of ties at the sample's end the smallest id and label come first; without a row, or
+    with one class alone, the machine gives the smoothed share of label 1; other columns are ignored, whatever their names."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     marks = marks.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
     rows = _with_fields(docs, id_col, text_col, meta)
@@ -146,12 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and score (0 to 1) of every row. Null and empty texts are scored by their statistics and metadata alone;
-    null ids and repeated rows stay; an empty table gives an empty result; columns that are not the machine's metadata are ignored."""
+    null ids, ties and repeated rows stay; an empty table gives an empty result; columns that are not the machine's metadata
+    are ignored. A batch is scored in slices of a few MB."""
     told = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
-        for b in batches:
+        for b in (s for b in batches for s in slices(b)):
             z = np.array([margin(m, *features(t, f)) for t, f in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[id_col, "score"])
 
@@ -159,13 +163,15 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
 
 
 def accepted(df: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of df whose text scores at least the threshold, with df's columns, in one pass without a shuffle."""
+    """The rows of df whose text scores at least the threshold, with df's columns, in one pass without a shuffle. Null texts
+    are empty; null ids, ties at the threshold and repeated rows stay; an empty table stays empty; other columns pass,
+    whatever their names. A batch is scored in slices of a few MB of text."""
     told, names = df.sparkSession.sparkContext.broadcast(machine), df.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, limit = told.value, np.log(threshold / (1 - threshold))
-        for b in (s for b in batches for s in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000))):
+        for b in (s for b in batches for s in slices(b, of=at)):
             texts = b.column(at).cast(pa.binary()).to_pylist()
             found = b.column(len(names)).to_pylist()
             keep = pa.array([i for i, t in enumerate(texts) if margin(m, *features(t or b"", found[i])) >= limit], pa.int64())

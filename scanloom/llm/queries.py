@@ -95,5 +95,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Shingles as texts, all pairs that share one, and the documents that links reach.
+OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [1] ELSE range(1, len(ws) - 3) END) AS i FROM w)),
+ n AS (SELECT w.doc_id, count(g.s) AS n FROM w LEFT JOIN g ON w.doc_id = g.doc_id GROUP BY w.doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b, c = x.n AND c = y.n AS equal FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON r.doc_id = l.a),
+ k AS (SELECT doc_id, least(doc_id, (SELECT min(b) FROM l WHERE a = n.doc_id AND equal)) AS same FROM n),
+ d AS (SELECT a AS doc_id, count(*) FILTER (WHERE equal) AS copies, count(DISTINCT same) FILTER (WHERE NOT equal) AS links FROM l JOIN k ON l.b = k.doc_id GROUP BY a)
+ SELECT n.doc_id, n.n AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = n.doc_id) AS component_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(links, 0) AS n_links FROM n LEFT JOIN d ON n.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_jaccard": OP3}

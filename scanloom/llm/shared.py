@@ -129,14 +129,14 @@ def put_array(uri: str, a: np.ndarray) -> None:
 def map_array(uri: str) -> np.ndarray:
     """The array, memory-mapped. From a store that cannot be mapped, a copy is fetched whose name is removed at once."""
     if path := local_path(uri):
-        return np.load(path, mmap_mode="r")
+        return np.load(path, mmap_mode="r").view(np.ndarray)
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     with tempfile.NamedTemporaryFile(suffix=".npy") as f, store.open_input_stream(path) as src:
         shutil.copyfileobj(src, f)
         f.flush()
-        return np.load(f.name, mmap_mode="r")
+        return np.load(f.name, mmap_mode="r").view(np.ndarray)
 
 
 def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], schema: str) -> DataFrame:
@@ -167,9 +167,9 @@ def texts_of(b: pa.RecordBatch) -> list[bytes]:
     return b.column("text").cast(pa.binary()).to_pylist()
 
 
-def slices(b: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text, so that a worker never holds more of them taken apart."""
-    ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+def slices(b: pa.RecordBatch, size: int = 4_000_000, of: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes in its text column, so that a worker never holds more of them taken apart."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(of)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < b.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))

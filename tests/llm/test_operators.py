@@ -443,6 +443,41 @@ def test_licence_passages_do_not_follow_lines(spark):
     assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
 
 
+def test_licence_files_that_hold_the_start_of_a_text(spark):
+    names = ["LICENSE-MIT", "COPYING.LESSER", "LICENCE.txt", "UNLICENSE", "license.md"]
+    rows = []
+    for k, (name, text) in enumerate(licenses.TEXTS.items()):
+        lines = [x for x in text.split("\n") if x.strip()]
+        for n in (7, 12):
+            rows.append((len(rows), f"r{len(rows)}/{names[k % 5]}", "\n".join(lines[:n]), name))
+    prose = [(1000 + k, None, f"some prose the of {k}", None) for k in range(300)]
+    df = spark.createDataFrame(rows + prose, "doc_id long, path string, text string, want string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, "doc_id", "path").collect()}
+    # both BSD licences begin alike
+    same = lambda a, b: a == b or {a, b} == {"BSD-2-Clause", "BSD-3-Clause"}
+    assert all(same(got[k], want) for k, _, _, want in rows) and not any(got[k] for k, *_ in prose)
+
+
+def test_licences_of_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "a/LICENSE", "Released under the MIT License.")] * 2 + [(2, "a/LICENSE", "Licensed under CC BY 4.0."), (None, "a/b/x", "words"), (None, "a/b/x", None), (3, "a/b/x", "")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({c: F.lit("clash") for c in ("dir", "_row", "license", "terms", "own", "id")})
+    got = _count(licenses.scan_licenses(df, "doc_id", "path").select("doc_id", "license", "origin").collect())
+    assert got == {(1, "MIT", "own"): 2, (2, "CC-BY-4.0", "own"): 1, (None, "MIT", "inherited"): 2, (3, "MIT", "inherited"): 1}
+    assert licenses.scan_licenses(df.limit(0), "doc_id", "path").count() == 0
+
+
+def test_near_duplicates_equal_sql(spark, sf):
+    import duckdb
+
+    from scanloom.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        assert _count(df.collect()) == _count(con.sql(sql).select(*df.columns).fetchall())
+
+
 def test_warc(spark):
     rows = [(3, "http://b.org/x", "same"), (1, "http://a.b.org:80/y?q#f", "same"), (2, None, None), (4, "http://b.org/x\n", ""), (5, "http://b.org/z", "été" * 1000)]
     records, index = warc.capture(spark.createDataFrame(rows, "page_id long, url string, html string"))
