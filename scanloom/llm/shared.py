@@ -50,15 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made[-1]
 
 
+#: Rows of a batch that goes to a Python worker while a table is stored; with texts of a few kB, some MB.
+BATCH = 2000
+
+
 def stored(df: DataFrame, uri: str) -> DataFrame:
-    """df cut off from its lineage as a Parquet table in the shared folder; its shuffles' files go at once."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = conf.get(key, "false")
-    conf.set(key, "true")
+    """df cut off from its lineage as a Parquet table in the shared folder; its shuffles' files go at once, and batches for
+    Python workers are kept small."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", rows: str(min(BATCH, int(conf.get(rows)) or BATCH))}
+    was = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
         df.write.parquet(uri)
     finally:
-        conf.set(key, was)
+        for k, v in was.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
