@@ -77,7 +77,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are their end alone; rows of equal or null ids have places of their own; no row is left out; an
     empty table gives none; further columns are ignored."""
     rows = with_place(docs.select("doc_id", "text"), "place")
-    pieces = packing.token_pieces(rows, vocabulary("byte_bpe_50k.json"), with_ids=True, keep=["place"], cache_size=250_000)
+    pieces = packing.token_pieces(rows, vocabulary("byte_bpe_50k.json"), with_ids=True, keep=["place"], cache_size=200_000)
     return packing.sequences(packing.pack(pieces, order_col="place"), keep=["place"])
 
 
