@@ -66,11 +66,15 @@ def pre_tokens(path: str) -> Callable[[str], tuple[str, ...]]:
     A chunk that holds a special string, or whose parts would change if they were normalised again, stays whole.
 
     Plain chunks are cut by the tokenizer's own pattern where that gives what the library gives (tried on all pairs of
-    ASCII characters), others by the library."""
+    ASCII characters), runs of letters with or without a sign behind them by themselves where the pattern leaves such runs
+    whole (tried on long ones), others by the library. A worker keeps the function."""
     import json
 
     import regex
 
+    state = worker_state("token_counts")
+    if state.get("splits") == path:
+        return state["split"]
     t, special = _tokenizer(path), _special(path)
     normal = t.normalizer.normalize_str if t.normalizer else str
 
@@ -84,13 +88,32 @@ def pre_tokens(path: str) -> Callable[[str], tuple[str, ...]]:
     with open(path, encoding="utf-8") as f:
         steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     own = (steps[0].get("pattern") or {}).get("Regex")
-    if not own or steps[0].get("behavior") != "Removed" or not steps[0].get("invert"):
-        return by_library
-    found = regex.compile(own).findall
-    plain = [chr(c) for c in range(33, 127)]
-    if any(tuple(found(x.lower())) != by_library(x) for x in [*plain, *map("".join, product(plain, plain))]):
-        return by_library
-    return lambda chunk: tuple(found(chunk.lower())) if chunk.isascii() and not any(s in chunk for s in special) else by_library(chunk)
+    split = by_library
+    if own and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
+        found = regex.compile(own).findall
+        plain = [chr(c) for c in range(33, 127)]
+        if all(tuple(found(x.lower())) == by_library(x) for x in [*plain, *map("".join, product(plain, plain))]):
+            run = "abcdefghijklmnopqrstuvwxyz" * 40
+            whole = found(run) == [run]
+            signs = {c for c in plain if not c.isalnum() and found(run + c) == [run, c]} if whole else set()
+
+            # letters of Latin-1, if each is normalised here as there and none parts a run
+            more = [c for c in map(chr, range(0xAA, 0x100)) if c.isalpha()]
+            latin = whole and all(by_library(c) == (c.lower(),) and found("ab" + c.lower() + "ab") == ["ab" + c.lower() + "ab"] for c in more)
+
+            def split(chunk: str) -> tuple[str, ...]:
+                plain = chunk.isascii()
+                if whole and (plain or latin and max(chunk) <= "\xff"):
+                    if chunk.isalpha():
+                        return (chunk.lower(),)
+                    if chunk[-1] in signs and chunk[:-1].isalpha():
+                        return chunk[:-1].lower(), chunk[-1]
+                if not plain:
+                    return by_library(chunk)
+                return tuple(found(chunk.lower())) if not any(s in chunk for s in special) else by_library(chunk)
+
+    state.update(splits=path, split=split)
+    return split
 
 
 def splits_at_space(path: str) -> bool:
@@ -110,8 +133,11 @@ def splits_at_space(path: str) -> bool:
 
 
 def _blob(counts: Counter, size: int) -> tuple[bytes, bytes]:
-    top = counts.most_common(size)
-    return "\n".join(k for k, _ in top).encode(), np.array([n for _, n in top], "<i8").tobytes()
+    keys, n = list(counts), np.fromiter(counts.values(), "<i8", len(counts))
+    if len(keys) > size:
+        top = np.argpartition(n, -size)[-size:]
+        keys, n = [keys[i] for i in top.tolist()], n[top]
+    return "\n".join(keys).encode(), n.tobytes()
 
 
 def _cut(seen: Counter, size: int) -> Counter:
@@ -162,15 +188,19 @@ def frequent(rows: DataFrame, tokenizer: str, size: int) -> list[str]:
 
 
 class Missing(dict):
-    """Chunk lengths; an unknown chunk counts 0 for now and is noted."""
+    """Chunk lengths; an unknown chunk counts 0 for now and is noted. Of an earlier generation, what is asked for again stays."""
 
     at = 0
 
-    def __init__(self):
+    def __init__(self, earlier: dict | None = None):
         super().__init__()
+        self.earlier = earlier or {}
         self.noted: list[tuple[int, str]] = []
 
     def __missing__(self, chunk: str) -> int:
+        if (n := self.earlier.get(chunk)) is not None:
+            self[chunk] = n
+            return n
         self.noted.append((self.at, chunk))
         return 0
 
@@ -182,7 +212,7 @@ def _prepare(path: str, key: str, told: tuple[bytes, np.ndarray]) -> None:
     if state.get("key") != key:
         blob, known = told
         table = dict(zip(blob.decode().split("\n") if blob else [], known.tolist(), strict=True))
-        state.update(key=key, table=table, pieces={}, chunks=Missing(), split=pre_tokens(path))
+        state.update(key=key, table=table, pieces={}, chunks=Missing(), split=pre_tokens(path), splits=path)
 
 
 def _chunk_lengths(path: str, chunks: list[str], cache_size: int) -> dict[str, int]:
@@ -201,7 +231,7 @@ def _chunk_lengths(path: str, chunks: list[str], cache_size: int) -> dict[str, i
     return {c: sum(map(of, x)) for c, x in parts.items()}
 
 
-def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, table_size: int = 65_536, cache_size: int = 250_000) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, table_size: int = 65_536, cache_size: int = 300_000) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_tokens, over_limit.
 
     tokenizer: path of a .json (tokenizers) or .model (sentencepiece) file. Null and empty texts have 0 bytes
@@ -248,7 +278,7 @@ def _count_batch(path: str, texts: list[str], whole: bool, cache_size: int) -> l
             out[i] += known[c]
         cache.noted = []
         if len(cache) + len(known) > cache_size:
-            cache.clear()
+            state["chunks"] = cache = Missing(dict(cache))
         cache.update(known if len(known) <= cache_size else {})
     for i, n in zip(odd, _lengths(path, [texts[i] for i in odd]), strict=True):
         out[i] = n

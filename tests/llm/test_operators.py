@@ -72,6 +72,7 @@ def test_chunks_are_the_sum_of_their_pre_tokens(spark, tmp_path):
     r = random.Random(11)
     letters = "aZé中'sd7,.-_<|>ẞİÄ\u0301\u1e9b\u0323ﬁ٣"
     chunks = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(3000)] + ["<|endoftext|>x", "don't", "x<|startoftext|>"]
+    chunks += [w + e for w in ("Élan", "straße", "ÿªº", "µm", "ABC", "x" * 3000) for e in ("", ".", "'", "?!", "'s", ",", "»")] + [chr(c) + "a." for c in range(0x21, 0x180) if not chr(c).isspace()]
     for c in chunks:
         assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in split(c)) == len(t.encode(c, add_special_tokens=False).ids), c
     texts = [" ".join(r.choices(chunks, k=r.randrange(30))) + r.choice(["", "\u00a0", "\t", "\x1d"]) for _ in range(300)]
