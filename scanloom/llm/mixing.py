@@ -90,7 +90,9 @@ def _fills(placed: DataFrame, fill: int) -> DataFrame:
     some = placed.groupBy("source", "bucket", group).agg(F.max(F.when(F.col("fits"), F.col("upto"))).alias("reach"), F.max("rest").alias("rest"), F.min(F.when(~F.col("fits") & (F.col("size") > 0) & (F.col("rest") > 0), F.struct("rank", "size"))).alias("spare"))
     # a row per bucket and class: as many buckets as the cluster has tasks, whatever the source's size
     turn = F.row_number().over(W.partitionBy("source", "class", F.col("spare").isNull()).orderBy("bucket"))
-    by = some.withColumn("turn", turn)
+    # of some neighbouring buckets first, so that few rows of a class are left to number
+    near = F.row_number().over(W.partitionBy("source", "class", F.floor(F.col("bucket") / 32), F.col("spare").isNull()).orderBy("bucket"))
+    by = some.withColumn("near", near).filter((F.col("near") <= fill) | F.col("reach").isNotNull()).withColumn("turn", turn)
     item = F.when(F.col("spare").isNotNull() & (F.col("turn") <= fill), F.struct(F.col("spare.size").alias("size"), (-F.col("bucket")).alias("b"), F.col("spare.rank").alias("rank")))
     per = by.groupBy("source").agg((F.max("rest") - F.coalesce(F.max("reach"), F.lit(0))).alias("gap"), F.reverse(F.array_sort(F.collect_list(item))).alias("spares"))
     picked = F.expr("""aggregate(spares, named_struct('gap', gap, 'got', cast(array() AS array<struct<bucket: bigint, rank: int>>)),
@@ -164,5 +166,6 @@ def curriculum(mixed: DataFrame, name: str = "mix", untaken: bool = False) -> Da
     at = F.when(F.col(k).isNotNull(), _at(m, F.col(k)))
     placed = dealt.withColumn(name, m.withField("pass", F.col(k)).withField("position", at)).drop(k)
     # positions fill [0, 1] by design, so equal ranges of it need no sample, which would compute everything once more
-    part = F.coalesce(F.least(F.lit(n - 1), F.floor(m["position"] * n)), F.pmod(m["hash"], F.lit(n))).cast("int")
+    place = F.least(F.lit(n - 1), F.floor(m["position"] * n))
+    part = F.when(m["position"].isNotNull(), place).otherwise(F.pmod(m["hash"], F.lit(n))).cast("int")
     return placed.repartitionById(n, part).sortWithinPartitions(m["position"].asc_nulls_last(), m["hash"], m["pass"])
