@@ -1,4 +1,5 @@
-"""Each operator against a plain version, on odd rows: nulls, empty and long texts, ties, repeated rows, extra columns."""
+"""Operators on odd rows (nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables), against plain
+versions where those are short; test_plain_versions.py has the longer ones."""
 
 import itertools
 import math
@@ -387,6 +388,36 @@ def test_targets_are_capped_and_reshared(spark):
     assert mixing.targets(s.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    words = [f"{r.choice(WORDS)}{r.randrange(3000)}" for _ in range(250_000)]
+    texts = [" ".join(words), "y" * 1_000_000, "\n".join(words[:100_000]) + "\x1d z", "short and plain"]
+    df = spark.createDataFrame([(k, t, "s", f"p/{k}.txt", "http://h/x") for k, t in enumerate(texts)], "doc_id long, text string, source string, path string, url string")
+    split = [_split(t) for t in texts]
+    by = lambda d, c, i="doc_id": {x[i]: x[c] for x in d.collect()}
+    word, byte = (public_tokenizers.path(f"{x}.json") for x in ("word_bpe_49k", "byte_bpe_50k"))
+    count = lambda p: {k: len(Tokenizer.from_file(p).encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert by(token_counts.count_tokens(df, word), "n_tokens") == count(word)
+    pieces = Counter()
+    for x in packing.pack(packing.token_pieces(df, byte, with_ids=True)).collect():
+        assert len(x["ids"]) == x["length"] <= 2048
+        pieces[x["doc_id"]] += x["length"]
+    assert pieces == {k: n + 1 for k, n in count(byte).items()}
+    shingles = {k: len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) or 1 for k, w in enumerate([_split(_lower(t)) for t in texts])}
+    assert by(jaccard.similar(df), "n_shingles") == shingles
+    assert by(lm_score.held_out_scores(df), "n_tokens") == {k: len(w) + 1 for k, w in enumerate(split)}
+    judged = quality_rules.judge(df.select("doc_id", "text"), name="q", carry=["doc_id"])
+    assert by(judged.select("doc_id", "q.n_words"), "n_words") == {k: len(w) for k, w in enumerate(split)}
+    assert by(mixing.mix(df).select("doc_id", "mix.size"), "size") == {k: len(w) for k, w in enumerate(split)}
+    assert by(fingerprints.edit_likeness(df), "n_chars") == by(fingerprints.fingerprints(df), "n_chars") == {k: len(t) for k, t in enumerate(texts)}
+    idle = quality_fm.train(df.limit(0), df.select("doc_id", F.lit(1).alias("quality")))
+    assert len(quality_fm.score(df, idle).collect()) == 4 == quality_fm.accepted(df, idle, threshold=0.1).count()
+    assert by(warc.capture(df, "doc_id", payload_col="text")[0], "payload_bytes", "page_id") == {k: len(t) for k, t in enumerate(x.encode() for x in texts)}
+    assert licenses.scan_licenses(df, "doc_id", "path").count() == 4
+
+
 def test_licenses(spark):
     rows = [(1, "r/LICENSE", "Released under the MIT License."), (2, "r/a/b/x.txt", "words"), (3, "r/a/COPYING", "intro\nLicensed under the Apache License, Version 2.0.\nend"), (4, "r/c/y.txt", "no licence here at all, really"), (5, None, None), (6, "q/z.txt", "words"), (7, "q/w", "Licensed under CC BY-NC 4.0.")]
     got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path").collect()}
