@@ -1,8 +1,8 @@
 """Size-aware heavy-light join of documents by the Jaccard similarity of their word n-gram sets.
 
-1. One pass over the texts sends every n-gram's hash, as sorted blobs, to the shard of its range; the shards keep
-   those that two texts or more have, with their frequencies. An n-gram of one text cannot be shared, so a text
-   with too many of them is linked to nothing.
+1. One pass over the texts sends every n-gram's hash, in sorted blobs of what a task has gathered, to the shard of its
+   range; the shards keep those that two texts or more have, with their frequencies. An n-gram of one text cannot be
+   shared, so a text with too many of them is linked to nothing.
 2. A second pass gives the remaining sets their candidate keys. Light (small) sets enumerate the fixed-size subsets
    that a linked pair must share; heavy (large) sets stand in the inverted lists of their rarest n-grams, as many as
    a linked pair cannot miss. The boundary is the largest size up to which enumeration costs no more than scanning.
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import free_name, id_and_text, map_array, numbered, put_array, removed, shared_dir, slices, stored, texts_of, type_of, worker_state
 
+#: So many n-grams a task gathers before it sends them to the shards.
+HELD = 2_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -96,21 +98,35 @@ def _large(data: bytes) -> np.ndarray:
 def _first_pass(rows: DataFrame, n: int, shards: int, bits: int) -> DataFrame:
     """A row (id, size, key) per text, and rows (shard, grams, counts) of the n-gram hashes' upper bits."""
 
+    kind = type_of(rows, "id")
+
+    def batch(ids: pa.Array, sizes: list[int], keys: list[int], blobs: list[tuple]) -> pa.RecordBatch:
+        n, m = len(ids), len(blobs)
+        cols = [pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.array(sizes + [0] * m, pa.int64()), pa.array(keys + [0] * m, pa.int64())]
+        cols += [pa.array([None] * n + [x[i] for x in blobs], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "size", "key", "shard", "grams", "counts"])
+
+    def dealt(held: list[np.ndarray]) -> list[tuple]:
+        grams, counts = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+        edges = [*np.searchsorted(grams, _bounds(shards, bits)).tolist(), len(grams)]
+        return [(k, _pack(grams[a:z]), _small(counts[a:z])) for k, (a, z) in enumerate(itertools.pairwise(edges)) if z > a]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        ids = None
         for b in (s for b in batches for s in slices(b)):
             sets = shingle_sets(texts_of(b), n)
             keys = [set_key(s) for s in sets]
-            new = [s for s, k in zip(sets, keys, strict=True) if not (k in seen or seen.add(k))]
-            grams, counts = np.unique(np.concatenate(new) >> np.uint64(64 - bits), return_counts=True) if new else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            edges = np.searchsorted(grams, _bounds(shards, bits)).tolist()
-            parts = [(k, _pack(grams[a:z]), _small(counts[a:z])) for k, (a, z) in enumerate(itertools.pairwise([*edges, len(grams)])) if z > a]
-            m = len(parts)
-            cols = [pa.concat_arrays([b.column(0), pa.nulls(m, b.column(0).type)]), pa.array([len(s) for s in sets] + [0] * m, pa.int64()), pa.array(keys + [0] * m, pa.int64())]
-            cols += [pa.array([None] * len(sets) + [p[i] for p in parts], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "key", "shard", "grams", "counts"])
+            held += [s for s, k in zip(sets, keys, strict=True) if not (k in seen or seen.add(k))]
+            ids = b.column(0)
+            full = sum(map(len, held)) > HELD
+            yield batch(ids, [len(s) for s in sets], keys, dealt(held) if full else [])
+            held = [] if full else held
+        if held:
+            yield batch(ids.slice(0, 0), [], [], dealt(held))
 
-    return rows.mapInArrow(run, f"id {type_of(rows, 'id')}, size long, key long, shard int, grams binary, counts binary")
+    return rows.mapInArrow(run, f"id {kind}, size long, key long, shard int, grams binary, counts binary")
 
 
 def _bounds(shards: int, bits: int) -> np.ndarray:
@@ -348,7 +364,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     rows = id_and_text(df, id_col, text_col)
     first = stored(_first_pass(rows, n, shards, filter_bits), f"{uri}/first")
     blobs = first.filter("shard IS NOT NULL").select("shard", "grams", "counts")
-    told = _repeated(blobs.repartition(shards, "shard"), f"{uri}/grams")
+    told = _repeated(blobs.repartitionById(shards, "shard"), f"{uri}/grams")
     for k in set(range(shards)) - {r["shard"] for r in told}:  # ranges without any n-gram
         put_array(f"{uri}/grams/grams-{k}.npy", np.zeros(0, np.uint64))
         put_array(f"{uri}/grams/df-{k}.npy", np.zeros(0, np.uint32))
