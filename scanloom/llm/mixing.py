@@ -83,18 +83,20 @@ def _at(m: Column, k: Column) -> Column:
     return position(share, m["start"], m["end"])
 
 
-def _fills(placed: DataFrame, fill: int) -> DataFrame:
+def _fills(placed: DataFrame, fill: int, uri: str) -> DataFrame:
     """(source, bucket, ranks): documents beyond a source's cut that fill what the cut left open. Of each size class (by
     powers of two) at most `fill` documents stand by, one from a bucket; the largest that still fits is taken first."""
     group = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("class")
     some = placed.groupBy("source", "bucket", group).agg(F.max(F.when(F.col("fits"), F.col("upto"))).alias("reach"), F.max("rest").alias("rest"), F.min(F.when(~F.col("fits") & (F.col("size") > 0) & (F.col("rest") > 0), F.struct("rank", "size"))).alias("spare"))
-    # a row per bucket and class: as many buckets as the cluster has tasks, whatever the source's size
-    turn = F.row_number().over(W.partitionBy("source", "class", F.col("spare").isNull()).orderBy("bucket"))
-    # of some neighbouring buckets first, so that few rows of a class are left to number
-    near = F.row_number().over(W.partitionBy("source", "class", F.floor(F.col("bucket") / 32), F.col("spare").isNull()).orderBy("bucket"))
-    by = some.withColumn("near", near).filter((F.col("near") <= fill) | F.col("reach").isNotNull()).withColumn("turn", turn)
-    item = F.when(F.col("spare").isNotNull() & (F.col("turn") <= fill), F.struct(F.col("spare.size").alias("size"), (-F.col("bucket")).alias("b"), F.col("spare.rank").alias("rank")))
-    per = by.groupBy("source").agg((F.max("rest") - F.coalesce(F.max("reach"), F.lit(0))).alias("gap"), F.reverse(F.array_sort(F.collect_list(item))).alias("spares"))
+    some = stored(some, uri)
+    gaps = some.groupBy("source").agg((F.max("rest") - F.coalesce(F.max("reach"), F.lit(0))).alias("gap"))
+    # a row per bucket and class, as many buckets as the cluster has tasks whatever the source's size; of some neighbouring
+    # buckets first, so that few rows of a class are left to number
+    first = lambda *by: F.row_number().over(W.partitionBy("source", "class", *by).orderBy("bucket"))
+    spares = some.filter("spare IS NOT NULL").withColumn("turn", first(F.floor(F.col("bucket") / 32))).filter(F.col("turn") <= fill)
+    spares = spares.withColumn("turn", first()).filter(F.col("turn") <= fill)
+    item = F.struct(F.col("spare.size").alias("size"), (-F.col("bucket")).alias("b"), F.col("spare.rank").alias("rank"))
+    per = spares.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("spares")).join(gaps, "source")
     picked = F.expr("""aggregate(spares, named_struct('gap', gap, 'got', cast(array() AS array<struct<bucket: bigint, rank: int>>)),
         (s, x) -> if(x.size <= s.gap, named_struct('gap', s.gap - x.size, 'got', concat(s.got, array(named_struct('bucket', -x.b, 'rank', x.rank)))), s), s -> s.got)""")
     return per.select("source", F.explode(picked).alias("p")).groupBy("source", F.col("p.bucket").alias("bucket")).agg(F.collect_set("p.rank").alias("ranks"))
@@ -137,7 +139,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     plan = stored(plan, f"{uri}/plan")
     placed = narrow.withColumn("rank", F.row_number().over(w)).withColumn("upto", before("size", w) + F.col("size")).join(plan, ["source", "bucket"])
     placed = placed.withColumn("upto", F.col("upto") + F.col("ahead")).withColumn("fits", (F.col("rest") > 0) & (F.col("upto") <= F.col("rest")))
-    fills = stored(_fills(placed, fill), f"{uri}/fills")
+    fills = stored(_fills(placed, fill, f"{uri}/spares"), f"{uri}/fills")
     plan = plan.join(fills, ["source", "bucket"], "left").select(F.struct("source", "bucket").alias(f"{name}_of"), F.struct("ahead", "whole", "rest", "ranks", "source_size", "target", "start", "end").alias(f"{name}_plan"))
     m = lambda c: F.col(f"{name}.{c}")
     rows = df.withColumn(name, F.struct(*key))
