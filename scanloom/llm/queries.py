@@ -91,6 +91,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.passes", F.col("mix.position").alias("first_position"), positions().alias("positions"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import crc_mod
+    from .toxicity import score, train
+
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    model = train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
