@@ -129,6 +129,55 @@ def put_bytes(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+def opened(uri: str):
+    """A file of the shared folder for reading."""
+    if path := local_path(uri):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def moved(folder: str, to: str) -> None:
+    """Give the one Parquet file of a folder another place. Where that has been done before, nothing is left to do; a file
+    that is in neither place is an error."""
+    if here := local_path(folder):
+        names = [n for n in os.listdir(here) if n.endswith(".parquet") and n[0] not in "._"] if os.path.isdir(here) else []
+        exists = os.path.exists(local_path(to))
+        rename = lambda n: os.replace(f"{here}/{n}", local_path(to))
+    else:
+        from pyarrow import fs
+
+        store, here = fs.FileSystem.from_uri(folder)
+        found = store.get_file_info(fs.FileSelector(here, allow_not_found=True))
+        names = [x.base_name for x in found if x.base_name.endswith(".parquet") and x.base_name[0] not in "._"]
+        there = fs.FileSystem.from_uri(to)[1]
+        exists = store.get_file_info(there).type != fs.FileType.NotFound
+        rename = lambda n: store.move(f"{here}/{n}", there)
+    if len(names) > 1 or not names and not exists:
+        raise ValueError(f"{folder} has {len(names)} files, not one")
+    for n in names:
+        rename(n)
+
+
+def removed_tree(uri: str) -> None:
+    """Remove a folder with all that is in it, from a task; nothing if it is not there."""
+    if path := local_path(uri):
+        shutil.rmtree(path, ignore_errors=not os.path.exists(path))
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_dir(path)
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def put_array(uri: str, a: np.ndarray) -> None:
     np.save(out := io.BytesIO(), np.ascontiguousarray(a), allow_pickle=False)
     put_bytes(uri, out.getbuffer())
