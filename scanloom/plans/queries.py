@@ -11,7 +11,7 @@ from ..operators import layout as L, linking as K, records as R
 from ..sources import views as V
 from ..sources.files import workspace
 from ..streaming.curation import curate_stream
-from . import duck as S, files, profiles
+from . import detection, duck as S, files, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "merge_overlaps": lambda spark, sf: L.merge_overlaps(V.view(spark, sf, V.BOXES)),
     "stream_curation": _stream,
     **profiles.QUERIES,
+    **detection.QUERIES,
     **files.QUERIES,
 }
 
@@ -170,6 +171,7 @@ _NUM = "regexp_replace(n, '\\D', '', 'g')"
 
 ORACLES: dict[str, str] = {
     **profiles.ORACLES,
+    **detection.ORACLES,
     **files.ORACLES,
     "clean_text": f"SELECT doc_id, {S.UNICODE} AS unicode_text, {S.PLAIN} AS plain_text FROM documents",
     "ocr_text_stats": r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS BIGINT) AS words FROM documents",

@@ -32,6 +32,12 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, uri: str) -> DataFrame:
+    """df as a Parquet table: computed once, cut off from its lineage, of a size that Spark knows."""
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
