@@ -12,7 +12,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import SPACE, free_name, shared_dir, stored
+from .shared import SPACE, free_name, quoted, shared_dir, stored
 
 #: A target never exceeds so many passes over its source.
 MOST = 3
@@ -20,7 +20,7 @@ MOST = 3
 
 def word_count(col: str = "text") -> Column:
     """Words of a text (null: 0) as a long."""
-    return F.size(F.array_remove(F.split(F.coalesce(F.col(col), F.lit("")), SPACE), "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(quoted(col)), F.lit("")), SPACE), "")).cast("long")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -83,23 +83,36 @@ def _at(m: Column, k: Column) -> Column:
     return position(share, m["start"], m["end"])
 
 
-def _fills(placed: DataFrame, fill: int, uri: str) -> DataFrame:
-    """(source, bucket, ranks): documents beyond a source's cut that fill what the cut left open. Of each size class (by
-    powers of two) at most `fill` documents stand by, one from a bucket; the largest that still fits is taken first."""
-    group = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("class")
-    some = placed.groupBy("source", "bucket", group).agg(F.max(F.when(F.col("fits"), F.col("upto"))).alias("reach"), F.max("rest").alias("rest"), F.min(F.when(~F.col("fits") & (F.col("size") > 0) & (F.col("rest") > 0), F.struct("rank", "size"))).alias("spare"))
-    some = stored(some, uri)
-    gaps = some.groupBy("source").agg((F.max("rest") - F.coalesce(F.max("reach"), F.lit(0))).alias("gap"))
-    # a row per bucket and class, as many buckets as the cluster has tasks whatever the source's size; of some neighbouring
-    # buckets first, so that few rows of a class are left to number
-    first = lambda *by: F.row_number().over(W.partitionBy("source", "class", *by).orderBy("bucket"))
-    spares = some.filter("spare IS NOT NULL").withColumn("turn", first(F.floor(F.col("bucket") / 32))).filter(F.col("turn") <= fill)
-    spares = spares.withColumn("turn", first()).filter(F.col("turn") <= fill)
-    item = F.struct(F.col("spare.size").alias("size"), (-F.col("bucket")).alias("b"), F.col("spare.rank").alias("rank"))
-    per = spares.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("spares")).join(gaps, "source")
-    picked = F.expr("""aggregate(spares, named_struct('gap', gap, 'got', cast(array() AS array<struct<bucket: bigint, rank: int>>)),
-        (s, x) -> if(x.size <= s.gap, named_struct('gap', s.gap - x.size, 'got', concat(s.got, array(named_struct('bucket', -x.b, 'rank', x.rank)))), s), s -> s.got)""")
-    return per.select("source", F.explode(picked).alias("p")).groupBy("source", F.col("p.bucket").alias("bucket")).agg(F.collect_set("p.rank").alias("ranks"))
+def _fills(placed: DataFrame, at_once: int, uri: str) -> DataFrame:
+    """(source, bucket, ranks): documents beyond a source's cut that fill what the cut left open, until no document is left
+    that fits. In a round some stand by from each size class (by powers of two), `at_once` in the first and eight times as
+    many in each that follows; the largest that still fits is taken first. A round takes at least one for every source that
+    has one, and a gap is smaller than the document at the cut, so the rounds are few."""
+    source, group = ["source", "bucket"], F.floor(F.log2("size")).cast("int").alias("class")
+    gaps = placed.groupBy("source").agg((F.max("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))), F.lit(0))).alias("gap"))
+    gaps = stored(gaps, f"{uri}/gaps-0")
+    left = placed.filter(~F.col("fits") & (F.col("size") > 0) & (F.col("rest") > 0)).select(*source, "rank", "size", group)
+    left = stored(left.join(gaps, "source").filter("size <= gap").drop("gap"), f"{uri}/left-0")
+    all_picked, most, k = None, at_once, 0
+    # the first of each bucket, then of some neighbouring buckets, then of all, so that few rows of a class meet in the end
+    first = lambda *by: F.row_number().over(W.partitionBy("source", "class", *by).orderBy("bucket", "rank"))
+    item = F.struct("size", (-F.col("bucket")).alias("b"), (-F.col("rank")).alias("r"))
+    while left.take(1):
+        k += 1
+        spares = left
+        for by in (["bucket"], [F.floor(F.col("bucket") / 32)], []):
+            spares = spares.withColumn("turn", first(*by)).filter(F.col("turn") <= most)
+        per = spares.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("spares")).join(gaps, "source")
+        taken = F.expr("""aggregate(spares, named_struct('gap', gap, 'got', cast(array() AS array<struct<bucket: bigint, rank: int, size: bigint>>)),
+            (s, x) -> if(x.size <= s.gap, named_struct('gap', s.gap - x.size, 'got', concat(s.got, array(named_struct('bucket', -x.b, 'rank', -x.r, 'size', x.size)))), s), s -> s.got)""")
+        picked = stored(per.select("source", F.inline(taken)), f"{uri}/picked-{k}")
+        all_picked = all_picked.unionByName(picked) if all_picked else picked
+        filled = picked.groupBy("source").agg(F.sum("size").alias("filled"))
+        gaps = stored(gaps.join(filled, "source", "left").select("source", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")), f"{uri}/gaps-{k}")
+        left = stored(left.join(picked.drop("size"), [*source, "rank"], "left_anti").join(gaps, "source").filter("size <= gap").drop("gap"), f"{uri}/left-{k}")
+        most *= 8
+    none = placed.sparkSession.createDataFrame([], "source string, bucket long, rank int")
+    return (all_picked.drop("size") if all_picked else none).groupBy(*source).agg(F.collect_set("rank").alias("ranks"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, schedule=default_schedule, name: str | None = None, spread: list[str] | None = None, fill: int = 8) -> DataFrame:
@@ -109,21 +122,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
     A source's documents stand in the order of a hash of `spread` (the id and, if there is one, the text). The target's
     whole passes take every document. The rest takes documents in that order while they fit; then smaller ones from
-    beyond the cut fill what stayed open, so the words taken miss a target by less than a small document wherever the
-    source has small ones to spare. Prefix sums go over (source, hash range) buckets, of which a source has some four
+    beyond the cut fill what stayed open until no document is left that fits (`fill` of a size class stand by at first). Prefix sums go over (source, hash range) buckets, of which a source has some four
     for each task of the cluster: sums of buckets first, then inside each bucket, so no source meets in one task.
-    Null texts have size 0, null sources are a source of their own, null ids are ids; rows with equal ids are told apart
+    df's columns pass, whatever their names. Null texts have size 0, null sources are a source of their own, null ids are ids; rows with equal ids are told apart
     by text, then size, and equal rows take the places of one another; an empty table gives an empty result.
     """
     spark, uri = df.sparkSession, shared_dir(df.sparkSession)
     name = name or free_name(df, "mix")
-    size = F.col(size_col).cast("long") if size_col else word_count(text_col)
+    size = F.col(quoted(size_col)).cast("long") if size_col else word_count(text_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(2, (4 * n - 1).bit_length())
     # null apart from any text, without null-safe joins, so that windows and joins share one partitioning
-    named = F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n"))
+    named = F.coalesce(F.concat(F.lit("v"), F.col(quoted(source_col)).cast("string")), F.lit("n"))
     marks = spread or [id_col, *[text_col] * (text_col in df.columns)]
-    hashed = F.xxhash64(*marks)
+    hashed = F.xxhash64(*map(quoted, marks))
     key = [named.alias("source"), F.shiftrightunsigned(hashed, 64 - bits).alias("bucket"), hashed.alias("hash"), F.coalesce(size, F.lit(0).cast("long")).alias("size")]
     in_order = lambda s, b, *o: W.partitionBy(s, b).orderBy(*o)
     narrow = stored(df.select(*key), f"{uri}/sizes")
@@ -139,20 +151,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     plan = stored(plan, f"{uri}/plan")
     placed = narrow.withColumn("rank", F.row_number().over(w)).withColumn("upto", before("size", w) + F.col("size")).join(plan, ["source", "bucket"])
     placed = placed.withColumn("upto", F.col("upto") + F.col("ahead")).withColumn("fits", (F.col("rest") > 0) & (F.col("upto") <= F.col("rest")))
-    fills = stored(_fills(placed, fill, f"{uri}/spares"), f"{uri}/fills")
-    plan = plan.join(fills, ["source", "bucket"], "left").select(F.struct("source", "bucket").alias(f"{name}_of"), F.struct("ahead", "whole", "rest", "ranks", "source_size", "target", "start", "end").alias(f"{name}_plan"))
+    fills = stored(_fills(placed, fill, f"{uri}/rounds"), f"{uri}/fills")
+    of, planned = free_name(df, f"{name}_of"), free_name(df, f"{name}_plan")
+    plan = plan.join(fills, ["source", "bucket"], "left").select(F.struct("source", "bucket").alias(of), F.struct("ahead", "whole", "rest", "ranks", "source_size", "target", "start", "end").alias(planned))
     m = lambda c: F.col(f"{name}.{c}")
     rows = df.withColumn(name, F.struct(*key))
     w = in_order(m("source"), m("bucket"), m("hash"), m("size"))
     rows = rows.withColumn(name, F.struct(*[m(c).alias(c) for c in ("source", "bucket", "hash", "size")], F.row_number().over(w).alias("rank"), before(m("size"), w).alias("inside")))
-    rows = rows.join(plan, (m("source") == F.col(f"{name}_of.source")) & (m("bucket") == F.col(f"{name}_of.bucket")))
-    p = lambda c: F.col(f"{name}_plan.{c}")
+    rows = rows.join(plan, (m("source") == F.col(f"{of}.source")) & (m("bucket") == F.col(f"{of}.bucket")))
+    p = lambda c: F.col(f"{planned}.{c}")
     at = (p("ahead") + m("inside")).cast("long")
     # an empty document rides along with its neighbours
     extra = F.when((p("rest") > 0) & ((at + m("size") <= p("rest")) | F.coalesce(F.array_contains(p("ranks"), m("rank")), F.lit(False))), 1).otherwise(0)
     passes = (p("whole") + extra).cast("long")
     told = F.struct(m("size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), passes.alias("passes"), (passes * m("size")).alias("taken"), at.alias("before"), p("start").alias("start"), p("end").alias("end"), m("hash").alias("hash"))
-    return rows.select(*df.columns, told.alias(name))
+    return rows.select(*map(quoted, df.columns), told.alias(name))
 
 
 def curriculum(mixed: DataFrame, name: str = "mix", untaken: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import free_name, id_and_text, removed, shared_dir, slices, stored, type_of, worker_state
+from .shared import free_name, id_and_text, quoted, removed, shared_dir, slices, stored, type_of, worker_state
 
 
 @dataclass(frozen=True)
@@ -299,7 +299,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", cap: Capacity = Capacity(),
     start = spark.createDataFrame([((p, w, length), zero) for p, w, length, zero in base], "_from struct<part:long,window:int,length:long>, _zero long")
     where = spark.createDataFrame([(k, v) for k, v in by_length.items()], f"_of struct<window:int,length:long>, _ranges {ranges}")
     key = lambda *c: F.struct(*[F.col(own.get(x, x)).alias(x) for x in c])
-    told = dealt.select(F.struct(*[F.col(c) for c in pieces.columns]).alias("row"), key("part", "window", "length").alias("from"), key("window", "length").alias("of"), F.col(own["at"]).alias("at"))
+    told = dealt.select(F.struct(*[F.col(quoted(c)) for c in pieces.columns]).alias("row"), key("part", "window", "length").alias("from"), key("window", "length").alias("of"), F.col(own["at"]).alias("at"))
     out = told.join(F.broadcast(start), F.col("from") == F.col("_from")).join(F.broadcast(where), F.col("of") == F.col("_of")).withColumn("rank", F.col("at") - F.col("_zero"))
     out = out.withColumn("bin", F.expr("filter(_ranges, r -> r.rank <= rank and rank < r.rank + r.take)[0]"))
     return out.select("row.*", F.expr("bin.first + rank - bin.rank").alias("sequence_id"), F.expr("bin.used").alias("offset"))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StructField, StructType
 
 from .shared import slices, type_of, worker_state
 
@@ -175,6 +175,9 @@ def accepted(df: DataFrame, machine: Machine, text_col: str = "text", threshold:
             texts = b.column(at).cast(pa.binary()).to_pylist()
             found = b.column(len(names)).to_pylist()
             keep = pa.array([i for i, t in enumerate(texts) if margin(m, *features(t or b"", found[i])) >= limit], pa.int64())
-            yield pa.RecordBatch.from_arrays([c.take(keep) for c in b.columns[: len(names)]], names=names)  # a filter of batches would use threads, which a forked worker lacks
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in b.columns[: len(names)]], names=plain)  # a filter of batches would use threads, which a forked worker lacks
 
-    return df.select("*", fields(df, machine.meta)).mapInArrow(run, df.schema)
+    # plain names on the way, as a name with a dot in it cannot pass
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(plain, df.schema.fields, strict=True)])
+    return df.select("*", fields(df, machine.meta)).toDF(*plain, "fields").mapInArrow(run, schema).toDF(*names)

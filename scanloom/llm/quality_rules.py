@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import SPACE, free_name, shared_dir, stored
+from .shared import SPACE, free_name, quoted, shared_dir, stored
 
 #: name, votes good (else bad), condition over the statistics. Bad rules look for one defect each; good rules for signs of prose.
 RULES: list[tuple[str, bool, str]] = [
@@ -51,7 +51,7 @@ def text_statistics(df: DataFrame, text_col: str = "text", name: str = "quality"
     n = F.length(text)
     first = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     # each step's arrays are used more than once in the next, so the optimizer keeps them computed once
-    step = first.withColumn(words, F.array_remove(F.split(text, SPACE), "")).withColumn(lines, F.expr(rf"filter(split({text}, '\n'), x -> translate(x, ' \t\n\u000b\f\r', '') <> '')"))
+    step = first.withColumn(words, F.array_remove(F.split(text, SPACE), "")).withColumn(lines, F.expr(rf"filter(split({text}, '\n'), x -> translate(x, ' \t\n\u000b\u000c\r', '') <> '')"))
     step = step.withColumn(hashes, F.expr(f"CASE WHEN size({words}) >= 3 THEN transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2])) ELSE array(0L) END"))
     step = step.withColumn(places, F.expr(f"CASE WHEN size(array_distinct({hashes})) < size({hashes}) THEN array_sort(transform({hashes}, (x, i) -> struct(x AS h, i AS i))) END"))
     again = f"array_sort(transform(filter({places}, (x, j) -> (j > 0 AND {places}[greatest(j - 1, 0)].h = x.h) OR (j < size({places}) - 1 AND {places}[least(j + 1, size({places}) - 1)].h = x.h)), x -> x.i))"
@@ -134,11 +134,14 @@ def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5, name: s
     columns pass, whatever their names.
     """
     name = name or free_name(df, "quality")
-    told = votes(text_statistics(df, text_col, name), name).select(*(df.columns if carry is None else carry), name)
+    told = votes(text_statistics(df, text_col, name), name).select(*map(quoted, df.columns if carry is None else carry), quoted(name))
     voted = stored(told, f"{shared_dir(df.sparkSession)}/votes")
-    # a row per pattern of votes, 2 ** len(RULES) at most
-    patterns = {r["v"]: r["n"] for r in voted.groupBy(F.col(f"{name}.votes").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return with_posterior(voted, fit(patterns).posterior, threshold, name)
+    return with_posterior(voted, fit(_patterns(voted, name)).posterior, threshold, name)
+
+
+def _patterns(voted: DataFrame, name: str) -> dict[str, int]:
+    """How often each pattern of votes occurs: a row per pattern, 2 ** len(RULES) at most."""
+    return {r["v"]: r["n"] for r in voted.groupBy(F.col(f"{name}.votes").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def with_posterior(voted: DataFrame, posterior: dict[str, float], threshold: float = 0.5, name: str = "quality") -> DataFrame:
@@ -153,6 +156,10 @@ def with_posterior(voted: DataFrame, posterior: dict[str, float], threshold: flo
 
 def accepted(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of df whose documents the rules keep, with df's columns; nulls, ties, repeated rows, empty tables and
-    clashing names as in judge()."""
+    clashing names as in judge(). The statistics are computed once for the model and once for the rows, so that no table
+    of texts is left behind for the result to read."""
     name = free_name(df, "quality")
-    return judge(df, text_col, threshold, name).filter(f"`{name}`.kept").select(*df.columns)
+    voted = votes(text_statistics(df, text_col, name), name)
+    # always true, but the optimizer does not know: moved into the filter, the statistics would be computed over and over
+    marked = voted.withColumn(name, F.when(F.rand(0) >= 0, F.col(name)))
+    return with_posterior(marked, fit(_patterns(voted, name)).posterior, threshold, name).filter(f"{quoted(name)}.kept").select(*map(quoted, df.columns))

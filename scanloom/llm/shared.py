@@ -10,6 +10,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -33,8 +35,17 @@ def worker_state(owner: str) -> dict:
     return _owner[owner]
 
 
-#: The folders that shared_dir gave out, in order.
-made: list[str] = []
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that shared_dir gives out meanwhile to this thread's work, and to no other's."""
+    before = _made.set(own := [])
+    try:
+        yield own
+    finally:
+        _made.reset(before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="scanloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
-    made.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
-    return made[-1]
+    uri = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if (own := _made.get()) is not None:
+        own.append(uri)
+    return uri
 
 
 #: Rows of a batch that goes to a Python worker while a table is stored; with texts of a few kB, some MB.

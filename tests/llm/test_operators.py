@@ -563,3 +563,66 @@ def test_loser_tree():
     for k in range(9):
         runs = [sorted(r.randrange(50) for _ in range(r.randrange(20))) for _ in range(k)]
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(itertools.chain(*runs))
+
+
+def test_duplicate_lines_and_symbols_of_every_blank_and_letter(spark):
+    """The base counts of quality rules as their contract gives them, for each ASCII white space character and letter."""
+    blanks, letters = " \t\n\x0b\x0c\r", [chr(c) for c in range(97, 123)]
+    texts = [f"{c}{c}\n{c}\n{c}\nword" for c in blanks + "".join(letters)] + [f"a{c}b\na{c}b\n{c}\n{c}" for c in blanks] + ["ff\nff\nff", "\x0c\n\x0c\nword", "#*$ %&|\n<>\n<>", None, ""]
+
+    def plain(t):
+        words, lines = _split(t), [x for x in (t or "").split("\n") if _split(x)]
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        hit = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r["q"][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in quality_rules.judge(df, name="q").collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_names_that_clash_or_have_dots(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["red", "blue", "old", "new", "sun", "sea"]) + r.choice(".,  ") for _ in range(80)), "s" if i % 3 else None, i) for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, x long")
+    odd = ["mix", "mix_of", "mix_plan", "mix_pass", "a.b", "quality", "quality_of", "c0", "fields", "row", "place`s"]
+    df = plain.select("doc_id", "text", "source", *[F.col("x").alias(c) for c in odd])
+    texts = {i: t for i, t, *_ in rows}
+    machine = quality_fm.Machine(1.0, np.zeros(quality_fm.BUCKETS + quality_fm.STATS, np.float32), np.zeros((quality_fm.BUCKETS + quality_fm.STATS, 1), np.float32))
+    for out in (quality_rules.accepted(df), quality_fm.accepted(df, machine), jaccard.one_of_each(df)):
+        assert out.columns == df.columns and all(tuple(r)[1] == texts[r[0]] and set(tuple(r)[3:]) == {r[0]} for r in out.collect())
+    assert quality_fm.accepted(df, machine).count() == 40
+    mixed = mixing.mix(df, name="m").collect()
+    want = {(r["doc_id"], r["mix"]["taken"], r["mix"]["passes"]) for r in mixing.mix(plain).collect()}
+    assert {(r["doc_id"], r["m"]["taken"], r["m"]["passes"]) for r in mixed} == want and all(set(tuple(r)[3:-1]) == {r["doc_id"]} for r in mixed)
+    pieces = df.withColumns({"piece": F.lit(0), "length": F.lit(7).cast("long")})
+    packed = packing.pack(pieces).collect()
+    assert len(packed) == 40 and all(set(tuple(r)[3:14]) == {r["doc_id"]} for r in packed)
+    import corpus_pipeline
+
+    assert corpus_pipeline.mixed(spark, df, "").columns == df.columns
+
+
+def test_mix_leaves_no_document_that_fits(spark):
+    """Sources whose cut falls on a huge document and leaves room for very many small ones."""
+    rows = [(i, "big", 500) for i in range(6)] + [(100 + i, "big", 1) for i in range(700)] + [(1000 + i, "other", 1 + i % 5) for i in range(300)] + [(5000 + i, None, 40) for i in range(10)] + [(6000, "none", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(4)
+    got = mixing.mix(df, size_col="size", fill=2).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r["mix"])
+    for s in by.values():
+        gap = s[0]["target"] - sum(m["taken"] for m in s)
+        whole = min((m["passes"] for m in s if m["size"]), default=0)
+        assert gap >= -1e-6 and all(m["passes"] > whole or m["size"] > gap or m["passes"] >= 3 for m in s if m["size"])
+
+
+def test_stages_called_alone_delete_nothing(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = corpus_pipeline.by_rules(spark, docs, sf)
+    n = first.count()
+    once = corpus_pipeline.without_near_duplicates(spark, docs, sf)
+    corpus_pipeline.mixed(spark, docs, sf).count()
+    assert first.count() == n and once.count() > 0
