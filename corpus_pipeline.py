@@ -4,46 +4,19 @@ run() writes each stage's result as Parquet in the shared folder and reads it ag
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm import jaccard, mixing, packing, quality_fm, quality_rules
 from scanloom.llm.queries import vocabulary
-from scanloom.llm.shared import free_name, made, removed, shared_dir, stored, table, with_place
-
-
-#: Folders of intermediate tables that a stage's result reads until it is written, by the stage and its sf_dir.
-_left: dict[tuple[str, str], list[str]] = {}
-
-
-def _stage(work):
-    """A stage that first removes what the stages before it left for the same sf_dir: their results have been written and
-    read again by then. Folders that its own input still reads stay."""
-
-    @functools.wraps(work)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles()
-        earlier = [f.__name__ for _, f in STAGES[: [f.__name__ for _, f in STAGES].index(work.__name__)]]
-        for uri in [u for name in earlier for u in _left.pop((name, sf_dir), [])]:
-            if not any(uri.rsplit("/", 1)[-1] in f for f in files):
-                removed(spark, uri)
-        before = len(made)
-        out = work(spark, docs, sf_dir)
-        _left[work.__name__, sf_dir] = made[before:]
-        return out
-
-    return run
+from scanloom.llm.shared import folders_made, free_name, quoted, removed, shared_dir, stored, table, with_place
 
 
-@_stage
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the posterior of the votes accept. Null, empty and short texts go; repeated rows
     have equal verdicts; an empty table stays empty; further columns pass, whatever their names."""
     return quality_rules.accepted(docs)
 
 
-@_stage
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled rows of the raw documents, since the rows that
     the rules left have hardly any of the low class. Null and empty texts are scored by their statistics, ties at the
@@ -52,7 +25,6 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_fm.accepted(docs, machine)
 
 
-@_stage
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of linked documents; of rows with equal ids and texts the first.
     Null and empty texts link with nothing; null ids come after others; an empty table stays empty; further columns
@@ -60,16 +32,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return jaccard.one_of_each(docs)
 
 
-@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, sorted by training position over the files and inside each: what is
     stored keeps the order, for the documents' columns alone may leave this stage. Null sources are a source, null texts
     weigh nothing, rows of equal ids are mixed each for itself, an empty table stays empty; further columns pass."""
     name = free_name(docs, "mix")
-    return mixing.curriculum(mixing.mix(docs, name=name), name).select(*docs.columns)
+    return mixing.curriculum(mixing.mix(docs, name=name), name).select(*map(quoted, docs.columns))
 
 
-@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences: sequence_id, length (2048 tokens at most), ids, doc_ids, and pieces, which say for each
     piece its document, the document's place in the training order (unique for every time that it is taken), number,
@@ -95,9 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. A stage called alone deletes nothing; here a stage's result is written, and then the
+    result before it and the tables that the stage left are read no more and go."""
     docs, at = table(spark, sf_dir, "documents"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"{at}/stage-{k}")
-        if k:
-            removed(spark, f"{at}/stage-{k - 1}")
+        with folders_made() as left:
+            docs = stored(stage(spark, docs, sf_dir), f"{at}/stage-{k}")
+        removed(spark, *left, *[f"{at}/stage-{k - 1}"] * bool(k))
     return docs
