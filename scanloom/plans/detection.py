@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import entities as E, language as G
+from ..operators import entities as E, language as G, token_patterns as N
+from ..sources import views as V
 from . import documents as D, duck as S
 
 #: Languages of the documents table, as the SQL names them.
@@ -100,7 +101,17 @@ _CLEAN = "regexp_replace(trim(name), '[^a-zA-ZäöüßÄÖÜ\\s-]', '', 'g')"
 _HEAD = "^(?:\\p{Lu}\\p{Ll}*|\\p{Lu}+)[^\\pL\\pN_]*$"
 _GOOD = f"length(trim(name)) >= 4 AND NOT {S.any_word('name', P.ORG_BARRED)} AND len(list_filter(string_split_regex(trim(name), '\\s+')[1:2], lambda w: regexp_matches(w, '{_HEAD}'))) > 0 AND len(list_filter(string_split_regex(lower(name), '\\s+'), lambda w: regexp_full_match(w, '\\d+') OR w IN ('der', 'die', 'das'))) = 0 AND length({_CLEAN}) >= 3"
 
+def _token_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """What the token automata find in the invoices' cleaned texts."""
+    rows = V.view(spark, sf, V.INVOICES).select("doc_id", N.tokens(T.clean_spaces(F.col("text"))).alias("toks"))
+    found = {"ids": N.id_patterns(), "addresses": N.address_patterns(), "recipients": N.recipient_patterns(), "offices": N.office_patterns()}
+    return rows.select("doc_id", *[F.array_join(N.search(F.col("toks"), ps), "|").alias(k) for k, ps in found.items()])
+
+
+_TOKEN_SQL = {"ids": S.hits(P.either(P.RULE_IDS), False), "addresses": S.hits(P.RECIPIENT_ADDRESS, False), "recipients": S.hits(P.RECIPIENT, False), "offices": S.hits(P.TAX_ORG)}
+
 QUERIES = {
+    "token_entities": _token_entities,
     "language_scores": _scores,
     "language_detected": _codes,
     "language_accuracy": _accuracy,
@@ -109,6 +120,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "token_entities": f"SELECT doc_id, {', '.join(f'{S.joined(x)} AS {k}' for k, x in _TOKEN_SQL.items())} FROM (SELECT doc_id, {S.PLAIN} AS text FROM {V.duck(V.INVOICES)})",
     "language_scores": f"WITH {_SCORED} SELECT doc_id, grams, lang, {', '.join(f'score_{x}' for x in LANGS)} FROM f",
     "language_detected": f"WITH {_SCORED} SELECT doc_id, CASE f.lang WHEN 'de' THEN 'du' ELSE 'en' END AS legacy, coalesce(f.lang, CASE WHEN contains(lower(text), 'finanzamt') THEN 'de' ELSE 'nl' END) AS guessed, CASE WHEN f.lang IN ('en', 'fr') THEN f.lang ELSE 'de' END AS model, CASE WHEN trim(text) = '' THEN 'unknown' ELSE coalesce(f.lang, 'unknown') END AS known FROM documents JOIN f USING (doc_id)",
     "language_accuracy": f"WITH {_SCORED} SELECT d.lang AS language, count(*) AS documents, count(*) FILTER (WHERE f.lang = d.lang) AS right FROM documents d JOIN f USING (doc_id) WHERE doc_id % 5 = 0 AND d.lang IS NOT NULL GROUP BY d.lang",
