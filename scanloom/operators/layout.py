@@ -87,40 +87,35 @@ def annotations(blocked: DataFrame, classify: Callable[[Column], Column]) -> Dat
     return kept.select("image_id", "line", "block", "value", F.coalesce("_class", F.lit("Unknown")).alias("field"), low("a", "c").alias("x1"), low("b", "d").alias("y1"), (F.col("c") + pad("a", "c")).alias("x2"), (F.col("d") + pad("b", "d")).alias("y2"), "confidence")
 
 
-def overlap_pairs(boxes: DataFrame) -> DataFrame:
-    """Pairs of an image's boxes whose intersection exceeds half of the smaller one."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    j = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.ord") < F.col("b.ord")))
-    side = lambda lo, hi: F.greatest(F.lit(0), F.least(f"a.{hi}", f"b.{hi}") - F.greatest(f"a.{lo}", f"b.{lo}"))
-    area = lambda t: (F.col(f"{t}.x2") - F.col(f"{t}.x1")) * (F.col(f"{t}.y2") - F.col(f"{t}.y1"))
-    inter = side("x1", "x2") * side("y1", "y2")
-    return j.filter(2 * inter > F.least(area("a"), area("b"))).select(F.col("a.image_id").alias("image_id"), F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), inter.alias("intersection"))
-
-
-def merge_rows(rows: list[tuple]) -> list[list]:
-    """Greedy merge of (x1, y1, x2, y2, field, value, confidence) in order of y1: a box takes in every later one that it
-    overlaps by more than half of the smaller, growing as it goes; a known field stays, unknown gives way."""
-    rows, taken, out = sorted(rows, key=lambda r: r[1]), set(), []
+def merges(rows: list[tuple]) -> Iterator[tuple[tuple, list]]:
+    """Greedy merge of (x1, y1, x2, y2, field, value, confidence, ...) in order of y1: a box takes in every later one that it
+    overlaps by more than half of the smaller, growing as it goes; a known field stays, unknown gives way. Gives each
+    result's first row and the seven values that became of it."""
+    rows, taken = sorted(rows, key=lambda r: r[1]), set()
     for i, r in enumerate(rows):
         if i in taken:
             continue
-        x1, y1, x2, y2, field, value, conf = r
+        x1, y1, x2, y2, field, value, conf = r[:7]
         for j in range(i + 1, len(rows)):
             if j in taken:
                 continue
-            a1, b1, a2, b2, f, v, c = rows[j]
+            a1, b1, a2, b2, f, v, c = rows[j][:7]
             inter = max(0, min(x2, a2) - max(x1, a1)) * max(0, min(y2, b2) - max(y1, b1))
             if 2 * inter > min((x2 - x1) * (y2 - y1), (a2 - a1) * (b2 - b1)):
                 x1, y1, x2, y2 = min(x1, a1), min(y1, b1), max(x2, a2), max(y2, b2)
                 field, value, conf = (f if field == "Unknown" else field), f"{value} {v}", max(conf, c)
                 taken.add(j)
-        out.append([x1, y1, x2, y2, field, value, conf])
-    return out
+        yield r, [x1, y1, x2, y2, field, value, conf]
+
+
+def merge_rows(rows: list[tuple]) -> list[list]:
+    """merges()'s results alone."""
+    return [m for _, m in merges(rows)]
 
 
 def merge_overlaps(boxes: DataFrame) -> DataFrame:
     """Each image's boxes after the greedy merge. It depends on order, so it is a fold over an image's sorted boxes; many
-    images go to Python in one batch."""
+    images go to Python in one batch. For images of very many boxes see geometry.merge_pages()."""
     fields = ["x1", "y1", "x2", "y2", "field", "value", "confidence"]
     per = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("boxes"))
 

@@ -28,12 +28,6 @@ def _grams(places: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.substring(F.col("_t"), i, F.lit(n)))
 
 
-def hits(boxes: DataFrame, points: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Boxes at points (image_id, px, py) of a picture drawn at scale; borders belong to a box."""
-    p = points.select("image_id", "px", "py", (F.col("px") / scale).alias("_x"), (F.col("py") / scale).alias("_y"))
-    return boxes.join(p, "image_id").filter(F.expr("_x BETWEEN x1 AND x2 AND _y BETWEEN y1 AND y2")).drop("_x", "_y")
-
-
 def display_scale(width: str = "width", height: str = "height", most: int = 1200) -> Column:
     return F.least(most / F.col(width), most / F.col(height))
 

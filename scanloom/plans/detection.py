@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import entities as E, language as G, token_patterns as N
+from ..operators import entities as E, language as G, layout as L, segments as X, token_patterns as N
 from ..sources import views as V
 from . import documents as D, duck as S
 
@@ -108,9 +108,34 @@ def _token_entities(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *[F.array_join(N.search(F.col("toks"), ps), "|").alias(k) for k, ps in found.items()])
 
 
+def _invoice_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices as pages of words: nine points to a character, four lines close to each other, then a wide gap."""
+    lines = V.view(spark, sf, V.INVOICES).select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    ws = F.split("t", " ")
+    at = lambda w, i: F.struct(w.alias("text"), (9 * F.aggregate(F.slice(ws, 1, i), F.lit(0), lambda a, v: a + F.length(v) + 1)).alias("x"))
+    rows = lines.select("image_id", "line", F.posexplode(F.transform(ws, at)).alias("k", "s"))
+    y = 16 * F.col("line") + 60 * F.floor(F.col("line") / 4)
+    return rows.select("image_id", (F.col("line") * 1000 + F.col("k")).cast("long").alias("word_idx"), F.col("s.text").alias("text"), F.col("s.x").cast("long").alias("x"), y.cast("long").alias("y"), (9 * F.length("s.text")).cast("long").alias("w"), F.lit(12).cast("long").alias("h"))
+
+
+def _block_parties(spark: SparkSession, sf: str) -> DataFrame:
+    found = X.blocks(X.segments(_invoice_words(spark, sf)))
+    return found.groupBy(F.col("image_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("blocks"), X.topmost(P.SENDER_WORDS).alias("sender"), X.topmost(P.RECEIVER_WORDS).alias("receiver"))
+
+
+_BLOCKS = f"SELECT doc_id, CAST(i // 4 AS BIGINT) AS block, string_agg(t, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {V.duck(V.INVOICES)})) GROUP BY ALL"
+_BLOCK_SQL = f"SELECT doc_id, count(*) AS blocks, " + ", ".join(f"coalesce(arg_min(text, block) FILTER (WHERE {S.any_word('text', w)}), '') AS {k}" for k, w in (("sender", P.SENDER_WORDS), ("receiver", P.RECEIVER_WORDS))) + f" FROM ({_BLOCKS}) GROUP BY doc_id"
+
+
+def _page_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return X.segments(L.confident(L.ocr_words(_table(spark, sf, "documents")))).select("image_id", "word_idx", "segment")
+
+
 _TOKEN_SQL = {"ids": S.hits(P.either(P.RULE_IDS), False), "addresses": S.hits(P.RECIPIENT_ADDRESS, False), "recipients": S.hits(P.RECIPIENT, False), "offices": S.hits(P.TAX_ORG)}
 
 QUERIES = {
+    "block_parties": _block_parties,
+    "page_segments": _page_segments,
     "token_entities": _token_entities,
     "language_scores": _scores,
     "language_detected": _codes,
@@ -120,6 +145,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "block_parties": _BLOCK_SQL,
     "token_entities": f"SELECT doc_id, {', '.join(f'{S.joined(x)} AS {k}' for k, x in _TOKEN_SQL.items())} FROM (SELECT doc_id, {S.PLAIN} AS text FROM {V.duck(V.INVOICES)})",
     "language_scores": f"WITH {_SCORED} SELECT doc_id, grams, lang, {', '.join(f'score_{x}' for x in LANGS)} FROM f",
     "language_detected": f"WITH {_SCORED} SELECT doc_id, CASE f.lang WHEN 'de' THEN 'du' ELSE 'en' END AS legacy, coalesce(f.lang, CASE WHEN contains(lower(text), 'finanzamt') THEN 'de' ELSE 'nl' END) AS guessed, CASE WHEN f.lang IN ('en', 'fr') THEN f.lang ELSE 'de' END AS model, CASE WHEN trim(text) = '' THEN 'unknown' ELSE coalesce(f.lang, 'unknown') END AS known FROM documents JOIN f USING (doc_id)",

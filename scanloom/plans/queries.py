@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import layout as L, linking as K, records as R
+from ..operators import geometry as B, layout as L, records as R
 from ..sources import views as V
 from ..sources.files import workspace
 from ..streaming.curation import curate_stream
@@ -112,11 +112,20 @@ _POINTS = [(100, 50), (150, 90), (220, 60)]
 
 
 def _hover(spark: SparkSession, sf: str) -> DataFrame:
-    """Three points on every seventh image, shown at half its size."""
+    """Three points on every image, shown at half its size."""
     boxes = V.view(spark, sf, V.BOXES)
     three = F.array(*[F.struct(F.lit(x / 2).alias("px"), F.lit(y / 2).alias("py")) for x, y in _POINTS])
-    points = boxes.filter("image_id % 7 = 0").select("image_id").distinct().select("image_id", F.inline(three))
-    return K.hits(boxes, points, 0.5).select("image_id", (2 * F.col("px")).cast("long").alias("px"), (2 * F.col("py")).cast("long").alias("py"), "ord", "field")
+    points = boxes.select("image_id").distinct().select("image_id", F.inline(three))
+    return B.hits(boxes, points, 0.5).select("image_id", (2 * F.col("px")).cast("long").alias("px"), (2 * F.col("py")).cast("long").alias("py"), "ord", "field")
+
+
+#: Orders stand side by side on wide pages, none near another: five pages in all.
+_TILES = "SELECT image_id % 5 AS image_id, 10 * image_id + ord AS ord, image_id AS tile, x1 + 400 * (image_id % 300) AS x1, y1 + 200 * CAST((image_id - image_id % 300) / 300 AS BIGINT) AS y1, x2 + 400 * (image_id % 300) AS x2, y2 + 200 * CAST((image_id - image_id % 300) / 300 AS BIGINT) AS y2, field, value, confidence"
+
+
+def _large_pages(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = V.view(spark, sf, V.BOXES)
+    return B.merge_pages(spark.sql(f"{_TILES} FROM {{b}}", b=boxes).drop("tile"), L.merges)
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +168,8 @@ QUERIES: dict[str, Query] = {
     "word_filter": lambda spark, sf: _words(spark, sf).groupBy("image_id").agg(F.count(F.lit(1)).alias("words"), F.sum("w").alias("width")),
     "line_grouping": _lines,
     "field_annotations": _blocks,
-    "overlap_pairs": lambda spark, sf: L.overlap_pairs(V.view(spark, sf, V.BOXES)),
+    "overlap_pairs": lambda spark, sf: B.overlap_pairs(V.view(spark, sf, V.BOXES)),
+    "merge_large_pages": _large_pages,
     "merge_overlaps": lambda spark, sf: L.merge_overlaps(V.view(spark, sf, V.BOXES)),
     "stream_curation": _stream,
     **profiles.QUERIES,
@@ -190,7 +200,7 @@ ORACLES: dict[str, str] = {
     "upsert_annotations": f"WITH b AS {_BOXES}, n AS (SELECT * FROM b WHERE ord = 1 AND field = 'Unknown') SELECT image_id, ord, field, value FROM b WHERE image_id NOT IN (SELECT image_id FROM n) UNION ALL SELECT image_id, ord, field, 'corrected' FROM n",
     "review_apply": f"SELECT entry_id, doc_id, confidence, needs_review AND NOT confidence < 0.3 AS needs_review, CASE WHEN confidence < 0.3 THEN concat('fixed ', CAST(doc_id AS VARCHAR)) END AS user_correction, CASE WHEN confidence < 0.5 THEN 'high' WHEN confidence < 0.8 THEN 'medium' ELSE 'low' END AS attention FROM {_REV}",
     "incremental_convert": f"SELECT path, page_no FROM {_PAGES} WHERE page_no > 1 AND doc_id % 3 <> 0 OR doc_id % 2 = 1",
-    "hover_hits": f"SELECT image_id, px, py, ord, field FROM {_BOXES} b JOIN (VALUES (100, 50), (150, 90), (220, 60)) t(px, py) ON image_id % 7 = 0 AND px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2",
+    "hover_hits": f"SELECT image_id, px, py, ord, field FROM {_BOXES} b JOIN (VALUES (100, 50), (150, 90), (220, 60)) t(px, py) ON px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2",
     "word_filter": r"SELECT image_id, count(*) AS words, CAST(sum(8 * least(length(l[p + 1]), 10)) AS BIGINT) AS width FROM (SELECT doc_id AS image_id, l, unnest(range(len(l))) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda v: v <> '') AS l FROM documents)) WHERE 40 + (7 * p) % 60 > 50 GROUP BY image_id",
     "overlap_pairs": f"WITH b AS {_BOXES}, p AS (SELECT a.image_id, a.ord AS ord_a, b.ord AS ord_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS intersection, least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) AS smaller FROM b a JOIN b ON a.image_id = b.image_id AND a.ord < b.ord) SELECT image_id, ord_a, ord_b, intersection FROM p WHERE 2 * intersection > smaller",
 }
@@ -209,9 +219,17 @@ ORACLES["field_annotations"] = f"""WITH {_LINED}, g AS (SELECT *, x - lag(x + w.
 _FIELDS = ("x1", "y1", "x2", "y2", "field", "value", "confidence")
 _INTER = "greatest(0, least(a.x2, bs[j].x2) - greatest(a.x1, bs[j].x1)) * greatest(0, least(a.y2, bs[j].y2) - greatest(a.y1, bs[j].y1))"
 _SMALLER = "least((a.x2 - a.x1) * (a.y2 - a.y1), (bs[j].x2 - bs[j].x1) * (bs[j].y2 - bs[j].y1))"
-_GROWN = "{'x1': least(a.x1, bs[j].x1), 'y1': least(a.y1, bs[j].y1), 'x2': greatest(a.x2, bs[j].x2), 'y2': greatest(a.y2, bs[j].y2), 'field': CASE WHEN a.field = 'Unknown' THEN bs[j].field ELSE a.field END, 'value': concat(a.value, ' ', bs[j].value), 'confidence': greatest(a.confidence, bs[j].confidence), 'taken': list_append(a.taken, j)}"
-_ONE = f"list_reduce(range(i + 1, len(bs) + 1), lambda a, j: CASE WHEN list_contains(a.taken, j) OR 2 * {_INTER} <= {_SMALLER} THEN a ELSE {_GROWN} END, {{{', '.join(f"'{c}': bs[i].{c}" for c in _FIELDS)}, 'taken': s.taken}})"
-ORACLES["merge_overlaps"] = f"""WITH p AS (SELECT image_id, list(struct_pack({', '.join(f'{c} := {c}' for c in _FIELDS)}) ORDER BY y1, ord) AS bs FROM {_BOXES} GROUP BY image_id),
- o AS (SELECT image_id, list_reduce(range(1, len(bs) + 1), lambda s, i: CASE WHEN list_contains(s.taken, i) THEN s ELSE {{'taken': {_ONE}.taken, 'got': list_append(s.got, {_ONE})}} END, {{'taken': []::BIGINT[], 'got': []::STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, field VARCHAR, value VARCHAR, confidence BIGINT, taken BIGINT[])[]}}).got AS got FROM p)
- SELECT image_id, k AS ord, {', '.join(f'got[k + 1].{c} AS {c}' for c in _FIELDS)} FROM (SELECT image_id, got, unnest(range(len(got))) AS k FROM o)"""
+#: seed_y and seed are those of a result's first box.
+_GROWN = "{'x1': least(a.x1, bs[j].x1), 'y1': least(a.y1, bs[j].y1), 'x2': greatest(a.x2, bs[j].x2), 'y2': greatest(a.y2, bs[j].y2), 'field': CASE WHEN a.field = 'Unknown' THEN bs[j].field ELSE a.field END, 'value': concat(a.value, ' ', bs[j].value), 'confidence': greatest(a.confidence, bs[j].confidence), 'seed_y': a.seed_y, 'seed': a.seed, 'taken': list_append(a.taken, j)}"
+_ONE = f"list_reduce(range(i + 1, len(bs) + 1), lambda a, j: CASE WHEN list_contains(a.taken, j) OR 2 * {_INTER} <= {_SMALLER} THEN a ELSE {_GROWN} END, {{{', '.join(f"'{c}': bs[i].{c}" for c in (*_FIELDS, 'seed_y', 'seed'))}, 'taken': s.taken}})"
+
+
+def _merged(boxes: str, key: str) -> str:
+    return f"""p AS (SELECT {key}, list(struct_pack({', '.join(f'{c} := {c}' for c in _FIELDS)}, seed_y := y1, seed := ord) ORDER BY y1, ord) AS bs FROM {boxes} GROUP BY {key}),
+ o AS (SELECT {key}, list_reduce(range(1, len(bs) + 1), lambda s, i: CASE WHEN list_contains(s.taken, i) THEN s ELSE {{'taken': {_ONE}.taken, 'got': list_append(s.got, {_ONE})}} END, {{'taken': []::BIGINT[], 'got': []::STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, field VARCHAR, value VARCHAR, confidence BIGINT, seed_y BIGINT, seed BIGINT, taken BIGINT[])[]}}).got AS got FROM p)"""
+
+
+ORACLES["merge_overlaps"] = f"WITH {_merged(_BOXES, 'image_id')} SELECT image_id, k AS ord, {', '.join(f'got[k + 1].{c} AS {c}' for c in _FIELDS)} FROM (SELECT image_id, got, unnest(range(len(got))) AS k FROM o)"
+ORACLES["merge_large_pages"] = f"""WITH {_merged(f"({_TILES} FROM {_BOXES})", 'tile')}, m AS (SELECT tile % 5 AS image_id, {', '.join(f'got[k + 1].{c} AS {c}' for c in (*_FIELDS, 'seed_y', 'seed'))} FROM (SELECT tile, got, unnest(range(len(got))) AS k FROM o))
+ SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY seed_y, seed) - 1 AS ord, {', '.join(_FIELDS)} FROM m"""
 ORACLES["stream_curation"] = ORACLES["curation_split"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scanloom import schemas
 from scanloom.functions import patterns as P, text as T
-from scanloom.operators import layout, linking, records
+from scanloom.operators import geometry, layout, linking, records
 from scanloom.plans import documents as D, queries as Q
 from scanloom.sources import files
 from scanloom.streaming.curation import curate_stream
@@ -171,7 +171,7 @@ def test_links_take_the_first_word(spark):
 def test_hits_and_scale(spark):
     boxes = spark.createDataFrame([(1, 0, 0, 10, 10)], "image_id long, x1 long, y1 long, x2 long, y2 long")
     points = spark.createDataFrame([(1, 20, 20), (1, 21, 20), (2, 1, 1)], "image_id long, px long, py long")
-    assert [r["px"] for r in linking.hits(boxes, points, 2.0).collect()] == [20]
+    assert [r["px"] for r in geometry.hits(boxes, points, 2.0).collect()] == [20]
 
 
 def test_review_errors_and_search(spark):
