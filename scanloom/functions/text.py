@@ -327,6 +327,11 @@ def text_stats(text: Column) -> Column:
     return F.struct(F.length(text).cast("long").alias("chars"), (F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("lines"), F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long").alias("words"))
 
 
+def entity_structs(items: Column, most: int = 5) -> Column:
+    """The first `most` entities as structs of value and bbox, which is null until they are linked with words."""
+    return F.transform(F.slice(items, 1, most), lambda x: F.struct(x.alias("value"), F.lit(None).cast("array<int>").alias("bbox")))
+
+
 def similarity(reference: Column, text: Column) -> Column:
     """1 - edit distance / longer length, 1 for two empty texts; our own definition."""
     n = F.greatest(F.length(reference), F.length(text))

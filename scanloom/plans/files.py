@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import images as I, models as M, records as R
+from ..operators import images as I, linking as K, models as M, records as R
 from ..sources import files as S, views as V
 from . import duck as D
 
@@ -178,6 +178,41 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.inline(F.from_json("value", f"ARRAY<STRUCT<{', '.join(x.replace(' ', ': ') for x in S.schemas.TRAINING_ROW.split(', '))}>>")))
 
 
+def _apart(rows: DataFrame, at: str) -> None:
+    """Write each row's `value` as a file of its own in a folder of its `part`."""
+    rows.repartition("part").write.option("lineSep", "\n").partitionBy("part").text(at)
+
+
+def _training_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists in files of their own, read as training files are."""
+    at = f"{S.workspace(spark)}/training"
+    row = F.struct(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("image_path"), F.lit("de").alias("language"), F.to_json(F.struct(T.phones(F.col("text")).alias("phones"))).alias("entities"))
+    _apart(V.view(spark, sf, V.INVOICES).groupBy((F.col("doc_id") / 1000).cast("long").alias("part")).agg(F.to_json(F.collect_list(row)).alias("value")), at)
+    return S.read_training(spark, at).select("image_path", "language", "entities")
+
+
+def _review_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Review files of a thousand documents' entries each, read as they are."""
+    at = f"{S.workspace(spark)}/reviews"
+    original = F.struct(F.concat(F.lit("text of "), F.col("doc_id").cast("string")).alias("value"))
+    rows = V.view(spark, sf, V.REVIEWS).select((F.col("doc_id") / 1000).cast("long").alias("part"), F.struct("doc_id", F.struct(F.lit("Date").alias("suggested_name"), "confidence", original.alias("original"), "needs_review").alias("e")).alias("s"))
+    listed = rows.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"]).alias("entries"))
+    _apart(listed.select("part", F.to_json(F.struct(F.size("entries").alias("count"), "entries")).alias("value")), at)
+    return S.read_reviews(spark, at).select(F.col("entry_id").cast("long").alias("entry_id"), "suggested_name", "confidence", F.col("original.value").alias("value"), "needs_review", "user_correction")
+
+
+def _display_scales(spark: SparkSession, sf: str) -> DataFrame:
+    """The scale at which each image, as wide and high as its boxes reach, is shown."""
+    pages = V.view(spark, sf, V.BOXES).groupBy("image_id").agg(F.max("x2").alias("width"), F.max("y2").alias("height"))
+    return pages.select("image_id", F.round(K.display_scale(), 9).alias("scale"))
+
+
+def _entity_structs(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    rows = V.view(spark, sf, V.INVOICES).select("doc_id", F.posexplode(T.entity_structs(F.concat(T.emails(t), T.document_numbers(t)), 3)).alias("pos", "e"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "e.value", F.col("e.bbox").isNotNull().alias("has_box"))
+
+
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in model that repeats its prompt's first line in stars, fails on some and has nothing to say on others."""
     at = f"{S.workspace(spark)}/summaries"
@@ -289,7 +324,7 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "image_steps": _steps,
     "files_written": _written, "file_outcomes": _outcomes, "pictures_listed": _pictures, "convertible_listed": _convertible, "ocr_words": _ocr, "ocr_texts": _ocr_text, "pdf_pages": _pdf, "documents_saved": _documents, "annotations_keyed": _keyed,
-    "annotations_upserted": _upserted, "reviews_saved": _reviews, "results_read": _results, "training_lists": _training, "summaries_saved": _summaries, "metadata_saved": _metadata_files, "tables_saved": _tables, "batches_saved": _batches,
+    "annotations_upserted": _upserted, "reviews_saved": _reviews, "results_read": _results, "training_lists": _training, "training_files": _training_files, "review_files": _review_files, "display_scales": _display_scales, "entity_structs": _entity_structs, "summaries_saved": _summaries, "metadata_saved": _metadata_files, "tables_saved": _tables, "batches_saved": _batches,
     "field_model": _field_model, "translations": _translated, "text_samples": _samples, "first_limits": _limits,
 }
 
@@ -313,6 +348,10 @@ ORACLES = {
     "reviews_saved": f"SELECT entry_id, confidence, concat('text of ', doc_id) AS value, needs_review AND NOT confidence < 0.3 AS needs_review, CASE WHEN confidence < 0.3 THEN concat('fixed text of ', doc_id) END AS user_correction FROM {_REV}",
     "results_read": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, ordinal, value, CASE WHEN trim(value) <> '' THEN coalesce({_CLASS.replace('(v,', '(value,')}, 'Unknown') END AS suggested_name, trim(value) <> '' AS valid, CASE WHEN trim(value) = '' THEN 'empty_value' END AS reason FROM {_CUR}",
     "training_lists": f"SELECT concat('/in/', doc_id) AS image_path, 'de' AS language, CAST(to_json({{'emails': {_EMAILS}}}) AS VARCHAR) AS entities FROM {_INV}",
+    "training_files": f"SELECT concat('/in/', doc_id) AS image_path, 'de' AS language, CAST(to_json({{'phones': {D.distinct(D.every(P.READER_PHONES, False))}}}) AS VARCHAR) AS entities FROM {_INV}",
+    "review_files": f"SELECT row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS entry_id, 'Date' AS suggested_name, confidence, concat('text of ', doc_id) AS value, needs_review, CAST(NULL AS VARCHAR) AS user_correction FROM {_REV}",
+    "display_scales": f"SELECT image_id, round(least(1200.0::DOUBLE / max(x2), 1200.0::DOUBLE / max(y2)), 9) AS scale FROM {V.duck(V.BOXES)} GROUP BY image_id",
+    "entity_structs": f"SELECT doc_id, unnest(range(len(es))) AS pos, unnest(es) AS value, false AS has_box FROM (SELECT doc_id, {D.chain([D.distinct(D.hits(P.READER_EMAIL)), D.every(P.READER_NUMBERS)])}[1:3] AS es FROM {_INV})",
     "summaries_saved": f"SELECT concat('/in/doc', doc_id, '.jpg') AS source, concat('doc', doc_id, '_20240102_030405.txt') AS file, {_BANNER} AS text FROM {_INV} WHERE doc_id % 4 > 0 AND doc_id % 10 NOT IN (3, 7)",
     "metadata_saved": f"SELECT concat('/in/', doc_id % 5, '/doc', doc_id // 5, '.jpg') AS source, concat('doc', doc_id // 5, '.jpg') AS name, 'de' AS language, {D.joined(_EMAILS)} AS emails, length(text) AS chars FROM {_INV}",
     "tables_saved": f"SELECT *, CASE WHEN needs_review THEN 'open' ELSE 'done' END AS sheet FROM {_REV}",

@@ -49,7 +49,7 @@ def _base() -> Column:
 def _regex_documents(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("ground_truth.gt_parse.entities")
     return D.regex_documents(_pages(spark, sf)).select(
-        _base(), F.col("pages").cast("long").alias("pages"), F.col("ground_truth.metadata.document_type").alias("document_type"), F.col("ground_truth.gt_parse.language").alias("language"), F.length("ground_truth.raw_text").cast("long").alias("chars"),
+        _base(), F.col("pages").cast("long").alias("pages"), F.col("ground_truth.metadata.document_type").alias("document_type"), F.col("ground_truth.gt_parse.language").alias("language"), F.length("ground_truth.raw_text").cast("long").alias("chars"), F.col("ground_truth.raw_text").alias("raw_text"),
         _join(e["dates"]).alias("dates"), _join(e["amounts"]).alias("amounts"), _join(e["document_identifiers"]).alias("ids"), e["parties"]["sender"].alias("sender"), e["parties"]["receiver"].alias("receiver"), _join(e["contact_data"]["emails"]).alias("emails"), _join(e["contact_data"]["phone_numbers"]).alias("phones"),
     )
 
@@ -58,7 +58,7 @@ _KIND = "CASE doc_id % 4 WHEN 0 THEN 'rechnung' WHEN 1 THEN 'steuer' WHEN 2 THEN
 _GOOD = "(1 + doc_id % 3 - CASE WHEN doc_id % 7 = 0 AND doc_id % 3 > 0 THEN 1 ELSE 0 END)"  # pages that did not fail
 _SETS = {"dates": S.regex_dates(), "amounts": S.distinct(S.every(P.REGEX_AMOUNTS)), "ids": S.distinct(S.regex_numbers()), "emails": S.distinct(S.hits(P.REGEX_EMAIL)), "phones": S.distinct(S.regex_phones())}
 _LANG = "CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'unknown' END"
-_REGEX_SQL = f"SELECT doc_id, 1 + doc_id % 3 AS pages, {_KIND} AS document_type, {_LANG} AS language, CAST({_GOOD} * (length(text) + 1) - 1 AS BIGINT) AS chars, {S.sender()} AS sender, {S.receiver()} AS receiver, " + ", ".join(f"{S.joined(x)} AS {k}" for k, x in _SETS.items()) + f" FROM {_INV}"
+_REGEX_SQL = f"SELECT doc_id, 1 + doc_id % 3 AS pages, {_KIND} AS document_type, {_LANG} AS language, CAST({_GOOD} * (length(text) + 1) - 1 AS BIGINT) AS chars, array_to_string(list_transform(range({_GOOD}), lambda v: text), chr(10)) AS raw_text, {S.sender()} AS sender, {S.receiver()} AS receiver, " + ", ".join(f"{S.joined(x)} AS {k}" for k, x in _SETS.items()) + f" FROM {_INV}"
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:

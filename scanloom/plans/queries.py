@@ -36,7 +36,7 @@ _INV, _PAGES, _BOXES, _CUR, _REV = (V.duck(x) for x in (V.INVOICES, V.PAGES, V.B
 
 
 def _ocr_text_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("chars"), (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("lines"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f]+")).cast("long").alias("words"))
+    return _docs(spark, sf).select("doc_id", T.text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +184,7 @@ ORACLES: dict[str, str] = {
     **detection.ORACLES,
     **files.ORACLES,
     "clean_text": f"SELECT doc_id, {S.UNICODE} AS unicode_text, {S.PLAIN} AS plain_text FROM documents",
-    "ocr_text_stats": r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS BIGINT) AS words FROM documents",
+    "ocr_text_stats": r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS BIGINT) AS words FROM documents",
     **{f"invoice_{k}": f"SELECT doc_id, {S.joined(x)} AS {k} FROM {_INV}" for k, x in _EXTRACT.items()},
     "doc_ids": f"SELECT doc_id, {S.joined(S.ids())} AS document_ids FROM {_INV}",
     "phone_forms": f"SELECT doc_id, CASE WHEN starts_with(d, '31') THEN concat('+', d) WHEN length(d) = 10 THEN concat(d[1:3], ' ', d[4:6], ' ', d[7:8], ' ', d[9:10]) ELSE n END AS phone FROM (SELECT doc_id, n, {_NUM} AS d FROM (SELECT doc_id, regexp_extract(text, 'Mob (\\+?\\d+)', 1) AS n FROM {_INV}))",
