@@ -65,6 +65,21 @@ def lines(words: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, StructType([*words.schema.fields, StructField("line", LongType())]))
 
 
+def lines_by_height(words: DataFrame) -> DataFrame:
+    """lines() for pages of any number of words: which line a word is in depends on its page and height alone, so the fold
+    goes over a page's different heights, of which it has no more than pixels, and the words join their height's line. Means
+    and heights are summed up in tasks before they are exchanged, and the words of one page are dealt by their height. Words
+    without a height have no line (null); null images are one page; repeated words stay; an empty table stays empty."""
+    heights = words.filter("y IS NOT NULL").groupBy("image_id", "y").agg(F.sum("h").alias("h"), F.count("h").alias("n"))
+    pages = heights.groupBy("image_id").agg(F.array_sort(F.collect_list("y")).alias("ys"), F.least(0.7 * F.sum("h") / F.sum("n"), F.lit(15.0)).alias("limit"))
+    first = F.transform(F.slice("ys", 1, 1), lambda y: y)
+    anchors = F.aggregate("ys", first, lambda a, y: F.when(y - F.element_at(a, -1) > F.col("limit"), F.concat(a, F.array(y))).otherwise(a))
+    pages = pages.withColumn("anchors", anchors)
+    lined = pages.select("image_id", F.explode(F.transform("ys", lambda y: F.struct(y.alias("y"), (F.size(F.filter("anchors", lambda a: a <= y)) - 1).cast("long").alias("line")))).alias("s"))
+    lined = lined.select(F.col("image_id").alias("_image"), F.col("s.y").alias("_y"), "s.line")
+    return words.join(lined, F.col("image_id").eqNullSafe(F.col("_image")) & (F.col("y") == F.col("_y")), "left").drop("_image", "_y")
+
+
 def blocks(lined: DataFrame) -> DataFrame:
     """lined with block (from 0 in its line): a line is cut where a gap exceeds max(2 mean gaps, 3 mean widths), if its mean
     gap exceeds two mean widths or it has three words or fewer."""

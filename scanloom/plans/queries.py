@@ -167,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "hover_hits": _hover,
     "word_filter": lambda spark, sf: _words(spark, sf).groupBy("image_id").agg(F.count(F.lit(1)).alias("words"), F.sum("w").alias("width")),
     "line_grouping": _lines,
+    "line_grouping_by_height": lambda spark, sf: L.lines_by_height(_words(spark, sf)).select("image_id", "word_idx", "line"),
     "field_annotations": _blocks,
     "overlap_pairs": lambda spark, sf: B.overlap_pairs(V.view(spark, sf, V.BOXES)),
     "merge_large_pages": _large_pages,
@@ -208,6 +209,7 @@ _LINED = rf"""w AS ({S.WORDS}), f AS (SELECT image_id, list(struct_pack(y := y,
  n AS (SELECT image_id, ws, list_reduce(ws, lambda a, v: CASE WHEN a.n < 0 OR v.y - a.y > thr THEN {{'y': v.y, 'n': a.n + 1, 'l': list_append(a.l, a.n + 1)}} ELSE {{'y': a.y, 'n': a.n, 'l': list_append(a.l, a.n)}} END, {{'y': 0::BIGINT, 'n': -1::BIGINT, 'l': []::BIGINT[]}}).l AS ls FROM f),
  l AS (SELECT image_id, unnest(ws).i AS word_idx, unnest(ls) AS line FROM n)"""
 ORACLES["line_grouping"] = f"WITH {_LINED} SELECT image_id, word_idx, line FROM l"
+ORACLES["line_grouping_by_height"] = ORACLES["line_grouping"]
 _PAD = "CAST(trunc(({hi} - {lo}) * 0.05::DOUBLE) AS BIGINT)"
 ORACLES["field_annotations"] = f"""WITH {_LINED}, g AS (SELECT *, x - lag(x + w.w) OVER (PARTITION BY image_id, line ORDER BY x, y, word_idx) AS gap FROM w JOIN l USING (image_id, word_idx)),
  m AS (SELECT *, avg(gap) OVER (PARTITION BY image_id, line) AS mean, avg(w) OVER (PARTITION BY image_id, line) AS width, count(*) OVER (PARTITION BY image_id, line) AS n FROM g),

@@ -62,6 +62,16 @@ def test_large_pages_are_merged_as_one_fold(spark, rows):
     assert {x["image_id"]: x["count"] for x in parts}[1] > 20  # the page of many boxes comes apart
 
 
+def test_lines_by_height_are_those_of_the_fold(spark):
+    r = random.Random(12)
+    rows = [(image, k, f"w{k}", r.randrange(2000), r.randrange(tall), 9, r.randrange(1, 30), 90.0) for image, n, tall in ((1, 4000, 3000), (2, 50, 40), (3, 1, 1), (None, 30, 400)) for k in range(n)]
+    df = spark.createDataFrame(rows + rows[:5], "image_id long, word_idx long, text string, x long, y long, w long, h long, conf double").repartition(4)
+    told = lambda out: Counter((x["image_id"], x["word_idx"], x["line"]) for x in out.collect())
+    assert told(L.lines_by_height(df)) == told(L.lines(df))
+    odd = df.limit(1).withColumn("y", F.lit(None).cast("long"))
+    assert [x["line"] for x in L.lines_by_height(odd).collect()] == [None] and L.lines_by_height(df.limit(0)).count() == 0
+
+
 def _cut(words):
     """Plain recursion over (index, x, y, w, h)."""
     mean = sum(w[4] for w in words) / len(words)
