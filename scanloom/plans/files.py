@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
 from ..operators import images as I, linking as K, models as M, records as R
-from ..sources import files as S, views as V
+from ..sources import buckets as B, files as S, views as V
 from . import duck as D
 
 _BOXES, _INV, _REV, _CUR = (V.duck(x) for x in (V.BOXES, V.INVOICES, V.REVIEWS, V.CURATION))
@@ -178,6 +178,17 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.inline(F.from_json("value", f"ARRAY<STRUCT<{', '.join(x.replace(' ', ': ') for x in S.schemas.TRAINING_ROW.split(', '))}>>")))
 
 
+def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """All boxes stored by image, then those of every hundredth image corrected and a few new ones put in."""
+    at, ddl = f"{S.workspace(spark)}/boxes", "image_id BIGINT, ord BIGINT, field STRING, value STRING"
+    old = V.view(spark, sf, V.BOXES).select("image_id", "ord", "field", "value")
+    B.upsert_buckets(old, "image_id", at, ddl)
+    some = old.filter("image_id % 100 = 1 AND ord < 3").withColumn("value", F.lit("corrected"))
+    added = old.filter("image_id % 100 = 2 AND ord = 1").withColumn("image_id", -F.col("image_id"))
+    B.upsert_buckets(some.unionByName(added), "image_id", at, ddl)
+    return B.read_buckets(spark, at, ddl)
+
+
 def _apart(rows: DataFrame, at: str) -> None:
     """Write each row's `value` as a file of its own in a folder of its `part`."""
     rows.repartition("part").write.option("lineSep", "\n").partitionBy("part").text(at)
@@ -324,7 +335,7 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "image_steps": _steps,
     "files_written": _written, "file_outcomes": _outcomes, "pictures_listed": _pictures, "convertible_listed": _convertible, "ocr_words": _ocr, "ocr_texts": _ocr_text, "pdf_pages": _pdf, "documents_saved": _documents, "annotations_keyed": _keyed,
-    "annotations_upserted": _upserted, "reviews_saved": _reviews, "results_read": _results, "training_lists": _training, "training_files": _training_files, "review_files": _review_files, "display_scales": _display_scales, "entity_structs": _entity_structs, "summaries_saved": _summaries, "metadata_saved": _metadata_files, "tables_saved": _tables, "batches_saved": _batches,
+    "annotations_upserted": _upserted, "reviews_saved": _reviews, "results_read": _results, "annotations_in_buckets": _bucketed, "training_lists": _training, "training_files": _training_files, "review_files": _review_files, "display_scales": _display_scales, "entity_structs": _entity_structs, "summaries_saved": _summaries, "metadata_saved": _metadata_files, "tables_saved": _tables, "batches_saved": _batches,
     "field_model": _field_model, "translations": _translated, "text_samples": _samples, "first_limits": _limits,
 }
 
@@ -348,6 +359,7 @@ ORACLES = {
     "reviews_saved": f"SELECT entry_id, confidence, concat('text of ', doc_id) AS value, needs_review AND NOT confidence < 0.3 AS needs_review, CASE WHEN confidence < 0.3 THEN concat('fixed text of ', doc_id) END AS user_correction FROM {_REV}",
     "results_read": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, ordinal, value, CASE WHEN trim(value) <> '' THEN coalesce({_CLASS.replace('(v,', '(value,')}, 'Unknown') END AS suggested_name, trim(value) <> '' AS valid, CASE WHEN trim(value) = '' THEN 'empty_value' END AS reason FROM {_CUR}",
     "training_lists": f"SELECT concat('/in/', doc_id) AS image_path, 'de' AS language, CAST(to_json({{'emails': {_EMAILS}}}) AS VARCHAR) AS entities FROM {_INV}",
+    "annotations_in_buckets": f"WITH b AS {_BOXES} SELECT image_id, ord, field, value FROM b WHERE image_id % 100 <> 1 UNION ALL SELECT image_id, ord, field, 'corrected' FROM b WHERE image_id % 100 = 1 AND ord < 3 UNION ALL SELECT -image_id, ord, field, value FROM b WHERE image_id % 100 = 2 AND ord = 1",
     "training_files": f"SELECT concat('/in/', doc_id) AS image_path, 'de' AS language, CAST(to_json({{'phones': {D.distinct(D.every(P.READER_PHONES, False))}}}) AS VARCHAR) AS entities FROM {_INV}",
     "review_files": f"SELECT row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS entry_id, 'Date' AS suggested_name, confidence, concat('text of ', doc_id) AS value, needs_review, CAST(NULL AS VARCHAR) AS user_correction FROM {_REV}",
     "display_scales": f"SELECT image_id, round(least(1200.0::DOUBLE / max(x2), 1200.0::DOUBLE / max(y2)), 9) AS scale FROM {V.duck(V.BOXES)} GROUP BY image_id",
