@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import entities as E, language as G, layout as L, segments as X, token_patterns as N
+from ..operators import alignment as A, entities as E, language as G, layout as L, segments as X, token_patterns as N
 from ..sources import views as V
 from . import documents as D, duck as S
 
@@ -133,7 +133,16 @@ def _page_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 _TOKEN_SQL = {"ids": S.hits(P.either(P.RULE_IDS), False), "addresses": S.hits(P.RECIPIENT_ADDRESS, False), "recipients": S.hits(P.RECIPIENT, False), "offices": S.hits(P.TAX_ORG)}
 
+def _alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations against the turns that follow them."""
+    turns = _table(spark, sf, "conversations")
+    read = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
+    pairs = turns.join(read, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("pair"), F.col("text").alias("ref"), "hyp")
+    return A.alignment(pairs)
+
+
 QUERIES = {
+    "word_alignment": _alignment,
     "block_parties": _block_parties,
     "page_segments": _page_segments,
     "token_entities": _token_entities,
