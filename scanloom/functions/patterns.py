@@ -63,8 +63,7 @@ PROMPT = [
     "Przeanalizuj ten dokument i przygotuj podsumowanie w języku polskim:\n        \nMetadane dokumentu:\n- Daty: ",
     "\n- Numery: ",
     "\n\nTreść dokumentu (pierwsze 28K znaków):\n",
-    "\n\nPrzygotuj podsumowanie w następującym formacie:\n"
-    + "\n[linijka przerwy]\n".join(["Typ: [typ dokumentu]", "Strony: [nadawca] → [odbiorca]", "Kluczowe daty: [lista] → [wytłumaczenie]", "Kwoty: [wykryte]", "Dane kontaktowe: [lista] → [wytłumaczenie]", "Podsumowanie: [2-3 zdania po polsku]"]),
+    "\n\nPrzygotuj podsumowanie w następującym formacie:\nTyp: [typ dokumentu]\n[linijka przerwy]\nStrony: [nadawca] → [odbiorca]\n[linijka przerwy]\nKluczowe daty: [lista] → [wytłumaczenie]\n[linijka przerwy]\nKwoty: [wykryte]\n[linijka przerwy]\nDane kontaktowe: [lista] → [wytłumaczenie]\n[linijka przerwy]\nPodsumowanie: [2-3 zdania po polsku]",
 ]
 
 

@@ -14,7 +14,7 @@ def _rows(columns, rows):
 def test_query_equals_sql(spark, sf, name):
     df = Q.QUERIES[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "orders", "lineitem", "events", "labels", "conversations", "supplier"):
+    for t in ("documents", "orders", "lineitem", "events", "labels", "conversations", "supplier", "sale_lines", "vendors"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.sql(Q.ORACLES[name])
     expected = _rows(list(rel.columns), rel.fetchall())
