@@ -63,7 +63,8 @@ def _first_of_groups(rows):
 
 
 def _taken(rows, partitions=4, fill=8):
-    """Passes of each (source, size, hash) by number of row, and each source's target, by filling up to the caps."""
+    """Passes of each (source, size, hash) by number of row, and each source's target, by filling up to the caps and
+    then what is open, in rounds, until no document fits."""
     size = Counter()
     for s, n, _ in rows:
         size[s] += n
@@ -79,7 +80,7 @@ def _taken(rows, partitions=4, fill=8):
     passes = {}
     for s in order:
         whole = math.floor(target[s] / size[s]) if size[s] else 0
-        rest, upto, reach, spare, rank = target[s] - whole * size[s], 0, 0, {}, Counter()
+        rest, upto, reach, spare, rank = target[s] - whole * size[s], 0, 0, [], Counter()
         # signed inside a bucket, buckets by the upper bits
         for i in sorted((i for i, r in enumerate(rows) if r[0] == s), key=lambda i: ((rows[i][2] % 2**64) >> (64 - bits), rows[i][2], rows[i][1])):
             n, bucket = rows[i][1], (rows[i][2] % 2**64) >> (64 - bits)
@@ -89,15 +90,18 @@ def _taken(rows, partitions=4, fill=8):
             if rest > 0 and upto <= rest:
                 reach = upto
             elif rest > 0 and n:
-                spare.setdefault((n.bit_length(), bucket), (n, -bucket, rank[bucket], i))
-        by_class = defaultdict(list)
-        for (c, _), x in sorted(spare.items()):
-            by_class[c].append(x)
-        gap = rest - reach
-        for n, _, _, i in sorted((x for xs in by_class.values() for x in xs[:fill]), reverse=True):
-            if n <= gap:
-                passes[i] += 1
-                gap -= n
+                spare.append((-n, bucket, rank[bucket], i))
+        gap, most = rest - reach, fill
+        while left := [x for x in spare if -x[0] <= gap]:
+            by_class = defaultdict(list)
+            for x in sorted(left, key=lambda x: x[1:]):
+                by_class[x[0].bit_length()].append(x)
+            for x in sorted(x for xs in by_class.values() for x in xs[:most]):
+                if -x[0] <= gap:
+                    passes[x[3]] += 1
+                    gap += x[0]
+                    spare.remove(x)
+            most *= 8
     return passes, target
 
 
