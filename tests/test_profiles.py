@@ -209,3 +209,12 @@ def test_fields_equal_a_plain_version(spark, sf):
         want.add((image, line, k, text, kind or "Unknown", max(0, x1 - px), max(0, y1 - py), x2 + px, y2 + py, round(sum(r["conf"] for r in part) / len(part), 6)))
     got = {tuple(r) for r in Q.QUERIES["field_annotations"](spark, sf).collect()}
     assert want and got == want
+
+
+def test_only_parts_that_open_values_are_candidates(spark):
+    words = spark.createDataFrame([(i, k, x, k, 0, 5, 5) for i in (1, 2) for k, x in enumerate(["Rechnungsnummer", "unterschreiben", "", "ab", "Rechnung"])], "image_id long, word_idx long, text string, x long, y long, w long, h long")
+    opened = lambda *vs: spark.createDataFrame([(v,) for v in vs], "_g string").select(linking._slot("_g").alias("_slot"), F.length("_g").alias("_n"))
+    found = lambda o: sorted((r["image_id"], r["_t"], r["_g"]) for r in linking.candidates(words, o).collect())
+    assert found(opened("Rec")) == [(i, x, "Rec") for i in (1, 2) for x in ("Rechnung", "Rechnungsnummer")]
+    assert [x for x in found(opened("", "ab")) if x[0] == 1] == [(1, "", ""), (1, "Rechnung", ""), (1, "Rechnungsnummer", ""), (1, "ab", ""), (1, "ab", "ab"), (1, "unterschreiben", "")]
+    assert found(opened("Rec").limit(0)) == []
