@@ -3,8 +3,6 @@ the tables that it came from."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -322,13 +320,13 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
         for f in frames:
             yield pd.DataFrame([(f"s{k}.pgm", _picture(int(k)) if k % 11 else b"none") for k in f["s_suppkey"]], columns=["path", "content"])
 
-    files = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").mapInPandas(draw, "path string, content binary")
+    keys = V.spread(spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey"))
+    files = keys.mapInPandas(draw, "path string, content binary")
 
     def told(image: np.ndarray) -> bytes:
         return f"{image.shape[1]} {image.shape[0]} {image.mean():.3f}".encode()
 
-    parts = [I.apply(files, step, write=told).select("path", F.lit(name).alias("step"), "ok", "error", F.split(F.col("content").cast("string"), " ").alias("c")) for name, step in steps.items()]
-    every = reduce(DataFrame.unionByName, parts)
+    every = I.apply_each(files, steps, write=told).withColumn("c", F.split(F.col("content").cast("string"), " "))
     return every.select("path", "step", "ok", "error", F.get("c", F.lit(0)).cast("long").alias("width"), F.get("c", F.lit(1)).cast("long").alias("height"), F.get("c", F.lit(2)).cast("double").alias("mean"))
 
 

@@ -39,6 +39,12 @@ CURATION = f"""SELECT user_id AS doc_id, event_id AS ordinal, CASE event_type WH
 REVIEWS = """SELECT doc_id AS entry_id, doc_id, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, quality = 0 OR toxic = 1 AS needs_review FROM labels"""
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table's rows dealt over the shuffle's partitions: work on rows that is much dearer than reading them would else have
+    as many tasks as the file has row groups, which may be one."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def duck(sql: str) -> str:
     return f"({sql.replace('@month', 'monthname(o_orderdate)')})"
 

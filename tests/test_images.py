@@ -100,3 +100,12 @@ def test_steps_over_files(spark, sf):
             gray, out = by[f"s{k}.pgm", "gray"], by[f"s{k}.pgm", "cropped"]
             assert (gray["width"], gray["height"]) == (120, 90) and (out["width"], out["height"]) <= (120, 90) and out["mean"] >= gray["mean"] - 1e-6
             assert by[f"s{k}.pgm", "enhanced"]["width"] == int(out["width"] * 1.5)
+
+
+def test_pictures_are_spread_and_read_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from scanloom.plans import files
+
+    parts = files.QUERIES["image_steps"](spark, sf).select(F.spark_partition_id().alias("p"), "path")
+    assert parts.select("p").distinct().count() > 1 and parts.groupBy("path").agg(F.countDistinct("p").alias("n")).filter("n > 1").count() == 0
