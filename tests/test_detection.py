@@ -102,3 +102,9 @@ def test_organisations_of_documents_come_from_names(spark):
     got = D.rule_documents(E.with_organisations(pages, E.trie(names))).select("file_name", "ground_truth.gt_parse.entities.organizations").collect()
     assert {r[0]: r[1] for r in got} == {"a": ["Muster Werke AG", "Werke"], "c": []}
     assert E.matches(pages.withColumnRenamed("path", "doc_id"), E.trie(names.limit(0))).count() == 0
+
+
+def test_invoices_are_spread_over_tasks(spark, sf):
+    from scanloom.sources import views as V
+
+    assert V.view(spark, sf, V.INVOICES).select(F.spark_partition_id().alias("p")).distinct().count() > 1
