@@ -34,11 +34,21 @@ def _last(field: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.transform("ps", lambda p: p[field]), lambda x: x != ""), F.lit(-1)), F.lit(""))
 
 
-def regex_documents(pages: DataFrame, literal: bool = False) -> DataFrame:
+def regex_documents(pages: DataFrame, literal: bool = False, entities: bool = True) -> DataFrame:
     """Regex profile, one record per document: sets over pages, the last sender and receiver, all pages counted, failed ones
-    without part. literal leaves out dates and parties, as the first version did."""
-    t = T.clean_unicode(F.col("text"))
-    found = _keyed(pages).select(*_KEY, "page", "file_name", "document_type", "lang", F.col("text").alias("text"), T.dates_regex(t, literal).alias("dates"), T.amounts(t).alias("amounts"), T.document_numbers_regex(t).alias("ids"), T.emails_regex(t).alias("emails"), T.phones_regex(t).alias("phones"), T.parties(t, literal).alias("parties"))
+    without part. literal leaves out dates and parties, as the first version did. Without entities, which are most of the
+    work, nothing is looked for in the texts: for callers that read none of what would be found."""
+    if not entities:
+        none = F.array().cast("array<string>")
+        found = _keyed(pages).select(*_KEY, "page", "file_name", "document_type", "lang", "text", *[none.alias(k) for k in ("dates", "amounts", "ids", "emails", "phones")], T.parties(F.col("text"), literal=True).alias("parties"))
+        return _regex_records(found)
+    # cleaned once and not in each expression that reads it
+    t = F.col("_clean")
+    found = _keyed(pages).withColumn("_clean", T.clean_unicode(F.col("text"))).select(*_KEY, "page", "file_name", "document_type", "lang", "text", T.dates_regex(t, literal).alias("dates"), T.amounts(t).alias("amounts"), T.document_numbers_regex(t).alias("ids"), T.emails_regex(t).alias("emails"), T.phones_regex(t).alias("phones"), T.parties(t, literal).alias("parties"))
+    return _regex_records(found)
+
+
+def _regex_records(found: DataFrame) -> DataFrame:
     page = F.struct("page", "text", "lang", "dates", "amounts", "ids", "emails", "phones", F.col("parties.sender").alias("sender"), F.col("parties.receiver").alias("receiver"))
     docs = found.groupBy(*_KEY).agg(F.min("file_name").alias("file_name"), F.min("document_type").alias("document_type"), F.count(F.lit(1)).cast("int").alias("pages"), F.array_sort(F.collect_list(page)).alias("ps"))
     docs = docs.withColumn("ps", F.filter("ps", lambda p: p["text"].isNotNull())).withColumn("raw", _texts())

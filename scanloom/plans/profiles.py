@@ -216,7 +216,7 @@ QUERIES = {
     "regex_documents": _regex_documents,
     "rule_documents": _rule_documents,
     "summary_global": _summary,
-    "summary_by_language": lambda spark, sf: D.counts(D.report(D.regex_documents(_pages(spark, sf))), "language"),
+    "summary_by_language": lambda spark, sf: D.counts(D.report(D.regex_documents(_pages(spark, sf), entities=False)), "language"),
     "entity_box_inner": _links("inner"),
     "entity_box_left": _links("left"),
     "ocr_variant_matrix": _variants,

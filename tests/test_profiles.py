@@ -218,3 +218,20 @@ def test_only_parts_that_open_values_are_candidates(spark):
     assert found(opened("Rec")) == [(i, x, "Rec") for i in (1, 2) for x in ("Rechnung", "Rechnungsnummer")]
     assert [x for x in found(opened("", "ab")) if x[0] == 1] == [(1, "", ""), (1, "Rechnung", ""), (1, "Rechnungsnummer", ""), (1, "ab", ""), (1, "ab", "ab"), (1, "unterschreiben", "")]
     assert found(opened("Rec").limit(0)) == []
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_languages_are_counted_without_looking_for_entities(spark, sf):
+    from scanloom.plans import profiles
+
+    assert "regexp_extract_all" not in _optimized(profiles.QUERIES["summary_by_language"](spark, sf))
+
+
+def test_pages_are_cleaned_once(spark):
+    from scanloom.plans import documents
+
+    pages = spark.createDataFrame([("/in/a/b_page1.jpg", "Rechnung Nr. 1", "de", True)], "path string, text string, lang string, has_boxes boolean")
+    assert _optimized(documents.regex_documents(pages)).count(r"[\x00-\x08") == 1
