@@ -47,8 +47,14 @@ def lines(words: DataFrame) -> DataFrame:
     above it. The anchor is the line's first word, so this is a fold over an image's words, not a window of gaps: one
     exchange by image, and whole rows stream through Arrow an image at a time."""
 
+    return _streamed(words, _numbered, StructType([*words.schema.fields, StructField("line", LongType())]), "y", "word_idx")
+
+
+def _streamed(rows: DataFrame, whole: Callable[[pa.Table], pa.RecordBatch], schema: StructType, *order: str) -> DataFrame:
+    """whole() of tables of whole images' rows, sorted by image and order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the words so far of the image that the last batch ended in
+        held: list[pa.RecordBatch] = []  # the rows so far of the image that the last batch ended in
         for b in batches:
             if not b.num_rows:
                 continue
@@ -57,12 +63,29 @@ def lines(words: DataFrame) -> DataFrame:
             cut = int(np.flatnonzero(image != image[-1])[-1]) + 1 if (image != image[-1]).any() else 0
             held = t.slice(cut).to_batches()
             if cut:
-                yield _numbered(t.slice(0, cut))
+                yield whole(t.slice(0, cut))
         if held:
-            yield _numbered(pa.Table.from_batches(held))
+            yield whole(pa.Table.from_batches(held))
 
-    dealt = words.repartition("image_id").sortWithinPartitions("image_id", "y", "word_idx")
-    return dealt.mapInArrow(run, StructType([*words.schema.fields, StructField("line", LongType())]))
+    return rows.repartition("image_id").sortWithinPartitions("image_id", *order).mapInArrow(run, schema)
+
+
+def _lined_heights(t: pa.Table) -> pa.RecordBatch:
+    """The line of each height y of whole images, whose words there have the sum h of n sides."""
+    t = t.combine_chunks()
+    y, h, n = (t[c].fill_null(0).to_numpy().astype(np.int64) for c in ("y", "h", "n"))
+    image = t["image_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    edges = [0, *(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), len(y)]
+    line = np.zeros(len(y), np.int64)
+    for a, z in pairwise(edges):
+        sides = int(n[a:z].sum())
+        # heights are whole numbers, so the threshold may be cut down to one; without sides it is the largest
+        limit, at, k = int(np.floor(min(0.7 * int(h[a:z].sum()) / sides, 15.0))) if sides else 15, a, 0
+        while at < z:
+            to = a + int(np.searchsorted(y[a:z], y[at] + max(limit, 0), side="right"))
+            line[at:to] = k
+            at, k = to, k + 1
+    return pa.RecordBatch.from_arrays([t["image_id"].chunk(0), t["y"].chunk(0), pa.array(line)], names=["image_id", "y", "line"])
 
 
 def lines_by_height(words: DataFrame) -> DataFrame:
@@ -71,12 +94,8 @@ def lines_by_height(words: DataFrame) -> DataFrame:
     and heights are summed up in tasks before they are exchanged, and the words of one page are dealt by their height. Words
     without a height have no line (null); null images are one page; repeated words stay; an empty table stays empty."""
     heights = words.filter("y IS NOT NULL").groupBy("image_id", "y").agg(F.sum("h").alias("h"), F.count("h").alias("n"))
-    pages = heights.groupBy("image_id").agg(F.array_sort(F.collect_list("y")).alias("ys"), F.least(0.7 * F.sum("h") / F.sum("n"), F.lit(15.0)).alias("limit"))
-    first = F.transform(F.slice("ys", 1, 1), lambda y: y)
-    anchors = F.aggregate("ys", first, lambda a, y: F.when(y - F.element_at(a, -1) > F.col("limit"), F.concat(a, F.array(y))).otherwise(a))
-    pages = pages.withColumn("anchors", anchors)
-    lined = pages.select("image_id", F.explode(F.transform("ys", lambda y: F.struct(y.alias("y"), (F.size(F.filter("anchors", lambda a: a <= y)) - 1).cast("long").alias("line")))).alias("s"))
-    lined = lined.select(F.col("image_id").alias("_image"), F.col("s.y").alias("_y"), "s.line")
+    lined = _streamed(heights, _lined_heights, StructType([heights.schema["image_id"], heights.schema["y"], StructField("line", LongType())]), "y")
+    lined = lined.select(F.col("image_id").alias("_image"), F.col("y").alias("_y"), "line")
     return words.join(lined, F.col("image_id").eqNullSafe(F.col("_image")) & (F.col("y") == F.col("_y")), "left").drop("_image", "_y")
 
 

@@ -142,3 +142,12 @@ def test_many_pages_are_cut_at_once_as_each_is_alone(seed):
     columns = [np.array(c, np.int64) for c in zip(*[(k, *w) for k, p in enumerate(pages) for w in p], strict=True)]
     want = [b for p in pages for b in X.xy_cut(*map(np.array, zip(*p, strict=True))).tolist()]
     assert X.xy_cuts(*columns).tolist() == want and len(X.xy_cuts(*[c[:0] for c in columns])) == 0
+
+
+def test_heights_are_folded_without_copying_lists(spark):
+    rows = [(1, k, f"w{k}", 0, 2 * k, 9, None if k % 2 else 10, 90.0) for k in range(3000)] + [(2, k, "w", 0, y, 9, None, 90.0) for k, y in enumerate((0, 15, 16, 31, 32))]
+    df = spark.createDataFrame(rows, "image_id long, word_idx long, text string, x long, y long, w long, h long, conf double")
+    out = L.lines_by_height(df)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["image_id"], r["word_idx"]): r["line"] for r in out.collect()}
+    assert all(got[1, k] == k // 4 for k in range(3000)) and [got[2, k] for k in range(5)] == [0, 0, 1, 1, 2]
