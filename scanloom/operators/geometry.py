@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.files import kept, workspace
@@ -112,19 +114,116 @@ def numbered_in(df: DataFrame, by: str, order: list[str], name: str, uri: str) -
     return joined.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_ahead")).alias(name))
 
 
-def merge_pages(boxes: DataFrame, fold: Callable[[list[tuple]], Iterator[tuple[tuple, list]]]) -> DataFrame:
+#: Strips of more boxes, and pieces of strips of more, are taken apart over tasks and not folded where they lie.
+STRIP, PIECE = 100_000, 200
+_KEY = ["image_id", "strip", "salt"]
+_FIELDS = [*SIDES, "field", "value", "confidence"]
+_MERGED = "image_id long, seed_y long, seed long, x1 long, y1 long, x2 long, y2 long, field string, value string, confidence long"
+
+
+def in_strips(boxes: DataFrame, uri: str, most: int = STRIP) -> DataFrame:
+    """boxes with strip and salt: no box crosses the border of two strips of a page, so boxes of different strips never
+    merge. What is folded over is a table of the cells of heights that boxes begin in, in runs of 1024, not the boxes. Those
+    of a strip of more than `most` have none (null) and are dealt by salt; so are boxes that meet nothing: those with a null
+    side or sides the wrong way round, whose salt is below zero."""
+    size = max(1, cell_size(boxes) // 16)
+    fine = F.coalesce((F.col("x2") >= F.col("x1")) & (F.col("y2") >= F.col("y1")), F.lit(False))
+    cell = F.floor(F.col("y1") / size)
+    cells = boxes.filter(fine & F.col("image_id").isNotNull()).groupBy("image_id", cell.alias("cell")).agg(F.max(F.ceil(F.col("y2") / size)).alias("end"), F.count(F.lit(1)).alias("n"))
+    cells = kept(cells.withColumn("run", F.floor(F.col("cell") / 1024)), f"{uri}/cells")
+    earlier = W.partitionBy("image_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    ends = cells.groupBy("image_id", "run").agg(F.max("end").alias("end")).select("image_id", "run", F.max("end").over(earlier).alias("before"))
+    own = W.partitionBy("image_id", "run").orderBy("cell")
+    upto = F.greatest("before", F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1)))
+    begun = cells.join(ends, ["image_id", "run"]).withColumn("upto", upto).withColumn("begin", F.when(F.coalesce(F.col("upto") <= F.col("cell"), F.lit(True)), F.col("cell")))
+    begun = kept(begun.select("image_id", "run", "cell", "n", F.max("begin").over(own).alias("begin")), f"{uri}/begun")
+    last = begun.groupBy("image_id", "run").agg(F.max("begin").alias("begin")).select("image_id", "run", F.max("begin").over(earlier).alias("earlier"))
+    strips = begun.join(last, ["image_id", "run"]).select("image_id", "cell", "n", F.coalesce("begin", "earlier").alias("strip"))
+    large = strips.groupBy("image_id", "strip").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("image_id", "strip", F.lit(True).alias("large"))
+    strips = strips.join(large, ["image_id", "strip"], "left").select("image_id", "cell", F.when(F.col("large").isNull(), F.col("strip")).alias("strip"))
+    at = boxes.filter("image_id IS NOT NULL AND ord IS NOT NULL").withColumn("cell", F.when(fine, cell)).withColumn("_deal", F.pmod(F.xxhash64("ord"), F.lit(1024)))
+    placed = at.filter(F.col("cell").isNotNull()).join(strips, ["image_id", "cell"]).withColumn("salt", F.when(F.col("strip").isNull(), F.col("_deal")).otherwise(0))
+    alone = at.filter(F.col("cell").isNull()).withColumn("strip", F.lit(None).cast("long")).withColumn("salt", -1 - F.col("_deal"))
+    return placed.unionByName(alone).drop("cell", "_deal")
+
+
+def _pieces(key: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of boxes by key and x1, and the number of each one's piece in it: a piece ends where no box goes on."""
+    by = np.lexsort((x1, key))
+    key, x1, x2 = key[by], x1[by], x2[by]
+    away = key * (int(x2.max()) - int(x2.min()) + 1)  # keeps a strip's ends above those of the ones before
+    ends = np.maximum.accumulate(x2 + away) - away
+    new = np.r_[True, (key[1:] != key[:-1]) | (x1[1:] >= ends[:-1])]
+    return by, np.cumsum(new) - 1
+
+
+def _folded(t: pa.Table, fold: Callable[[list[tuple]], Iterator[tuple[tuple, list]]], most: int) -> pa.RecordBatch:
+    """Whole strips with their boxes merged (open is false), and as they are those of large strips and pieces (open)."""
+    cols = {c: t[c].to_pylist() for c in (*_FIELDS, "image_id", "ord")}
+    salt, begun = t["salt"].to_numpy(), ~t["strip"].is_null().to_numpy()
+    out = [(k, None, bool(salt[k] >= 0)) for k in np.flatnonzero(~begun).tolist()]
+    if begun.any():
+        rows = np.flatnonzero(begun)
+        image, strip, x1, x2, y1, ord_ = (t[c].to_numpy()[rows].astype(np.int64) for c in ("image_id", "strip", "x1", "x2", "y1", "ord"))
+        key = np.cumsum(np.r_[0, (image[1:] != image[:-1]) | (strip[1:] != strip[:-1])])
+        by, piece = _pieces(key, x1, x2)
+        inner = np.lexsort((ord_[by], y1[by], piece))
+        rows, size = rows[by][inner].tolist(), np.bincount(piece)
+        values, at = list(zip(*[cols[c] for c in (*_FIELDS, "ord")], strict=True)), 0
+        for n in size.tolist():
+            own, at = rows[at : at + n], at + n
+            if n == 1 or n > most:
+                out += [(k, None, n > 1) for k in own]
+            else:
+                first = {values[k][7]: k for k in own}
+                out += [(first[r[7]], m, False) for r, m in fold([values[k] for k in own])]
+    at = [k for k, _, _ in out]
+    merged = [m if m else [cols[c][k] for c in _FIELDS] for k, m, _ in out]
+    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+    sides = [pa.array(list(c), ty) for c, ty in zip(zip(*merged, strict=True), types, strict=True)]
+    ids = [pa.array([cols[c][k] for k in at], pa.int64()) for c in ("image_id", "y1", "ord")]
+    return pa.RecordBatch.from_arrays([*ids, *sides, pa.array([o for _, _, o in out])], names=["image_id", "seed_y", "seed", *_FIELDS, "open"])
+
+
+def merge_pages(boxes: DataFrame, fold: Callable[[list[tuple]], Iterator[tuple[tuple, list]]], strip: int = STRIP, piece: int = PIECE) -> DataFrame:
     """Each image's boxes after a greedy merge in order of (y1, ord), as `fold` does it for rows (x1, y1, x2, y2, field, value,
-    confidence, ord): it gives for each result its first row and what became of it. An image is folded part by part, a part
-    to a task, and the results numbered in the order of their first rows, as one fold of the whole image would."""
+    confidence, ord): it gives for each result its first row and what became of it. An image is cut into strips that no box
+    leaves and these into pieces, which are folded where they lie; strips and pieces of more than `strip` and `piece` boxes
+    are taken apart() and folded part by part. The results are numbered in the order of their first rows, as one fold of the
+    whole image would."""
     uri = workspace(boxes.sparkSession)
-    fields = [*SIDES, "field", "value", "confidence"]
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the boxes so far of the strip that the last batch ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            keys = [t[c].fill_null(-(2**62)).to_numpy() for c in _KEY]
+            other = np.logical_or.reduce([k != k[-1] for k in keys])
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            held = t.slice(cut).to_batches()
+            if cut:
+                yield _folded(t.slice(0, cut), fold, piece)
+        if held:
+            yield _folded(pa.Table.from_batches(held), fold, piece)
+
+    placed = in_strips(boxes.select("image_id", "ord", *_FIELDS), uri, strip).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    rows = kept(placed.mapInArrow(strips, f"{_MERGED}, open boolean"), f"{uri}/strips")
+    done, left = rows.filter("NOT open").drop("open"), rows.filter("open").select("image_id", F.col("seed").alias("ord"), *_FIELDS)
+    if left.take(1):
+        done = kept(done.unionByName(_merge_parts(left, fold, uri)), f"{uri}/folded")
+    return numbered_in(done, "image_id", ["seed_y", "seed"], "ord", f"{uri}/merged").select("image_id", "ord", *_FIELDS)
+
+
+def _merge_parts(boxes: DataFrame, fold: Callable[[list[tuple]], Iterator[tuple[tuple, list]]], uri: str) -> DataFrame:
+    """The merged boxes with their first rows' y1 and ord, a part to a task."""
     parts = apart(boxes, f"{uri}/apart").select("image_id", "ord", "part")
-    per = boxes.join(parts, ["image_id", "ord"]).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("y1", "ord", F.struct(*fields).alias("b")))).alias("boxes"))
+    per = boxes.join(parts, ["image_id", "ord"]).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("y1", "ord", F.struct(*_FIELDS).alias("b")))).alias("boxes"))
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [[p["image_id"], first[1], first[7], *r] for p, bs in zip(f["part"], f["boxes"], strict=True) for first, r in fold([(*[x["b"][c] for c in fields], x["ord"]) for x in bs])]
-            yield pd.DataFrame(out, columns=["image_id", "seed_y", "seed", *fields])
+            out = [[p["image_id"], first[1], first[7], *r] for p, bs in zip(f["part"], f["boxes"], strict=True) for first, r in fold([(*[x["b"][c] for c in _FIELDS], x["ord"]) for x in bs])]
+            yield pd.DataFrame(out, columns=["image_id", "seed_y", "seed", *_FIELDS])
 
-    rows = per.mapInPandas(merged, "image_id long, seed_y long, seed long, x1 long, y1 long, x2 long, y2 long, field string, value string, confidence long")
-    return numbered_in(rows, "image_id", ["seed_y", "seed"], "ord", f"{uri}/merged").select("image_id", "ord", *fields)
+    return per.mapInPandas(merged, _MERGED)

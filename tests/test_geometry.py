@@ -62,6 +62,33 @@ def test_large_pages_are_merged_as_one_fold(spark, rows):
     assert {x["image_id"]: x["count"] for x in parts}[1] > 20  # the page of many boxes comes apart
 
 
+@pytest.mark.parametrize("strip,piece", [(30, 200), (100_000, 3), (5, 2)])
+def test_strips_and_pieces_of_any_size_give_one_fold(spark, rows, strip, piece):
+    r = random.Random(8)
+    far = [(6, *x[1:]) for k in range(20) for x in [(6, 10 * k + j, 300 * (k % 4) + r.randrange(90), 400 * (k // 4) + r.randrange(90), 0, 0, r.choice(["Unknown", "Date"]), f"v{j}", j) for j in range(4)]]
+    own = rows + [(*x[:4], x[2] + 60 + r.randrange(60), x[3] + 60 + r.randrange(60), *x[6:]) for x in far]
+    df = spark.createDataFrame(own, DDL).repartition(4)
+    got = sorted(tuple(x) for x in B.merge_pages(df, L.merges, strip, piece).collect())
+    want = []
+    for image in {x[0] for x in own}:
+        page = sorted((x for x in own if x[0] == image), key=lambda x: x[1])
+        want += [(image, k, *m) for k, m in enumerate(L.merge_rows([tuple(x[2:]) for x in page]))]
+    assert got == sorted(want)
+
+
+def test_pages_of_far_boxes_need_no_rounds_of_joins(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("taken apart by joins")
+
+    monkeypatch.setattr(B, "apart", none)
+    box = lambda k, j: (1, 10 * k + j, 400 * (k % 5) + 9 * j, 200 * (k // 5) + 9 * j, 400 * (k % 5) + 99, 200 * (k // 5) + 99, "Date", f"v{j}", 1)
+    odd = [(1, 9001, None, 0, 5, 5, "Date", "null", 1), (1, 9002, 50, 50, 10, 10, "Date", "turned", 1), (None, 1, 0, 0, 9, 9, "Date", "no page", 1)]
+    got = B.merge_pages(spark.createDataFrame([box(k, j) for k in range(25) for j in range(3)] + odd, DDL), L.merges).collect()
+    assert Counter(x["value"] for x in got) == {"v0 v1 v2": 25, "null": 1, "turned": 1}
+    assert sorted(x["ord"] for x in got) == list(range(27))
+    assert B.merge_pages(spark.createDataFrame([], DDL), L.merges).count() == 0
+
+
 def test_lines_by_height_are_those_of_the_fold(spark):
     r = random.Random(12)
     rows = [(image, k, f"w{k}", r.randrange(2000), r.randrange(tall), 9, r.randrange(1, 30), 90.0) for image, n, tall in ((1, 4000, 3000), (2, 50, 40), (3, 1, 1), (None, 30, 400)) for k in range(n)]
