@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.records import upsert
-from .files import exists
+from .files import exists, kept, workspace
 
 #: The folders' key; records have no such column.
 BUCKET = "key_bucket"
@@ -40,8 +40,12 @@ def upsert_buckets(new: DataFrame, key: str, path: str, ddl: str, n: int = 64) -
     spark = new.sparkSession
     if BUCKET in new.columns:
         raise ValueError(f"records have a column {BUCKET}")
+    names = spark.createDataFrame([], ddl).columns
+    there = exists(spark, path)
+    # what goes over a store is kept as a table: computed once, and of a size that Spark knows, so that a few new keys are
+    # broadcast and the store's rows need not be exchanged to find those they replace
+    new = kept(new.select(*names), f"{workspace(spark)}/new") if there else new.select(*names)
     touched = sorted(r[0] for r in new.select(bucket(key, n).alias("b")).distinct().collect())
     if touched:
-        old = read_buckets(spark, path, ddl, touched)
-        _write(upsert(old, new.select(*old.columns), key), key, path, n)
+        _write(upsert(read_buckets(spark, path, ddl, touched), new, key) if there else new, key, path, n)
     return touched

@@ -41,3 +41,19 @@ def test_a_failed_upsert_leaves_the_old_state(spark, tmp_path):
     assert _files(at) == before and {r["value"] for r in B.read_buckets(spark, at, DDL).collect()} == {"old"}
     with pytest.raises(ValueError):
         B.upsert_buckets(bad.withColumn(B.BUCKET, F.lit(1)).drop("value").withColumn("value", F.lit("x")), "image_id", at, DDL + f", {B.BUCKET} INT", 4)
+
+
+def test_what_goes_over_a_store_is_computed_once(spark, tmp_path):
+    ddl, at = "k long, v string", str(tmp_path / "store")
+    B.upsert_buckets(spark.createDataFrame([(k, "old") for k in range(40)], ddl), "k", at, ddl, 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    new = spark.createDataFrame([(k, "new") for k in range(35, 45)], ddl).mapInPandas(count, ddl)
+    B.upsert_buckets(new, "k", at, ddl, 4)
+    assert seen.value == 10
+    assert sorted(map(tuple, B.read_buckets(spark, at, ddl).collect())) == [(k, "old" if k < 35 else "new") for k in range(45)]
