@@ -37,6 +37,17 @@ def _node(words: Column | str, depth: Column) -> Column:
     return F.xxhash64(F.slice(words, F.lit(1), depth))
 
 
+#: First tokens are told apart by their hash in so many slots: what is broadcast has no more rows, whatever the table.
+SLOTS = 1 << 18
+
+
+def opening(at: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The starts whose first token has the slot of a name's. The others open no name, and a word that most texts have and no
+    name begins with would bring its starts into one task of the join. What passes by a shared slot meets no node later on."""
+    slots = nodes.filter("depth = 1").select(F.pmod("node", F.lit(SLOTS)).alias("_slot")).distinct()
+    return at.join(F.broadcast(slots), F.pmod(_node("ahead", F.lit(1)), F.lit(SLOTS)) == F.col("_slot"), "left_semi")
+
+
 def matches(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
     """A row per match: id_col, pos (of its first token, from 0), n (tokens) and name. Matches do not overlap: of those that
     start first the longest stands, and the search goes on behind it. Null and empty texts have none; rows of one id are
@@ -44,7 +55,7 @@ def matches(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     most = nodes.agg(F.max("depth")).first()[0] or 0  # the longest name's tokens
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), tokens(F.col(text_col), fold).alias("ws"))
     at = rows.select("id", "mark", F.posexplode(F.expr(f"transform(ws, (w, i) -> slice(ws, i + 1, {max(most, 1)}))")).alias("pos", "ahead"))
-    at = at.withColumn("best", F.lit(None).cast("struct<n: int, name: string>")).withColumn("alive", F.lit(True))
+    at = opening(at, nodes).withColumn("best", F.lit(None).cast("struct<n: int, name: string>")).withColumn("alive", F.lit(True))
     for depth in range(1, most + 1):
         here = nodes.filter(F.col("depth") == depth).select(F.col("node").alias("_node"), "goes_on", "ends")
         # a start that has ended has no node: a number of its own keeps such rows from meeting in one task

@@ -108,3 +108,11 @@ def test_invoices_are_spread_over_tasks(spark, sf):
     from scanloom.sources import views as V
 
     assert V.view(spark, sf, V.INVOICES).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_only_starts_that_open_a_name_are_joined(spark):
+    nodes = E.trie(spark.createDataFrame([("Acme Bau",), ("Bonn",)], "name string"))
+    at = spark.createDataFrame([(k, w) for k, w in enumerate([["lieferung", "von"], ["acme", "x"], ["von", "acme"], ["bonn"], ["bau"]])], "pos long, ahead array<string>")
+    assert sorted(x["pos"] for x in E.opening(at, nodes).collect()) == [1, 3]
+    texts = spark.createDataFrame([(1, "Lieferung von ACME Bau von Bonn")], "doc_id long, text string")
+    assert sorted((x["pos"], x["name"]) for x in E.matches(texts, nodes).collect()) == [(2, "Acme Bau"), (5, "Bonn")]
