@@ -235,3 +235,10 @@ def test_pages_are_cleaned_once(spark):
 
     pages = spark.createDataFrame([("/in/a/b_page1.jpg", "Rechnung Nr. 1", "de", True)], "path string, text string, lang string, has_boxes boolean")
     assert _optimized(documents.regex_documents(pages)).count(r"[\x00-\x08") == 1
+
+
+def test_images_take_no_exchange_beside_that_of_their_boxes(spark, sf):
+    from scanloom.plans import files as Q
+
+    plan = Q._images(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
