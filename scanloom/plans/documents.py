@@ -59,31 +59,35 @@ def _regex_records(found: DataFrame) -> DataFrame:
     return docs.select("file_name", "pages", truth.alias("ground_truth"))
 
 
-def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1) -> DataFrame:
+def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1, entities: bool = True) -> DataFrame:
     """Rule profile per page: entities with their limits, and the content block; a failed page keeps a null text. Organisations
-    are filtered from the pages' `organizations`, which an entity model gives (ARRAY<STRING>); without that column there are none."""
-    t = F.col("t")
+    are filtered from the pages' `organizations`, which an entity model gives (ARRAY<STRING>); without that column there are none.
+    Without entities no dates, ids, phones, e-mails or recipients are looked for, which are most of the work: for callers that
+    read organisations and tax offices alone."""
+    t, none = F.col("t"), F.array().cast("array<string>")
     found = F.coalesce(F.col("organizations"), F.array().cast("array<string>")) if "organizations" in pages.columns else F.array().cast("array<string>")
     ok = _keyed(pages).withColumn("t", T.clean_spaces(F.col("text")))
-    orgs = ok.withColumn("dates", T.dates_rules(t)).withColumn("document_ids", T.document_ids(t)).withColumn("phones", T.phones_rules(t)).withColumn("emails", T.emails_rules(t)).withColumn("offices", T.tax_organisations(t)).withColumn("found", found)
+    seek = lambda c, default: c if entities else default
+    orgs = ok.withColumn("dates", seek(T.dates_rules(t), none)).withColumn("document_ids", seek(T.document_ids(t), none)).withColumn("phones", seek(T.phones_rules(t), none)).withColumn("emails", seek(T.emails_rules(t), none)).withColumn("offices", T.tax_organisations(t)).withColumn("found", found)
     header = F.struct(T.first(F.col("offices")).alias("tax_office"), T.first(F.col("dates")).alias("date"))
-    recipient = F.struct(T.recipient_name(t).alias("name"), T.recipient_address(t).alias("address"))
+    recipient = F.struct(seek(T.recipient_name(t), F.lit("")).alias("name"), seek(T.recipient_address(t), F.lit(None).cast("string")).alias("address"))
     some = lambda s: F.when(F.col("has_boxes"), s)
     contact = F.struct(F.slice("phones", 1, most_phones).alias("phones"), F.slice("emails", 1, most_emails).alias("emails"))
     content = F.struct(some(header).alias("header"), some(recipient).alias("recipient"), some(T.tax_numbers(F.col("document_ids"))).alias("tax_info"), contact.alias("contact"))
     return orgs.select(*_KEY, "page", "file_name", "document_type", F.col("t").alias("text"), "dates", "document_ids", "phones", "emails", T.organisations(F.col("found")).alias("organizations"), T.language_or_guess(F.col("lang"), t).alias("lang"), content.alias("content"), "has_boxes")
 
 
-def rule_documents(pages: DataFrame) -> DataFrame:
+def rule_documents(pages: DataFrame, entities: bool = True) -> DataFrame:
     """Rule profile, one record per document with a page that did not fail: latest five dates, longest three ids, first
-    phones, e-mails and organisations; content and language of the first page. pages counts all of its pages."""
+    phones, e-mails and organisations; content and language of the first page. pages counts all of its pages. Without
+    entities see rule_pages()."""
     parts = F.struct("page", "text", "dates", "document_ids", "phones", "emails", "organizations", "lang", "content", "has_boxes")
     listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), parts))).alias("ps")
-    docs = rule_pages(pages).groupBy(*_KEY).agg(F.min("file_name").alias("file_name"), F.min("document_type").alias("document_type"), F.count(F.lit(1)).cast("int").alias("pages"), listed).filter(F.size("ps") > 0)
+    docs = rule_pages(pages, entities=entities).groupBy(*_KEY).agg(F.min("file_name").alias("file_name"), F.min("document_type").alias("document_type"), F.count(F.lit(1)).cast("int").alias("pages"), listed).filter(F.size("ps") > 0)
     one = F.get("ps", F.lit(0))
-    entities = F.struct(T.latest(_union("dates")).alias("dates"), T.longest(_union("document_ids")).alias("document_ids"), F.slice(_union("phones"), 1, 3).alias("phones"), F.slice(_union("emails"), 1, 2).alias("emails"), F.slice(_union("organizations"), 1, 3).alias("organizations"), F.coalesce(one["lang"], F.lit("nl")).alias("language"))
+    found = F.struct(T.latest(_union("dates")).alias("dates"), T.longest(_union("document_ids")).alias("document_ids"), F.slice(_union("phones"), 1, 3).alias("phones"), F.slice(_union("emails"), 1, 2).alias("emails"), F.slice(_union("organizations"), 1, 3).alias("organizations"), F.coalesce(one["lang"], F.lit("nl")).alias("language"))
     meta = F.struct("document_type", F.lit(None).cast("string").alias("processing_time"), F.exists("ps", lambda p: F.coalesce(p["has_boxes"], F.lit(False))).alias("bboxes_available"))
-    truth = F.struct(F.struct(one["content"].alias("content"), entities.alias("entities")).alias("gt_parse"), _texts().alias("raw_text"), meta.alias("metadata"))
+    truth = F.struct(F.struct(one["content"].alias("content"), found.alias("entities")).alias("gt_parse"), _texts().alias("raw_text"), meta.alias("metadata"))
     return docs.select("file_name", "pages", truth.alias("ground_truth"))
 
 

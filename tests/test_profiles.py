@@ -237,6 +237,16 @@ def test_pages_are_cleaned_once(spark):
     assert _optimized(documents.regex_documents(pages)).count(r"[\x00-\x08") == 1
 
 
+def test_organisations_are_found_without_looking_for_entities(spark):
+    rows = [("/in/a/x.jpg", "Finanzamt Bonn\nAcme Bau 01.02.2024 Hauptstr 12, 10115 Berlin", "de", True, ["Acme Bau"]), ("/in/a/y.jpg", None, None, True, None)]
+    pages = spark.createDataFrame(rows, "path string, text string, lang string, has_boxes boolean, organizations array<string>")
+    g = F.col("ground_truth.gt_parse")
+    read = lambda docs: docs.select("file_name", "pages", g["entities"]["organizations"].alias("o"), g["content"]["header"]["tax_office"].alias("t"), "ground_truth.raw_text")
+    few = D.rule_documents(pages, entities=False)
+    assert read(few).collect() == read(D.rule_documents(pages)).collect()
+    assert few.select(g["entities"]["dates"]).first()[0] == [] and P.RECIPIENT not in _optimized(few)
+
+
 def test_images_take_no_exchange_beside_that_of_their_boxes(spark, sf):
     from scanloom.plans import files as Q
 
