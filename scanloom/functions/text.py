@@ -4,6 +4,7 @@ order of results was open, it is that of first occurrence."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -22,6 +23,18 @@ def all_of(text: Column, patterns: list[str], flags: str = ANY) -> Column:
     return F.concat(*[hits(text, p, flags) for p in patterns])
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), which may name its argument more than once: the value is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def hoisted(patterns: list[str], opens: str = "") -> str:
+    """P.either() of patterns that all begin at a word's edge, which is looked for once at a place and not for each of them; opens
+    is a look-ahead that every match passes and that most places fail faster than the edge."""
+    assert all(p.startswith(r"\b") for p in patterns)
+    return rf"{opens}\b(?:{P.either([p[2:] for p in patterns])})"
+
+
 def first(items: Column, default: str | None = "") -> Column:
     return F.coalesce(F.get(items, F.lit(0)), F.lit(default))
 
@@ -47,8 +60,8 @@ def clean_unicode(text: Column) -> Column:
 
 def clean_spaces(text: Column) -> Column:
     """Quotes, hard spaces, literal backslash-n and one frequent misreading repaired; white space runs as one space."""
-    t = F.translate(text, P.QUOTES_FROM + " ", P.QUOTES_TO + " ")
-    for a, b in [("\\n", " "), (" voop ", " voor "), *P.LIGATURES]:
+    t = text  # signs that are rare: looking for each is cheaper than mapping every character
+    for a, b in [*zip(P.QUOTES_FROM + " ", P.QUOTES_TO + " ", strict=True), ("\\n", " "), (" voop ", " voor "), *P.LIGATURES]:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -102,8 +115,18 @@ def dates_regex(text: Column, literal: bool = False) -> Column:
 
 def dates_rules(text: Column, most: int = 10) -> Column:
     """Rule profile: date entities, then dates with a year of 19xx or 20xx; the first distinct ones."""
-    dated = F.filter(all_of(text, P.RULE_DATES), lambda x: x.rlike(r"(19|20)\d{2}"))
-    return F.slice(F.array_distinct(F.concat(hits(text, P.either(P.RULE_DATE_ENTITIES)), dated)), 1, most)
+    # the first of the dates is also an entity: where no entity names a month, its hits are the entities
+    by_month, by_number = P.RULE_DATE_ENTITIES
+    plain, written, month_first = P.RULE_DATES
+    assert plain == by_number
+
+    def both(found: Column) -> Column:
+        none = F.array().cast("array<string>")
+        again = F.when(F.exists(found, lambda x: x.rlike(r"\p{L}")), hits(text, hoisted([plain], r"(?=\d)"))).otherwise(none)
+        dated = F.filter(F.concat(again, hits(text, hoisted([written], r"(?=\d)")), hits(text, month_first)), lambda x: x.rlike(r"(19|20)\d{2}"))
+        return F.slice(F.array_distinct(F.concat(found, dated)), 1, most)
+
+    return _let(hits(text, hoisted([by_month, by_number], r"(?=\d)")), both)
 
 
 def parse_date(text: Column) -> Column:
@@ -136,7 +159,7 @@ def document_numbers_regex(text: Column) -> Column:
 def document_ids(text: Column, most: int = 3) -> Column:
     """Rule profile: ids in order of place, then references; comma read as point, other signs dropped, of 8 or more
     characters; the first distinct ones."""
-    found = F.concat(hits(text, P.either(P.RULE_IDS), EXACT), hits(text, P.RULE_REFERENCE))
+    found = F.concat(hits(text, hoisted(P.RULE_IDS), EXACT), hits(text, P.RULE_REFERENCE))
     clean = F.transform(found, lambda x: F.regexp_replace(F.replace(x, F.lit(","), F.lit(".")), r"(?U)[^\w./-]", ""))
     return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) >= 8)), 1, most)
 
@@ -170,7 +193,9 @@ def emails_regex(text: Column) -> Column:
 
 def emails_rules(text: Column, most: int = 2) -> Column:
     """Distinct addresses but those whose domain starts with example.com."""
-    return F.slice(F.array_distinct(hits(text, P.RULE_EMAIL.format(P.EMAIL_NOT_EXAMPLE))), 1, most)
+    # an address has no blank, so only words with an @ are searched; no name has one, so none is tried again without its end
+    text = F.array_join(F.filter(F.split(text, " "), lambda x: x.contains("@")), " ")
+    return F.slice(F.array_distinct(hits(text, P.RULE_EMAIL.format(P.EMAIL_NOT_EXAMPLE).replace("+@", "++@"))), 1, most)
 
 
 def phones(text: Column) -> Column:
@@ -182,9 +207,11 @@ def phones_regex(text: Column) -> Column:
 
 
 def phones_rules(text: Column, most: int = 3) -> Column:
-    """The first that have 6 to 15 digits and signs."""
-    size = lambda x: F.length(F.regexp_replace(x, r"[^\d+]", ""))
-    return F.slice(F.filter(all_of(text, P.RULE_PHONES, EXACT), lambda x: size(x).between(6, 15)), 1, most)
+    """The first that have 6 to 15 digits and signs. What the first pattern finds comes first, so the others are looked for only
+    where that is not enough."""
+    good = lambda found: F.filter(found, lambda x: x.rlike(r"^(?:[^\d+]*+[\d+]){6,15}[^\d+]*+\z"))
+    head, *rest = P.RULE_PHONES
+    return _let(good(hits(text, rf"(?=[+(\d]){head}", EXACT)), lambda found: F.slice(F.when(F.size(found) < most, F.concat(found, good(all_of(text, rest, EXACT)))).otherwise(found), 1, most))
 
 
 # parties
@@ -217,12 +244,20 @@ def recipient_name(text: Column) -> Column:
     """The salutation with its name, else the first title-case word, barred words apart; else empty. A title-case word
     stands in for a proper noun, which takes a tagger to know."""
     ok = lambda x: ~contains_any(x, P.RECIPIENT_BARRED)
-    return first(F.filter(F.concat(hits(text, P.RECIPIENT, EXACT), hits(text, P.TITLE_WORD, EXACT)), ok))
+    one = lambda p: F.get(F.filter(hits(text, p, EXACT), ok), F.lit(0))
+    return F.coalesce(one(P.RECIPIENT), one(P.TITLE_WORD), F.lit(""))
 
 
 def recipient_address(text: Column) -> Column:
     """Street, number, postcode and town, or the last two; null without them."""
-    return first(hits(text, P.RECIPIENT_ADDRESS, EXACT), None)
+    # only a word's first letter can open the street, and no blank is one of its letters
+    street, town = P.RECIPIENT_ADDRESS.split("|")
+    return F.nullif(F.regexp_extract(text, EXACT + street.replace(r"\p{L}+\s\d", r"(?<!\p{L})\p{L}++\s\d", 1) + "|" + town, 0), F.lit(""))
+
+
+def tax_office(text: Column) -> Column:
+    """The first of tax_organisations(), else empty."""
+    return F.coalesce(F.regexp_extract(text, ANY + P.TAX_ORG, 0), F.lit(""))
 
 
 def tax_organisations(text: Column) -> Column:

@@ -66,11 +66,19 @@ def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1, ent
     read organisations and tax offices alone."""
     t, none = F.col("t"), F.array().cast("array<string>")
     found = F.coalesce(F.col("organizations"), F.array().cast("array<string>")) if "organizations" in pages.columns else F.array().cast("array<string>")
-    ok = _keyed(pages).withColumn("t", T.clean_spaces(F.col("text")))
+    keyed = _keyed(pages)
+    rest = [c for c in keyed.columns if c not in (*_KEY, "text")]
+    if entities:
+        # a text is read once, however many of its document's pages have it; the rows lie by document, so nothing is exchanged
+        keyed = keyed.groupBy(*_KEY, "text").agg(F.collect_list(F.struct(*rest)).alias("_pages"))
+    ok = keyed.withColumn("t", T.clean_spaces(F.col("text")))
     seek = lambda c, default: c if entities else default
-    orgs = ok.withColumn("dates", seek(T.dates_rules(t), none)).withColumn("document_ids", seek(T.document_ids(t), none)).withColumn("phones", seek(T.phones_rules(t), none)).withColumn("emails", seek(T.emails_rules(t), none)).withColumn("offices", T.tax_organisations(t)).withColumn("found", found)
-    header = F.struct(T.first(F.col("offices")).alias("tax_office"), T.first(F.col("dates")).alias("date"))
-    recipient = F.struct(seek(T.recipient_name(t), F.lit("")).alias("name"), seek(T.recipient_address(t), F.lit(None).cast("string")).alias("address"))
+    orgs = ok.withColumn("dates", seek(T.dates_rules(t), none)).withColumn("document_ids", seek(T.document_ids(t), none)).withColumn("phones", seek(T.phones_rules(t), none)).withColumn("emails", seek(T.emails_rules(t), none)).withColumn("tax_office", T.tax_office(t)).withColumn("name", seek(T.recipient_name(t), F.lit(""))).withColumn("address", seek(T.recipient_address(t), F.lit(None).cast("string")))
+    if entities:
+        orgs = orgs.select(*[c for c in orgs.columns if c != "_pages"], F.inline("_pages"))
+    orgs = orgs.withColumn("found", found)
+    header = F.struct("tax_office", T.first(F.col("dates")).alias("date"))
+    recipient = F.struct("name", "address")
     some = lambda s: F.when(F.col("has_boxes"), s)
     contact = F.struct(F.slice("phones", 1, most_phones).alias("phones"), F.slice("emails", 1, most_emails).alias("emails"))
     content = F.struct(some(header).alias("header"), some(recipient).alias("recipient"), some(T.tax_numbers(F.col("document_ids"))).alias("tax_info"), contact.alias("contact"))

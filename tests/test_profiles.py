@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,34 @@ def test_images_take_no_exchange_beside_that_of_their_boxes(spark, sf):
 
     plan = Q._images(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rules_find_what_the_plain_patterns_find(spark):
+    r = random.Random(5)
+    bits = ["12.03.2024", "3. märz 2024", "5 Mai 1999", "ſep 3, 2020", "1.1.19", "２.3.2024", "Für Herrn Muster", "sehr geehrte Anna", "Steuer", "Ünal", "Hauptstr 12, 10115 Berlin", "10115 Ulm", "a.b@example.com", "x@mail.example.org", "y@@z.de", "é@x.fr v@w.nl", "+49 171 123 456", "0612345678", "(030)12345", "040/123456", "IdNr 92 047 135 123", "Steuernummer 123/4567/8901", "2024,39.039", "CAP/UCF/24/017R", "kenmerk: AB-2024/7", "“x”", "ﬁn", "\\n", "Finanzamt Bad Muster"]
+    texts = [(r.choice([" ", "\n", ""]).join(r.choice(bits) for _ in range(r.randrange(0, 14))),) for _ in range(1500)]
+    ok = lambda x: ~T.contains_any(x, P.RECIPIENT_BARRED)
+    size = lambda x: F.length(F.regexp_replace(x, r"[^\d+]", ""))
+    plain = {
+        T.dates_rules: lambda t: F.slice(F.array_distinct(F.concat(T.hits(t, P.either(P.RULE_DATE_ENTITIES)), F.filter(T.all_of(t, P.RULE_DATES), lambda x: x.rlike(r"(19|20)\d{2}")))), 1, 10),
+        T.phones_rules: lambda t: F.slice(F.filter(T.all_of(t, P.RULE_PHONES, T.EXACT), lambda x: size(x).between(6, 15)), 1, 3),
+        T.emails_rules: lambda t: F.slice(F.array_distinct(T.hits(t, P.RULE_EMAIL.format(P.EMAIL_NOT_EXAMPLE))), 1, 2),
+        T.recipient_name: lambda t: T.first(F.filter(F.concat(T.hits(t, P.RECIPIENT, T.EXACT), T.hits(t, P.TITLE_WORD, T.EXACT)), ok)),
+        T.recipient_address: lambda t: T.first(T.hits(t, P.RECIPIENT_ADDRESS, T.EXACT), None),
+        T.tax_office: lambda t: T.first(T.tax_organisations(t)),
+        lambda t: T.hits(t, T.hoisted(P.RULE_IDS), T.EXACT): lambda t: T.hits(t, P.either(P.RULE_IDS), T.EXACT),
+    }
+    df = spark.createDataFrame([*texts, (None,)], "t string")
+    t = F.col("t")
+    for k, (f, g) in enumerate(plain.items()):
+        assert df.filter(~f(t).eqNullSafe(g(t))).count() == 0, k
+
+
+def test_a_text_is_read_once_for_equal_pages(spark):
+    rows = [(f"/in/a/x_page{k}.jpg", t, "de", b) for k, (t, b) in enumerate([("am 1.2.2024", True), ("am 1.2.2024", False), (None, True), ("am 3.4.2024", True), (None, False)], 1)]
+    df = spark.createDataFrame(rows, "path string, text string, lang string, has_boxes boolean")
+    out = D.rule_pages(df)
+    got = {x["page"]: (x["text"], x["dates"], x["has_boxes"], x["content"]["header"] and x["content"]["header"]["date"]) for x in out.collect()}
+    assert got == {1: ("am 1.2.2024", ["1.2.2024"], True, "1.2.2024"), 2: ("am 1.2.2024", ["1.2.2024"], False, None), 3: (None, None, True, ""), 4: ("am 3.4.2024", ["3.4.2024"], True, "3.4.2024"), 5: (None, None, False, None)}
+    plan = D.rule_pages(df)._jdf.queryExecution().executedPlan().toString()
+    assert "_pages" in plan and plan.count("Exchange") == 1
