@@ -370,4 +370,9 @@ def entity_structs(items: Column, most: int = 5) -> Column:
 def similarity(reference: Column, text: Column) -> Column:
     """1 - edit distance / longer length, 1 for two empty texts; our own definition."""
     n = F.greatest(F.length(reference), F.length(text))
-    return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(reference, text) / n)
+    return similarity_of(F.levenshtein(reference, text), n)
+
+
+def similarity_of(edits: Column, longer: Column) -> Column:
+    """similarity() by the edit distance and the longer length; null without a distance."""
+    return F.when((longer == 0) & edits.isNotNull(), 1.0).otherwise(1 - edits / F.nullif(longer, F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
-from ..operators import layout as L, linking as K, records as R
+from ..operators import alignment as A, layout as L, linking as K, records as R
 from ..sources import views as V
 from . import documents as D, duck as S
 
@@ -134,10 +134,12 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     read = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     pairs = c.select("conv_id", "turn", F.col("text").alias("ref")).join(read, ["conv_id", "turn"])
-    rows = K.in_variants(pairs)
+    rows = K.in_variants(V.spread(pairs))  # comparing is dear, and a pair is short
     text = F.when(F.col("input") == "processed", F.replace("hyp", F.lit("e"), F.lit("c"))).otherwise(F.col("hyp"))
     text = F.when(F.col("filter") == "basic", F.lower(text)).when(F.col("filter") == "advanced", F.translate(text, ".,", "")).otherwise(text)
-    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("pair"), "ord", "method", F.length(text).cast("long").alias("text_length"), F.round(T.similarity(F.col("ref"), text), 6).alias("similarity"))
+    rows = rows.select(F.concat_ws("-", "conv_id", "turn").alias("pair"), "ord", "method", F.length(text).cast("long").alias("text_length"), F.greatest(F.length("ref"), F.length(text)).alias("longer"), "ref", text.alias("text"))
+    rows = A.with_edits(rows, "ref", "text")
+    return rows.select("pair", "ord", "method", "text_length", F.round(T.similarity_of(F.col("edits"), F.col("longer")), 6).alias("similarity"))
 
 
 #: edits are counted in bytes there, so each letter of the languages at hand that is not ASCII gets a byte of its own

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from scanloom.operators import alignment as A
-from scanloom.plans import queries as Q
+from scanloom.plans import profiles, queries as Q
 
 
 def _plain(ref, hyp):
@@ -46,3 +46,19 @@ def test_query_over_all_turns(spark, sf):
     want = {f"{c}-{t}": _plain(x.split()[:10**6], turns[c, t + 1].split()) for (c, t), x in turns.items() if (c, t + 1) in turns and len(x) + len(turns[c, t + 1]) < 4000}
     got = {x["pair"]: tuple(x)[1:] for x in Q.QUERIES["word_alignment"](spark, sf).collect()}
     assert want and all(got[k] == v for k, v in want.items()) and len(got) == sum((c, t + 1) in turns for c, t in turns)
+
+
+def test_edit_distances_of_many_pairs_are_those_of_spark(spark):
+    r = random.Random(3)
+    sizes = [0, 1, 5, 63, 64, 65, 128, 129, 200]
+    text = lambda: "".join(r.choice("abcdé😀 ") for _ in range(r.choice(sizes)))
+    rows = [(k, text(), text()) for k in range(400)] + [(400 + k, t, t[:100] + "x" + t[101:]) for k, t in enumerate(text() for _ in range(200))] + [(-1, None, "a"), (-2, "a", None)]
+    df = spark.createDataFrame(rows, "k long, ref string, hyp string")
+    want = {x[0]: x[1] for x in df.select("k", F.levenshtein("ref", "hyp")).collect()}
+    assert {x["k"]: x["edits"] for x in A.with_edits(df).collect()} == want and want[-1] is None
+    assert A.with_edits(df.limit(0)).count() == 0
+
+
+def test_variants_are_compared_in_many_tasks(spark, sf):
+    plan = profiles.QUERIES["ocr_variant_matrix"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "levenshtein" not in plan
