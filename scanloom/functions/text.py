@@ -327,7 +327,8 @@ def _class(text: Column, classes: list[tuple[str, bool, list[str]]], default: st
 
 def layout_class(text: Column) -> Column:
     """Date, document number, e-mail, phone, tried in that order, or null."""
-    return _class(text, P.LAYOUT_CLASSES, None)
+    # every class has a digit or an @, and most texts have neither
+    return F.when(text.rlike(r"(?U)[\d@]"), _class(text, P.LAYOUT_CLASSES, None))
 
 
 def field_type(text: Column, default: str = "Unknown") -> Column:

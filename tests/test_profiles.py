@@ -284,3 +284,10 @@ def test_a_text_is_read_once_for_equal_pages(spark):
     assert got == {1: ("am 1.2.2024", ["1.2.2024"], True, "1.2.2024"), 2: ("am 1.2.2024", ["1.2.2024"], False, None), 3: (None, None, True, ""), 4: ("am 3.4.2024", ["3.4.2024"], True, "3.4.2024"), 5: (None, None, False, None)}
     plan = D.rule_pages(df)._jdf.queryExecution().executedPlan().toString()
     assert "_pages" in plan and plan.count("Exchange") == 1
+
+
+def test_layout_classes_are_tried_where_a_digit_or_an_at_is(spark):
+    rows = [(t,) for t in ("12.03.2024", "5 May 1999", "AB-123/2024", "ID 12345", "REF: 1234", "a@b.org", "+49 171 123 456", "२२.०३.२०२४", "no sign", "May", "", "x 7", None)]
+    df, t = spark.createDataFrame(rows, "t string"), F.col("t")
+    assert df.filter(~T.layout_class(t).eqNullSafe(T._class(t, P.LAYOUT_CLASSES, None))).count() == 0
+    assert r"[\d@]" in df.select(T.layout_class(t))._jdf.queryExecution().optimizedPlan().toString()
