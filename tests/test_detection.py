@@ -5,6 +5,8 @@ import re
 from collections import Counter
 from math import log
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,52 @@ def test_only_starts_that_open_a_name_are_joined(spark):
     assert sorted(x["pos"] for x in E.opening(at, nodes).collect()) == [1, 3]
     texts = spark.createDataFrame([(1, "Lieferung von ACME Bau von Bonn")], "doc_id long, text string")
     assert sorted((x["pos"], x["name"]) for x in E.matches(texts, nodes).collect()) == [(2, "Acme Bau"), (5, "Bonn")]
+
+
+def test_letters_beyond_the_basic_plane_are_one_character_each(spark):
+    df = spark.createDataFrame([(1, "\U0001d51e\U0001d51f der", "de"), (2, "the \U0001d51e", "en"), (3, "\U0001d51e", None), (4, " - ", None)], "doc_id long, text string, lang string")
+    p = G.profile(df, least=1)
+    assert {r["gram"] for r in p.table.collect()} == {g for t in (" \U0001d51e\U0001d51f der ", " the \U0001d51e ") for g in (t[i : i + 3] for i in range(len(t) - 2))}
+    assert {r["doc_id"]: r["grams"] for r in G.scores(df, p).collect()} == {1: 6, 2: 5, 3: 1, 4: 0}
+
+
+def _operators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_make_no_row_per_trigram(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    plan = _operators(G.scores(df, G.profile(df)))
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_a_profile_too_large_for_tasks_is_joined(spark, monkeypatch):
+    rows = [*ROWS, (9, " ".join("abcdefghijklm"[i % 13] * (i % 7) for i in range(900)), "fr"), (None, None, None), (10, " \t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = G.profile(df, least=1)
+    told = {tuple(map(str, r)) for r in G.scores(df, p).collect()}
+    monkeypatch.setattr(G, "TOLD", 0)
+    joined = G.scores(df, p)
+    assert "Join" in _operators(joined) and {tuple(map(str, r)) for r in joined.collect()} == told and len(told) == 11
+
+
+@pytest.mark.parametrize("places", [G.PLACES, 0])
+def test_steps_and_tables_change_no_count_and_no_sum(monkeypatch, places):
+    monkeypatch.setattr(G, "PLACES", places)
+    r = random.Random(7)
+    texts = [None, " ", " a ", *[" " + " ".join("".join(r.choices("abcé日\U0001d51e", k=r.randrange(1, 6))) for _ in range(r.randrange(1, 9))) + " " for _ in range(40)], " ", None]
+    langs = [r.choice(["de", "en", "fr"]) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts, pa.string())], ["key", "text"])
+    cut = [[t[i : i + 3] for i in range(len(t) - 2)] if t else [] for t in texts]
+    every = Counter((x, g) for x, gs in zip(langs, cut, strict=True) for g in gs)
+    known = sorted({g for gs in cut for g in gs})[::2]
+    w = {g: [r.randrange(-9, 9) for _ in range(2)] for g in known}
+    tables = G._Weights(known, np.array([[w[g][k] for g in known] for k in (0, 1)]))
+    for step in (1, 7, 10_000):
+        got = Counter()
+        for b in G._counts(True, False, step)(iter([batch])):
+            for x in b.to_pylist():
+                got[x["key"], x["gram"]] += x["n"]
+        assert got == every
+        sums = [s.tolist() for _, points, sizes in G._slices(batch, step) for s in tables.sums(points, sizes, step)]
+        assert sums == [[sum(w[g][k] for g in gs if g in w) for k in (0, 1)] for gs in cut]
