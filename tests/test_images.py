@@ -109,3 +109,38 @@ def test_pictures_are_spread_and_read_once(spark, sf):
 
     parts = files.QUERIES["image_steps"](spark, sf).select(F.spark_partition_id().alias("p"), "path")
     assert parts.select("p").distinct().count() > 1 and parts.groupBy("path").agg(F.countDistinct("p").alias("n")).filter("n > 1").count() == 0
+
+
+def _plain_denoise(image, strength, patch, search):
+    half, p = search // 2, patch // 2
+    src = np.pad(image.astype(int), half + p, "reflect" if min(image.shape) > half + p else "symmetric")
+    around = lambda y, x: src[y - p : y + p + 1, x - p : x + p + 1]
+    out = np.empty(image.shape)
+    for y, x in np.ndindex(*image.shape):
+        a = around(y + half + p, x + half + p)
+        near = [(np.exp(-((around(v, u) - a) ** 2).sum() / patch**2 / strength**2), src[v, u]) for v in range(y + p, y + p + search) for u in range(x + p, x + p + search)]
+        out[y, x] = sum(k * v for k, v in near) / sum(k for k, _ in near)
+    return out
+
+
+def test_denoise_weighs_pairs_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    looked, like = [], I._likeness
+
+    class Table:
+        def __init__(self, *a):
+            self.table = like(*a)
+
+        def take(self, at, mode):
+            looked.append(len(at))
+            return self.table.take(at, mode=mode)
+
+    monkeypatch.setattr(I, "_likeness", Table)
+    for shape, strength in (((17, 14), 40.0), ((6, 9), 5.0), ((1, 1), 7.0)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        looked.clear()
+        assert np.abs(I.denoise(image, strength, 3, 9).astype(float) - _plain_denoise(image, strength, 3, 9)).max() <= 0.5 + 1e-9
+        assert len(looked) == (9 * 9 - 1) // 2
+    flat = np.full((20, 30), 255, np.uint8)
+    flat[:, 15:] = 0
+    assert (I.denoise(flat, 5.0) == flat).all()
