@@ -4,18 +4,21 @@ A token is a run of letters, a run of figures or one sign, with what rules ask a
 a test of a token and how often it may hold. Its automaton has a state before each step and one behind the last. The fold
 goes from the last token to the first and keeps for each state the farthest end that a run in it can still reach, for what
 a run can reach depends on its state and place alone. So a text costs time in proportion to its tokens times the pattern's
-steps, whatever repeats, and everything stays a Column expression.
+steps, whatever repeats. search() is a Column expression, which is looked up anew for each token; found_in() goes through
+the same automata step by step for all tokens of many texts at once, as arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-from functools import reduce
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache, reduce
 
-from pyspark.sql import Column, functions as F
-
-Test = Callable[[Column], Column]
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def tokens(text: Column) -> Column:
@@ -39,6 +42,59 @@ def tokens(text: Column) -> Column:
     return F.get(F.transform(F.array(plain), told), F.lit(0))
 
 
+@dataclass(frozen=True)
+class Test:
+    """What a token is asked: its kind, how many characters it has, its form (upper or title case), whether its lower case is
+    one of words or it is one of chars, and its flags (glued, starts, ends)."""
+
+    kind: str | None = None
+    least: int = 1
+    most: int | None = None
+    form: str | None = None
+    words: tuple[str, ...] = ()
+    chars: str = ""
+    flags: tuple[tuple[str, bool], ...] = ()
+
+    def __call__(self, t: Column) -> Column:
+        size, asked = F.length(t["text"]), []
+        if self.kind:
+            asked += [t["kind"] == self.kind, size >= self.least]
+        if self.most:
+            asked.append(size <= self.most)
+        if self.form:
+            asked.append(t["text"].rlike({"upper": r"^\p{Lu}+$", "title": r"^\p{Lu}\p{Ll}*$"}[self.form]))
+        if self.words:
+            asked.append(t["lower"].isin(*self.words))
+        if self.chars:
+            asked.append(t["text"].isin(*self.chars))
+        return reduce(lambda a, b: a & b, [*asked, *[t[k] == v for k, v in self.flags]])
+
+    def among(self, ts: _Tokens, at: np.ndarray | None) -> np.ndarray:
+        """Those of the places `at` (None: of all) whose token passes."""
+        if self.kind:
+            kind = _KINDS.index(self.kind)
+            at = ts.of[kind] if at is None else at[ts.kind[at] == kind]
+        else:
+            at = np.flatnonzero(ts.kind != _END) if at is None else at[ts.kind[at] != _END]
+        for flag, value in self.flags:
+            at = at[getattr(ts, flag)[at] == value]
+        if self.kind and (self.least > 1 or self.most):
+            size = ts.end[at] - ts.begin[at]
+            at = at[(size >= self.least) & (size <= (self.most or size))]
+        if self.form:
+            size, uppers = ts.end[at] - ts.begin[at], ts.uppers[ts.end[at]] - ts.uppers[ts.begin[at]]
+            if self.form == "title":
+                lowers = ts.lowers[ts.end[at]] - ts.lowers[ts.begin[at]]
+                at = at[(ts.code[ts.begin[at]] == _UPPER) & (uppers == 1) & (lowers == size - 1)]
+            else:
+                at = at[uppers == size]
+        if self.words:
+            at = np.unique(np.concatenate([ts.named(w, at) for w in self.words]))
+        if self.chars:
+            at = at[(ts.end[at] - ts.begin[at] == 1) & np.isin(ts.points[ts.begin[at]], [ord(c) for c in self.chars])]
+        return at
+
+
 @dataclass(frozen=True)
 class Step:
     """A token that passes `test`; `optional`: it may be absent; `repeats`: any number more may follow."""
@@ -49,33 +105,24 @@ class Step:
 
 
 def letters(least: int = 1, most: int | None = None, upper: bool = False, words: list[str] | None = None) -> Test:
-    def test(t: Column) -> Column:
-        size = F.length(t["text"])
-        ok = (t["kind"] == "letters") & (size >= least)
-        if most:
-            ok &= size <= most
-        if upper:
-            ok &= t["text"].rlike(r"^\p{Lu}+$")
-        return ok & t["lower"].isin(*words) if words else ok
-
-    return test
+    return Test("letters", least, most, "upper" if upper else None, tuple(words or ()))
 
 
 def title(least: int = 1) -> Test:
-    return lambda t: (t["kind"] == "letters") & (F.length(t["text"]) >= least) & t["text"].rlike(r"^\p{Lu}\p{Ll}*$")
+    return Test("letters", least, form="title")
 
 
 def figures(least: int, most: int | None = None) -> Test:
-    return lambda t: (t["kind"] == "figures") & F.length(t["text"]).between(least, most or least)
+    return Test("figures", least, most or least)
 
 
 def sign(chars: str) -> Test:
-    return lambda t: t["text"].isin(*chars)
+    return Test(chars=chars)
 
 
 def also(test: Test, **flags: bool) -> Test:
     """test, and the token's flags (glued, starts, ends) as given."""
-    return lambda t: reduce(lambda a, f: a & (t[f[0]] == f[1]), flags.items(), test(t))
+    return replace(test, flags=(*test.flags, *flags.items()))
 
 
 def spans(toks: Column, pattern: list[Step]) -> Column:
@@ -135,6 +182,142 @@ def search(toks: Column, patterns: list[list[Step]]) -> Column:
     return F.get(F.transform(F.array(toks), lambda ts: texts(ts, leftmost(F.concat(*[spans(ts, p) for p in patterns])))), F.lit(0))
 
 
+# the same over arrays of many texts
+
+#: Characters by what tokens are made of; kinds of tokens, of which an end closes each text and passes no test.
+_WHITE, _OTHER, _UPPER, _LOWER, _FIGURE, _MARK = range(6)
+_KINDS = ["", "letters", "figures", "sign"]
+_SIGN, _END = 3, 4
+_KIND_OF = np.array([0, 1, 1, 1, 2, 3], np.uint8)
+#: Texts that are read at once.
+TEXTS = 1000
+
+
+@lru_cache(maxsize=4)
+def _characters(planes: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each character of the first planes is, and its lower case (itself, if that is not one character)."""
+    own = {"Lu": _UPPER, "Ll": _LOWER}
+    all_ = [chr(k) for k in range(planes << 16)]
+    names = [unicodedata.category(c) for c in all_]
+    code = np.array([own.get(x, _OTHER if x[0] == "L" else _FIGURE if x[0] == "N" else _MARK) for x in names], np.uint8)
+    code[[ord(c) for c in " \t\n\v\f\r"]] = _WHITE
+    return code, np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in all_], np.uint32)
+
+
+class _Tokens:
+    """tokens() of many texts as arrays, one behind the other, each text closed by an end."""
+
+    def __init__(self, texts: list[str]):
+        self.whole = "\0".join(texts) + "\0"
+        self.points = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes, self._lower = _characters((int(self.points.max()) >> 16) + 1)
+        self.code = codes[self.points]
+        kinds = _KIND_OF[self.code]
+        kinds[np.cumsum([len(t) + 1 for t in texts]) - 1] = _END
+        alone = kinds >= _SIGN
+        changes = kinds[1:] != kinds[:-1]
+        self.begin = np.flatnonzero((kinds > 0) & (alone | np.r_[True, changes]))
+        self.end = np.flatnonzero((kinds > 0) & (alone | np.r_[changes, True])) + 1
+        self.kind = kinds[self.begin]
+        self.glued = np.r_[np.uint8(_END), kinds][self.begin] > 0
+        word = self.kind < _SIGN
+        near = word & np.r_[False, word[:-1]] & self.glued
+        self.starts, self.ends = ~near, ~np.r_[near[1:], False]
+        self.of = [np.flatnonzero(self.kind == k) for k in range(_END)]
+        self.text = np.r_[0, np.cumsum(self.kind == _END)[:-1]]
+
+    @cached_property
+    def uppers(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(self.code == _UPPER)]
+
+    @cached_property
+    def lowers(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(self.code == _LOWER)]
+
+    @cached_property
+    def spaced(self) -> np.ndarray:
+        """How many tokens up to each have white space before them that is not one blank."""
+        before = np.r_[0, self.end[:-1]]
+        return np.cumsum(~self.glued & ((self.begin - before != 1) | (self.points[self.begin - 1] != ord(" "))))
+
+    def named(self, word: str, at: np.ndarray) -> np.ndarray:
+        at = at[self.end[at] - self.begin[at] == len(word)]
+        for k, c in enumerate(word):
+            at = at[self._lower[self.points[self.begin[at] + k]] == ord(c)]
+        return at
+
+    def between(self, first: int, last: int) -> str:
+        if self.spaced[last] == self.spaced[first]:
+            return self.whole[self.begin[first] : self.end[last]]
+        return "".join(("" if k == first or self.glued[k] else " ") + self.whole[self.begin[k] : self.end[k]] for k in range(first, last + 1))
+
+
+def _farthest(ts: _Tokens, pattern: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """spans() of all texts: the first tokens, ascending, and their last ones. From the last step to the first, `ends` has for
+    each token the farthest end from before the step (-1: none), and `some` the tokens that have one (None: all)."""
+    n = len(ts.kind)
+    here, some = np.arange(n, dtype=np.int32), None
+    ends = here
+    for step in reversed(pattern):
+        behind, known = ends, some
+        if step.repeats:
+            behind, known = _run_on(ends, step.test.among(ts, None)), None
+        at = None if known is None else known[known > 0] - 1
+        at = step.test.among(ts, at)
+        at = at[behind[at + 1] >= 0]
+        taken = behind[at + 1]
+        if step.optional:
+            ends = ends.copy()
+            ends[at] = np.maximum(ends[at], taken)
+            some = None if some is None else np.union1d(some, at)
+        else:
+            ends, some = np.full(n, -1, np.int32), at
+            ends[at] = taken
+    at = np.flatnonzero(ends > here) if some is None else some[ends[some] > some]
+    return at, ends[at] - 1
+
+
+def _run_on(ends: np.ndarray, passing: np.ndarray) -> np.ndarray:
+    """For each token the largest of ends from it to the token behind the run of passing ones that it stands in."""
+    stops = np.ones(len(ends), bool)  # whether the token behind is out of reach
+    stops[passing] = False
+    run = np.cumsum(stops[::-1]) * (len(ends) + 1)  # from the end on, so that no run's ends reach the next one's
+    return (np.maximum.accumulate(run + ends[::-1] + 1) - run - 1)[::-1].astype(np.int32)
+
+
+def _found(texts: list[str | None], patterns: list[list[list[Step]]]) -> list[pa.Array]:
+    """For each list of patterns what search() finds in each text."""
+    ts = _Tokens([t or "" for t in texts])
+    null, out = pa.array([t is None for t in texts]), []
+    for several in patterns:
+        firsts, lasts = (np.concatenate(x) for x in zip(*[_farthest(ts, p) for p in several], strict=True))
+        order = np.lexsort((-lasts, firsts))
+        upto, kept = -1, []
+        for first, last in zip(firsts[order].tolist(), lasts[order].tolist(), strict=True):
+            if first > upto:
+                kept.append((first, last))
+                upto = last
+        counts = np.bincount(ts.text[[f for f, _ in kept]], minlength=len(texts)) if kept else np.zeros(len(texts), np.int64)
+        offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+        out.append(pa.ListArray.from_arrays(offsets, pa.array([ts.between(*k) for k in kept], pa.string()), mask=null))
+    return out
+
+
+def found_in(rows: DataFrame, patterns: dict[str, list[list[Step]]], keep: list[str], text_col: str = "text") -> DataFrame:
+    """keep's columns of rows, and under each of patterns' names what search() finds in the text. Texts go to Python once, many
+    at a time, and are neither exchanged nor sorted. A null text has null, one without a match an empty array; equal rows have
+    equal results; an empty table stays empty. Case is folded letter by letter."""
+    schema = StructType([*[rows.schema[c] for c in keep], *[StructField(k, ArrayType(StringType())) for k in patterns]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in (b.slice(at, TEXTS) for at in range(0, b.num_rows, TEXTS)):
+                found = _found(p.column(len(keep)).to_pylist(), list(patterns.values()))
+                yield pa.RecordBatch.from_arrays([*p.columns[: len(keep)], *found], names=schema.names)
+
+    return rows.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
 # the rule profile's ids, addresses, salutations and offices
 
 _glued = {"glued": True}

@@ -63,3 +63,30 @@ def test_id_forms(spark):
     got = [r[0] for r in df.select(N.search(N.tokens(F.col("text")), N.id_patterns())).collect()]
     assert got == [["2024.05.123", "2024,05,123"], ["AB/CDE/24/123", "AB/CDE/24/1234R"], ["IdNr 92 047 135 123", "IdNr: 92 047 135 123", "Id-Nr. 92 047 135 123", "Steuernummer 92 047 135 123"], ["Steuernr 123/4567/8901"]]
     assert got == [[m[0] for m in re.finditer(P.either(P.RULE_IDS), t)] for t in texts]
+
+
+def _both(spark, texts, patterns):
+    """What search() and found_in() find."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    toks = N.tokens(F.col("text"))
+    one = {r["id"]: tuple(r)[1:] for r in df.select("id", *[N.search(toks, p).alias(k) for k, p in patterns.items()]).collect()}
+    rows = N.found_in(df, patterns, ["id"]).collect()
+    assert len(rows) == len(texts)
+    return one, {r["id"]: tuple(r)[1:] for r in rows}
+
+
+def test_arrays_find_what_the_column_finds(spark):
+    r = random.Random(11)
+    bits = ["a", "b", "Ab", "ÄB", "ﬁ", "12", "2024", ".", "/", "-", "€", "\U00010400\U00010428", "٣", " ", "  ", "\t", "\n", " ", "nr", "NR", "\0"]
+    texts = ["".join(r.choices(bits, k=r.randrange(18))) for _ in range(250)] + [None, "", " ", "\n", "a " * 3000, "nr 2024 " * 500]
+    tests = [N.letters(), N.letters(2), N.letters(1, 2, upper=True), N.letters(words=["nr", "ab"]), N.title(), N.title(2), N.figures(2), N.figures(1, 4), N.sign("./-€"), N.sign("a"), N.also(N.letters(), glued=False), N.also(N.figures(1, 9), ends=True), N.also(N.letters(), starts=True, glued=True)]
+    patterns = {f"p{k}": [[N.Step(r.choice(tests), r.random() < 0.35, r.random() < 0.35) for _ in range(r.randrange(1, 5))] for _ in range(r.randrange(1, 4))] for k in range(12)}
+    column, arrays = _both(spark, texts, patterns)
+    assert column == arrays and sum(len(x) for v in arrays.values() for x in v if x) > 1000
+    assert N.found_in(spark.createDataFrame([], "id long, text string"), patterns, ["id"]).count() == 0
+
+
+def test_arrays_find_the_rule_profile(spark):
+    texts = ["Akte 2024.05.123 und 2024,05,123\tIdNr:  92 047 135 123", "Für  Herrn Muster\nFÜR FRAU Ärmel, Hauptstr 12 , 10115\n Berlin Finanzamt Köln  Nord 5 finanzamt", "Id-Nr. 92 047 135 123 xSteuernr 123/4567/8901 AB/CDE/24/1234R", None]
+    column, arrays = _both(spark, texts, {"ids": N.id_patterns(), "addresses": N.address_patterns(), "recipients": N.recipient_patterns(), "offices": N.office_patterns()})
+    assert column == arrays and arrays[1][3] == ["Finanzamt Köln Nord", "finanzamt"] and arrays[3] == (None,) * 4
