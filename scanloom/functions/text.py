@@ -35,6 +35,12 @@ def hoisted(patterns: list[str], opens: str = "") -> str:
     return rf"{opens}\b(?:{P.either([p[2:] for p in patterns])})"
 
 
+def unbroken(run: str, rest: str) -> str:
+    """run+ and rest, which does not begin with one of run, for a search: a run is tried from its first character alone, or from
+    where the last match ended, since without its beginning it fails by the same rest."""
+    return rf"(?:\G|(?<!{run})){run}++{rest}"
+
+
 def first(items: Column, default: str | None = "") -> Column:
     return F.coalesce(F.get(items, F.lit(0)), F.lit(default))
 
@@ -52,8 +58,8 @@ def strip(text: Column) -> Column:
 
 def clean_unicode(text: Column) -> Column:
     """Typographic quotes, sharp s, ligatures and dashes to ASCII; control characters but \\n\\r\\t dropped; stripped."""
-    t = F.translate(text, P.QUOTES_FROM + "–", P.QUOTES_TO + "-")
-    for a, b in [*P.LIGATURES, ("—", "--"), ("ß", "ss")]:
+    t = text  # signs that are rare: looking for each is cheaper than mapping every character
+    for a, b in [*zip(P.QUOTES_FROM + "–", P.QUOTES_TO + "-", strict=True), *P.LIGATURES, ("—", "--"), ("ß", "ss")]:
         t = F.replace(t, F.lit(a), F.lit(b))
     return strip(F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
 
@@ -63,14 +69,17 @@ def clean_spaces(text: Column) -> Column:
     t = text  # signs that are rare: looking for each is cheaper than mapping every character
     for a, b in [*zip(P.QUOTES_FROM + " ", P.QUOTES_TO + " ", strict=True), ("\\n", " "), (" voop ", " voor "), *P.LIGATURES]:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(t, r"(?U)[^\S ]\s*| \s+", " "))  # a blank alone stays as it is
 
 
 def clean_phone(phone: Column) -> Column:
     """Digits: international form if they start with 31, groups of 3 3 2 2 if ten, else the text as it was."""
-    d = F.regexp_replace(phone, r"\D", "")
-    groups = F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 2), F.substring(d, 9, 2))
-    return F.when(d.startswith("31"), F.concat(F.lit("+"), d)).when(F.length(d) == 10, groups).otherwise(phone)
+
+    def formed(d: Column) -> Column:
+        groups = F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 2), F.substring(d, 9, 2))
+        return F.when(d.startswith("31"), F.concat(F.lit("+"), d)).when(F.length(d) == 10, groups).otherwise(phone)
+
+    return _let(F.regexp_replace(phone, r"\D", ""), formed)
 
 
 def name_from_file(name: Column) -> Column:
@@ -110,7 +119,8 @@ def dates_regex(text: Column, literal: bool = False) -> Column:
     """Regex profile: distinct dates of valid form; literal gives the empty list that the first version always gave."""
     if literal:
         return F.when(text.isNotNull(), F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(hits(text, P.either(P.REGEX_DATES)), is_valid_date))
+    # how every one of them begins, which most figures fail at once
+    return F.array_distinct(F.filter(hits(text, rf"(?=\d{{1,2}}[./\s-]|\d{{4}}[./-])(?:{P.either(P.REGEX_DATES)})"), is_valid_date))
 
 
 def dates_rules(text: Column, most: int = 10) -> Column:
@@ -151,9 +161,17 @@ def document_numbers(text: Column) -> Column:
     return all_of(text, P.READER_NUMBERS)
 
 
+def _from_its_run(pattern: str) -> str:
+    """unbroken() of a pattern that begins with a run of letters, figures or address signs; any other as it is."""
+    for run in ("[A-Za-z]", r"\d", "[a-zA-Z0-9._%+-]"):
+        if pattern.startswith(run + "+"):
+            return unbroken(run, pattern[len(run) + 1 :])
+    return pattern
+
+
 def document_numbers_regex(text: Column) -> Column:
     """Labelled numbers, slashed and dotted ones, and the bare number behind the sixth label."""
-    return F.concat(all_of(text, P.REGEX_NUMBERS), hits(text, P.REGEX_NUMBER_BARE, ANY, 1))
+    return F.concat(all_of(text, [_from_its_run(p) for p in P.REGEX_NUMBERS]), hits(text, P.REGEX_NUMBER_BARE, ANY, 1))
 
 
 def document_ids(text: Column, most: int = 3) -> Column:
@@ -177,7 +195,7 @@ def longest(found: Column, most: int = 3) -> Column:
 
 
 def amounts(text: Column) -> Column:
-    return all_of(text, P.REGEX_AMOUNTS)
+    return all_of(text, [_from_its_run(p) for p in P.REGEX_AMOUNTS])
 
 
 # contacts
@@ -188,7 +206,7 @@ def emails(text: Column) -> Column:
 
 
 def emails_regex(text: Column) -> Column:
-    return hits(text, P.REGEX_EMAIL, "")  # the pattern names both cases itself
+    return hits(text, _from_its_run(P.REGEX_EMAIL), "")  # the pattern names both cases itself
 
 
 def emails_rules(text: Column, most: int = 2) -> Column:
@@ -203,7 +221,7 @@ def phones(text: Column) -> Column:
 
 
 def phones_regex(text: Column) -> Column:
-    return F.transform(hits(text, P.REGEX_PHONE, EXACT), clean_phone)
+    return F.transform(hits(text, r"(?=[+(]{0,2}\d{2})" + P.REGEX_PHONE, EXACT), clean_phone)
 
 
 def phones_rules(text: Column, most: int = 3) -> Column:
@@ -229,14 +247,21 @@ def sender(text: Column) -> Column:
 
 def line_with(text: Column, words: list[str]) -> Column:
     """The topmost line that has one of the words, else empty."""
-    return first(F.filter(F.split(text, "\n"), lambda x: contains_any(x, words)))
+    has = lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+
+    def found(low: Column) -> Column:
+        # case is folded once, and most texts have none of the words
+        places = F.filter(F.transform(F.split(low, "\n"), lambda x, i: F.when(has(x), i)), lambda i: i.isNotNull())
+        return F.when(has(low), F.get(F.split(text, "\n"), F.get(places, F.lit(0)))).otherwise("")
+
+    return _let(F.lower(text), found)
 
 
 def parties(text: Column, literal: bool = False) -> Column:
     """Struct of sender and receiver: by address blocks, else by keyword lines; literal leaves both empty."""
     if literal:
         return F.struct(F.lit("").alias("sender"), F.lit("").alias("receiver"))
-    either = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
+    either = lambda a, b: _let(a, lambda x: F.when(x != "", x).otherwise(b))
     return F.struct(either(sender(text), line_with(text, P.SENDER_WORDS)).alias("sender"), either(receiver(text), line_with(text, P.RECEIVER_WORDS)).alias("receiver"))
 
 
@@ -315,7 +340,7 @@ def language_model(lang: Column) -> Column:
 
 
 def language_or_unknown(lang: Column, text: Column) -> Column:
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", "unknown").otherwise(F.coalesce(lang, F.lit("unknown")))
+    return F.when(text.rlike(r"(?U)\S"), F.coalesce(lang, F.lit("unknown"))).otherwise("unknown")
 
 
 def _class(text: Column, classes: list[tuple[str, bool, list[str]]], default: str | None) -> Column:

@@ -20,6 +20,12 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return page_key(pages).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).repartition(n, *_KEY)
 
 
+def _by_text(keyed: DataFrame, *rest: str) -> DataFrame:
+    """A row for each text of a document, with the other columns of its pages in `_pages`; rows lie by document, so nothing is
+    exchanged."""
+    return keyed.groupBy(*_KEY, "text").agg(F.collect_list(F.struct(*rest)).alias("_pages"))
+
+
 def _union(field: str) -> Column:
     """Distinct values of all pages in page order."""
     return F.array_distinct(F.flatten(F.transform("ps", lambda p: F.coalesce(p[field], F.array().cast("array<string>")))))
@@ -42,10 +48,11 @@ def regex_documents(pages: DataFrame, literal: bool = False, entities: bool = Tr
         none = F.array().cast("array<string>")
         found = _keyed(pages).select(*_KEY, "page", "file_name", "document_type", "lang", "text", *[none.alias(k) for k in ("dates", "amounts", "ids", "emails", "phones")], T.parties(F.col("text"), literal=True).alias("parties"))
         return _regex_records(found)
-    # cleaned once and not in each expression that reads it
+    # cleaned once and not in each expression that reads it; read once, however many of its document's pages have the text
     t = F.col("_clean")
-    found = _keyed(pages).withColumn("_clean", T.clean_unicode(F.col("text"))).select(*_KEY, "page", "file_name", "document_type", "lang", "text", T.dates_regex(t, literal).alias("dates"), T.amounts(t).alias("amounts"), T.document_numbers_regex(t).alias("ids"), T.emails_regex(t).alias("emails"), T.phones_regex(t).alias("phones"), T.parties(t, literal).alias("parties"))
-    return _regex_records(found)
+    texts = _by_text(_keyed(pages), "page", "file_name", "document_type", "lang").withColumn("_clean", T.clean_unicode(F.col("text")))
+    found = texts.select(*_KEY, "text", "_pages", T.dates_regex(t, literal).alias("dates"), T.amounts(t).alias("amounts"), T.document_numbers_regex(t).alias("ids"), T.emails_regex(t).alias("emails"), T.phones_regex(t).alias("phones"), T.parties(t, literal).alias("parties"))
+    return _regex_records(found.select(*[c for c in found.columns if c != "_pages"], F.inline("_pages")))
 
 
 def _regex_records(found: DataFrame) -> DataFrame:
@@ -69,8 +76,8 @@ def rule_pages(pages: DataFrame, most_phones: int = 2, most_emails: int = 1, ent
     keyed = _keyed(pages)
     rest = [c for c in keyed.columns if c not in (*_KEY, "text")]
     if entities:
-        # a text is read once, however many of its document's pages have it; the rows lie by document, so nothing is exchanged
-        keyed = keyed.groupBy(*_KEY, "text").agg(F.collect_list(F.struct(*rest)).alias("_pages"))
+        # a text is read once, however many of its document's pages have it
+        keyed = _by_text(keyed, *rest)
     ok = keyed.withColumn("t", T.clean_spaces(F.col("text")))
     seek = lambda c, default: c if entities else default
     orgs = ok.withColumn("dates", seek(T.dates_rules(t), none)).withColumn("document_ids", seek(T.document_ids(t), none)).withColumn("phones", seek(T.phones_rules(t), none)).withColumn("emails", seek(T.emails_rules(t), none)).withColumn("tax_office", T.tax_office(t)).withColumn("name", seek(T.recipient_name(t), F.lit(""))).withColumn("address", seek(T.recipient_address(t), F.lit(None).cast("string")))
