@@ -38,7 +38,7 @@ def _of(f):
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with the invoice text; the page of every seventh document's second page failed."""
     failed = (F.col("doc_id") % 7 == 0) & (F.col("page_no") == 2)
-    rows = V.view(spark, sf, V.PAGES).join(_inv(spark, sf), "doc_id")
+    rows = V.view(spark, sf, V.PAGES, "o_orderkey").join(V.view(spark, sf, V.INVOICES, "o_orderkey"), "doc_id")
     return rows.select("path", F.when(~failed, F.col("text")).alias("text"), F.when(F.col("doc_id") % 2 == 0, "de").alias("lang"), (F.col("doc_id") % 5 != 0).alias("has_boxes"))
 
 

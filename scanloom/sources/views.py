@@ -39,10 +39,10 @@ CURATION = f"""SELECT user_id AS doc_id, event_id AS ordinal, CASE event_type WH
 REVIEWS = """SELECT doc_id AS entry_id, doc_id, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, quality = 0 OR toxic = 1 AS needs_review FROM labels"""
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A table's rows dealt over the shuffle's partitions: work on rows that is much dearer than reading them would else have
-    as many tasks as the file has row groups, which may be one."""
-    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(table: DataFrame, *by: str) -> DataFrame:
+    """A table's rows dealt over the shuffle's partitions, by columns or evenly: work on rows that is much dearer than reading
+    them would else have as many tasks as the file has row groups, which may be one."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def duck(sql: str) -> str:
@@ -54,8 +54,9 @@ def over(spark: SparkSession, table: DataFrame, sql: str, name: str) -> DataFram
     return spark.sql(sql.replace("@month", "date_format(o_orderdate, 'MMMM')").replace(f"FROM {name}", "FROM {t}"), t=table)
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived input as a DataFrame, its table read from Parquet."""
+def view(spark: SparkSession, sf_dir: str, sql: str, by: str | None = None) -> DataFrame:
+    """A derived input as a DataFrame, its table read from Parquet and, if a column of it is named, dealt by that: views that
+    are dealt by one column of a table are joined by it where they lie."""
     for name in ("orders", "lineitem", "events", "labels"):
         if f"FROM {name}" in sql:
             rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +64,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
                 # dealt by image before the view's columns are made: they are not exchanged beside those they come from, and
                 # what groups boxes by image needs no other exchange
                 rows = rows.repartition("l_orderkey")
+            if by:
+                return over(spark, spread(rows.select("o_orderkey", "o_orderdate", "o_totalprice") if name == "orders" else rows, by), sql, name)
             # what is made of an invoice's text is dear, and a row of orders is short
             return over(spark, spread(rows.select("o_orderkey", "o_orderdate", "o_totalprice")) if sql == INVOICES else rows, sql, name)
     raise ValueError("the view names no table")

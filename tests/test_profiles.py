@@ -291,3 +291,40 @@ def test_layout_classes_are_tried_where_a_digit_or_an_at_is(spark):
     df, t = spark.createDataFrame(rows, "t string"), F.col("t")
     assert df.filter(~T.layout_class(t).eqNullSafe(T._class(t, P.LAYOUT_CLASSES, None))).count() == 0
     assert r"[\d@]" in df.select(T.layout_class(t))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_tried_from_their_start_find_what_plain_patterns_find(spark):
+    r = random.Random(4)
+    bits = ["a", "B", "ab", "a.b", "@", "@", ".de", "_", "+", "-", "/", "/", "1", "22", "333", "4444", ".", ",", " €", "€", " ", "\n", "12-03-2024", "1. Mai 2024", "2024.05", "ſ", "٣", "Summe: ", "31", "(0)", "a@b.de", "x@y.com", "ab/cd/1/2"]
+    rows = [("".join(r.choices(bits, k=r.randrange(25))),) for _ in range(800)] + [("a@b.com_x@y.org a@b.deab/cd/1/2ab/c/3/4", ), ("",), (None,)]
+    t = F.col("t")
+    pairs = {
+        "emails": (T.emails_regex(t), T.hits(t, P.REGEX_EMAIL, "")),
+        "numbers": (T.document_numbers_regex(t), F.concat(T.all_of(t, P.REGEX_NUMBERS), T.hits(t, P.REGEX_NUMBER_BARE, T.ANY, 1))),
+        "amounts": (T.amounts(t), T.all_of(t, P.REGEX_AMOUNTS)),
+        "dates": (T.dates_regex(t), F.array_distinct(F.filter(T.hits(t, P.either(P.REGEX_DATES)), T.is_valid_date))),
+        "phones": (T.phones_regex(t), F.transform(T.hits(t, P.REGEX_PHONE, T.EXACT), T.clean_phone)),
+        "spaces": (T.clean_spaces(F.concat(t, t)), F.trim(F.regexp_replace(F.concat(t, t), r"(?U)\s+", " "))),
+        "line": (T.line_with(t, ["ab", "€"]), T.first(F.filter(F.split(t, "\n"), lambda x: T.contains_any(x, ["ab", "€"])))),
+        "language": (T.language_or_unknown(F.lit("de"), t), F.when(F.coalesce(T.strip(t), F.lit("")) == "", "unknown").otherwise("de")),
+    }
+    df = spark.createDataFrame(rows, "t string")
+    for name, (a, b) in pairs.items():
+        got = df.select(t, a.alias("a"), b.alias("b"))
+        assert got.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == [], name
+    assert df.select(T.emails_regex(t).alias("x")).filter("size(x) > 0").count() > 20
+
+
+def test_regex_profile_reads_a_text_once_for_all_its_pages(spark):
+    pages = spark.createDataFrame([(f"/in/brief/a_page{k}.jpg", x, "de") for k, x in ((1, "x@y.de"), (2, "x@y.de"), (3, "z@y.de"), (4, None), (5, "x@y.de"))], "path string, text string, lang string")
+    read = D._by_text(D._keyed(pages), "page")
+    assert sorted((r["text"] or "", len(r["_pages"])) for r in read.collect()) == [("", 1), ("x@y.de", 3), ("z@y.de", 1)] and "_pages" in _optimized(D.regex_documents(pages))
+    got = D.regex_documents(pages).first()
+    assert got["pages"] == 5 and got["ground_truth"]["raw_text"] == "x@y.de\nx@y.de\nz@y.de\nx@y.de" and got["ground_truth"]["gt_parse"]["entities"]["contact_data"]["emails"] == ["x@y.de", "z@y.de"]
+
+
+def test_pages_are_dealt_with_their_invoices(spark, sf):
+    from scanloom.plans import profiles
+
+    plan = profiles._pages(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [o_orderkey") == 2
