@@ -8,8 +8,9 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 def ocr_words(docs: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def lines(words: DataFrame) -> DataFrame:
     return _streamed(words, _numbered, StructType([*words.schema.fields, StructField("line", LongType())]), "y", "word_idx")
 
 
-def _streamed(rows: DataFrame, whole: Callable[[pa.Table], pa.RecordBatch], schema: StructType, *order: str) -> DataFrame:
-    """whole() of tables of whole images' rows, sorted by image and order."""
+def _streamed(rows: DataFrame, whole: Callable[[pa.Table], pa.RecordBatch], schema: StructType, *order: str, together: bool = False) -> DataFrame:
+    """whole() of tables of whole images' rows, sorted by image and order; of rows that lie together, as they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows so far of the image that the last batch ended in
@@ -67,7 +68,9 @@ def _streamed(rows: DataFrame, whole: Callable[[pa.Table], pa.RecordBatch], sche
         if held:
             yield whole(pa.Table.from_batches(held))
 
-    return rows.repartition("image_id").sortWithinPartitions("image_id", *order).mapInArrow(run, schema)
+    if not together:
+        rows = rows.repartition("image_id").sortWithinPartitions("image_id", *order)
+    return rows.mapInArrow(run, schema)
 
 
 def _lined_heights(t: pa.Table) -> pa.RecordBatch:
@@ -114,13 +117,61 @@ def annotations(blocked: DataFrame, classify: Callable[[Column], Column]) -> Dat
     """A field per block: its words from left to right, box padded by 5 % and cut at zero, mean confidence, class.
     Texts of fewer than two characters go, and so do single words without a class; other texts without one are Unknown."""
     parts = blocked.groupBy("image_id", "line", "block").agg(F.array_sort(F.collect_list(F.struct("x", "y", "word_idx", "text"))).alias("ws"), F.min("x").alias("a"), F.min("y").alias("b"), F.max(F.col("x") + F.col("w")).alias("c"), F.max(F.col("y") + F.col("h")).alias("d"), F.round(F.avg("conf"), 6).alias("confidence"))
-    parts = parts.withColumn("value", F.array_join(F.transform("ws", lambda w: w.text), " ")).withColumn("_class", classify(F.col("value"))).withColumn("_n", F.size("ws"))
+    return _classified(parts.withColumn("value", F.array_join(F.transform("ws", lambda w: w.text), " ")).withColumn("_n", F.size("ws")), classify)
+
+
+def _classified(parts: DataFrame, classify: Callable[[Column], Column]) -> DataFrame:
+    """The fields of blocks: value of _n words, sides a to d and mean confidence."""
+    parts = parts.withColumn("_class", classify(F.col("value")))
     pad = lambda lo, hi: ((F.col(hi) - F.col(lo)) * 0.05).cast("long")
     kept = parts.filter((F.length(F.trim("value")) >= 2) & (F.col("_class").isNotNull() | (F.col("_n") >= 2)))
     low = lambda lo, hi: F.greatest(F.lit(0), F.col(lo) - pad(lo, hi))
     return kept.select("image_id", "line", "block", "value", F.coalesce("_class", F.lit("Unknown")).alias("field"), low("a", "c").alias("x1"), low("b", "d").alias("y1"), (F.col("c") + pad("a", "c")).alias("x2"), (F.col("d") + pad("b", "d")).alias("y2"), "confidence")
 
 
+def _parted(t: pa.Table) -> pa.RecordBatch:
+    """The blocks of whole images' words, as annotations() finds them."""
+    t = t.combine_chunks()
+    image = t["image_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    x, y, w, h, idx, conf = (t[c].to_numpy() for c in ("x", "y", "w", "h", "word_idx", "conf"))
+    down = np.lexsort((idx, y, image))
+    line = np.empty(len(x), np.int64)
+    line[down] = _numbered(t.select(["image_id", "word_idx", "y", "h"]).take(down)).column("line").to_numpy()
+    keys = [idx, y, x, line, image]
+    order = np.lexsort(keys)
+    if len(x) > 1 and np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys]).any():
+        # words that share all of it stand in the order of their texts
+        order = np.lexsort([np.unique([v.encode() for v in t["text"].to_pylist()], return_inverse=True)[1], *keys])
+    image, line, x, y, w, h, conf = (v[order] for v in (image, line, x, y, w, h, conf))
+    opens = np.r_[True, (image[1:] != image[:-1]) | (line[1:] != line[:-1])]
+    first = np.flatnonzero(opens)
+    n = np.diff(np.r_[first, len(x)])
+    gap = np.where(opens, 0, x - np.r_[0, (x + w)[:-1]])
+    mean, width = np.add.reduceat(gap, first) / np.maximum(n - 1, 1), np.add.reduceat(w, first) / n
+    of = np.cumsum(opens) - 1
+    able = (n >= 2) & ((mean > 2 * width) | (n <= 3))
+    cuts = ~opens & able[of] & (gap > np.maximum(2 * mean, 3 * width)[of])
+    block = np.cumsum(cuts)
+    block -= block[first][of]
+    at = np.flatnonzero(opens | cuts)
+    words = np.diff(np.r_[at, len(x)])
+    text = t["text"].combine_chunks().cast(pa.string()).take(pa.array(order))
+    value = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(x)], pa.int32()), text), " ")
+    image_ids = t["image_id"].combine_chunks().take(pa.array(order[at]))
+    sides = [np.minimum.reduceat(x, at), np.minimum.reduceat(y, at), np.maximum.reduceat(x + w, at), np.maximum.reduceat(y + h, at)]
+    return pa.RecordBatch.from_arrays([image_ids, *map(pa.array, (line[at], block[at])), value, *map(pa.array, (words, *sides, np.add.reduceat(conf, at) / words))], names=["image_id", "line", "block", "value", "_n", "a", "b", "c", "d", "confidence"])
+
+
+def fields(words: DataFrame, classify: Callable[[Column], Column], together: bool = False) -> DataFrame:
+    """annotations() of blocks() of lines(): words (none of whose columns are null but the image) go to Python once, a whole image
+    at a time, and only blocks come back. Where the words of an image stand one behind the other in a partition (`together`),
+    they are neither exchanged nor sorted by Spark; else there is one exchange by image."""
+    longs = [StructField(c, LongType()) for c in ("_n", "a", "b", "c", "d")]
+    schema = StructType([words.schema["image_id"], StructField("line", LongType()), StructField("block", LongType()), StructField("value", StringType()), *longs, StructField("confidence", DoubleType())])
+    rows = words.select("image_id", "word_idx", "text", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h")], F.col("conf").cast("double").alias("conf"))
+    return _classified(_streamed(rows, _parted, schema, "y", "word_idx", together=together).withColumn("confidence", F.round("confidence", 6)), classify)
+
+
 def merges(rows: list[tuple]) -> Iterator[tuple[tuple, list]]:
     """Greedy merge of (x1, y1, x2, y2, field, value, confidence, ...) in order of y1: a box takes in every later one that it
     overlaps by more than half of the smaller, growing as it goes; a known field stays, unknown gives way. Gives each

@@ -204,3 +204,27 @@ def test_read_blocks_are_those_of_segments(spark):
 def test_invoice_words_are_not_exchanged(spark, sf):
     plan = detection.QUERIES["block_parties"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan  # the orders are spread, and nothing else
+
+
+def test_fields_of_one_stream_are_annotations_of_blocks_of_lines(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 2, 3, 4, 5]), k % 90, r.choice(["a", "Nr", "12-03-2024", "ä", "x@y.org", "", "bb"]), r.randrange(40) * 30, r.randrange(12) * 9, r.randrange(1, 60), r.randrange(4, 20), float(r.randrange(50, 100))) for k in range(700)]
+    words = spark.createDataFrame(rows + rows[:3], "image_id long, word_idx long, text string, x long, y long, w long, h long, conf double").cache()
+    kind = lambda c: F.when(c.rlike(r"\d"), "Date")
+    told = lambda df: sorted(map(str, df.collect()))
+    want = told(L.annotations(L.blocks(L.lines(words)), kind))
+    lying = words.repartition(3, "image_id").sortWithinPartitions("image_id")
+    assert len(want) > 100 and told(L.fields(words, kind)) == want == told(L.fields(lying, kind, together=True))
+    assert L.fields(words.limit(0), kind).count() == 0
+
+
+def test_fields_exchange_texts_and_no_words(spark, sf):
+    from scanloom.plans import queries as Q
+
+    plan = Q.QUERIES["field_annotations"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan and "Aggregate" not in plan
+    assert plan.index("MapInArrow") < plan.index("Generate") < plan.index("RepartitionByExpression")
