@@ -2,15 +2,21 @@
 
 Names and texts are sequences of tokens (runs of letters and figures, case folded). A node of the trie is the hash of a
 prefix of some name; it knows whether longer names go on from it and which name ends there. Each token of a text is a
-possible start: it joins the nodes of depth one, and what is left takes one more token at each depth. The trie is a table, so
-Spark broadcasts it where it is small, and then nothing is exchanged but matches; a dictionary too large for that is joined
-by node, where only starts that are still alive travel, each with as many tokens as the longest name has. Hashes find
-candidates, equal tokens decide.
+possible start, and what is left takes one more token at each depth. A trie of up to TOLD characters goes to the tasks, which
+look up all tokens of many texts at once; nothing is exchanged for it. A larger one is a table that starts join by node, where
+only those still alive travel, each with as many tokens as the longest name has. Hashes find candidates there, equal tokens
+decide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..sources.files import kept, workspace
 
@@ -48,10 +54,75 @@ def opening(at: DataFrame, nodes: DataFrame) -> DataFrame:
     return at.join(F.broadcast(slots), F.pmod(_node("ahead", F.lit(1)), F.lit(SLOTS)) == F.col("_slot"), "left_semi")
 
 
+#: Names of so many characters in all go to the tasks whole; more are joined.
+TOLD = 1 << 24
+
+
+class _Told:
+    """A trie as arrays: tokens by number, from a node and a token the next node, and the name that ends in a node (-1: none)."""
+
+    def __init__(self, phrases: list[list[str]], names: list[str]):
+        number, steps, self.ends = {}, {}, [-1]
+        for k, phrase in enumerate(phrases):
+            node = 0
+            for w in phrase:
+                step = (node, number.setdefault(w, len(number)))
+                if step not in steps:
+                    steps[step] = len(self.ends)
+                    self.ends.append(-1)
+                node = steps[step]
+            self.ends[node] = k
+        self.words, self.names, self.ends = pa.array(number, pa.string()), pa.array(names, pa.string()), np.array(self.ends)
+        codes = np.array([a * len(number) + w for a, w in steps], np.int64)
+        order = np.argsort(codes)
+        self.codes, self.nodes = codes[order], np.array(list(steps.values()), np.int64)[order]
+
+    def found(self, ws: pa.Array) -> tuple[np.ndarray, ...]:
+        """text, pos, n and number of the name of each match in lists of tokens, in their order."""
+        sizes = ws.value_lengths().fill_null(0).to_numpy()
+        begins = np.r_[0, np.cumsum(sizes)]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        words = pc.fill_null(pc.index_in(ws.flatten(), self.words), -1).to_numpy()
+        n, name = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        at, depth = np.flatnonzero(words >= 0) if len(self.codes) else np.zeros(0, np.int64), 0
+        node = np.zeros(len(at), np.int64)
+        while len(at):
+            code = node * len(self.words) + words[at + depth]
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            alive = self.codes[place] == code
+            at, node, depth = at[alive], self.nodes[place[alive]], depth + 1
+            ended = self.ends[node] >= 0
+            n[at[ended]], name[at[ended]] = depth, self.ends[node[ended]]
+            on = at + depth < begins[text[at] + 1]
+            at, node = at[on], node[on]
+            on = words[at + depth] >= 0
+            at, node = at[on], node[on]
+        upto, kept_ones = 0, []
+        starts = np.flatnonzero(n)
+        for start, length in zip(starts.tolist(), n[starts].tolist(), strict=True):
+            if start >= upto:
+                kept_ones.append(start)
+                upto = start + length
+        got = np.array(kept_ones, np.int64)
+        return text[got], got - begins[text[got]], n[got], name[got]
+
+
+def _told(nodes: DataFrame) -> Callable[[], _Told] | None:
+    """What gives the trie in a task, where it is not too large for one."""
+    size = F.aggregate("ends", F.lit(0).cast("long"), lambda s, e: s + F.length(e["name"]) + F.length(F.array_join(e["phrase"], " ")))
+    if (nodes.agg(F.sum(size)).first()[0] or 0) > TOLD:
+        return None
+    known = nodes.select(F.inline("ends")).toArrow()
+    told = nodes.sparkSession.sparkContext.broadcast((known["phrase"].to_pylist(), known["name"].to_pylist()))
+    return lambda: _Told(*told.value)
+
+
 def matches(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
     """A row per match: id_col, pos (of its first token, from 0), n (tokens) and name. Matches do not overlap: of those that
     start first the longest stands, and the search goes on behind it. Null and empty texts have none; rows of one id are
     told apart by their text and equal rows have equal matches once; without names there are none."""
+    if (told := _told(nodes)) is not None:
+        return _matches_told(df, told, id_col, text_col, fold)
     most = nodes.agg(F.max("depth")).first()[0] or 0  # the longest name's tokens
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), tokens(F.col(text_col), fold).alias("ws"))
     at = rows.select("id", "mark", F.posexplode(F.expr(f"transform(ws, (w, i) -> slice(ws, i + 1, {max(most, 1)}))")).alias("pos", "ahead"))
@@ -72,6 +143,20 @@ def matches(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     return listed.select(F.col("id").alias(id_col), F.inline(kept_ones))
 
 
+def _matches_told(df: DataFrame, told: Callable[[], _Told], id_col: str, text_col: str, fold: bool) -> DataFrame:
+    """matches() by a trie that tasks have."""
+    schema = StructType([StructField(id_col, df.schema[id_col].dataType), StructField("pos", LongType()), StructField("n", LongType()), StructField("name", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie_ = told()
+        for b in batches:
+            text, pos, n, name = trie_.found(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(pos), pa.array(n), trie_.names.take(pa.array(name))], names=schema.names)
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
+    return rows.select("id", tokens(F.col("text"), fold).alias("ws")).mapInArrow(run, schema)
+
+
 def names_in(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
     """id_col and names: the names in a text by the order of their places, repeats included; a row per id with a match."""
     found = matches(df, nodes, id_col, text_col, fold).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("ms"))
@@ -79,7 +164,22 @@ def names_in(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_organisations(pages: DataFrame, nodes: DataFrame, key: str = "path", fold: bool = True) -> DataFrame:
-    """pages with `organizations`, the names found in their texts (empty where there is none), which rule_documents filters."""
-    found = names_in(pages, nodes, key, "text", fold).select(F.col(key).alias("_key"), F.col("names").alias("organizations"))
+    """pages with `organizations`, the names found in their texts (empty where there is none), which rule_documents filters. A
+    page's names are those of its own text, also where others have its key."""
     own = pages.drop("organizations")
-    return own.join(found, own[key].eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("organizations", F.coalesce("organizations", F.array().cast("array<string>")))
+    if (told := _told(nodes)) is not None:
+        schema = StructType([*own.schema.fields, StructField("organizations", ArrayType(StringType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie_ = told()
+            for b in batches:
+                text, _, _, name = trie_.found(b.column(b.num_columns - 1))
+                offsets = np.r_[0, np.cumsum(np.bincount(text, minlength=b.num_rows))]
+                orgs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), trie_.names.take(pa.array(name)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], orgs], names=schema.names)
+
+        return own.withColumn("_ws", tokens(F.col("text"), fold)).mapInArrow(run, schema)
+    # a text's hash stands for it, as in matches()
+    rows = own.withColumn("_row", F.struct(F.col(key), F.xxhash64("text").alias("mark")))
+    found = names_in(rows, nodes, "_row", "text", fold).select(F.col("_row").alias("_key"), F.col("names").alias("organizations"))
+    return rows.join(found, rows["_row"].eqNullSafe(F.col("_key")), "left").drop("_key", "_row").withColumn("organizations", F.coalesce("organizations", F.array().cast("array<string>")))

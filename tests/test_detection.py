@@ -181,3 +181,20 @@ def test_no_text_is_exchanged_for_the_codes_of_languages(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     plan = _operators(got)
     assert "THEN finanzamt" in plan.split("Join", 1)[1]  # below the join
+
+
+@pytest.mark.parametrize("told", [E.TOLD, 0])
+def test_names_in_tasks_or_joined_are_the_same(spark, monkeypatch, told):
+    monkeypatch.setattr(E, "TOLD", told)
+    names = ["Acme Bau", "Bau", "Acme", "Acme Bau Nord AG", "Nord", " - ", None, "acme  BAU"]
+    texts = [(k, " ".join(random.Random(k).choices(["Acme", "BAU", "nord", "AG", "von", "x1"], k=k % 23))) for k in range(120)] + [(7, "Bau"), (7, "Bau"), (None, "Nord"), (500, None), (501, "")]
+    nodes = E.trie(spark.createDataFrame([(n,) for n in names], "name string"))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = E.matches(df, nodes)
+    assert Counter(tuple(x) for x in found.collect()) == Counter((i, *m) for i, t in dict.fromkeys(texts) for m in _plain(t, names))
+    assert ("Join" in _operators(found)) == (told == 0)
+    pages = df.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), "text", F.lit(1).alias("k"))
+    orgs = E.with_organisations(pages, nodes)
+    want = Counter((i and f"/in/{i}" if i != 0 else "/in/0", t, 1, tuple(m[2] for m in _plain(t, names))) for i, t in texts)
+    assert Counter((r["path"], r["text"], r["k"], tuple(r["organizations"])) for r in orgs.collect()) == want and ("Join" in _operators(orgs)) == (told == 0)
+    assert E.matches(df, E.trie(spark.createDataFrame([], "name string"))).count() == 0
