@@ -46,7 +46,7 @@ def first(items: Column, default: str | None = "") -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in words])
+    return _let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in words]))  # case is folded once
 
 
 # cleaning
@@ -282,7 +282,7 @@ def recipient_address(text: Column) -> Column:
 
 def tax_office(text: Column) -> Column:
     """The first of tax_organisations(), else empty."""
-    return F.coalesce(F.regexp_extract(text, ANY + P.TAX_ORG, 0), F.lit(""))
+    return F.coalesce(F.regexp_extract(text, rf"{ANY}(?=f){P.TAX_ORG}", 0), F.lit(""))  # most places fail by their letter
 
 
 def tax_organisations(text: Column) -> Column:

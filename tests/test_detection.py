@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scanloom.functions import text as T
 from scanloom.operators import entities as E, language as G
 from scanloom.plans import documents as D
 
@@ -198,3 +199,13 @@ def test_names_in_tasks_or_joined_are_the_same(spark, monkeypatch, told):
     want = Counter((i and f"/in/{i}" if i != 0 else "/in/0", t, 1, tuple(m[2] for m in _plain(t, names))) for i, t in texts)
     assert Counter((r["path"], r["text"], r["k"], tuple(r["organizations"])) for r in orgs.collect()) == want and ("Join" in _operators(orgs)) == (told == 0)
     assert E.matches(df, E.trie(spark.createDataFrame([], "name string"))).count() == 0
+
+
+def test_notes_are_read_once_for_their_organisations(spark, sf):
+    from scanloom.plans import detection
+
+    plan = _operators(detection.QUERIES["organisation_documents"](spark, sf))
+    # of vendors to lines alone: names join no pages
+    assert plan.count("Join ") == 1 and plan.count("MapInArrow") == 1
+    rows = spark.createDataFrame([(t,) for t in ("Das FINANZAMT Bonn Nord 5", "xfinanzamt Finanzamt", "Fin", "", None)], "t string")
+    assert [r[0] for r in rows.select(T.tax_office(F.col("t"))).collect()] == ["FINANZAMT Bonn Nord", "Finanzamt", "", "", ""]
